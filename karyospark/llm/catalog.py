@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import embedding_join, licences, line_dedup, mixing, sharding, simhash, url_filters
+from . import embedding_join, fertility, licences, line_dedup, mixing, sharding, simhash, url_filters
 
-MODULES = [sharding, licences, url_filters, line_dedup, simhash, embedding_join, mixing]
+MODULES = [fertility, line_dedup, simhash, embedding_join, url_filters, sharding, mixing, licences]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
