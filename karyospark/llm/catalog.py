@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_join, fertility, licences, line_dedup, mixing, sharding, simhash, url_filters
+from . import bpe, embedding_join, fertility, licences, line_dedup, mixing, quality, sharding, simhash, url_filters
 
-MODULES = [fertility, line_dedup, simhash, embedding_join, url_filters, bpe, sharding, mixing, licences]
+MODULES = [fertility, line_dedup, simhash, embedding_join, url_filters, bpe, sharding, mixing, quality, licences]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
