@@ -206,5 +206,180 @@ def op3_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# Near copies by similarity ---------------------------------------------------
+#
+# A shingle similarity of 0.8 turns about 15 of 100 SimHash bits, too many for
+# three differing bits of 64.  Here fingerprints have 256 bits, keys are the
+# coordinates at some of the unit references (their number follows the count of
+# fingerprints, the number of keys follows the wanted recall), and the tables of
+# distances to references are made inside a key's bucket, with members as
+# references: all members within the radius of one reference are linked at once,
+# and of the pairs that are still apart those are verified whose coordinates
+# differ by no more than the radius.
+
+WIDE = 4
+LEAST_KEY_BITS = 14
+BUCKET_LOG2 = 4
+MISSED = 0.02
+RADIUS_SLACK = 0.02
+SMALL_BUCKET = 64
+REFERENCES = 8
+WIDE_SCHEMA = "key bigint, gid bigint, side int, f0 bigint, f1 bigint, f2 bigint, f3 bigint"
+
+
+def bit_share(similarity: float) -> float:
+    """Expected share of differing bits of two texts with this Jaccard similarity and equal lengths."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def wide_simhash(text: str | None, words_a_shingle: int) -> list[int]:
+    """256-bit SimHash as four signed numbers; zeros where the text has no word."""
+    words = text.encode().lower().split() if text else []
+    if not words:
+        return [0] * WIDE
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    k = min(words_a_shingle, len(words))
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - k + 1].tolist()
+    ends = ends[k - 1 :].tolist()
+    digest, totals = xxhash.xxh64_intdigest, np.zeros(64 * WIDE, np.int64)
+    for lo in range(0, len(starts), 1 << 14):
+        part = zip(starts[lo : lo + (1 << 14)], ends[lo : lo + (1 << 14)], strict=True)
+        hashes = np.array([digest(joined[s:e], 42) for s, e in part], np.uint64)
+        several = np.stack([mix(hashes, r) for r in range(WIDE)], 1)
+        totals += np.unpackbits(several.view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * totals > len(starts), bitorder="little").view(np.int64).tolist()
+
+
+def _wide_fingerprints(text: Column, words_a_shingle: int) -> Column:
+    @F.pandas_udf("f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = np.array([wide_simhash(t, words_a_shingle) for t in texts], np.int64).reshape(-1, WIDE)
+            yield pd.DataFrame(rows, columns=[f"f{r}" for r in range(WIDE)], index=texts.index)
+
+    return udf(text)
+
+
+def _wide_batch(cols: list[np.ndarray]) -> pa.RecordBatch:
+    names = ["key", "gid", "side", "f0", "f1", "f2", "f3"]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "side" else pa.int64()) for n, c in zip(names, cols, strict=True)], names)
+
+
+def _wide_keys(key_bits: int, tables: int):
+    rng = np.random.default_rng(11)
+    places = [np.sort(rng.choice(64 * WIDE, key_bits, replace=False)) for _ in range(tables)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gid, *fs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("gid", "f0", "f1", "f2", "f3"))
+            bits = np.unpackbits(np.stack(fs, 1).view(np.uint8).reshape(len(gid), -1), axis=1, bitorder="little") if len(gid) else np.zeros((0, 256), np.uint8)
+            for t, at in enumerate(places):
+                value = np.zeros(len(gid), np.uint64)
+                for p in at:
+                    value = value << ONE | bits[:, p]
+                yield _wide_batch([mix(value, 1000 + t).view(np.int64), gid, np.zeros(len(gid), np.int32), *fs])
+
+    return run
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
+
+
+def link_bucket(fps: np.ndarray, radius: int) -> np.ndarray:
+    """Least linked row of each row of one bucket (rows x 4 numbers), by reference tables."""
+    n = len(fps)
+    covered, tables, i, j = np.zeros(n, bool), [], [], []
+    while not covered.all() and len(tables) < REFERENCES:
+        pivot = int(np.argmin(covered))
+        d = _apart(fps, fps[pivot])
+        near = np.flatnonzero(d <= radius)
+        i.append(np.full(len(near), pivot))
+        j.append(near)
+        covered[near] = True
+        tables.append(d)
+    label = least_labels(n, np.concatenate(i), np.concatenate(j))
+    table = np.stack(tables, 1)
+    for lo in range(0, n, 256):
+        rows = np.arange(lo, min(n, lo + 256))
+        a, b = np.nonzero(label[rows][:, None] != label[None, :])
+        a = rows[a]
+        later = a < b
+        a, b = a[later], b[later]
+        near = np.abs(table[a] - table[b]).max(1) <= radius if len(a) else np.zeros(0, bool)
+        a, b = a[near], b[near]
+        near = _apart(fps[a], fps[b]) <= radius
+        if near.any():
+            own = np.arange(n)
+            label = least_labels(n, np.concatenate([own, a[near]]), np.concatenate([label, b[near]]))
+    return label
+
+
+def _wide_compare(radius: int, limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for crowded, cols in key_groups(batches, limit):
+            if crowded:
+                yield _wide_batch(cols)
+                continue
+            key, gid, _, *fs = cols
+            fps = np.stack(fs, 1).view(np.uint64)
+            edges = np.flatnonzero(np.diff(key)) + 1
+            starts = np.concatenate([[0], edges])
+            sizes = np.diff(np.concatenate([starts, [len(key)]]))
+            label, found = np.arange(len(key)), []
+            small = np.repeat((sizes > 1) & (sizes <= SMALL_BUCKET), sizes)
+            at = np.flatnonzero(small)
+            for i, j in pairs_by_offset(key[at]):
+                i, j = at[i], at[j]
+                near = _apart(fps[i], fps[j]) <= radius
+                found.append((i[near], j[near]))
+            label = _forest(label, found) if found else label
+            for s, m in zip(starts[sizes > SMALL_BUCKET].tolist(), sizes[sizes > SMALL_BUCKET].tolist(), strict=True):
+                label[s : s + m] = s + link_bucket(fps[s : s + m], radius)
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            if len(moved):  # an edge: side -1, the other end in place of the key
+                yield _wide_batch([gid[label[moved]], gid[moved], np.full(len(moved), -1, np.int32), *([np.zeros(len(moved), np.int64)] * WIDE)])
+
+    return run
+
+
+def similar_documents(docs: DataFrame, words_a_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, component_id)`` for every row: groups linked by an estimated shingle similarity of ``similarity``.
+
+    Words are those of ``near_duplicates``; null, empty and blank texts are one
+    group.  The radius is the expected share of differing bits at the
+    similarity plus ``RADIUS_SLACK``; a pair at the similarity itself shares no
+    key with probability ``MISSED``, closer ones less.  Whole texts and all rows
+    take part; rows of a bucket above ``BUCKET_ROWS`` are compared in pairs of
+    chunks.  Repeated rows come back as often as they came.
+    """
+    spark = docs.sparkSession
+    names = [f"f{r}" for r in range(WIDE)]
+    prints = cut(docs.select("doc_id", _wide_fingerprints(F.col("text"), words_a_shingle).alias("f")).select("doc_id", "f.*"))
+    distinct = cut(prints.groupBy(*names).agg(F.min("doc_id").alias("least"))).withColumn("gid", F.monotonically_increasing_id())  # stable: the rows are written
+    n = max(2, distinct.count())
+    share = bit_share(similarity)
+    key_bits = max(LEAST_KEY_BITS, int(np.ceil(np.log2(n))) - BUCKET_LOG2)
+    tables = int(np.ceil(np.log(MISSED) / np.log1p(-((1 - share) ** key_bits))))
+    radius = int(64 * WIDE * (share + RADIUS_SLACK))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df: df.repartition(parts, "key").sortWithinPartitions("key")
+    first = cut(dealt(distinct.select("gid", *names).mapInArrow(_wide_keys(key_bits, tables), WIDE_SCHEMA)).mapInArrow(_wide_compare(radius, BUCKET_ROWS), WIDE_SCHEMA))
+    edges = first.where("side < 0").select(F.col("key").alias("a"), F.col("gid").alias("b"))
+    crowded = first.where("side >= 0")
+    if not crowded.isEmpty():
+        chunks = crowded.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (BUCKET_ROWS // 4)).cast("int").alias("n"))
+        one = crowded.join(chunks, "key").withColumn("c", F.pmod(F.xxhash64("gid"), "n").cast("int"))
+        two = one.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("key", F.xxhash64("key", F.least("c", "d"), F.greatest("c", "d")))
+        again = dealt(two.select("key", "gid", "side", *names)).mapInArrow(_wide_compare(radius, 1 << 30), WIDE_SCHEMA)  # about BUCKET_ROWS // 2 rows a group
+        edges = edges.unionByName(again.select(F.col("key").alias("a"), F.col("gid").alias("b")))
+    linked = connected_components(edges.distinct())
+    members = cut(distinct.join(linked, distinct.gid == linked.node, "left").select(*names, "least", F.coalesce("root", "gid").alias("root")))
+    roots = members.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = members.join(roots, "root").select(*names, "component_id")
+    return prints.join(classes, names).select("doc_id", "component_id")
+
+
 QUERIES = {"op3_pivot_simhash": op3_pivot_simhash}
 ORACLES: dict[str, str] = {}

@@ -75,3 +75,47 @@ def test_edges_connect_what_links_connect(spark, bucket_rows):
     found = S.least_labels(len(fps), i, j)
     want = plain_components([(n, f & (1 << 64) - 1) for n, f in enumerate(fps)])
     assert [(n, int(found[n])) for n in range(len(fps))] == sorted(want)
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("bucket_rows", [4096, 8])
+def test_similar_documents(spark, monkeypatch, bucket_rows):
+    """Every group holds together by similarity, copies with a few words changed are found, others are left alone."""
+    monkeypatch.setattr(S, "BUCKET_ROWS", bucket_rows)
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(3000)]
+    texts, of = [], []
+    for g in range(40):
+        base = rng.choices(vocabulary, k=200)
+        for c in range(1 + 5 * (g % 4)):
+            words = base[:]
+            for _ in range(c % 3):
+                words[rng.randrange(200)] = rng.choice(vocabulary)
+            texts.append(" ".join(words))
+            of.append(g)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, "Short one."), (903, "Short two."), (902, "Short one.")]
+    got = [tuple(r) for r in S.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert len(got) == len(rows)
+    got = dict(got)
+    for i in range(len(texts)):
+        assert got[i] == of.index(of[i])
+    assert (got[900], got[901], got[902], got[903]) == (900, 900, 902, 903)
+
+
+def test_link_bucket_against_all_pairs():
+    rng = np.random.default_rng(4)
+    centres = rng.integers(0, 1 << 63, (30, 4), dtype=np.uint64)
+    rows = np.repeat(centres, 10, axis=0)
+    for row in rows:
+        for p in rng.choice(256, rng.integers(0, 30), replace=False):
+            row[p // 64] ^= np.uint64(1) << np.uint64(p % 64)
+    i, j = np.nonzero(S._apart(rows[:, None], rows[None]) <= 40)
+    assert (S.link_bucket(rows, 40) == S.least_labels(len(rows), i, j)).all()
