@@ -72,7 +72,7 @@ def chromsize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def breaks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(BREAKS, "species string, scaf string, at bigint")
+    return spark.createDataFrame(BREAKS, "species string, scaf string, break_pos bigint")
 
 
 def orth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +133,7 @@ SQL = {
     "hits": " UNION ALL ".join(f"SELECT * FROM {_hits_sql(q, t)}" for q in "CPS" for t in "CPS" if q != t),
     "chrom": " UNION ALL ".join([_chrom_sql("customer", "C", "c_custkey", "'CN' || c_nationkey", 7919), _chrom_sql("part", "P", "p_partkey", "p_brand", 104729), _chrom_sql("supplier", "S", "s_suppkey", "'SN' || s_nationkey", 15485863)]),
     "chromsize": f"SELECT DISTINCT species, scaf, CAST({SCAF_LEN} AS BIGINT) len FROM chrom",
-    "breaks": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {c})" for a, b, c in BREAKS) + ") b(species, scaf, at)",
+    "breaks": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {c})" for a, b, c in BREAKS) + ") b(species, scaf, break_pos)",
     "orth": "SELECT 'rbh' || k rbh, 'None' gene_group, '#000000' color, "
     + ", ".join(
         f"'{sp}g' || k {sp}_gene, '{sp}' || {scaf} {sp}_scaf, (k * {f}) % 1000003 {sp}_pos"

@@ -82,7 +82,7 @@ f AS (SELECT * FROM hits WHERE query_species < target_species),
 r AS (SELECT target_species query_species, query_species target_species, sseqid qseqid, qseqid sseqid, pident, evalue, bitscore FROM hits WHERE query_species > target_species)"""
 _K = "query_species, target_species"
 _ON = "USING (query_species, target_species, qseqid, sseqid)"
-_STRICT = f"""{_DIRECTIONS},
+STRICT = f"""{_DIRECTIONS},
 b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY {_K}, qseqid ORDER BY bitscore DESC, evalue, pident DESC, sseqid) = 1),
 k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY {_K}, sseqid ORDER BY bitscore DESC, evalue, pident DESC, qseqid) = 1),
 p1 AS (SELECT b.* FROM b JOIN k {_ON}),
@@ -96,7 +96,7 @@ t AS (SELECT fe.* FROM fe JOIN re {_ON}),
 tq AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY {_K}, qseqid ORDER BY bitscore DESC, sseqid) = 1),
 p2 AS (SELECT * FROM tq QUALIFY row_number() OVER (PARTITION BY {_K}, sseqid ORDER BY bitscore DESC, qseqid) = 1),
 strict AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2)"""
-_NWAY = f"""{_STRICT},
+_NWAY = f"""{STRICT},
 nway AS (SELECT 'rbh3way_C_P_S_' || row_number() OVER (ORDER BY cp.qseqid) rbh, cp.qseqid C_gene, cp.sseqid P_gene, cs.sseqid S_gene
   FROM strict cp JOIN strict cs ON cp.query_species = 'C' AND cp.target_species = 'P' AND cs.query_species = 'C' AND cs.target_species = 'S' AND cp.qseqid = cs.qseqid
   JOIN strict ps ON ps.query_species = 'P' AND ps.target_species = 'S' AND ps.qseqid = cp.sseqid AND ps.sseqid = cs.sseqid)"""
@@ -105,7 +105,7 @@ best AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY qseqid ORDER BY
 
 ORACLES = {
     "rbh_permissive": with_tables("hits", f"WITH {_DIRECTIONS},\nfe AS (SELECT * FROM f QUALIFY evalue = min(evalue) OVER (PARTITION BY {_K}, qseqid)), re AS (SELECT * FROM r QUALIFY evalue = min(evalue) OVER (PARTITION BY {_K}, sseqid))\nSELECT {_IDS} FROM fe f JOIN re {_ON}"),
-    "rbh_strict": with_tables("hits", f"WITH {_STRICT} SELECT {_IDS} FROM strict f"),
+    "rbh_strict": with_tables("hits", f"WITH {STRICT} SELECT {_IDS} FROM strict f"),
     "rbh_single_pass": with_tables("hits", f"WITH {_DIRECTIONS}, b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY {_K}, qseqid ORDER BY bitscore DESC, evalue, sseqid) = 1), k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY {_K}, sseqid ORDER BY bitscore DESC, evalue, qseqid) = 1) SELECT {_IDS} FROM b f JOIN k {_ON}"),
     "flip_hits": with_tables("hits", "SELECT target_species query_species, query_species target_species, sseqid qseqid, qseqid sseqid, pident, length, mismatch, gapopen, sstart qstart, send qend, qstart sstart, qend send, evalue, bitscore FROM hits WHERE query_species = 'C' AND target_species = 'S'"),
     "nway_rbh": with_tables("hits", f"WITH {_NWAY} SELECT * FROM nway"),
