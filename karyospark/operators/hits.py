@@ -104,11 +104,12 @@ def nway_rbh(edges: DataFrame, species: list[str]) -> DataFrame:
 
 def number_rows(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
     """``df`` with a 1-based rank over ``order``: sorted partitions, then their sizes added up."""
-    ranked = cut(df.orderBy(*order).withColumn("_part", F.spark_partition_id()))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    sizes = ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))  # a row a partition
-    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    return ranked.withColumn("_rank", inside).join(F.broadcast(sizes), "_part").withColumn(name, F.col("_before") + F.col("_rank")).drop("_part", "_n", "_before", "_rank")
+    ranked = cut(df.orderBy(*order).withColumn("_in_part", F.spark_partition_id()))
+    before = W.orderBy("_in_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = ranked.groupBy("_in_part").agg(F.count(F.lit(1)).alias("_size")).select("_in_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))  # a row a partition
+    inside = F.row_number().over(W.partitionBy("_in_part").orderBy(*order))
+    placed = ranked.withColumn("_inside", inside).join(F.broadcast(sizes), "_in_part")
+    return placed.withColumn(name, F.col("_before") + F.col("_inside")).drop("_in_part", "_before", "_inside")
 
 
 def nway_edges(nway: DataFrame, species: list[str]) -> DataFrame:
