@@ -220,11 +220,11 @@ intervals AS (SELECT *, scaf || ':' || lo || '-' || CASE WHEN hi = 9999999999 TH
 
 
 _OB = "ob AS (SELECT * FROM (VALUES ('A', 'A3', 500000), ('A', 'A7', 250000), ('A', 'A7', 750000), ('B', 'B2', 400000)) b(species, scaf, break_pos))"
-_ANN = f"""{_OB}, {_intervals('ob')},
+ANN = f"""{_OB}, {_intervals('ob')},
 pieces AS (SELECT rbh, gene_group, color, A_gene, A_scaf, A_pos, B_gene, B_scaf, B_pos, {_piece('A', 'intervals')} A_breakchrom, {_piece('B', 'intervals')} B_breakchrom FROM orth),
 ann AS (SELECT *, """ + ", ".join(f"row_number() OVER (PARTITION BY {s}_{k} ORDER BY {s}_pos, {s}_gene) - 1 {s}_{n}" for s in "AB" for k, n in (("scaf", "ix"), ("breakchrom", "break_ix"))) + " FROM pieces)"
-_W, _B = _fet("ann", "A_scaf", "B_scaf", "w"), _fet("ann", "A_breakchrom", "B_breakchrom", "b")
-_TESTED = f"""{_ANN}, {_W}, {_B},
+WHOLE, _B = _fet("ann", "A_scaf", "B_scaf", "w"), _fet("ann", "A_breakchrom", "B_breakchrom", "b")
+_TESTED = f"""{ANN}, {WHOLE}, {_B},
 tested AS (SELECT ann.*, exp(w.lnp) whole_FET, exp(b.lnp) break_FET FROM ann LEFT JOIN w ON w.ka = A_scaf AND w.kb = B_scaf LEFT JOIN b ON b.ka = A_breakchrom AND b.kb = B_breakchrom)"""
 _GROUPED = f"""{_TESTED}, grouped AS (SELECT * REPLACE ('L' || (CAST(substr(rbh, 4) AS BIGINT) % 7) AS gene_group, '#00000' || (CAST(substr(rbh, 4) AS BIGINT) % 3) AS color) FROM tested)"""
 _MODAL = "modal AS (SELECT gene_group, color FROM (SELECT gene_group, color, count(*) n FROM grouped GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY gene_group ORDER BY n DESC, color) = 1)"
@@ -245,19 +245,19 @@ plotted AS (SELECT ann.*, CAST(g + A_ix AS BIGINT) A_plotindex, CAST(off + A_pos
 _SIZES = """sz AS (SELECT species, scaf, len + length(scaf) * 1000 len FROM chromsize),
 sr AS (SELECT *, CAST(row_number() OVER (PARTITION BY species ORDER BY len DESC, scaf) AS INTEGER) "rank" FROM sz),
 so AS (SELECT *, CAST(coalesce(sum(len) OVER (PARTITION BY species ORDER BY "rank" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) "offset", CAST(sum(len) OVER (PARTITION BY species) AS BIGINT) total FROM sr)"""
-_LP = "round(-lnp / ln(10), 6) neg_log10_p"
+LP = "round(-lnp / ln(10), 6) neg_log10_p"
 
 ORACLES = {
     "annotate_coords": with_tables("hits chrom", f"WITH {_RBH} SELECT * FROM coords"),
-    "synteny_pairs": with_tables("hits chrom", f"WITH {_RBH}, {_fet('coords', 'C_scaf', 'P_scaf', 'w')} SELECT ka C_scaf, kb P_scaf, n, {_LP} FROM w WHERE lnp <= ln(100)"),
-    "gene_index": with_tables("orth", f"WITH {_ANN} SELECT rbh, A_breakchrom, A_ix, A_break_ix, B_breakchrom, B_ix, B_break_ix FROM ann"),
+    "synteny_pairs": with_tables("hits chrom", f"WITH {_RBH}, {_fet('coords', 'C_scaf', 'P_scaf', 'w')} SELECT ka C_scaf, kb P_scaf, n, {LP} FROM w WHERE lnp <= ln(100)"),
+    "gene_index": with_tables("orth", f"WITH {ANN} SELECT rbh, A_breakchrom, A_ix, A_break_ix, B_breakchrom, B_ix, B_break_ix FROM ann"),
     "assign_breakchrom": with_tables("hits chrom breaks", f"WITH {_RBH}, {_intervals('breaks')} SELECT *, {_piece('C', 'intervals')} C_breakchrom, {_piece('P', 'intervals')} P_breakchrom FROM coords"),
     "break_intervals": with_tables("chromsize breaks", f"WITH {_intervals('breaks')} SELECT * FROM intervals SEMI JOIN chromsize USING (species, scaf)"),
     "scaffold_pair_counts": with_tables("orth", "SELECT A_scaf, B_scaf, count(*) n, CASE WHEN grouping(A_scaf) = 0 AND grouping(B_scaf) = 0 THEN 'pair' WHEN grouping(A_scaf) = 0 THEN 'a' WHEN grouping(B_scaf) = 0 THEN 'b' ELSE 'all' END AS level FROM orth GROUP BY GROUPING SETS ((A_scaf, B_scaf), (A_scaf), (B_scaf), ())"),
-    "fisher_whole": with_tables("orth", f"WITH {_ANN}, {_W} SELECT ka A_scaf, kb B_scaf, n, {_LP} FROM w"),
-    "fisher_break": with_tables("orth", f"WITH {_ANN}, {_B} SELECT ka A_breakchrom, kb B_breakchrom, n, {_LP} FROM b"),
+    "fisher_whole": with_tables("orth", f"WITH {ANN}, {WHOLE} SELECT ka A_scaf, kb B_scaf, n, {LP} FROM w"),
+    "fisher_break": with_tables("orth", f"WITH {ANN}, {_B} SELECT ka A_breakchrom, kb B_breakchrom, n, {LP} FROM b"),
     "filter_significant": with_tables("orth", f"WITH {_TESTED} SELECT rbh, A_scaf, B_scaf FROM tested WHERE whole_FET <= 0.05"),
-    "break_statistic": with_tables("orth", f"WITH {_ANN}, {_d('A', 'B')}, {_d('B', 'A')} SELECT rbh, round(dA.D, 6) A_D, round(dB.D, 6) B_D FROM dA JOIN dB USING (rbh)"),
+    "break_statistic": with_tables("orth", f"WITH {ANN}, {_d('A', 'B')}, {_d('B', 'A')} SELECT rbh, round(dA.D, 6) A_D, round(dB.D, 6) B_D FROM dA JOIN dB USING (rbh)"),
     "filtered_pair_groups": with_tables("orth", f"WITH {_TESTED} SELECT rbh, A_scaf || '_' || B_scaf gene_group, '#123456' color FROM tested WHERE whole_FET <= 0.05"),
     "summary_pieces": with_tables("orth", f"WITH {_TESTED} SELECT A_breakchrom, B_breakchrom, count(*) n FROM tested WHERE break_FET <= 0.1 GROUP BY 1, 2"),
     "summary_whole": with_tables("orth", f"WITH {_TESTED} SELECT A_scaf, B_scaf, count(*) n FROM tested WHERE whole_FET <= 0.1 GROUP BY 1, 2"),
@@ -266,10 +266,10 @@ ORACLES = {
     "alg_decay": with_tables("orth", f"WITH {_GROUPED} SELECT gene_group, count(*) FILTER (WHERE whole_FET <= 0.05) conserved, count(*) FILTER (WHERE whole_FET > 0.05) scattered, count(*) total FROM grouped GROUP BY 1"),
     "alg_decay_detail": with_tables("orth", f"WITH {_GROUPED} SELECT gene_group, B_scaf scaf, count(*) FILTER (WHERE whole_FET <= 0.05) conserved, count(*) FILTER (WHERE whole_FET > 0.05) scattered FROM grouped GROUP BY 1, 2"),
     "chrom_order_by_size": with_tables("orth", 'SELECT *, row_number() OVER (ORDER BY n DESC, scaf) - 1 AS "rank" FROM (SELECT B_scaf scaf, count(*) n FROM orth GROUP BY 1)'),
-    "plot_coordinates": with_tables("orth", f"WITH {_ANN}, {_ORDER_A} SELECT rbh, A_plotindex, A_plotpos FROM plotted"),
-    "axis_annotations": with_tables("orth", f'WITH {_ANN}, {_ORDER_A}, e AS (SELECT A_scaf scaf, min(A_plotindex) "first", max(A_plotindex) "last", count(*) n FROM plotted GROUP BY 1) SELECT *, "first" + ("last" - "first") / 2.0 middle, CASE WHEN lead("first") OVER (ORDER BY "first") IS NOT NULL THEN "last" + 0.5 END divider, CAST(sum(n) OVER (ORDER BY "first") AS BIGINT) genes_so_far FROM e'),
-    "break_lines": with_tables("orth", f"WITH {_ANN}, {_ORDER_A}, l AS (SELECT A_scaf scaf, max(A_plotindex) m FROM plotted GROUP BY 1) SELECT A_scaf scaf, A_breakchrom breakchrom, max(A_plotindex) + 0.5 line FROM plotted JOIN l ON scaf = A_scaf WHERE A_breakchrom NOT LIKE '%end' GROUP BY 1, 2, m HAVING max(A_plotindex) <> m"),
-    "d_widths": with_tables("orth", f"WITH {_ANN}, {_ORDER_A} SELECT rbh, coalesce(A_plotpos - lag(A_plotpos) OVER (PARTITION BY A_scaf ORDER BY A_plotindex), 0) A_Dwidths FROM plotted"),
+    "plot_coordinates": with_tables("orth", f"WITH {ANN}, {_ORDER_A} SELECT rbh, A_plotindex, A_plotpos FROM plotted"),
+    "axis_annotations": with_tables("orth", f'WITH {ANN}, {_ORDER_A}, e AS (SELECT A_scaf scaf, min(A_plotindex) "first", max(A_plotindex) "last", count(*) n FROM plotted GROUP BY 1) SELECT *, "first" + ("last" - "first") / 2.0 middle, CASE WHEN lead("first") OVER (ORDER BY "first") IS NOT NULL THEN "last" + 0.5 END divider, CAST(sum(n) OVER (ORDER BY "first") AS BIGINT) genes_so_far FROM e'),
+    "break_lines": with_tables("orth", f"WITH {ANN}, {_ORDER_A}, l AS (SELECT A_scaf scaf, max(A_plotindex) m FROM plotted GROUP BY 1) SELECT A_scaf scaf, A_breakchrom breakchrom, max(A_plotindex) + 0.5 line FROM plotted JOIN l ON scaf = A_scaf WHERE A_breakchrom NOT LIKE '%end' GROUP BY 1, 2, m HAVING max(A_plotindex) <> m"),
+    "d_widths": with_tables("orth", f"WITH {ANN}, {_ORDER_A} SELECT rbh, coalesce(A_plotpos - lag(A_plotpos) OVER (PARTITION BY A_scaf ORDER BY A_plotindex), 0) A_Dwidths FROM plotted"),
     "scaffold_offsets": with_tables("chromsize", f'WITH {_SIZES} SELECT *, "offset" + len / 2.0 tick FROM so'),
     "d_bars": with_tables("chromsize", f"""WITH {_SIZES}, g AS (SELECT c.scaf, protein gene, "start" + "offset" s, stop + "offset" e, "offset" o, len FROM chrom c JOIN so ON so.species = 'C' AND c.species = 'C' AND so.scaf = c.scaf),
 x AS (SELECT *, count(*) OVER (PARTITION BY scaf) n, coalesce((lag(e) OVER w + s) / 2.0, o) l, coalesce((e + lead(s) OVER w) / 2.0, o + len) r FROM g WINDOW w AS (PARTITION BY scaf ORDER BY s, e, gene))
