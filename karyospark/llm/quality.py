@@ -131,19 +131,32 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) ->
     return good, tables, float(prior)
 
 
+MARKS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
+
+
+def word_shape(word: str) -> str:
+    """The case of a word without the ASCII marks at its end, and those marks."""
+    core = word.rstrip(MARKS)
+    case = "x" if core.islower() else "X" if core.isupper() else "Xx" if core.istitle() else "mixed"
+    return f"{case}{'' if core.isalpha() else '0'}{word[len(core):][:8]}"
+
+
 class Features:
-    """Hashed places of a word and of its shape, remembered."""
+    """Hashed places of a word and of its shape; shapes are few and remembered."""
 
     def __init__(self, dims: int):
-        self.dims, self.memo = dims, {}
+        self.dims, self.shapes = dims, {}
+
+    def place(self, name: str) -> int:
+        return xxhash.xxh64_intdigest(name.encode()) % self.dims
 
     def places(self, word: str) -> tuple[int, int]:
-        if (found := self.memo.get(word)) is None:
-            if len(self.memo) > MEMO_WORDS:
-                self.memo.clear()
-            shape = regex.sub(r"\p{Lu}+", "X", regex.sub(r"[\p{Ll}\p{Lo}]+", "x", regex.sub(r"\p{N}+", "0", word)))[:32]
-            found = self.memo[word] = tuple(xxhash.xxh64_intdigest(x.encode()) % self.dims for x in (f"w:{word.lower()}", f"s:{shape}"))
-        return found
+        shape = word_shape(word)
+        if (found := self.shapes.get(shape)) is None:
+            if len(self.shapes) > MEMO_WORDS:
+                self.shapes.clear()
+            found = self.shapes[shape] = self.place(f"shape {shape}")
+        return self.place(word.lower()), found
 
 
 @dataclass
@@ -184,7 +197,7 @@ def _document_features(words: list[str], counts: Counter, features: Features) ->
     """Hashed places and values of what single words don't show: echoes, the top word and the lack of distinct words."""
     n = len(words)
     values = [("echo", _echoes(words) / n), ("top", max(counts.values()) / n if n >= 20 else 0.0), ("same", max(0.0, 1 - len(counts) / (3 * np.sqrt(n))))]
-    return [(features.places(f"document {name}")[0], v) for name, v in values]
+    return [(features.place(f"document {name}"), v) for name, v in values]
 
 
 def _pattern_column(text):
@@ -262,7 +275,6 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
                     if v is None:
                         if len(weight) > MEMO_WORDS:
                             weight.clear()
-                            features.memo.clear()
                         i, j = features.places(word)
                         v = weight[word] = float(w[i]) + float(w[j])
                     z += k * v
