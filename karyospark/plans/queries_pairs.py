@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from karyospark.operators import coords as C
 from karyospark.operators import hits as H
+from karyospark.operators import peaks as P
 from karyospark.operators import stats as S
 
 from . import fixtures as X
@@ -83,6 +84,10 @@ def break_statistic(spark, sf_dir):
     return out.select("rbh", F.round("A_D", 6).alias("A_D"), F.round("B_D", 6).alias("B_D"))
 
 
+def auto_breaks(spark, sf_dir):
+    return P.auto_breaks(S.break_statistic(annotated(spark, sf_dir), "A", "B"), "A")
+
+
 def filtered_pair_groups(spark, sf_dir):
     return S.filtered_pair_groups(tested(spark, sf_dir), "A", "B", F.lit("#123456")).select("rbh", "gene_group", "color")
 
@@ -189,7 +194,7 @@ def to_wide(spark, sf_dir):
     return C.to_wide(C.to_long(X.orth(spark, sf_dir), list("ABCD")), list("ABCD"))
 
 
-_NAMES = "annotate_coords synteny_pairs gene_index assign_breakchrom break_intervals scaffold_pair_counts fisher_whole fisher_break filter_significant break_statistic filtered_pair_groups summary_pieces summary_whole summary_groups modal_color alg_decay alg_decay_detail chrom_order_by_size plot_coordinates axis_annotations break_lines d_widths scaffold_offsets d_bars manual_break_rows filter_scaffolds filter_min_scaf_size pseudo_chromsizes annotate_gene_group to_long to_wide"
+_NAMES = "annotate_coords synteny_pairs gene_index assign_breakchrom break_intervals scaffold_pair_counts fisher_whole fisher_break filter_significant break_statistic auto_breaks filtered_pair_groups summary_pieces summary_whole summary_groups modal_color alg_decay alg_decay_detail chrom_order_by_size plot_coordinates axis_annotations break_lines d_widths scaffold_offsets d_bars manual_break_rows filter_scaffolds filter_min_scaf_size pseudo_chromsizes annotate_gene_group to_long to_wide"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 def _fet(source: str, a: str, b: str, name: str) -> str:

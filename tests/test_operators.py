@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from karyospark.operators import components, coords, fusion, groups, hits, mixing, order, stats, validate
+from karyospark.operators import components, coords, fusion, groups, hits, mixing, order, peaks, stats, validate
 
 PAIR = "query_species string, target_species string, qseqid string, sseqid string, pident double, evalue double, bitscore double"
 
@@ -193,3 +193,14 @@ def test_unwrap_undoes_grouping(spark):
     df = spark.createDataFrame(rows, "rbh string, A_gene string, A_scaf string, A_pos bigint")
     back = groups.unwrap_groups(groups.group_by_scaffolds(df, ["A"])).select(df.columns)
     assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
+def test_break_peaks(spark):
+    base = lambda n: np.random.default_rng(n).uniform(0, 0.2, n).tolist()
+    d = base(60) + [0.2, 0.5, 1.2, 0.6, 0.3] + base(61) + [0.3, 0.9, 0.4] + base(5)
+    rows = spark.createDataFrame([("s", i, x) for i, x in enumerate(d)], "A_scaf string, A_ix bigint, A_D double")
+    got = {r.ix for r in peaks.auto_breaks(rows, "A").collect()}
+    assert {62, 127} <= got
+    assert peaks.auto_breaks(rows.limit(0), "A").count() == 0
+    stays = peaks.suppressed(np.array([1, 3, 10, 12, 40]), np.array([1.0, 2.0, 3.0, 3.0, 0.1]), 20)
+    assert stays.tolist() == [False, False, True, False, True]
