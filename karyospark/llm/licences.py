@@ -98,22 +98,26 @@ def recognise_licences(docs: DataFrame, sentences: list[str] = SENTENCES, rules:
     new names are replaced.  Sentences of any length, repeated sentences and
     ties between rules are all defined by the order of ``rules``.
     """
-    found = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
-    found = found.withColumn("_lines", sentence_ids(F.col("_text"), LINE_ENDS, sentences))
-    found = found.withColumn("_wrapped", sentence_ids(F.col("_text"), BLANK_LINES, sentences))
+    new = ("n_known_sentences", "rules_found", "licence", "licence_class")
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select(
+        F.struct(*[c for c in docs.columns if c not in new]).alias("row"),
+        sentence_ids(text, LINE_ENDS, sentences).alias("lines"),
+        sentence_ids(text, BLANK_LINES, sentences).alias("wrapped"),
+    )
     written = lambda ids: F.concat(F.lit(","), F.array_join(F.transform(ids, lambda i: i.cast("string")), ","), F.lit(","))
-    both = F.concat(written(F.col("_lines")), F.lit("|"), written(F.col("_wrapped")))
-    found = found.withColumn("_both", both)
-    hits = F.array(*[F.when(F.col("_both").contains("," + ",".join(map(str, ids)) + ","), F.lit(n)) for n, (_, _, ids) in enumerate(rules, 1)])
-    found = found.withColumn("rules_found", F.filter(hits, lambda n: n.isNotNull()))
-    first = F.try_element_at("rules_found", F.lit(1))
+    found = found.withColumn("both", F.concat(written(F.col("lines")), F.lit("|"), written(F.col("wrapped"))))
+    hits = F.array(*[F.when(F.col("both").contains("," + ",".join(map(str, ids)) + ","), F.lit(n)) for n, (_, _, ids) in enumerate(rules, 1)])
+    found = found.withColumn("hits", F.filter(hits, lambda n: n.isNotNull()))
+    first = F.try_element_at("hits", F.lit(1))
     names = F.array(*[F.lit(r[0]) for r in rules])
     kinds = F.array(*[F.lit(r[1]) for r in rules])
-    return (
-        found.withColumn("n_known_sentences", F.greatest(F.size("_lines"), F.size("_wrapped")).cast("bigint"))
-        .withColumn("licence", F.when(first.isNotNull(), F.element_at(names, first)))
-        .withColumn("licence_class", F.when(first.isNotNull(), F.element_at(kinds, first)))
-        .drop("_text", "_lines", "_wrapped", "_both")
+    return found.select(
+        "row.*",
+        F.greatest(F.size("lines"), F.size("wrapped")).cast("bigint").alias("n_known_sentences"),
+        F.col("hits").alias("rules_found"),
+        F.when(first.isNotNull(), F.element_at(names, first)).alias("licence"),
+        F.when(first.isNotNull(), F.element_at(kinds, first)).alias("licence_class"),
     )
 
 

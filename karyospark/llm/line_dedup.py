@@ -115,12 +115,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keys_a_
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_shards = max(8 * parts, -(-n_probes // (min_docs * keys_a_shard)))
     index = cut(build_line_index(probes, min_docs, n_shards))
-    drops = probe_line_index(probes, index, n_shards).groupBy("doc_id").agg(F.collect_set("h1").alias("_drop"))
+    drops = probe_line_index(probes, index, n_shards).groupBy("doc_id").agg(F.collect_set("h1").alias("drop"))
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "original_text")]
-    joined = docs.select(*names, "text").join(drops, "doc_id", "left")
-    cut_text = _cut_udf(min_chars)
-    done = joined.withColumn("_cut", cut_text(F.coalesce("text", F.lit("")), "_drop"))
-    return done.select(*names, F.col("_cut.text").alias("text"), F.col("_cut.n_lines").alias("n_lines"), F.col("_cut.n_dropped").alias("n_dropped"), F.col("text").alias("original_text"))
+    rows = docs.select(F.col("doc_id").alias("id"), "text", F.struct(*names).alias("row"))
+    joined = rows.join(drops.withColumnRenamed("doc_id", "id"), "id", "left")
+    done = joined.select("row", "text", _cut_udf(min_chars)(F.coalesce("text", F.lit("")), "drop").alias("cut"))
+    return done.select("row.*", F.col("cut.text").alias("text"), "cut.n_lines", "cut.n_dropped", F.col("text").alias("original_text"))
 
 
 def _cut_udf(min_chars: int):

@@ -65,19 +65,19 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     below 1 loses documents by design; text is never looked at.  An empty table
     gives no rows.  Input columns of the three new names are replaced.
     """
-    docs = docs.drop("rate", "copy", "mix_key")
-    rates = cut(source_rates(docs, weights, temperature, total).select(F.col("source").alias("_source"), "rate", "cdf"))
-    size = rates.agg(F.sum(F.size("cdf") * 8 + F.coalesce(F.length("_source"), F.lit(0)) + 32)).first()[0] or 0
+    names = [c for c in docs.columns if c not in ("rate", "copy", "mix_key")]
+    rates = cut(source_rates(docs, weights, temperature, total).select("source", "rate", "cdf"))
+    size = rates.agg(F.sum(F.size("cdf") * 8 + F.coalesce(F.length("source"), F.lit(0)) + 32)).first()[0] or 0
     if size <= BROADCAST_BYTES:
         rates = F.broadcast(rates)  # else a plain join, whose hot sources adaptive execution splits
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    u = _uniform(F.concat_ws(":", name, F.lit(str(seed))))
-    drawn = docs.join(rates, docs.source.eqNullSafe(rates._source)).withColumn("_u", u)
-    times = F.size(F.filter("cdf", lambda c: c <= F.col("_u")))
-    copies = drawn.withColumn("_n", times).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", name, F.col("copy").cast("string"), F.lit(f"order {seed}"))), 1, 15), 16, 10).cast("bigint")
+    text_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    rows = docs.select(F.struct(*names).alias("row"), F.col("source").alias("of"), text_id.alias("name"))
+    drawn = rows.join(rates, rows.of.eqNullSafe(rates.source)).withColumn("u", _uniform(F.concat_ws(":", "name", F.lit(str(seed)))))
+    times = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
+    copies = drawn.withColumn("times", times).where("times > 0").select("row", "name", "rate", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", "name", F.col("copy").cast("string"), F.lit(f"order {seed}"))), 1, 15), 16, 10).cast("bigint")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return copies.drop("_source", "cdf", "_u", "_n").withColumn("mix_key", key).repartition(parts, "mix_key").sortWithinPartitions("mix_key")
+    return copies.select("row.*", "rate", "copy", key.alias("mix_key")).repartition(parts, "mix_key").sortWithinPartitions("mix_key")
 
 
 def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

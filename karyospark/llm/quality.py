@@ -286,7 +286,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
             yield pd.DataFrame(rows, columns=["vote_pattern", "posterior", "score", "kept"], index=texts.index)
 
     names = [c for c in docs.columns if c not in ("vote_pattern", "posterior", "score", "kept")]
-    return docs.withColumn("_judged", judge("text")).select(*names, "_judged.*")
+    return docs.select(F.struct(*names).alias("row"), judge("text").alias("judged")).select("row.*", "judged.*")
 
 
 def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,30 +151,27 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         F.sort_array(F.collect_set(F.size(F.split("host", r"\.", -1)))), F.sort_array(F.collect_set(F.length("path")))
     ).first()  # sets of small numbers: labels of a host, characters of a path
     host, path = url_parts(F.col("url"))
-    parts = pages.withColumn("host", host).withColumn("path", path)
+    row = F.struct(*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]).alias("row")
+    parts = pages.select(row, host.alias("host"), path.alias("path"))
     if not shape[0]:
-        return parts.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
-    keyed = parts.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), list(shape[0]), list(shape[1])))
-    universe = keyed.select(F.explode("_keys").alias("key"))
+        return parts.select("row.*", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    keyed = parts.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), list(shape[0]), list(shape[1])))
+    universe = keyed.select(F.explode("keys").alias("key"))
     key = F.concat("host", F.lit("\n"), "path")
-    cascades = [(f"_{v}", cut(build_cascade(listed.where(F.col("verdict") == v).select(key.alias("key")), universe))) for v in ("allow", "block")]
-    marked = mark_members(keyed.withColumn("_hs", F.transform("_keys", _hash)), cascades, "_hs")
+    cascades = [(v, cut(build_cascade(listed.where(F.col("verdict") == v).select(key.alias("key")), universe))) for v in ("allow", "block")]
+    marked = mark_members(keyed.withColumn("hs", F.transform("keys", _hash)), cascades)
     hits = F.filter(
         F.zip_with(
-            F.col("_keys"), F.arrays_zip("_allow", "_block"),
+            F.col("keys"), F.arrays_zip("allow", "block"),
             lambda k, f: F.struct(
-                F.length(k).alias("n"), (F.instr(k, "\n") - 1).alias("m"), f["_block"].alias("block"), (f["_allow"] | f["_block"]).alias("listed"), F.translate(k, "\n", "").alias("rule")
+                F.length(k).alias("n"), (F.instr(k, "\n") - 1).alias("m"), f["block"].alias("block"), (f["allow"] | f["block"]).alias("listed"), F.translate(k, "\n", "").alias("rule")
             ),
         ),
         lambda s: s["listed"],
-    )
-    best = F.array_max(hits)
-    return (
-        marked.withColumn("_best", best)
-        .withColumn("rule", F.col("_best.rule"))
-        .withColumn("verdict", F.when(F.col("_best").isNull(), default).when(F.col("_best.block"), "block").otherwise("allow"))
-        .drop("_keys", "_hs", "_allow", "_block", "_best")
-    )
+    )
+    best = marked.select("row", "host", "path", F.array_max(hits).alias("best"))
+    verdict = F.when(F.col("best").isNull(), default).when(F.col("best.block"), "block").otherwise("allow")
+    return best.select("row.*", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
 
 
 def op5_bloom_cascade_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
