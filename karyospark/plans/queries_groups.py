@@ -20,10 +20,19 @@ def number_of_rbh():
     return F.expr("cast(substring(rbh, 4) as bigint)")
 
 
-def group_by_scaffolds(spark, sf_dir):
+def grouped(spark, sf_dir):
     return G.group_by_scaffolds(X.orth(spark, sf_dir).drop("gene_group", "color"), SP)
 
 
+def joined_lists(df):
+    """Array columns as text, so that engines compare alike."""
+    return df.select(*[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes])
+
+
+def group_by_scaffolds(spark, sf_dir):
+    return joined_lists(grouped(spark, sf_dir))
+
+
 def fdr(spark):
     s = F.col("id")
     return spark.range(1, G.MOST_SIZE + 1).select(s.alias("size"), F.when((s % 3 == 0) | (s > 400), 0.0).otherwise(1 / s).alias("alpha"))
@@ -42,7 +51,7 @@ def name_groups(spark, sf_dir):
 
 
 def unwrap_groups(spark, sf_dir):
-    return G.unwrap_groups(group_by_scaffolds(spark, sf_dir))
+    return G.unwrap_groups(grouped(spark, sf_dir))
 
 
 def colors_long(spark, sf_dir):
@@ -128,7 +137,7 @@ def fusion_tables(spark, sf_dir):
 
 
 def fusion_stats(spark, sf_dir):
-    return U.fusion_stats(U.hypothesis(big4(spark, sf_dir), "A", "B", "C", "D"), "C", "D")
+    return joined_lists(U.fusion_stats(U.hypothesis(big4(spark, sf_dir), "A", "B", "C", "D"), "C", "D"))
 
 
 def derived_fissions(spark, sf_dir):
@@ -227,7 +236,7 @@ _FLAGS = [(f"EXISTS (SELECT 1 FROM h{a} h WHERE h.mixed = {m} AND " + " AND ".jo
 _FLAGS += [(f"count(*) OVER (PARTITION BY {', '.join(f'{s}_scaf' for s in SP if s != a)}) > 1", f"{a}_DerFissOrOGfus") for a in "BCD"] + [("count(*) OVER (PARTITION BY B_scaf, C_scaf, D_scaf) > 1", "B_C_D_polytomy")]
 
 ORACLES = {
-    "group_by_scaffolds": with_tables("orth", f"SELECT {SCAFS}, count(*) \"count\", list(rbh ORDER BY rbh) rbh, " + ", ".join(f"list({s}_{c} ORDER BY rbh) {s}_{c}" for s in SP for c in ("gene", "pos")) + " FROM orth GROUP BY ALL"),
+    "group_by_scaffolds": with_tables("orth", f"SELECT {SCAFS}, count(*) \"count\", string_agg(rbh, ',' ORDER BY rbh) rbh, " + ", ".join(f"string_agg(CAST({s}_{c} AS VARCHAR), ',' ORDER BY rbh) {s}_{c}" for s in SP for c in ("gene", "pos")) + " FROM orth GROUP BY ALL"),
     "attach_alpha": with_tables("orth", f"WITH {_SIZED} SELECT * REPLACE (round(alpha, 9) AS alpha) FROM sized"),
     "name_groups": with_tables("orth", f"WITH {_SIZED}, nm AS (SELECT * EXCLUDE (alpha, alpha_type), alpha, 'A_B_C_D_' || row_number() OVER (ORDER BY \"count\" DESC, {SCAFS}) gene_group FROM sized) SELECT * EXCLUDE (alpha), CASE WHEN alpha <= 0.05 THEN {_assigned('gene_group')} ELSE '#000000' END color FROM nm"),
     "unwrap_groups": with_tables("orth", "SELECT * EXCLUDE (gene_group, color) FROM orth"),
@@ -259,7 +268,7 @@ SELECT scaf, gene_group_a, gene_group_b, round(least(1, sum(p)), 6) p_value_unmi
     "fusion_candidates": with_tables("orth", f'WITH {_SMALL} SELECT {SCAFS}, "count" FROM g4 QUALIFY count(*) OVER (PARTITION BY C_scaf, D_scaf) >= 2'),
     "resolve_outgroup_dups": with_tables("orth", f'WITH {_BIG}, {_hyp("B", "C", "D", "h")} SELECT {SCAFS}, "count" FROM hr'),
     "fusion_tables": with_tables("orth", f"WITH {_BIG}, {_hyp('B', 'C', 'D', 'h')} SELECT * FROM h"),
-    "fusion_stats": with_tables("orth", f"WITH {_BIG}, {_hyp('B', 'C', 'D', 'h')} SELECT C_scaf, D_scaf, mixed, list(\"count\" ORDER BY \"count\") counts FROM h GROUP BY ALL"),
+    "fusion_stats": with_tables("orth", f"WITH {_BIG}, {_hyp('B', 'C', 'D', 'h')} SELECT C_scaf, D_scaf, mixed, string_agg(CAST(\"count\" AS VARCHAR), ',' ORDER BY \"count\") counts FROM h GROUP BY ALL"),
     "derived_fissions": with_tables("orth", f"WITH {_SMALL} " + " UNION ALL ".join(f"SELECT * FROM (SELECT {SCAFS}, \"count\", '{a}' fission_in FROM g4 QUALIFY count(*) OVER (PARTITION BY {', '.join(f'{s}_scaf' for s in SP if s != a)}) > 1)" for a in "BCD")),
     "polytomies": with_tables("orth", f'WITH {_SMALL} SELECT {SCAFS}, "count" FROM g4 QUALIFY count(*) OVER (PARTITION BY B_scaf, C_scaf, D_scaf) > 1'),
     "annotate_support": with_tables("orth", f'WITH {_BIG}, {_ALL_HYPS}, lb AS (SELECT {SCAFS}, "count", concat_ws(\'_\', ' + ", ".join(f"CASE WHEN {f} THEN '{n}' END" for f, n in _FLAGS) + ") t FROM g4) SELECT * EXCLUDE (t), CASE WHEN t = '' THEN 'singleton' ELSE t END data_support FROM lb"),

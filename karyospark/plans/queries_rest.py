@@ -17,7 +17,7 @@ from karyospark.sources import formats as T
 
 from . import fixtures as X
 from .fixtures import with_tables
-from .queries_groups import number_of_rbh
+from .queries_groups import joined_lists, number_of_rbh
 from .queries_pairs import ANN, LP, WHOLE, annotated
 
 
@@ -68,7 +68,7 @@ def groupby_round_trip(spark, sf_dir):
     path = _folder(spark, "groupby")
     o = X.orth(spark, sf_dir).groupBy("A_scaf", "B_scaf").agg(F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_list("rbh")).alias("rbh"), F.sort_array(F.collect_list("C_gene")).alias("C_gene"))
     T.write_groupby(o, path)
-    return T.read_groupby(spark, path, ["rbh", "C_gene"])
+    return joined_lists(T.read_groupby(spark, path, ["rbh", "C_gene"]))
 
 
 def genome_coords(spark, sf_dir):
@@ -91,7 +91,7 @@ def validate_chrom(spark, sf_dir):
     rows = X.chrom(spark, sf_dir).select("protein", "scaf", "strand", F.col("start").cast("string").alias("start"), F.col("stop").cast("string").alias("stop"))
     k = F.expr("try_cast(substring(protein, 2) as bigint)")
     bad = rows.withColumn("strand", F.when(k % 50 == 0, "*").otherwise(F.col("strand"))).withColumn("start", F.when(k % 70 == 0, "x1").otherwise(F.col("start"))).withColumn("scaf", F.when(k % 90 == 0, F.concat(F.lit(" "), "scaf")).otherwise(F.col("scaf"))).withColumn("stop", F.when(k == 33, "stop").otherwise(F.col("stop")))
-    return V.validate_chrom(bad)
+    return joined_lists(V.validate_chrom(bad))
 
 
 def duplicate_ids(spark, sf_dir):
@@ -130,7 +130,7 @@ def validate_rbh_annotations(spark, sf_dir):
     k = number_of_rbh()
     o = X.orth(spark, sf_dir).withColumn("gene_group", F.when(k % 40 != 0, F.col("gene_group"))).withColumn("color", F.when(k % 30 == 0, "#zz").otherwise(F.col("color")))
     found = o.select("rbh", F.when(k % 100 == 0, 3).otherwise(4).alias("n"))
-    return V.validate_rbh_annotations(o, found, list("ABCD"))
+    return joined_lists(V.validate_rbh_annotations(o, found, list("ABCD")))
 
 
 def drop_duplicate_species_columns(spark, sf_dir):
@@ -234,7 +234,7 @@ _NAMES = "fasta_round_trip blast6_round_trip hmm_tblout gff_to_chrom chromsizes
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _K = "CAST(substr(rbh, 4) AS BIGINT)"
-_VIOL = """, d AS (SELECT DISTINCT rule, shown FROM v QUALIFY dense_rank() OVER (PARTITION BY rule ORDER BY shown) <= 3) SELECT v.rule, count(*) n, (SELECT list(shown ORDER BY shown) FROM d WHERE d.rule = v.rule) examples FROM v GROUP BY v.rule"""
+_VIOL = """, d AS (SELECT DISTINCT rule, shown FROM v QUALIFY dense_rank() OVER (PARTITION BY rule ORDER BY shown) <= 3) SELECT v.rule, count(*) n, (SELECT string_agg(shown, ',' ORDER BY shown) FROM d WHERE d.rule = v.rule) examples FROM v GROUP BY v.rule"""
 _SIZE = "SELECT {s}_scaf scaf, count(*) n, max({s}_pos) bp, CAST(row_number() OVER (ORDER BY count(*) DESC, {s}_scaf) - 1 AS BIGINT) \"rank\" FROM orth GROUP BY 1"
 _LAYOUT = f"""ch AS (SELECT 'A' species, * FROM ({_SIZE.format(s='A')}) UNION ALL SELECT 'C', * FROM ({_SIZE.format(s='C')})),
 g AS (SELECT species, scaf, "rank", bp, n genes, count(*) OVER (PARTITION BY species) c FROM ch),
@@ -256,7 +256,7 @@ ORACLES = {
     "chromsizes": with_tables("fasta", "SELECT 'doc' species, id scaf, CAST(sum(length(seq)) AS BIGINT) len FROM fasta GROUP BY 2"),
     "chrom_middle": with_tables("chrom", "SELECT protein, scaf, strand, \"start\", stop, CAST(floor(\"start\" + (stop - \"start\") / 2) AS BIGINT) middle FROM chrom WHERE species = 'P'"),
     "rbh_round_trip": with_tables("orth", f"SELECT * REPLACE (CASE WHEN {_K} % 9 <> 0 THEN A_gene END AS A_gene, CASE WHEN {_K} % 7 <> 0 THEN B_pos END AS B_pos) FROM orth"),
-    "groupby_round_trip": with_tables("orth", 'SELECT A_scaf, B_scaf, count(*) "count", list(rbh ORDER BY rbh) rbh, list(C_gene ORDER BY C_gene) C_gene FROM orth GROUP BY 1, 2'),
+    "groupby_round_trip": with_tables("orth", 'SELECT A_scaf, B_scaf, count(*) "count", string_agg(rbh, \',\' ORDER BY rbh) rbh, string_agg(C_gene, \',\' ORDER BY C_gene) C_gene FROM orth GROUP BY 1, 2'),
     "genome_coords": with_tables("orth", "WITH s AS (SELECT D_scaf scaf, max(D_pos) len FROM orth GROUP BY 1), c AS (SELECT *, CAST(sum(len) OVER (ORDER BY CAST(substr(scaf, 2) AS INTEGER)) AS BIGINT) cumsum FROM s) SELECT *, cumsum - len plotstart FROM c"),
     "rbh_to_fasta_bundle": with_tables("orth", "SELECT rbh, 2::BIGINT n, '>' || rbh || '_A' || chr(10) || upper(md5(A_gene)) || chr(10) || '>' || rbh || '_B' || chr(10) || upper(md5(B_gene)) AS \"value\" FROM orth"),
     "validate_chrom": with_tables("chrom", """WITH k AS (SELECT *, CAST(substr(protein, 2) AS BIGINT) k FROM chrom), v AS (
