@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from karyospark.operators.lineage import cut
 
 from .bits import mix
+from .texts import BLANK, words_of
 
 # The characters that count as symbols, and the length of a repeated run of words.
 SYMBOLS = "#*$%&|<>"
@@ -105,21 +106,6 @@ def _slices(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-_BLANK = re.compile(r"[\x20\x09-\x0D]+")
-
-
-def words_of(text: str) -> list[str]:
-    return [w for w in _BLANK.split(text) if w]
-
-
-_OTHER_BLANK = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-
-
-def _fast_words(text: str) -> list[str]:
-    # str.split() cuts at other white space as well, which few texts hold
-    return words_of(text) if _OTHER_BLANK.search(text) else text.split()
-
-
 def dup_lines(text: str) -> int:
     lines = text.split("\n")
     if len(set(lines)) == len(lines):
@@ -127,7 +113,7 @@ def dup_lines(text: str) -> int:
     counts: dict[str, int] = {}
     for x in lines:
         counts[x] = counts.get(x, 0) + 1
-    return sum(n - 1 for x, n in counts.items() if n > 1 and _BLANK.sub("", x))
+    return sum(n - 1 for x, n in counts.items() if n > 1 and BLANK.sub("", x))
 
 
 def repeat_words(codes: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
@@ -176,7 +162,7 @@ def _measure_part(texts: list[str], vocab: Vocabularies) -> pd.DataFrame:
     codes, doc, word_chars = [], [], np.zeros(n, np.int64)
     for k, text in enumerate(texts):
         for piece in _slices(text):
-            words = _fast_words(piece)
+            words = words_of(piece)
             vocab.learn(words)
             codes.append(np.fromiter(map(vocab.code.__getitem__, words), np.int64, len(words)))
             doc.append(np.full(len(words), k, np.int64))
@@ -214,6 +200,7 @@ def measures(text: Column, bpe_path: str, piece_path: str) -> Column:
         vocab = vocabularies(bpe_path, piece_path)
         for texts in batches:
             yield measure(texts.to_list(), vocab).set_index(texts.index)
+        vocab.forget()  # idle workers hold the vocabularies only
 
     return udf(text)
 

@@ -10,18 +10,21 @@ over hashed words and word shapes is trained; the scorer judges all documents.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby, pairwise
+from itertools import groupby, islice, repeat
+from operator import eq
 
 import numpy as np
 import pandas as pd
-import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .texts import words_of
+
 # Frequent short words of the languages that the stop-word labeller knows.
 STOP_WORDS = (
     "the of and to in is that it was for on are as with his they at be this from have or by one had not but what all were when we "
@@ -45,68 +48,89 @@ def _band(x: float, good: float, bad: float) -> int:
     return 1 if x <= good else -1 if x >= bad else 0
 
 
-def _upper_share(c, n, text, words):
-    return _band(sum(k for w, k in c.items() if len(w) > 1 and w.isupper()) / n, 0.1, 0.4)
+class Tally:
+    """What the labellers look at, counted once per text that has words."""
+
+    __slots__ = ("bangs", "counts", "echoes", "longest", "n", "odd_ends", "text", "top", "upper")
+
+    def __init__(self, text: str, words: list[str]):
+        self.text, self.n = text, len(words)
+        self.counts = Counter(words)
+        self.top = max(self.counts.values())
+        self.upper = self.bangs = self.odd_ends = 0
+        for w, k in self.counts.items():
+            end = w[-1]
+            if end == "!" and w.endswith("!!"):
+                self.bangs += k
+            if end not in ENDS and not end.isalnum():
+                self.odd_ends += k
+            if w.isupper() and len(w) > 1:
+                self.upper += k
+        self.echoes = sum(map(eq, words, islice(words, 1, None)))
+        self.longest = max(sum(1 for _ in g) for _, g in groupby(words)) if self.echoes > 2 else self.echoes + 1
+
+
+#: Fixed value: marks that may end a word.
+ENDS = ".,;:!?\"')]»”’…-"
 
 
-def _symbol_share(c, n, text, words):
-    return _band(sum(map(text.count, SYMBOLS)) / len(text), 0.01, 0.06)
+def _upper_share(t):
+    return _band(t.upper / t.n, 0.1, 0.4)
 
 
-def _bang_share(c, n, text, words):
-    return _band(sum(k for w, k in c.items() if w.endswith("!!")) / n, 0.02, 0.1)
+def _symbol_share(t):
+    return _band(sum(map(t.text.count, SYMBOLS)) / len(t.text), 0.01, 0.06)
 
 
-def _bar_share(c, n, text, words):
-    return _band(c.get("|", 0) / n, 0.03, 0.2)
+def _bang_share(t):
+    return _band(t.bangs / t.n, 0.02, 0.1)
 
 
-def _top_word_share(c, n, text, words):
-    return 1 if n < 20 else _band(max(c.values()) / n, 0.15, 0.3)
+def _bar_share(t):
+    return _band(t.counts.get("|", 0) / t.n, 0.03, 0.2)
 
 
-def _echo_share(c, n, text, words):
-    return 1 if n < 8 else _band(_echoes(words) / n, 0.1, 0.3)
+def _top_word_share(t):
+    return 1 if t.n < 20 else _band(t.top / t.n, 0.15, 0.3)
 
 
-def _echoes(words: list[str]) -> int:
-    return sum(a == b for a, b in pairwise(words))
+def _echo_share(t):
+    return 1 if t.n < 8 else _band(t.echoes / t.n, 0.1, 0.3)
 
 
-def _longest_run(c, n, text, words):
-    return _band(max(sum(1 for _ in g) for _, g in groupby(words)), 3, 6)
+def _longest_run(t):
+    return _band(t.longest, 3, 6)
 
 
-def _stop_words(c, n, text, words):
-    if n < 20:
+def _stop_words(t):
+    if t.n < 20:
         return 1
-    share = sum(c.get(w, 0) + c.get(w.capitalize(), 0) for w in STOP_WORDS) / n
+    share = sum(map(t.counts.get, STOP_FORMS, repeat(0))) / t.n
     return 1 if share >= 0.1 and share <= 0.7 else -1 if share < 0.02 else 0
 
 
-def _distinct_words(c, n, text, words):
-    return 1 if n < 20 else _band(-len(c) / np.sqrt(n), -3.0, -1.5)
+def _distinct_words(t):
+    return 1 if t.n < 20 else _band(-len(t.counts) / t.n**0.5, -3.0, -1.5)
 
 
-def _odd_ends(c, n, text, words):
-    odd = sum(k for w, k in c.items() if not w[-1].isalnum() and w[-1] not in ".,;:!?\"')]»”’…-")
-    return _band(odd / n, 0.05, 0.25)
+def _odd_ends(t):
+    return _band(t.odd_ends / t.n, 0.05, 0.25)
 
 
+STOP_FORMS = [*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]
 LABELLERS = [_upper_share, _symbol_share, _bang_share, _bar_share, _top_word_share, _echo_share, _longest_run, _stop_words, _distinct_words, _odd_ends]
-_WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 
 
-def pattern_of(text: str | None) -> int:
-    """All votes as one number in base 3; a text without words makes everybody abstain."""
-    words = _WORD.findall(text) if text else []
-    if not words:
+def pattern_of(tally: Tally | None) -> int:
+    """All votes as one number in base 3; without words everybody abstains."""
+    if tally is None:
         return sum(3**k for k in range(len(LABELLERS)))
-    return _pattern(text, words, Counter(words))
+    return sum((f(tally) + 1) * 3**k for k, f in enumerate(LABELLERS))
 
 
-def _pattern(text: str, words: list[str], counts: Counter) -> int:
-    return sum((f(counts, len(words), text, words) + 1) * 3**k for k, f in enumerate(LABELLERS))
+def tally_of(text: str | None) -> Tally | None:
+    words = words_of(text)
+    return Tally(text, words) if words else None
 
 
 def votes_of(patterns: np.ndarray) -> np.ndarray:
@@ -193,10 +217,9 @@ def train_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], dims: int, st
     return out, float(b)
 
 
-def _document_features(words: list[str], counts: Counter, features: Features) -> list[tuple[int, float]]:
+def _document_features(t: Tally, features: Features) -> list[tuple[int, float]]:
     """Hashed places and values of what single words don't show: echoes, the top word and the lack of distinct words."""
-    n = len(words)
-    values = [("echo", _echoes(words) / n), ("top", max(counts.values()) / n if n >= 20 else 0.0), ("same", max(0.0, 1 - len(counts) / (3 * np.sqrt(n))))]
+    values = [("echo", t.echoes / t.n), ("top", t.top / t.n if t.n >= 20 else 0.0), ("same", max(0.0, 1 - len(t.counts) / (3 * t.n**0.5)))]
     return [(features.place(f"document {name}"), v) for name, v in values]
 
 
@@ -204,7 +227,7 @@ def _pattern_column(text):
     @F.pandas_udf("int")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([pattern_of(t) for t in texts], index=texts.index, dtype="int32")
+            yield pd.Series([pattern_of(tally_of(t)) for t in texts], index=texts.index, dtype="int32")
 
     return udf(text)
 
@@ -215,13 +238,12 @@ def _sample_features(text, dims: int):
         features = Features(dims)
         for texts in batches:
             rows = []
-            for t in texts:
-                words = _WORD.findall(t or "")
-                share: Counter = Counter()
-                for w, k in (counts := Counter(words)).items():
+            for text in texts:
+                t, share = tally_of(text), Counter()
+                for w, k in t.counts.items() if t else ():
                     for p in features.places(w):
-                        share[p] += k / len(words)
-                for p, v in _document_features(words, counts, features) if words else []:
+                        share[p] += k / t.n
+                for p, v in _document_features(t, features) if t else ():
                     share[p] += v
                 rows.append((pattern_of(t), list(share), list(share.values())))
             yield pd.DataFrame(rows, columns=["pattern", "places", "shares"], index=texts.index)
@@ -263,14 +285,14 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
         features, weight, w = Features(len(m.weights)), {}, m.weights
         for texts in batches:
             rows = []
-            for t in texts:
-                words = _WORD.findall(t or "")
-                if not words:
-                    rows.append((pattern_of(t), m.posterior.get(pattern_of(t), m.prior), 0.0, False))
+            for text in texts:
+                t = tally_of(text)
+                pattern = pattern_of(t)
+                if t is None:
+                    rows.append((pattern, m.posterior.get(pattern, m.prior), 0.0, False))
                     continue
-                counts = Counter(words)
                 z = 0.0
-                for word, k in counts.items():
+                for word, k in t.counts.items():
                     v = weight.get(word)
                     if v is None:
                         if len(weight) > MEMO_WORDS:
@@ -278,10 +300,8 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
                         i, j = features.places(word)
                         v = weight[word] = float(w[i]) + float(w[j])
                     z += k * v
-                z = z / len(words) + sum(v * float(w[p]) for p, v in _document_features(words, counts, features))
-                z = m.bias + SCALE * z
-                score = float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
-                pattern = _pattern(t, words, counts)
+                z = z / t.n + sum(v * float(w[p]) for p, v in _document_features(t, features))
+                score = 1 / (1 + math.exp(-min(max(m.bias + SCALE * z, -500.0), 500.0)))
                 rows.append((pattern, m.posterior.get(pattern, m.prior), score, score >= threshold))
             yield pd.DataFrame(rows, columns=["vote_pattern", "posterior", "score", "kept"], index=texts.index)
 

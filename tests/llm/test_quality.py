@@ -39,9 +39,9 @@ def test_scorer_is_the_plain_sum(spark, judged):
     got = {r.doc_id: r.score for r in Q.classify(docs, model).collect()}
     features = Q.Features(len(model.weights))
     for r in docs.limit(20).collect():
-        words = Q._WORD.findall(r.text)
+        words = Q.words_of(r.text)
         z = sum(float(model.weights[p]) for w in words for p in features.places(w)) / len(words)
-        z += sum(v * float(model.weights[p]) for p, v in Q._document_features(words, Q.Counter(words), features))
+        z += sum(v * float(model.weights[p]) for p, v in Q._document_features(Q.Tally(r.text, words), features))
         assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-(model.bias + Q.SCALE * z))), rel=1e-6)
 
 
