@@ -129,9 +129,14 @@ def fusion_summary(groups: DataFrame, species: list[str], by: tuple[str, ...] =
         b, c = [s for s in ins if s != a]
         rows = hypothesis(groups, og, a, b, c, by).where("mixed")
         per = rows.groupBy(*by, f"{b}_scaf", f"{c}_scaf").agg(F.max("count").alias("most"), F.sum("count").alias("sum"), F.count(F.lit(1)).alias("n"))
-        parts.append(per.groupBy(*by).agg(
-            F.max("most").alias("max_single"), F.max("sum").alias("max_grouping"), F.sum("sum").alias("total"), F.count(F.lit(1)).alias("n_groupings"), (F.sum("sum") / F.sum("n")).alias("mean")
-        ).where("n_groupings > 0").withColumn("hyp", F.lit(a)))
+        most = per.groupBy(*by).agg(
+            F.max("most").alias("max_single"),
+            F.max("sum").alias("max_grouping"),
+            F.sum("sum").alias("total"),
+            F.count(F.lit(1)).alias("n_groupings"),
+            (F.sum("sum") / F.sum("n")).alias("mean"),
+        )
+        parts.append(most.where("n_groupings > 0").withColumn("hyp", F.lit(a)))
     return reduce(DataFrame.unionByName, parts)
 
 
