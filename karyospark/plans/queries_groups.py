@@ -274,5 +274,6 @@ SELECT scaf, gene_group_a, gene_group_b, round(least(1, sum(p)), 6) p_value_unmi
     "annotate_support": with_tables("orth", f'WITH {_BIG}, {_ALL_HYPS}, lb AS (SELECT {SCAFS}, "count", concat_ws(\'_\', ' + ", ".join(f"CASE WHEN {f} THEN '{n}' END" for f, n in _FLAGS) + ") t FROM g4) SELECT * EXCLUDE (t), CASE WHEN t = '' THEN 'singleton' ELSE t END data_support FROM lb"),
     "fusion_summary": with_tables("orth", f"WITH {_BIG}, {_ALL_HYPS}, s AS (" + " UNION ALL ".join(f"SELECT '{a}' hyp, {b}_scaf x, {c}_scaf y, max(\"count\") ms, sum(\"count\") su, count(*) n FROM h{a} WHERE mixed GROUP BY ALL" for a, b, c in _HYPS) + ") SELECT hyp, max(ms) max_single, CAST(max(su) AS BIGINT) max_grouping, CAST(sum(su) AS BIGINT) total, count(*) n_groupings, round(sum(su) / sum(n), 6) mean FROM s GROUP BY 1"),
     "colors": f"WITH c AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN '#12x456' ELSE '#' || substr(md5(p_name), 1, 6) END color FROM part), k AS (SELECT *, regexp_matches(color, '^.[0-9A-Fa-f]{{6}}$') ok FROM c), v AS (SELECT p_partkey, ok, CASE WHEN ok THEN color ELSE '#000000' END c FROM k) SELECT p_partkey, ok, CASE WHEN ok THEN round({_BRIGHT.format(c='c')} / 1000, 6) END brightness, CASE WHEN ok THEN round({_SAT.format(c='c')}, 6) END saturation, CASE WHEN ok THEN CASE WHEN {_BRIGHT.format(c='c')} / 1000 > 186 OR c = '#000000' THEN '#000000' ELSE '#FFFFFF' END END \"text\" FROM v",
+    "collapse_runs": "WITH c AS (SELECT doc_id, unnest(string_split(text, '')) c, generate_subscripts(string_split(text, ''), 1) i FROM documents), k AS (SELECT *, lag(c) OVER (PARTITION BY doc_id ORDER BY i) p FROM c) SELECT doc_id, md5(string_agg(c, '' ORDER BY i) FILTER (WHERE p IS DISTINCT FROM c)) collapsed FROM k GROUP BY 1",
     "assign_color": f"SELECT p_partkey, {_assigned('p_name')} color FROM part",
 }

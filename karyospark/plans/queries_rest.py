@@ -274,6 +274,14 @@ UNION ALL SELECT 'header', protein FROM k WHERE k = 33 UNION ALL SELECT 'stop is
     "chrom_order_optimized": with_tables("orth", f"WITH {ANN}, {WHOLE}, xs AS (SELECT A_scaf scaf, row_number() OVER (ORDER BY count(*) DESC, A_scaf) - 1 rk FROM orth GROUP BY 1), q AS (SELECT ka, kb, -n0 p FROM (SELECT ka, kb, {LP.replace('neg_log10_p', 'n0')} FROM w)), b AS (SELECT kb scaf, min((p, rk)) z FROM q JOIN xs ON xs.scaf = ka GROUP BY 1) SELECT scaf, row_number() OVER (ORDER BY z[2], z[1], scaf) - 1 AS \"rank\" FROM b"),
     "y_order_by_x": with_tables("orth", "WITH xs AS (SELECT A_scaf, row_number() OVER (ORDER BY count(*) DESC, A_scaf) - 1 rk FROM orth GROUP BY 1), c AS (SELECT B_scaf, A_scaf, count(*) n, min_by(A_pos, (B_pos, B_gene)) f FROM orth GROUP BY 1, 2), m AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY B_scaf ORDER BY n DESC, A_scaf) = 1) SELECT B_scaf scaf, row_number() OVER (ORDER BY rk, f, B_scaf) - 1 AS \"rank\" FROM m JOIN xs USING (A_scaf)"),
     "connected_components": _DOT_CC + " SELECT name AS \"name\", component FROM cc",
+    "dotplot_order": _DOT_CC
+    + """, xo AS (SELECT scaf, rk, coalesce((SELECT component FROM cc WHERE name = 'x:' || scaf), 'alone:' || scaf) comp FROM xs),
+xr AS (SELECT scaf, comp, row_number() OVER (ORDER BY ld, rk) - 1 r FROM (SELECT *, min(rk) OVER (PARTITION BY comp) ld FROM xo)),
+yb AS (SELECT kb scaf, min_by(ka, (lnp, ka)) best FROM w GROUP BY 1),
+yc AS (SELECT scaf, coalesce((SELECT component FROM cc WHERE name = 'y:' || scaf), (SELECT comp FROM xr WHERE xr.scaf = best)) comp FROM yb),
+mi AS (SELECT A_scaf a, B_scaf b, avg(A_ix) m FROM ann GROUP BY 1, 2),
+yf AS (SELECT yc.scaf, min((xr.r, m)) f FROM yc JOIN mi ON mi.b = yc.scaf JOIN xr ON xr.scaf = mi.a AND xr.comp = yc.comp GROUP BY 1)
+SELECT scaf, r AS "rank", 'x' axis FROM xr UNION ALL SELECT scaf, row_number() OVER (ORDER BY f[1], f[2], scaf) - 1, 'y' FROM yf""",
     "component_sizes": _DOT_CC + ", s AS (SELECT count(*) size FROM cc GROUP BY component) SELECT size AS \"size\", count(*) n FROM s GROUP BY 1",
     "color_by_lg": with_tables("orth", f"WITH k AS (SELECT rbh, {_K} k FROM orth) SELECT rbh, CASE WHEN k % 3 <> 0 AND k % 4 <> 0 THEN 'D' || (k % 5) ELSE 'None' END gene_group, CASE WHEN k % 3 <> 0 AND k % 2 <> 0 THEN '#00000' || (k % 7) ELSE '#000000' END color FROM k"),
     "match_species_to_lg": with_tables("orth", "SELECT 'B' species, count(B_gene) n FROM orth"),
