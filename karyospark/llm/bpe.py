@@ -5,7 +5,7 @@ Tier one: a minimal perfect hash over the vocabulary's tokens.  A pre-token's
 and a match is the whole answer.  Tier two, for pre-tokens that are no token:
 the bytes form a doubly linked list, a heap holds the mergeable neighbours by
 rank, and the best is merged until none is left; stale heap entries are skipped.
-Each worker remembers a bounded number of pre-tokens.
+Each task remembers a bounded number of pre-tokens.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .bits import MinimalPerfectHash
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-MEMO_PIECES = 700_000
+MEMO_PIECES = 250_000
 PIECES_AT_ONCE = 1 << 18
 
 
@@ -53,10 +53,12 @@ class Codec:
             if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None
         }
         self.decimal = {i: str(i) for i in self.tokens}
+        self.ids = {i: i for i in self.tokens}  # remembered pre-tokens share these
+        self.single = {i: (i,) for i in self.tokens}
         self.pattern = regex.compile(pattern)
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
+    def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a pre-token that is no token itself."""
         ids = list(map(self.byte_ids.__getitem__, piece))
         n, rank_of = len(ids), self.merges.get
@@ -80,7 +82,12 @@ class Codec:
             start = before[k]
             if start >= 0 and (new := rank_of(ids[start] << 20 | rank)) is not None:
                 heapq.heappush(heap, new << shift | start)
-        return [i for i in ids if i >= 0]
+        whole = self.ids
+        return tuple([whole[i] for i in ids if i >= 0])
+
+    def forget(self) -> None:
+        """Called after a task's last text, so that idle workers hold the vocabulary only."""
+        self.memo.clear()
 
     def learn(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.memo]
@@ -90,7 +97,7 @@ class Codec:
         places = self.mph.lookup(np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw)))
         ids = self.slot_ids[places].tolist()
         for piece, data, place, i in zip(new, raw, places.tolist(), ids, strict=True):
-            self.memo[piece] = [i] if place >= 0 and self.slots[place] == data else self.merge(data)
+            self.memo[piece] = self.single[i] if place >= 0 and self.slots[place] == data else self.merge(data)
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; none for null and empty texts."""
@@ -131,6 +138,7 @@ def encode(text: Column, path: str | None = None, pattern: str = public_tokenize
         own = codec(path, pattern)
         for texts in batches:
             yield pd.Series([np.array(own.encode(t), np.int32) for t in texts], index=texts.index, dtype=object)
+        own.forget()
 
     return udf(text)
 
@@ -162,6 +170,7 @@ def round_trip(text: Column, path: str | None = None) -> Column:
                 ids = own.encode(text)
                 rows.append((len(ids), sha(own.decimals(ids).encode()), sha(own.decode(ids))))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"], index=texts.index)
+        own.forget()
 
     return udf(text)
 

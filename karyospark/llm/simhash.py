@@ -224,6 +224,7 @@ MISSED = 0.02
 RADIUS_SLACK = 0.02
 SMALL_BUCKET = 64
 REFERENCES = 8
+PAIRS_AT_ONCE = 1 << 16
 WIDE_SCHEMA = "key bigint, gid bigint, side int, f0 bigint, f1 bigint, f2 bigint, f3 bigint"
 
 
@@ -300,9 +301,12 @@ def link_bucket(fps: np.ndarray, radius: int) -> np.ndarray:
         covered[near] = True
         tables.append(d)
     label = least_labels(n, np.concatenate(i), np.concatenate(j))
-    table = np.stack(tables, 1)
-    for lo in range(0, n, 256):
-        rows = np.arange(lo, min(n, lo + 256))
+    table = np.stack(tables, 1).astype(np.int16)
+    step = max(1, PAIRS_AT_ONCE // n)
+    for lo in range(0, n, step):
+        if (label == label[0]).all():
+            break
+        rows = np.arange(lo, min(n, lo + step))
         a, b = np.nonzero(label[rows][:, None] != label[None, :])
         a = rows[a]
         later = a < b

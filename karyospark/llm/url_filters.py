@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from karyospark.operators.lineage import cut
 
-from .bits import BloomBits, mix
+from .bits import BloomBits
 
 # The rules of the registered query.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
