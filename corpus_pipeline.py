@@ -15,13 +15,23 @@ from karyospark.llm import bpe, line_dedup, mixing, quality, simhash
 from karyospark.operators.lineage import shared_dir
 
 
+#: Whole texts are large rows: few of them go to a Python worker at once.
+ROWS_A_BATCH = 1000
+
+
+def _text_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier keeps."""
+    _text_batches(spark)
     return quality.classify(docs, quality.fit(docs)).where("kept").select(docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that other documents keep; ``n_chars`` follows, and emptied texts go."""
+    _text_batches(spark)
     cut = line_dedup.dedup_lines(docs, min_chars=40, min_docs=5)
     left = cut.where((F.col("n_dropped") == 0) | (F.length(F.btrim("text", F.lit(line_dedup.BLANKS))) > 0))
     return left.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
@@ -29,6 +39,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with a five-word shingle similarity of 0.8: the one with the least id."""
+    _text_batches(spark)
     groups = simhash.similar_documents(docs, words_a_shingle=5, similarity=0.8)
     first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     # ids are distinct within documents; rows without one, or sharing one, are not each other's copies
@@ -42,6 +53,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every copy."""
+    _text_batches(spark)
     return bpe.encode_documents(docs.select("doc_id", "lang", "source", "text")).withColumn("n_tokens", F.size("token_ids").cast("bigint")).drop("text")
 
 
