@@ -216,12 +216,17 @@ def op3_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # references: all members within the radius of one reference are linked at once,
 # and of the pairs that are still apart those are verified whose coordinates
 # differ by no more than the radius.
+#
+# Bits only find candidates.  The radius lies four standard deviations above the
+# expected distance, and the sets of shingles of all members of a candidate
+# group are compared; links are pairs whose sets are as similar as asked.
 
 WIDE = 4
 LEAST_KEY_BITS = 14
 BUCKET_LOG2 = 4
 MISSED = 0.02
-RADIUS_SLACK = 0.02
+RADIUS_DEVIATIONS = 4
+GROUP_SHINGLES = 1 << 18
 SMALL_BUCKET = 64
 REFERENCES = 8
 PAIRS_AT_ONCE = 1 << 16
@@ -233,31 +238,75 @@ def bit_share(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def wide_simhash(text: str | None, words_a_shingle: int) -> list[int]:
-    """256-bit SimHash as four signed numbers; zeros where the text has no word."""
+def wide_radius(similarity: float) -> int:
+    """Differing bits that all but a few in 100,000 pairs of this similarity stay within."""
+    share, bits = bit_share(similarity), 64 * WIDE
+    return int(np.ceil(bits * share + RADIUS_DEVIATIONS * np.sqrt(bits * share * (1 - share))))
+
+
+def wide_tables(similarity: float, key_bits: int) -> int:
+    """Keys a row, so that a pair at the similarity shares none with probability ``MISSED``, over the spread of its differing bits."""
+    share, bits = bit_share(similarity), 64 * WIDE
+    d = np.arange(bits - key_bits + 1)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, bits + 1)))])
+    weight = np.exp(logs[bits] - logs[d] - logs[bits - d] + d * np.log(share) + (bits - d) * np.log1p(-share))
+    meets = np.exp(logs[bits - d] - logs[bits - d - key_bits] - logs[bits] + logs[bits - key_bits])
+    tables = 1
+    while (weight * (1 - meets) ** tables).sum() > MISSED:
+        tables += 1
+    return tables
+
+
+def shingle_set(text: str | None, words_a_shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles; empty where it has no word."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return [0] * WIDE
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     k = min(words_a_shingle, len(words))
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - k + 1].tolist()
     ends = ends[k - 1 :].tolist()
-    digest, totals = xxhash.xxh64_intdigest, np.zeros(64 * WIDE, np.int64)
-    for lo in range(0, len(starts), 1 << 14):
-        part = zip(starts[lo : lo + (1 << 14)], ends[lo : lo + (1 << 14)], strict=True)
-        hashes = np.array([digest(joined[s:e], 42) for s, e in part], np.uint64)
-        several = np.stack([mix(hashes, r) for r in range(WIDE)], 1)
-        totals += np.unpackbits(several.view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * totals > len(starts), bitorder="little").view(np.int64).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, ends, strict=True)), np.uint64, len(starts)))
+
+
+def wide_simhash(hashes: np.ndarray) -> list[int]:
+    """256-bit SimHash of a set of shingles as four signed numbers; zeros for the empty set."""
+    totals = np.zeros(64 * WIDE, np.int64)
+    for lo in range(0, len(hashes), 1 << 14):
+        part = hashes[lo : lo + (1 << 14)]
+        several = np.stack([mix(part, r) for r in range(WIDE)], 1)
+        totals += np.unpackbits(several.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * totals > len(hashes), bitorder="little").view(np.int64).tolist()
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _wide_fingerprints(text: Column, words_a_shingle: int) -> Column:
-    @F.pandas_udf("f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    """The fingerprint, 128 hash bits that name the set of shingles, and its size."""
+    names = [*(f"f{r}" for r in range(WIDE)), "s0", "s1", "size"]
+
+    @F.pandas_udf(", ".join(f"{n} bigint" for n in names))
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = np.array([wide_simhash(t, words_a_shingle) for t in texts], np.int64).reshape(-1, WIDE)
-            yield pd.DataFrame(rows, columns=[f"f{r}" for r in range(WIDE)], index=texts.index)
+            rows = []
+            for t in texts:
+                hashes = shingle_set(t, words_a_shingle)
+                raw = hashes.tobytes()
+                rows.append([*wide_simhash(hashes), *(_signed(xxhash.xxh64_intdigest(raw, seed)) for seed in (1, 2)), len(hashes)])
+            yield pd.DataFrame(np.array(rows, np.int64).reshape(-1, len(names)), columns=names, index=texts.index)
+
+    return udf(text)
+
+
+def _shingle_sets(text: Column, words_a_shingle: int) -> Column:
+    @F.pandas_udf("array<bigint>")
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingle_set(t, words_a_shingle).view(np.int64) for t in texts], index=texts.index, dtype=object)
 
     return udf(text)
 
@@ -348,25 +397,114 @@ def _wide_compare(radius: int, limit: int):
     return run
 
 
+def link_sets(fps: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """Least linked row of each row, by the Jaccard similarity of nonempty sets that lie one after the other in ``hashes``."""
+    n, label = len(sizes), np.arange(len(sizes))
+    codes, starts = np.unique(hashes, return_inverse=True)[1], np.cumsum(sizes) - sizes
+    mark = np.zeros(len(hashes), bool)
+    for i in range(n - 1):
+        j = np.arange(i + 1, n)
+        j = j[label[j] != label[i]]
+        j = j[np.minimum(sizes[j], sizes[i]) / np.maximum(sizes[j], sizes[i]) >= similarity]
+        j = j[_apart(fps[j], fps[i]) <= radius]
+        if not len(j):
+            continue
+        own = codes[starts[i] : starts[i] + sizes[i]]
+        mark[own] = True
+        offset = np.cumsum(sizes[j]) - sizes[j]
+        at = np.repeat(starts[j] - offset, sizes[j]) + np.arange(sizes[j].sum())
+        both = np.add.reduceat(mark[codes[at]], offset, dtype=np.int64)
+        mark[own] = False
+        j = j[both / (sizes[i] + sizes[j] - both) >= similarity]
+        if len(j):
+            old = np.unique(np.append(label[j], label[i]))
+            label[np.isin(label, old)] = old[0]
+            if not label.any():
+                break
+    return label
+
+
+def _set_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole groups of equal ``key`` from key-sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        key = batch.column("key").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if lo == hi:
+                continue
+            if held and key[lo] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = key[lo]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _compare_sets(radius: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, n = [], [], 0
+        for group in _set_groups(batches):
+            if group.num_rows < 2:
+                continue
+            gid = group.column("gid").to_numpy()
+            fps = np.stack([group.column(f"f{r}").to_numpy() for r in range(WIDE)], 1).view(np.uint64)
+            hashes = np.concatenate([c.flatten().to_numpy() for c in group.column("hashes").chunks])
+            label = link_sets(fps, group.column("size").to_numpy(), hashes, radius, similarity)
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            a.append(gid[label[moved]])
+            b.append(gid[moved])
+            n += len(moved)
+            if n > 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                a, b, n = [], [], 0
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return run
+
+
+def _verified_edges(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, words_a_shingle: int, radius: int, similarity: float) -> DataFrame:
+    """``(a, b)`` between ``nodes.gid`` that connect the pairs within one candidate group whose sets are similar.
+
+    A group's sets meet in one place while they hold ``GROUP_SHINGLES`` shingles
+    together, else in pairs of chunks.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"f{r}" for r in range(WIDE)]
+    members = cut(nodes.where("size > 0").join(candidates, nodes.gid == candidates.node).select("gid", "root", "size", *names, F.col("rep.id").alias("rep_id"), F.col("rep.text").alias("rep_text")))
+    chunks = members.groupBy("root").agg(F.ceil(F.sum("size") / GROUP_SHINGLES).cast("int").alias("n"))
+    dealt = members.join(chunks, "root").withColumn("c", F.pmod(F.xxhash64("gid"), "n").cast("int"))
+    texts = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("name"))
+    whole = dealt.join(texts, (F.col("name") == F.col("rep_text")) & F.col("id").eqNullSafe(F.col("rep_id")))
+    sets = whole.select("gid", "root", "n", "c", "size", *names, _shingle_sets(F.col("text"), words_a_shingle).alias("hashes"))
+    met = sets.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("key", F.xxhash64("root", F.least("c", "d"), F.greatest("c", "d")))
+    met = met.select("key", "gid", "size", *names, "hashes").repartition(parts, "key").sortWithinPartitions("key")
+    return met.mapInArrow(_compare_sets(radius, similarity), "a bigint, b bigint")
+
+
 def similar_documents(docs: DataFrame, words_a_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(doc_id, component_id)`` for every row: groups linked by an estimated shingle similarity of ``similarity``.
+    """``(doc_id, component_id)`` for every row: groups linked by pairs whose sets of shingles have a Jaccard similarity of ``similarity``.
 
     Words are those of ``near_duplicates``; null, empty and blank texts are one
-    group.  The radius is the expected share of differing bits at the
-    similarity plus ``RADIUS_SLACK``; a pair at the similarity itself shares no
-    key with probability ``MISSED``, closer ones less.  Whole texts and all rows
+    group, and texts with equal sets are one node.  Candidates are found by
+    fingerprints of the sets: a pair at the similarity itself is missed with
+    probability ``MISSED``, closer ones less.  Every link is verified on the
+    whole sets, so no pair below the similarity links.  Whole texts and all rows
     take part; rows of a bucket above ``BUCKET_ROWS`` are compared in pairs of
     chunks.  Repeated rows come back as often as they came.
     """
     spark = docs.sparkSession
     names = [f"f{r}" for r in range(WIDE)]
-    prints = cut(docs.select("doc_id", _wide_fingerprints(F.col("text"), words_a_shingle).alias("f")).select("doc_id", "f.*"))
-    distinct = cut(prints.groupBy(*names).agg(F.min("doc_id").alias("least"))).withColumn("gid", F.monotonically_increasing_id())  # stable: the rows are written
+    prints = docs.select("doc_id", F.xxhash64("text").alias("name"), _wide_fingerprints(F.col("text"), words_a_shingle).alias("f"))
+    prints = cut(prints.select("doc_id", "name", "f.*"))
+    rep = F.max(F.struct(F.col("doc_id").alias("id"), F.col("name").alias("text"))).alias("rep")  # one row that has the text
+    distinct = cut(prints.groupBy("s0", "s1", "size", *names).agg(F.min("doc_id").alias("least"), rep).withColumn("gid", F.monotonically_increasing_id()))
     n = max(2, distinct.count())
-    share = bit_share(similarity)
     key_bits = max(LEAST_KEY_BITS, int(np.ceil(np.log2(n))) - BUCKET_LOG2)
-    tables = int(np.ceil(np.log(MISSED) / np.log1p(-((1 - share) ** key_bits))))
-    radius = int(64 * WIDE * (share + RADIUS_SLACK))
+    tables, radius = wide_tables(similarity, key_bits), wide_radius(similarity)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = lambda df: df.repartition(parts, "key").sortWithinPartitions("key")
     first = cut(dealt(distinct.select("gid", *names).mapInArrow(_wide_keys(key_bits, tables), WIDE_SCHEMA)).mapInArrow(_wide_compare(radius, BUCKET_ROWS), WIDE_SCHEMA))
@@ -378,11 +516,12 @@ def similar_documents(docs: DataFrame, words_a_shingle: int = 5, similarity: flo
         two = one.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("key", F.xxhash64("key", F.least("c", "d"), F.greatest("c", "d")))
         again = dealt(two.select("key", "gid", "side", *names)).mapInArrow(_wide_compare(radius, 1 << 30), WIDE_SCHEMA)  # about BUCKET_ROWS // 2 rows a group
         edges = edges.unionByName(again.select(F.col("key").alias("a"), F.col("gid").alias("b")))
-    linked = connected_components(edges.distinct())
-    members = cut(distinct.join(linked, distinct.gid == linked.node, "left").select(*names, "least", F.coalesce("root", "gid").alias("root")))
+    candidates = connected_components(edges.distinct())
+    linked = connected_components(_verified_edges(docs, distinct, candidates, words_a_shingle, radius, similarity))
+    members = cut(distinct.join(linked, distinct.gid == linked.node, "left").select("s0", "s1", "least", F.coalesce("root", "gid").alias("root")))
     roots = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = members.join(roots, "root").select(*names, "component_id")
-    return prints.join(classes, names).select("doc_id", "component_id")
+    classes = members.join(roots, "root").select("s0", "s1", "component_id")
+    return prints.join(classes, ["s0", "s1"]).select("doc_id", "component_id")
 
 
 QUERIES = {"op3_pivot_simhash": op3_pivot_simhash}

@@ -119,3 +119,40 @@ def test_link_bucket_against_all_pairs():
             row[p // 64] ^= np.uint64(1) << np.uint64(p % 64)
     i, j = np.nonzero(S._apart(rows[:, None], rows[None]) <= 40)
     assert (S.link_bucket(rows, 40) == S.least_labels(len(rows), i, j)).all()
+
+
+def test_links_are_decided_by_shingle_similarity(spark):
+    """Pairs from 0.6 to 1: those from 0.8 are found but for a few key misses, none below 0.8 links."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    rows, pairs = [], []
+    for changed in (5, 12, 18, 20, 21, 22, 23, 26, 32, 48):
+        for _ in range(40):
+            one = [word() for _ in range(200)]
+            two = one[: 200 - changed] + [word() for _ in range(changed)]
+            k = len(rows)
+            rows += [(k, " ".join(one)), (k + 1, " ".join(two))]
+            pairs.append((k, jaccard(shingles(rows[k][1]), shingles(rows[k + 1][1]))))
+    got = dict(map(tuple, S.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))
+    assert not [j for k, j in pairs if j < 0.8 and got[k] == got[k + 1]]
+    close = [got[k] == got[k + 1] for k, j in pairs if j >= 0.8]
+    assert len(close) == 200 and sum(close) >= 194
+
+
+def test_repeated_passages_count_once(spark):
+    rng = random.Random(9)
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage, end = some(30), some(150)
+    texts = [passage * 20 + some(100), passage * 20 + some(100), passage * 20 + end, passage * 2 + end]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = dict(map(tuple, S.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))
+    assert got == {0: 0, 1: 1, 2: 2, 3: 2}
+
+
+def test_link_sets_against_all_pairs():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(np.concatenate([np.arange(g * 100, g * 100 + 60), rng.integers(0, 2000, rng.integers(1, 16))])) for g in range(6) for _ in range(12)]
+    like = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
+    i, j = map(np.array, zip(*[(a, b) for a in range(len(sets)) for b in range(a) if like(sets[a], sets[b])], strict=True))
+    got = S.link_sets(np.zeros((len(sets), 4), np.uint64), np.array(list(map(len, sets))), np.concatenate(sets), 0, 0.8)
+    assert (got == S.least_labels(len(sets), i, j)).all() and 6 < len(set(got.tolist())) < len(sets)
