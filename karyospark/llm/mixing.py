@@ -10,6 +10,11 @@ hash of document, copy and seed.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +32,7 @@ def _uniform(text: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, total: int | None = None) -> DataFrame:
-    """``(source, n, rate, cdf)``: documents, mean copies and the Poisson distribution up to where it is 1.
+    """``(source, n, rate, least, cdf)``: documents, mean copies and the Poisson distribution from ``least`` copies on.
 
     ``weights`` are relative; a source that is not named gets weight 0.
     Without them a source of n documents weighs ``n ** temperature``.  ``total``
@@ -43,16 +48,34 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
     n, whole = counts.agg(F.sum("n"), F.sum("weight")).first()
     aim = float(total if total is not None else n or 0)
     rate = F.lit(aim) * F.col("weight") / F.lit(whole or 1.0) / F.col("n")
-    last = (F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int")
-    steps = F.aggregate(
-        F.sequence(F.lit(1), last),
-        F.struct(F.exp(-F.col("rate")).alias("p"), F.array(F.exp(-F.col("rate"))).alias("cdf")),
-        lambda s, k: F.struct(
-            (s["p"] * F.col("rate") / k).alias("p"), F.concat(s["cdf"], F.array(F.element_at(s["cdf"], -1) + s["p"] * F.col("rate") / k)).alias("cdf")
-        ),
-        lambda s: s["cdf"],
-    )
-    return counts.withColumn("rate", rate).select("source", "n", "rate", steps.alias("cdf"))
+    return counts.withColumn("rate", rate).select("source", "n", "rate", _poisson("rate").alias("poisson")).select("source", "n", "rate", "poisson.*")
+
+
+def _poisson(rate: str) -> Column:
+    """``(least, cdf)``: the Poisson distribution from the count ``least`` on, as ``poisson_cdf`` has it."""
+
+    @F.pandas_udf("least bigint, cdf array<double>")
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for rates in batches:
+            rows = [poisson_cdf(r) for r in rates]
+            yield pd.DataFrame(rows, columns=["least", "cdf"], index=rates.index)
+
+    return udf(rate)
+
+
+def poisson_cdf(rate: float) -> tuple[int, np.ndarray]:
+    """The least count of the table, and the distribution from there to where it is 1: 12 standard deviations and 20 about the mean.
+
+    Probabilities are relative to the greatest one, as logarithms, so they do
+    not vanish where ``exp(-rate)`` does.
+    """
+    spread = 12 * math.sqrt(rate) + 20
+    least, most = max(0, int(rate - spread)), int(rate + spread)
+    if rate <= 0:
+        return 0, np.ones(1)
+    log = np.concatenate([[0.0], np.cumsum(np.log(rate / np.arange(least + 1, most + 1)))])
+    total = np.cumsum(np.exp(log - log.max()))
+    return least, total / total[-1]
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, total: int | None = None, seed: int = SEED) -> DataFrame:
@@ -66,14 +89,14 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     gives no rows.  Input columns of the three new names are replaced.
     """
     names = [c for c in docs.columns if c not in ("rate", "copy", "mix_key")]
-    rates = cut(source_rates(docs, weights, temperature, total).select("source", "rate", "cdf"))
+    rates = cut(source_rates(docs, weights, temperature, total).select("source", "rate", "least", "cdf"))
     size = rates.agg(F.sum(F.size("cdf") * 8 + F.coalesce(F.length("source"), F.lit(0)) + 32)).first()[0] or 0
     if size <= BROADCAST_BYTES:
         rates = F.broadcast(rates)  # else a plain join, whose hot sources adaptive execution splits
     text_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     rows = docs.select(F.struct(*names).alias("row"), F.col("source").alias("of"), text_id.alias("name"))
     drawn = rows.join(rates, rows.of.eqNullSafe(rates.source)).withColumn("u", _uniform(F.concat_ws(":", "name", F.lit(str(seed)))))
-    times = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
+    times = (F.col("least") + F.size(F.filter("cdf", lambda c: c <= F.col("u")))).cast("int")
     copies = drawn.withColumn("times", times).where("times > 0").select("row", "name", "rate", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", "name", F.col("copy").cast("string"), F.lit(f"order {seed}"))), 1, 15), 16, 10).cast("bigint")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

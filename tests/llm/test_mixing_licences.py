@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,25 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rate", [0.3, 5.0, 150.0, 745.0, 746.0, 1257.0, 40000.0])
+def test_poisson_table(rate):
+    least, cdf = mixing.poisson_cdf(rate)
+    p = np.diff(cdf, prepend=0.0)
+    k = least + np.arange(len(p))
+    assert cdf[-1] == 1 and (p * k).sum() == pytest.approx(rate) and (p * (k - rate) ** 2).sum() == pytest.approx(rate)
+    for at in (int(rate), int(rate + math.sqrt(rate))):
+        assert p[at - least] == pytest.approx(math.exp(at * math.log(rate) - rate - math.lgamma(at + 1)))
+
+
+def test_many_copies_of_a_rare_source(spark):
+    docs = docs_of(spark, [40, 40])
+    mixed = mixing.mix_sources(docs, weights={"s1": 1.0}, total=40 * 1257)
+    copies = list(Counter(r.doc_id for r in mixed.select("doc_id").collect()).values())
+    assert len(copies) == 40 and len(set(copies)) > 20
+    assert abs(sum(copies) / 40 - 1257) < 5 * math.sqrt(1257 / 40)
+    assert all(abs(n - 1257) < 6 * math.sqrt(1257) for n in copies)
+
+
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
