@@ -5,17 +5,19 @@ Tier one: a minimal perfect hash over the vocabulary's tokens.  A pre-token's
 and a match is the whole answer.  Tier two, for pre-tokens that are no token:
 the bytes form a doubly linked list, a heap holds the mergeable neighbours by
 rank, and the best is merged until none is left; stale heap entries are skipped.
-Each task remembers a bounded number of pre-tokens.
+The pre-tokens of many texts are looked up together; each worker remembers two
+generations of a bounded number of them.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pandas as pd
@@ -28,8 +30,30 @@ from pyspark.sql import functions as F
 from .bits import MinimalPerfectHash
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-MEMO_PIECES = 250_000
+#: Pre-tokens that a generation of the memo holds, and bounds of what is looked up together.
+MEMO_PIECES = 300_000
 PIECES_AT_ONCE = 1 << 18
+BATCH_CHARS = 1 << 20
+
+
+class Memo:
+    """Ids by string: those in use, and of earlier ones the last one or two ``MEMO_PIECES``."""
+
+    def __init__(self):
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """What is not known yet; all else that is wanted is in ``young`` from here to the next call."""
+        if len(self.young) > MEMO_PIECES:
+            self.young, self.old = {}, self.young
+        young, old, new = self.young, self.old.get, []
+        for x in wanted - young.keys():
+            if (ids := old(x)) is None:
+                new.append(x)
+            else:
+                young[x] = ids
+        return new
 
 
 class Codec:
@@ -46,77 +70,94 @@ class Codec:
             self.slots[place] = token
             self.slot_ids[place] = ranks[token]
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
-        self.merges = {  # a neighbouring pair of ids, as one number
-            left << 20 | right: i
-            for token, i in ranks.items()
-            for k in range(1, len(token))
-            if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None
-        }
+        self.merges: list[dict[int, int]] = [{} for _ in range(max(self.tokens) + 1)]  # by left id: rank by right id
+        for token, i in ranks.items():
+            for k in range(1, len(token)):
+                if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None:
+                    self.merges[left][right] = i
+        self.byte_ranks = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
         self.decimal = {i: str(i) for i in self.tokens}
         self.ids = {i: i for i in self.tokens}  # remembered pre-tokens share these
         self.single = {i: (i,) for i in self.tokens}
         self.pattern = regex.compile(pattern)
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo = Memo()
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a pre-token that is no token itself."""
+        n, merges, push, pop = len(piece), self.merges, heapq.heappush, heapq.heappop
         ids = list(map(self.byte_ids.__getitem__, piece))
-        n, rank_of = len(ids), self.merges.get
+        of_bytes = self.byte_ranks
+        ranks = [of_bytes[a << 8 | b] for a, b in pairwise(piece)]  # of each place with its right neighbour
+        ranks.append(-1)
         shift = n.bit_length()
         mask = (1 << shift) - 1
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [rank << shift | k for k in range(n - 1) if (rank := rank_of(ids[k] << 20 | ids[k + 1])) is not None]
+        heap = [rank << shift | k for k, rank in enumerate(ranks) if rank >= 0]
         heapq.heapify(heap)
         while heap:
-            best = heapq.heappop(heap)
+            best = pop(heap)
             k, rank = best & mask, best >> shift
-            right = after[k]
-            if ids[k] < 0 or right >= n or rank_of(ids[k] << 20 | ids[right]) != rank:
+            if ranks[k] != rank:  # merged meanwhile
                 continue
-            ids[k], ids[right] = rank, -1
+            right = after[k]
             end = after[k] = after[right]
+            ids[k], ids[right], ranks[right] = rank, -1, -1
             if end < n:
                 before[end] = k
-                if (new := rank_of(rank << 20 | ids[end])) is not None:
-                    heapq.heappush(heap, new << shift | k)
+                new = ranks[k] = merges[rank].get(ids[end], -1)
+                if new >= 0:
+                    push(heap, new << shift | k)
+            else:
+                ranks[k] = -1
             start = before[k]
-            if start >= 0 and (new := rank_of(ids[start] << 20 | rank)) is not None:
-                heapq.heappush(heap, new << shift | start)
+            if start >= 0:
+                new = ranks[start] = merges[ids[start]].get(rank, -1)
+                if new >= 0:
+                    push(heap, new << shift | start)
         whole = self.ids
         return tuple([whole[i] for i in ids if i >= 0])
 
-    def forget(self) -> None:
-        """Called after a task's last text, so that idle workers hold the vocabulary only."""
-        self.memo.clear()
-
     def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.memo]
-        if not new:
-            return
-        raw = [p.encode() for p in new]
+        """Remembers the ids of these pre-tokens."""
+        new = self.memo.missing(pieces)
+        raw = list(map(str.encode, new))
         places = self.mph.lookup(np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw)))
-        ids = self.slot_ids[places].tolist()
+        memo, slots, ids = self.memo.young, self.slots, self.slot_ids[places].tolist() if new else []
         for piece, data, place, i in zip(new, raw, places.tolist(), ids, strict=True):
-            self.memo[piece] = self.single[i] if place >= 0 and self.slots[place] == data else self.merge(data)
+            memo[piece] = self.single[i] if place >= 0 and slots[place] == data else self.merge(data)
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; none for null and empty texts."""
-        if not text:
-            return []
-        if len(text) < PIECES_AT_ONCE:
-            return self._ids(self.pattern.findall(text))
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
+        """Ids of each text; pre-tokens of about ``BATCH_CHARS`` characters are looked up together, of longer texts in parts."""
+        held, chars = [], 0
+        for text in texts:
+            text = text or ""
+            if chars + len(text) > BATCH_CHARS and held:
+                yield from self._batch(held)
+                held, chars = [], 0
+            if len(text) > BATCH_CHARS:
+                yield self._long(text)
+            else:
+                held.append(self.pattern.findall(text))
+                chars += len(text)
+        yield from self._batch(held)
+
+    def _batch(self, found: list[list[str]]) -> Iterator[list[int]]:
+        self.learn(set().union(*found))
+        ids_of = self.memo.young.__getitem__
+        return (list(chain.from_iterable(map(ids_of, pieces))) for pieces in found)
+
+    def _long(self, text: str) -> list[int]:
         found = (m.group() for m in self.pattern.finditer(text))
         ids: list[int] = []
         while pieces := list(islice(found, PIECES_AT_ONCE)):
-            ids += self._ids(pieces)
+            self.learn(set(pieces))
+            ids += chain.from_iterable(map(self.memo.young.__getitem__, pieces))
         return ids
 
-    def _ids(self, pieces: list[str]) -> list[int]:
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        self.learn(set(pieces))
-        return list(chain.from_iterable(map(self.memo.__getitem__, pieces)))
-
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -126,7 +167,9 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str = public_tokenizers.PATTERN) -> Codec:
-    return Codec(path, pattern)
+    made = Codec(path, pattern)
+    gc.freeze()  # the vocabulary stays, so the collector need not walk it again and again
+    return made
 
 
 def encode(text: Column, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> Column:
@@ -137,8 +180,7 @@ def encode(text: Column, path: str | None = None, pattern: str = public_tokenize
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(path, pattern)
         for texts in batches:
-            yield pd.Series([np.array(own.encode(t), np.int32) for t in texts], index=texts.index, dtype=object)
-        own.forget()
+            yield pd.Series([np.array(ids, np.int32) for ids in own.encode_all(texts)], index=texts.index, dtype=object)
 
     return udf(text)
 
@@ -166,23 +208,34 @@ def round_trip(text: Column, path: str | None = None) -> Column:
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for texts in batches:
             rows = []
-            for text in texts:
-                ids = own.encode(text)
+            for ids in own.encode_all(texts):
                 rows.append((len(ids), sha(own.decimals(ids).encode()), sha(own.decode(ids))))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"], index=texts.index)
-        own.forget()
 
     return udf(text)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """All columns of ``docs`` and ``token_ids array<int>``.
+    """All columns of ``docs`` and ``token_ids array<int>``, ``n_tokens`` and ``decoded_sha256``, of the bytes that the ids give back.
 
     The whole text is cut by the public pattern and encoded without special
-    tokens; null and empty texts have no ids, repeated rows come back as often,
-    and an input column ``token_ids`` is replaced.
+    tokens; very long texts go through in parts of bounded size, with the ids
+    of the whole.  Null and empty texts have no ids, repeated rows come back as
+    often, an empty table gives no rows, and input columns of the three new
+    names are replaced.
     """
-    return docs.withColumn("token_ids", encode(F.col("text"), path))
+    path = path or public_tokenizers.path(VOCABULARY)
+    new = ("token_ids", "n_tokens", "decoded_sha256")
+
+    @F.pandas_udf("token_ids array<int>, n_tokens bigint, decoded_sha256 string")
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = codec(path)
+        for texts in batches:
+            rows = [(np.array(ids, np.int32), len(ids), hashlib.sha256(own.decode(ids)).hexdigest()) for ids in own.encode_all(texts)]
+            yield pd.DataFrame(rows, columns=list(new), index=texts.index)
+
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in new]).alias("row"), udf("text").alias("ids"))
+    return rows.select("row.*", "ids.*")
 
 
 def op6_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

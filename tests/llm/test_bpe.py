@@ -25,15 +25,17 @@ def odd_texts():
     return texts
 
 
-@pytest.mark.parametrize("at_once", [1 << 18, 7])
-def test_encode_as_the_library_and_back(library, monkeypatch, at_once):
+@pytest.mark.parametrize(("at_once", "chars"), [(1 << 18, 1 << 20), (7, 30), (1 << 18, 500)])
+def test_encode_as_the_library_and_back(library, monkeypatch, at_once, chars):
     monkeypatch.setattr(bpe, "PIECES_AT_ONCE", at_once)
+    monkeypatch.setattr(bpe, "BATCH_CHARS", chars)
     monkeypatch.setattr(bpe, "MEMO_PIECES", 500)
     codec = bpe.codec(P.path(bpe.VOCABULARY))
-    for text in odd_texts():
-        ids = codec.encode(text)
-        assert ids == library.encode_ordinary(text)
-        assert codec.decode(ids) == text.encode()
+    texts = [None, "", *odd_texts(), "ab" * 400 + " the end", None]
+    for text, ids in zip(texts, codec.encode_all(texts), strict=True):
+        assert ids == library.encode_ordinary(text or "")
+        assert codec.decode(ids) == (text or "").encode()
+    assert codec.encode(None) == []
 
 
 def test_query_on_the_small_table(spark, library):
@@ -51,4 +53,5 @@ def test_columns_and_odd_rows(spark, library):
     rows = bpe.encode_documents(docs).withColumn("back", bpe.decode(bpe.F.col("token_ids"))).collect()
     assert [r.token_ids for r in rows] == [[], [], *[library.encode_ordinary("Wörter, words")] * 2]
     assert [bytes(r.back).decode() for r in rows] == ["", "", *["Wörter, words"] * 2]
+    assert [(r.n_tokens, r.decoded_sha256) for r in rows] == [(len(r.token_ids), hashlib.sha256(bytes(r.back)).hexdigest()) for r in rows]
     assert bpe.encode_documents(docs.limit(0)).count() == 0
