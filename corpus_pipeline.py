@@ -52,9 +52,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every copy."""
-    _text_batches(spark)
-    return bpe.encode_documents(docs.select("doc_id", "lang", "source", "text")).withColumn("n_tokens", F.size("token_ids").cast("bigint")).drop("text")
+    """Token ids of every copy, and a digest of the bytes that decoding them gives back.
+
+    Null and empty texts have no ids; every copy is a row; an empty table gives
+    none.  Only the id, language and source of a document go with its ids.
+    """
+    return bpe.encode_documents(docs.select("doc_id", "lang", "source", "text")).drop("text")
 
 
 STAGES = [
