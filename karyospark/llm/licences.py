@@ -1,114 +1,182 @@
 """Licence recognition from sentences.
 
 Texts are cut into sentences twice: once with every line end as a boundary
-(headers and notices of one line), once with line ends as blanks (wrapped
-licence texts).  Each normalised sentence maps to the identifier of a known
-licence sentence, or to none; a licence is found where the identifiers of one
-of its rules stand next to each other, in order, among a text's known
-sentences.  All of it is one projection per document: no shuffle, no Python.
+(headers and notices of one line), once with blank lines only (wrapped licence
+texts).  Each normalised sentence maps to the identifier of a known licence
+sentence, or to none, through a table of small buckets chosen by its hash; a
+licence is found where the identifiers of one of its rules stand next to each
+other, in order, among a text's known sentences.  All of it is one projection
+per document: no shuffle, no Python.
 """
 
 from __future__ import annotations
 
+import json
+import re
+
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Sentences of public licence texts and notices, normalised
-# (lower case, everything but letters and digits as one blank).  Ids are places, from 1.
-SENTENCES = [
-    "licensed under the apache license version 2 0",
-    "released under the mit license",
-    "this work is licensed under the gnu general public license version 3",
-    "licensed under cc by nc 4 0",
-    "licensed under the apache license version 2 0 the license",
-    "you may not use this file except in compliance with the license",
-    "you may obtain a copy of the license at http www apache org licenses license 2 0",
-    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "see the license for the specific language governing permissions and limitations under the license",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "see the gnu general public license for more details",
-    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
-    "this work is licensed under a creative commons attribution 4 0 international license",
-    "this work is licensed under a creative commons attribution sharealike 4 0 international license",
-    "licensed under cc by 4 0",
-    "licensed under cc by sa 4 0",
-    "licensed under the mit license",
-    "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
-    "spdx license identifier mit",
-    "spdx license identifier apache 2 0",
-    "spdx license identifier gpl 3 0 or later",
-    "spdx license identifier bsd 3 clause",
+# Sentences of public notices and licence texts, in the order in which they stand there.
+APACHE_FIRST = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License'
+APACHE_AT, APACHE_PLACE = "You may obtain a copy of the License at", "http://www.apache.org/licenses/LICENSE-2.0"
+APACHE_REST = [
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',
+    "See the License for the specific language governing permissions and limitations under the License",
+]
+BSD_FIRST = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+BSD_LIST = [
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+]
+BSD_NAME = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+MIT_TEXT = [
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions',
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+]
+ISC_TEXT = [
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS',
+]
+MPL_TEXT = [
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v 2.0",
+    "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+]
+ZLIB_TEXT = [
+    "This software is provided 'as-is', without any express or implied warranty",
+    "In no event will the authors be held liable for any damages arising from the use of this software",
+]
+UNLICENSE_TEXT = ["This is free and unencumbered software released into the public domain"]
+GNU_GRANT = "This {kind} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version"
+GNU_HOPE = "This {kind} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"
+GNU_SEE = "See the {name} for more details"
+
+
+def _gnu(name: str, version: str, kind: str = "program") -> list[str]:
+    return [s.format(kind=kind, name=name, version=version) for s in (GNU_GRANT, GNU_HOPE, GNU_SEE)]
+
+
+# Notices, the more specific first.
+NOTICES = [
+    ("Apache-2.0", "permissive", [APACHE_FIRST, f"{APACHE_AT} {APACHE_PLACE}", *APACHE_REST]),
+    ("Apache-2.0", "permissive", [APACHE_FIRST, APACHE_AT, APACHE_PLACE, *APACHE_REST]),
+    ("BSD-3-Clause", "permissive", [BSD_FIRST, *BSD_LIST, BSD_NAME]),
+    ("MIT", "permissive", MIT_TEXT),
+    ("AGPL-3.0-or-later", "copyleft", _gnu("GNU Affero General Public License", "3")),
+    ("LGPL-3.0-or-later", "copyleft", _gnu("GNU Lesser General Public License", "3", "library")),
+    ("LGPL-2.1-or-later", "copyleft", _gnu("GNU Lesser General Public License", "2.1", "library")),
+    ("GPL-3.0-or-later", "copyleft", _gnu("GNU General Public License", "3")),
+    ("GPL-2.0-or-later", "copyleft", _gnu("GNU General Public License", "2")),
+    ("ISC", "permissive", ISC_TEXT),
+    ("BSD-2-Clause", "permissive", [BSD_FIRST, *BSD_LIST]),
+    ("MPL-2.0", "copyleft", MPL_TEXT),
+    ("Zlib", "permissive", ZLIB_TEXT),
+    ("Unlicense", "public domain", UNLICENSE_TEXT),
 ]
 
-# Ordered rules, the more specific first; a rule is a run of sentence ids.
-RULES = [
-    ("Apache-2.0", "permissive", [5, 6, 7, 8, 9]),
-    ("BSD-3-Clause", "permissive", [14, 15, 16, 17]),
-    ("MIT", "permissive", [10, 11, 12, 13]),
-    ("GPL-3.0-or-later", "copyleft", [18, 20, 21]),
-    ("GPL-2.0-or-later", "copyleft", [19, 20, 21]),
-    ("ISC", "permissive", [22, 23]),
-    ("BSD-2-Clause", "permissive", [14, 15, 16]),
-    ("MPL-2.0", "copyleft", [29, 30]),
-    ("Apache-2.0", "permissive", [1]),
-    ("Apache-2.0", "permissive", [32]),
-    ("MIT", "permissive", [2]),
-    ("MIT", "permissive", [28]),
-    ("MIT", "permissive", [31]),
-    ("GPL-3.0-only", "copyleft", [3]),
-    ("GPL-3.0-or-later", "copyleft", [33]),
-    ("BSD-3-Clause", "permissive", [34]),
-    ("CC-BY-NC-4.0", "noncommercial", [4]),
-    ("CC-BY-SA-4.0", "copyleft", [25]),
-    ("CC-BY-SA-4.0", "copyleft", [27]),
-    ("CC-BY-4.0", "permissive", [24]),
-    ("CC-BY-4.0", "permissive", [26]),
+# Licences by name; each name in each of the phrases below is one declaration of the licence.
+NAMED = [
+    ("Apache-2.0", "permissive", ["the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 License", "Apache 2.0", "Apache-2.0"]),
+    ("MIT", "permissive", ["the MIT License", "the MIT licence", "MIT"]),
+    ("GPL-3.0-only", "copyleft", ["the GNU General Public License version 3", "the GNU General Public License v3.0", "the GNU GPL v3", "the GPLv3", "GPL-3.0", "GPL-3.0-only"]),
+    ("GPL-3.0-or-later", "copyleft", ["the GNU General Public License version 3 or later", "GPL-3.0-or-later"]),
+    ("GPL-2.0-only", "copyleft", ["the GNU General Public License version 2", "the GNU General Public License v2.0", "the GNU GPL v2", "the GPLv2", "GPL-2.0", "GPL-2.0-only"]),
+    ("GPL-2.0-or-later", "copyleft", ["the GNU General Public License version 2 or later", "GPL-2.0-or-later"]),
+    ("LGPL-3.0-only", "copyleft", ["the GNU Lesser General Public License version 3", "the LGPLv3", "LGPL-3.0", "LGPL-3.0-only"]),
+    ("AGPL-3.0-only", "copyleft", ["the GNU Affero General Public License version 3", "the AGPLv3", "AGPL-3.0", "AGPL-3.0-only"]),
+    ("MPL-2.0", "copyleft", ["the Mozilla Public License 2.0", "the Mozilla Public License, Version 2.0", "MPL-2.0"]),
+    ("BSD-3-Clause", "permissive", ["the BSD 3-Clause License", "the 3-Clause BSD License", "BSD-3-Clause"]),
+    ("BSD-2-Clause", "permissive", ["the BSD 2-Clause License", "the 2-Clause BSD License", "BSD-2-Clause"]),
+    ("ISC", "permissive", ["the ISC License", "ISC"]),
+    ("CC-BY-NC-4.0", "noncommercial", ["CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License"]),
+    ("CC-BY-NC-SA-4.0", "noncommercial", ["CC BY-NC-SA 4.0", "a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"]),
+    ("CC-BY-SA-4.0", "copyleft", ["CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"]),
+    ("CC-BY-4.0", "permissive", ["CC BY 4.0", "a Creative Commons Attribution 4.0 International License"]),
+    ("CC0-1.0", "public domain", ["CC0 1.0", "CC0"]),
 ]
+PHRASES = [
+    "Licensed under {}", "Released under {}", "Distributed under {}", "Available under {}", "Published under {}", "This work is licensed under {}", "This work is released under {}",
+    "This project is licensed under {}", "This project is licensed under the terms of {}", "This software is licensed under {}", "This software is released under {}", "This file is licensed under {}",
+    "This code is licensed under {}", "This text is licensed under {}", "SPDX-License-Identifier: {}",
+]
+
+
+def normalised(sentence: str) -> str:
+    """Lower case, and one blank for every run of other characters than letters and digits."""
+    return re.sub(r"[\W_]+", " ", sentence.lower()).strip()
+
+
+def _tables(notices: list[tuple], named: list[tuple], phrases: list[str]) -> tuple[dict[str, int], list[tuple[str, str, list[int]]]]:
+    """``(identifier by sentence, ordered rules)``; a rule is a run of identifiers."""
+    ids: dict[str, int] = {}
+    rules = [(name, kind, [ids.setdefault(normalised(s), len(ids) + 1) for s in sentences]) for name, kind, sentences in notices]
+    for n, (name, kind, forms) in enumerate(named, len(ids) + 1):
+        for sentence in (normalised(p.format(f)) for p in phrases for f in forms):
+            ids.setdefault(sentence, n)
+        rules.append((name, kind, [n]))
+    return ids, rules
 
-LINE_ENDS = "[.!?;:][\\x20\\x09-\\x0D]|[\\x0A\\x0D]"
-BLANK_LINES = "[.!?;:][\\x20\\x09-\\x0D]|\\x0A[\\x20\\x09\\x0D]*\\x0A"
 
+SENTENCES, RULES = _tables(NOTICES, NAMED, PHRASES)
 
-def sentence_ids(text: Column, boundary: str, sentences: list[str] = SENTENCES) -> Column:
-    """Ids of a text's known sentences, in order."""
-    marked = F.translate(F.regexp_replace(text, boundary, "\u0001"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    parts = F.split(F.regexp_replace(marked, "[^\\p{L}\\p{N}\\x01]+", " "), "\u0001")
-    known = F.array(*map(F.lit, sentences))
-    return F.filter(F.transform(parts, lambda s: F.array_position(known, F.trim(s))), lambda i: i > 0)
+# A sentence ends at its mark before a blank, and before a numbered point; "v. 2.0" is one.
+SENTENCE_ENDS = "[.!?][\\x20\\x09-\\x0D]|\\x0A[\\x20\\x09*#/]*[0-9]{1,2}[.)][\\x20\\x09]"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def recognise_licences(docs: DataFrame, sentences: list[str] = SENTENCES, rules: list[tuple] = RULES) -> DataFrame:
+def _marked(text: Column) -> Column:
+    """Normalised text with U+0001 at sentence ends; its line ends stay."""
+    low = F.replace(F.translate(text, UPPER, LOWER), F.lit(" v. "), F.lit(" v "))
+    # the line end of a mark that ends a sentence goes with it, so a blank line after it is kept as one
+    return F.regexp_replace(F.regexp_replace(low, SENTENCE_ENDS, "\u0001\n"), "[^\\p{L}\\p{N}\\x01\\x0A]+", " ")
+
+
+def _identifiers(parts: Column, sentences: dict[str, int]) -> Column:
+    """Identifiers of the known ones among these sentences, in order; buckets are chosen by the sentence's hash."""
+    n = 4 * len(sentences)
+    buckets: list[list[tuple[str, int]]] = [[] for _ in range(n)]
+    for sentence, i in sentences.items():
+        signed = xxhash.xxh64_intdigest(sentence.encode(), 42)
+        buckets[(signed - (1 << 64) if signed >> 63 else signed) % n].append((sentence, i))
+    texts = F.from_json(F.lit(json.dumps([[s for s, _ in b] for b in buckets])), "array<array<string>>")  # folded once
+    ids = F.from_json(F.lit(json.dumps([[i for _, i in b] for b in buckets])), "array<array<int>>")
+
+    def find(s: Column) -> Column:
+        bucket = F.pmod(F.xxhash64(s), F.lit(n)).cast("int")
+        place = F.array_position(F.get(texts, bucket), s).cast("int")
+        return F.coalesce(F.get(F.get(ids, bucket), place - 1), F.lit(0))
+
+    return F.filter(F.transform(parts, lambda s: find(F.trim(s))), lambda i: i > 0)
+
+
+def recognise_licences(docs: DataFrame, sentences: dict[str, int] = SENTENCES, rules: list[tuple] = RULES) -> DataFrame:
     """All columns of ``docs`` and ``n_known_sentences``, ``rules_found``, ``licence``, ``licence_class``.
 
     ``rules_found`` holds the 1-based numbers of all matching rules, ascending;
+    a run that is part of a longer rule's match is not a match of its own.
     ``licence`` and ``licence_class`` are those of the first, null where none
     matches.  A null or empty text has no sentences.  Input columns of the four
-    new names are replaced.  Sentences of any length, repeated sentences and
-    ties between rules are all defined by the order of ``rules``.
+    new names are replaced.  Texts and sentences of any length, repeated
+    sentences and ties between rules are all defined by the order of ``rules``;
+    repeated rows come back as often, and an empty table gives no rows.
     """
     new = ("n_known_sentences", "rules_found", "licence", "licence_class")
-    text = F.coalesce("text", F.lit(""))
-    found = docs.select(
-        F.struct(*[c for c in docs.columns if c not in new]).alias("row"),
-        sentence_ids(text, LINE_ENDS, sentences).alias("lines"),
-        sentence_ids(text, BLANK_LINES, sentences).alias("wrapped"),
-    )
+    marked = docs.select(F.struct(*[c for c in docs.columns if c not in new]).alias("row"), _marked(F.coalesce("text", F.lit(""))).alias("marked"))
+    lines = F.split(F.translate("marked", "\n", "\u0001"), "\u0001")
+    wrapped = F.split(F.regexp_replace(F.regexp_replace("marked", "\\x0A(?: ?\\x0A)+", "\u0001"), "[ \\x0A]+", " "), "\u0001")
+    found = marked.select("row", _identifiers(lines, sentences).alias("lines"), _identifiers(wrapped, sentences).alias("wrapped"))
     written = lambda ids: F.concat(F.lit(","), F.array_join(F.transform(ids, lambda i: i.cast("string")), ","), F.lit(","))
     found = found.withColumn("both", F.concat(written(F.col("lines")), F.lit("|"), written(F.col("wrapped"))))
-    hits = F.array(*[F.when(F.col("both").contains("," + ",".join(map(str, ids)) + ","), F.lit(n)) for n, (_, _, ids) in enumerate(rules, 1)])
-    found = found.withColumn("hits", F.filter(hits, lambda n: n.isNotNull()))
+    hits = []
+    for n, (run, longer) in enumerate(_runs(rules), 1):
+        left = F.col("both")
+        for other in longer:
+            left = F.replace(left, F.lit(other), F.lit(",0,"))
+        hits.append(F.when(left.contains(run), F.lit(n)))
+    found = found.withColumn("hits", F.filter(F.array(*hits), lambda n: n.isNotNull()))
     first = F.try_element_at("hits", F.lit(1))
     names = F.array(*[F.lit(r[0]) for r in rules])
     kinds = F.array(*[F.lit(r[1]) for r in rules])
@@ -121,6 +189,12 @@ def recognise_licences(docs: DataFrame, sentences: list[str] = SENTENCES, rules:
     )
 
 
+def _runs(rules: list[tuple]) -> list[tuple[str, list[str]]]:
+    """Each rule's identifiers as text, and those longer runs that contain them."""
+    runs = ["," + ",".join(map(str, ids)) + "," for _, _, ids in rules]
+    return [(run, sorted({x for x in runs if run in x and x != run}, key=len, reverse=True)) for run in runs]
+
+
 def op10_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = recognise_licences(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_known_sentences", F.array_join(F.transform("rules_found", lambda n: n.cast("string")), ",").alias("rules_found"), "licence", "licence_class")
@@ -128,17 +202,25 @@ def op10_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     known = "[" + ", ".join(f"'{s}'" for s in SENTENCES) + "]"
+    numbers = "[" + ", ".join(map(str, SENTENCES.values())) + "]"
+    low = f"replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), ' v. ', ' v ')"
+    marked = f"regexp_replace(regexp_replace({low}, '{SENTENCE_ENDS}', chr(1) || chr(10), 'g'), '[^\\p{{L}}\\p{{N}}\\x01\\x0A]+', ' ', 'g')"
+    lines = "string_split(translate(m, chr(10), chr(1)), chr(1))"
+    wrapped = "string_split(regexp_replace(regexp_replace(m, '\\x0A(?: ?\\x0A)+', chr(1), 'g'), '[ \\x0A]+', ' ', 'g'), chr(1))"
+    ids = lambda parts: f"list_filter(list_transform({parts}, lambda s: coalesce({numbers}[list_position({known}, trim(s))], 0)), lambda i: i > 0)"
+    written = lambda c: f"',' || array_to_string({c}, ',') || ','"
 
-    def ids(boundary: str) -> str:
-        low = f"translate(regexp_replace(coalesce(text, ''), '{boundary}', chr(1), 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-        parts = f"string_split(regexp_replace({low}, '[^\\p{{L}}\\p{{N}}\\x01]+', ' ', 'g'), chr(1))"
-        return f"list_filter(list_transform({parts}, lambda s: coalesce(list_position({known}, trim(s)), 0)), lambda i: i > 0)"
+    def left(longer: list[str]) -> str:
+        text = "b"
+        for other in longer:
+            text = f"replace({text}, '{other}', ',0,')"
+        return text
 
-    written = lambda c: f"',' || array_to_string({c}, ',') || ','"
-    tests = ", ".join(f"CASE WHEN contains(b, ',{','.join(map(str, r[2]))},') THEN {n} END" for n, r in enumerate(RULES, 1))
+    tests = ", ".join(f"CASE WHEN contains({left(longer)}, '{run}') THEN {n} END" for n, (run, longer) in enumerate(_runs(RULES), 1))
     pick = lambda k: "CASE r[1] " + " ".join(f"WHEN {n} THEN '{r[k]}'" for n, r in enumerate(RULES, 1)) + " END"
     return f"""
-WITH s AS (SELECT doc_id, {ids(LINE_ENDS)} l, {ids(BLANK_LINES)} w FROM documents),
+WITH m AS (SELECT doc_id, {marked} m FROM documents),
+     s AS (SELECT doc_id, {ids(lines)} l, {ids(wrapped)} w FROM m),
      t AS (SELECT doc_id, l, w, {written('l')} || '|' || {written('w')} b FROM s),
      u AS (SELECT doc_id, l, w, list_filter([{tests}], lambda n: n IS NOT NULL) r FROM t)
 SELECT doc_id, CAST(greatest(len(l), len(w)) AS BIGINT) n_known_sentences, array_to_string(r, ',') rules_found,

@@ -89,6 +89,113 @@ OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
 SOFTWARE.
 """
 
+APACHE = """Copyright 2020 A. Person
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+"""
+
+BSD = """Copyright (c) 2020, A. Person
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+BSD_THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+DISCLAIMER = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL DAMAGES.
+"""
+
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+"""
+
+UNLICENSE = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy it.\n"
+
+
+def commented(text, mark):
+    return "/*\n" + "".join(f" {mark} {line}".rstrip() + "\n" for line in text.split("\n")) + " */\nint main() {}\n"
+
+
+FULL = [
+    (APACHE, "Apache-2.0", 2),
+    (APACHE.replace("at\n\n ", "at\n ").replace("2.0\n\n", "2.0.\n"), "Apache-2.0", 1),
+    (BSD + BSD_THIRD + DISCLAIMER, "BSD-3-Clause", 3),
+    (MIT, "MIT", 4),
+    (GPL.replace("GNU General", "GNU Affero General"), "AGPL-3.0-or-later", 5),
+    (LGPL.replace("version 2.1", "version 3"), "LGPL-3.0-or-later", 6),
+    (LGPL, "LGPL-2.1-or-later", 7),
+    (GPL, "GPL-3.0-or-later", 8),
+    (GPL.replace("version 3", "version 2"), "GPL-2.0-or-later", 9),
+    (ISC, "ISC", 10),
+    (BSD + DISCLAIMER, "BSD-2-Clause", 11),
+    (MPL, "MPL-2.0", 12),
+    (ZLIB, "Zlib", 13),
+    (UNLICENSE, "Unlicense", 14),
+]
+
 TEXTS = [
     (MIT, "MIT"),
     ("Some prose | without an end\nReleased under the MIT License.\nMore prose.", "MIT"),
@@ -98,16 +205,37 @@ TEXTS = [
     ("the wordlicensed under cc by 4.0", None),
     ("See the GNU General Public License for more details.", None),
     ("Licensed under the Apache License, Version 2.0.\n" * 500, "Apache-2.0"),
+    ("# SPDX-License-Identifier: GPL-2.0-or-later\nimport os", "GPL-2.0-or-later"),
     (None, None),
     ("", None),
     ("x" * 300_000, None),
 ]
 
 
+@pytest.mark.parametrize("style", [lambda t: t, lambda t: commented(t, "*"), lambda t: commented(t, "#"), lambda t: t.replace("\n", "\r\n")])
+def test_every_notice_by_its_own_text(spark, style):
+    docs = spark.createDataFrame([(n, style(text)) for n, (text, _, _) in enumerate(FULL)], "doc_id int, text string")
+    got = {r.doc_id: (r.licence, r.rules_found) for r in licences.recognise_licences(docs).collect()}
+    assert got == {n: (name, [rule]) for n, (_, name, rule) in enumerate(FULL)}
+    assert sorted({rule for _, _, rule in FULL}) == list(range(1, len(licences.NOTICES) + 1))
+
+
+def test_every_phrase_declares_its_licence(spark):
+    said = [(name, f"Prose. {p.format(form)}.") for name, _, forms in licences.NAMED for form in forms for p in licences.PHRASES]
+    docs = spark.createDataFrame([(n, text) for n, (_, text) in enumerate(said)], "doc_id int, text string")
+    got = {r.doc_id: r.licence for r in licences.recognise_licences(docs).collect()}
+    assert got == {n: name for n, (name, _) in enumerate(said)}
+
+
+def test_a_part_of_a_longer_match_counts_alone_only_elsewhere(spark):
+    docs = spark.createDataFrame([(1, BSD + BSD_THIRD), (2, BSD + BSD_THIRD + DISCLAIMER + "\n" + BSD + DISCLAIMER)], "doc_id int, text string")
+    assert {r.doc_id: r.rules_found for r in licences.recognise_licences(docs).collect()} == {1: [3], 2: [3, 11]}
+
+
 def test_licences(spark):
     rows = [(i // 2, t, "k", "z") for i, (t, _) in enumerate(TEXTS)]
     got = licences.recognise_licences(spark.createDataFrame(rows, "doc_id int, text string, licence string, _x string")).collect()
     assert [r.licence for r in got] == [want for _, want in TEXTS]
-    assert got[0].rules_found == [3] and got[0].n_known_sentences == 4 and got[0]._x == "z"
+    assert got[0].rules_found == [4] and got[0].n_known_sentences == 4 and got[0]._x == "z"
     empty = licences.recognise_licences(spark.createDataFrame([], "doc_id int, text string"))
     assert empty.count() == 0
