@@ -111,7 +111,7 @@ def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = f"""
 WITH n AS (SELECT source, count(*) n, sqrt(count(*)) w FROM documents GROUP BY source),
      r AS (SELECT source, (SELECT sum(n) FROM n) * w / (SELECT sum(w) FROM n) / n AS rate FROM n),
-     c AS (SELECT source, rate, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) cdf FROM r, range(0, 200) t(k)),
+     c AS (SELECT source, rate, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) cdf FROM r, (SELECT unnest(range(0, CAST((SELECT ceil(max(rate) + 12 * sqrt(max(rate)) + 20) FROM r) AS BIGINT))) AS k) t),
      u AS (SELECT *, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':{SEED}'), 1, {HEX_DIGITS})) AS BIGINT) / 4503599627370496.0 u FROM documents),
      t AS (SELECT u.doc_id, u.source, u.text, r.rate, (SELECT count(*) FROM c WHERE c.source IS NOT DISTINCT FROM u.source AND c.cdf <= u.u) times FROM u JOIN r ON r.source IS NOT DISTINCT FROM u.source),
      e AS (SELECT *, CAST(unnest(range(1, times + 1)) AS INTEGER) AS copy FROM t)
