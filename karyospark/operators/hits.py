@@ -43,7 +43,7 @@ def least_evalue(hits: DataFrame, key: str) -> DataFrame:
 
 def rbh_permissive(hits: DataFrame) -> DataFrame:
     """Forward rows at the least e-value whose pair is at the least e-value in reverse as well."""
-    forward, reverse = split_directions(hits)
+    forward, reverse = split_directions(cut(hits))
     back = least_evalue(reverse, "sseqid").select(*PAIR, "qseqid", "sseqid")
     return least_evalue(forward, "qseqid").join(back, [*PAIR, "qseqid", "sseqid"])
 
@@ -62,7 +62,7 @@ def rbh_strict(hits: DataFrame) -> DataFrame:
 
     Ties end at the partner's id.  Both ids of the result are unique per pair.
     """
-    forward, reverse = split_directions(hits)
+    forward, reverse = split_directions(cut(hits))
     best = top_hit(forward, [*PAIR, "qseqid"], _by_score("sseqid"))
     back = top_hit(reverse, [*PAIR, "sseqid"], _by_score("qseqid")).select(*PAIR, "qseqid", "sseqid")
     first = cut(_one_to_one(best.join(back, [*PAIR, "qseqid", "sseqid"])))
@@ -90,7 +90,7 @@ def nway_rbh(edges: DataFrame, species: list[str]) -> DataFrame:
     ``edges`` are pairwise RBHs with the first species by name as the query; a
     path or any other graph short of complete is no ortholog.
     """
-    species = sorted(species)
+    species, edges = sorted(species), cut(edges)
     between = lambda a, b: edges.where((F.col("query_species") == a) & (F.col("target_species") == b)).select(F.col("qseqid").alias(f"{a}_gene"), F.col("sseqid").alias(f"{b}_gene"))
     out = between(species[0], species[1])
     for k, new in enumerate(species[2:], 2):
@@ -180,22 +180,19 @@ def pseudo_hits_if_subset(proteins: DataFrame, rbh: DataFrame, species: list[str
     return found.select(family.alias("qseqid"), F.col("id").alias("sseqid"), F.lit(0.0).alias("evalue"), F.lit(9999.0).alias("bitscore"))
 
 
-def greedy_one_to_one(hits: DataFrame, cutoff: float = 1e-5, max_rounds: int = 100) -> DataFrame:
+def greedy_one_to_one(hits: DataFrame, cutoff: float = 1e-5) -> DataFrame:
     """What repeatedly taking the best remaining row, and all rows that share its ids away, would take.
 
     By e-value, then score, then ids.  A row that is first for both its ids is
-    taken in any order of taking, so each round takes all of those at once.
+    taken in any order of taking, so each round takes all of those at once; the
+    first row of all is always among them, so every round takes some.
     """
     left = cut(hits.where(F.col("evalue") <= cutoff).distinct())
     order = [F.col("evalue"), F.col("bitscore").desc(), F.col("qseqid"), F.col("sseqid")]
     taken = None
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         both = left.withColumn("_q", F.row_number().over(W.partitionBy("qseqid").orderBy(*order))).withColumn("_s", F.row_number().over(W.partitionBy("sseqid").orderBy(*order)))
         new = cut(both.where("_q = 1 AND _s = 1").drop("_q", "_s"))
         taken = new if taken is None else taken.unionByName(new)
         left = cut(left.join(new, "qseqid", "left_anti").join(new, "sseqid", "left_anti"))
-    else:
-        raise RuntimeError(f"rows were left after {max_rounds} rounds")
     return taken if taken is not None else left

@@ -7,11 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from karyospark.functions.scalars import collapse_runs
+from .hits import number_rows
+from .lineage import cut
 
 LEAST_GENES = 3
+#: Genes that are counted in one piece.
+PART_GENES = 1 << 16
 
 
 def mixing_ranges(genes: DataFrame, sizes: DataFrame, least: int = LEAST_GENES) -> DataFrame:
@@ -26,28 +30,56 @@ def mixing_ranges(genes: DataFrame, sizes: DataFrame, least: int = LEAST_GENES)
     return pairs.withColumn("bases_covered", covered).join(sizes, ["species", "scaf"]).withColumn("percent", 100 * F.col("bases_covered") / F.col("len"))
 
 
-def mixing_value(genes: DataFrame, least: int = LEAST_GENES, compress: bool = False) -> DataFrame:
-    """``m`` per pair of groups: changes between the two along the scaffold, against their expected number.
+PAIR_KEYS = ["species", "scaf", "gene_group_a", "gene_group_b"]
 
-    1 is as mixed as by chance, 0 is apart; null where nothing is expected.
-    Compressed strings have runs of one group collapsed first.
+
+def pair_letters(genes: DataFrame, least: int = LEAST_GENES, part: int = PART_GENES) -> DataFrame:
+    """``(PAIR_KEYS, part, place, letter)``: for each pair of groups its genes along the scaffold, A or B, in parts of ``part`` genes.
+
+    Places (from 0) come from one sort over range partitions, so a scaffold's
+    genes need not meet in one task.
     """
     counts = genes.groupBy("species", "scaf", "gene_group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    a = counts.select("species", "scaf", F.col("gene_group").alias("gene_group_a"))
-    b = counts.select("species", "scaf", F.col("gene_group").alias("gene_group_b"))
-    pairs = a.join(b, ["species", "scaf"]).where("gene_group_a < gene_group_b")
-    rows = genes.join(pairs, ["species", "scaf"]).where((F.col("gene_group") == F.col("gene_group_a")) | (F.col("gene_group") == F.col("gene_group_b")))
-    letter = F.when(F.col("gene_group") == F.col("gene_group_a"), "A").otherwise("B")
-    keys = ["species", "scaf", "gene_group_a", "gene_group_b"]
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "gene", letter.alias("c"))))
-    strings = rows.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["c"]), "").alias("genestring"))
+    side = lambda k: counts.select("species", "scaf", F.col("gene_group").alias(f"gene_group_{k}"), F.col("n").alias(f"n_{k}"))
+    pairs = cut(side("a").join(side("b"), ["species", "scaf"]).where("gene_group_a < gene_group_b"))
+    ends = [pairs.select(*PAIR_KEYS, F.col(f"gene_group_{k}").alias("gene_group"), F.lit(letter).alias("letter")) for k, letter in (("a", "A"), ("b", "B"))]
+    rows = genes.select("species", "scaf", "gene", "pos", "gene_group").join(ends[0].unionByName(ends[1]), ["species", "scaf", "gene_group"])
+    ranked = cut(number_rows(rows.select(*PAIR_KEYS, "pos", "gene", "letter"), [*PAIR_KEYS, "pos", "gene", "letter"], "_rank"))
+    first = ranked.groupBy(*PAIR_KEYS).agg(F.min("_rank").alias("_first"))
+    placed = ranked.join(first, PAIR_KEYS).withColumn("place", F.col("_rank") - F.col("_first"))
+    return placed.select(*PAIR_KEYS, F.floor(F.col("place") / part).alias("part"), "place", "letter")
+
+
+def gene_strings(genes: DataFrame, least: int = LEAST_GENES, part: int = PART_GENES) -> DataFrame:
+    """``(PAIR_KEYS, part, genestring)``: the letters of ``pair_letters``; a pair's string is its parts one after the other."""
+    letters = F.sort_array(F.collect_list(F.struct("place", "letter")))
+    parts = pair_letters(genes, least, part).groupBy(*PAIR_KEYS, "part").agg(letters.alias("_l"))
+    return parts.select(*PAIR_KEYS, "part", F.array_join(F.transform("_l", lambda x: x["letter"]), "").alias("genestring"))
+
+
+def mixing_value(genes: DataFrame, least: int = LEAST_GENES, compress: bool = False, part: int = PART_GENES) -> DataFrame:
+    """``(PAIR_KEYS, n_a, n_b, changes, m)``: changes between the two groups along the scaffold, against their expected number.
+
+    1 is as mixed as by chance, 0 is apart; null where nothing is expected.
+    With ``compress`` a run of one group counts as one gene.  Changes are counted
+    in parts of ``part`` genes and where parts meet.
+    """
+    letters = pair_letters(genes, least, part)
+    before = F.lag("letter").over(W.partitionBy(*PAIR_KEYS, "part").orderBy("place"))
+    parts = letters.withColumn("_new", (F.col("letter") != before).cast("bigint")).groupBy(*PAIR_KEYS, "part").agg(
+        F.count_if(F.col("letter") == "A").alias("n_a"), F.count_if(F.col("letter") == "B").alias("n_b"), F.coalesce(F.sum("_new"), F.lit(0)).alias("inside"),
+        F.min_by("letter", "place").alias("head"), F.max_by("letter", "place").alias("tail"),
+    )
+    meets = (F.col("head") != F.lag("tail").over(W.partitionBy(*PAIR_KEYS).orderBy("part"))).cast("bigint")
+    out = parts.withColumn("_meets", F.coalesce(meets, F.lit(0))).groupBy(*PAIR_KEYS).agg(
+        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), (F.sum("inside") + F.sum("_meets")).alias("changes"), F.min_by("head", "part").alias("_head")
+    )
     if compress:
-        strings = strings.withColumn("genestring", collapse_runs(F.col("genestring")))
-    n = F.length("genestring")
-    n_a = F.length(F.regexp_replace("genestring", "B", ""))
-    expected = 2 * n_a * (n - n_a) / n - 1
-    changes = F.length(collapse_runs(F.col("genestring"))) - 1
-    return strings.withColumn("n_a", n_a).withColumn("n_b", n - n_a).withColumn("changes", changes).withColumn("m", (changes - 1) / F.nullif(expected, F.lit(0.0)))
+        runs = F.col("changes") + 1
+        more, fewer = F.floor((runs + 1) / 2), F.floor(runs / 2)
+        out = out.withColumn("n_a", F.when(F.col("_head") == "A", more).otherwise(fewer)).withColumn("n_b", runs - F.col("n_a"))
+    expected = 2 * F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")) - 1
+    return out.drop("_head").withColumn("m", (F.col("changes") - 1) / F.nullif(expected, F.lit(0.0)))
 
 
 def _runs_ln(n_a: int, n_b: int, table: np.ndarray) -> np.ndarray:

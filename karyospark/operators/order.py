@@ -79,7 +79,7 @@ def dotplot_order(pairs: DataFrame, x_sizes: DataFrame, y_index: DataFrame, cuto
     the first x that has them, then by their mean place on it.
     """
     names = scaffold_components(pairs, cutoff)
-    of = lambda side: names.where(F.col("name").startswith(f"{side}:")).select(F.substring("name", 3, 10_000).alias("scaf"), "component")
+    of = lambda side: names.where(F.col("name").startswith(f"{side}:")).select(F.expr("substring(name, 3)").alias("scaf"), "component")
     xs = x_sizes.join(of("x"), "scaf", "left").withColumn("component", F.coalesce("component", F.concat(F.lit("alone:"), "scaf")))
     lead = xs.groupBy("component").agg(F.min("rank").alias("_lead"))
     xs = xs.join(lead, "component")

@@ -39,25 +39,33 @@ def run_peaks(points: DataFrame) -> DataFrame:
 
 
 def suppressed(ix: np.ndarray, d: np.ndarray, window: int) -> np.ndarray:
-    """Mask of the peaks that stay: the fullest window loses all but its best, until no window holds two."""
-    stays = np.ones(len(ix), bool)
-    while True:
-        near = (np.abs(ix[:, None] - ix[None, :]) < window) & stays[None, :]
-        full = int(np.argmax(near.sum(1)))
-        members = np.flatnonzero(near[full])
-        if len(members) < 2:
-            return stays
+    """Mask of the peaks (by rising ``ix``) that stay: the fullest window loses all but its best, until no window holds two."""
+    stays = np.arange(len(ix))
+    while len(stays):
+        left, at = ix[stays], np.searchsorted
+        lo, hi = at(left, ix - window, side="right"), at(left, ix + window, side="left")
+        full = int(np.argmax(hi - lo))
+        if hi[full] - lo[full] < 2:
+            break
+        members = stays[lo[full] : hi[full]]
         best = members[np.lexsort((ix[members], -d[members]))[0]]
-        stays[members] = False
-        stays[best] = True
+        stays = np.concatenate([stays[: lo[full]], [best], stays[hi[full] :]])
+    mask = np.zeros(len(ix), bool)
+    mask[stays] = True
+    return mask
 
 
 def _suppress(peaks: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """Peaks that are ``window`` or more apart never meet, so each cluster of nearer ones is settled on its own."""
+    along = W.partitionBy(*keys).orderBy("ix")
+    apart = F.coalesce(F.col("ix") - F.lag("ix").over(along) >= window, F.lit(True)).cast("int")
+    clustered = peaks.withColumn("_apart", apart).withColumn("_cluster", F.sum("_apart").over(along)).drop("_apart")
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ix").reset_index(drop=True)
+        pdf = pdf.sort_values(["ix", "d"]).reset_index(drop=True)
         return pdf[suppressed(pdf.ix.to_numpy(), pdf.d.to_numpy(), window)]
 
-    return peaks.groupBy(*keys).applyInPandas(run, peaks.schema)  # the peaks of a scaffold: a few in a hundred genes
+    return clustered.groupBy(*keys, "_cluster").applyInPandas(run, clustered.schema).drop("_cluster")
 
 
 def auto_breaks(rows: DataFrame, species: str, manual: DataFrame | None = None) -> DataFrame:

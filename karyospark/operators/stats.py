@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .lineage import cut
+
 #: Fixed value: genes on either side of a possible break.
 SIDE = 20
 
@@ -45,6 +47,7 @@ def fisher_pairs(rbh: DataFrame, key_a: str, key_b: str) -> DataFrame:
     pairs, not capped at 1.
     """
     pairs = rbh.where(F.col(key_a).isNotNull() & F.col(key_b).isNotNull()).groupBy(key_a, key_b).agg(F.count(F.lit(1)).alias("n"))
+    pairs = cut(pairs)
     rows = pairs.groupBy(key_a).agg(F.sum("n").alias("r"))
     cols = pairs.groupBy(key_b).agg(F.sum("n").alias("c"))
     total, n_a = rows.agg(F.sum("r"), F.count(F.lit(1))).first()
@@ -56,6 +59,7 @@ def fisher_pairs(rbh: DataFrame, key_a: str, key_b: str) -> DataFrame:
 
 def fisher_exact(rbh: DataFrame, key_a: str, key_b: str, name: str) -> DataFrame:
     """``rbh`` with the pair's p on every row, under ``name``."""
+    rbh = cut(rbh)
     return rbh.join(fisher_pairs(rbh, key_a, key_b).select(key_a, key_b, F.col("p").alias(name)), [key_a, key_b], "left")
 
 

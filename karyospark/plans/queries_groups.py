@@ -16,6 +16,11 @@ from .fixtures import with_tables
 
 SP = list("ABCD")
 SCAFS = "A_scaf, B_scaf, C_scaf, D_scaf"
+FDR_SIZES = 4999
+PERMUTATIONS = 1000
+RANKED_TRIALS = 3
+
+
 def number_of_rbh():
     return F.expr("cast(substring(rbh, 4) as bigint)")
 
@@ -35,7 +40,7 @@ def group_by_scaffolds(spark, sf_dir):
 
 def fdr(spark):
     s = F.col("id")
-    return spark.range(1, G.MOST_SIZE + 1).select(s.alias("size"), F.when((s % 3 == 0) | (s > 400), 0.0).otherwise(1 / s).alias("alpha"))
+    return spark.range(1, FDR_SIZES + 1).select(s.alias("size"), F.when((s % 3 == 0) | (s > 400), 0.0).otherwise(1 / s).alias("alpha"))
 
 
 def sized(spark, sf_dir):
@@ -77,11 +82,22 @@ def fdr_table(spark, sf_dir):
 
 
 def group_size_fdr(spark, sf_dir):
-    return G.fdr_table(G.group_size_observations(X.orth(spark, sf_dir), SP, 200), 200)
+    counts = G.permuted_counts(X.orth(spark, sf_dir), SP, PERMUTATIONS)
+    return G.fdr_table(G.group_size_observations(counts), PERMUTATIONS)
 
 
 def combo_fdr(spark, sf_dir):
-    return G.tail_probabilities(G.combo_observations(X.orth(spark, sf_dir), ["A", "B"], 100), 100)
+    counts = G.permuted_counts(X.orth(spark, sf_dir), ["A", "B"], PERMUTATIONS)
+    return G.tail_probabilities(G.combo_observations(counts, ["A", "B"], PERMUTATIONS), ["A_scaf", "B_scaf"], PERMUTATIONS)
+
+
+def combo_significance(spark, sf_dir):
+    counts = G.permuted_by_rank(X.orth(spark, sf_dir), ["A", "B"], RANKED_TRIALS)
+    return G.combo_significance(G.group_sizes(X.orth(spark, sf_dir), ["A", "B"]), G.cut(counts), ["A", "B"], RANKED_TRIALS)
+
+
+def ranked_group_sizes(spark, sf_dir):
+    return G.group_size_observations(G.permuted_by_rank(X.orth(spark, sf_dir), SP, RANKED_TRIALS))
 
 
 def shuffle_column(spark, sf_dir):
@@ -102,6 +118,10 @@ def mixing_value(spark, sf_dir):
     return M.mixing_value(mixing_genes(spark, sf_dir)).withColumn("m", F.round("m", 6))
 
 
+def gene_strings(spark, sf_dir):
+    return M.gene_strings(mixing_genes(spark, sf_dir), part=64)
+
+
 def mixing_value_compressed(spark, sf_dir):
     return M.mixing_value(mixing_genes(spark, sf_dir), compress=True).withColumn("m", F.round("m", 6))
 
@@ -124,20 +144,15 @@ def fusion_candidates(spark, sf_dir):
 
 
 def resolve_outgroup_dups(spark, sf_dir):
-    return U.resolve_outgroup_dups(U.fusion_candidates(big4(spark, sf_dir), "C", "D"), "A", "B", "C", "D").select(*[f"{s}_scaf" for s in SP], "count")
-
-
-def big4(spark, sf_dir):
-    """Groups above the planted noise, so that outgroup scaffolds can be settled."""
-    return U.fusion_groups(X.orth(spark, sf_dir), SP, least=60)
+    return U.resolve_outgroup_dups(U.fusion_candidates(groups4(spark, sf_dir), "C", "D"), "A", "B", "C", "D").select(*[f"{s}_scaf" for s in SP], "count")
 
 
 def fusion_tables(spark, sf_dir):
-    return U.hypothesis(big4(spark, sf_dir), "A", "B", "C", "D")
+    return U.hypothesis(groups4(spark, sf_dir), "A", "B", "C", "D")
 
 
 def fusion_stats(spark, sf_dir):
-    return joined_lists(U.fusion_stats(U.hypothesis(big4(spark, sf_dir), "A", "B", "C", "D"), "C", "D"))
+    return joined_lists(U.fusion_stats(U.hypothesis(groups4(spark, sf_dir), "A", "B", "C", "D"), "C", "D"))
 
 
 def derived_fissions(spark, sf_dir):
@@ -149,11 +164,11 @@ def polytomies(spark, sf_dir):
 
 
 def annotate_support(spark, sf_dir):
-    return U.annotate_support(big4(spark, sf_dir), SP).select(*[f"{s}_scaf" for s in SP], "count", "data_support")
+    return U.annotate_support(groups4(spark, sf_dir), SP).select(*[f"{s}_scaf" for s in SP], "count", "data_support")
 
 
 def fusion_summary(spark, sf_dir):
-    return U.fusion_summary(big4(spark, sf_dir), SP).withColumn("mean", F.round("mean", 6))
+    return U.fusion_summary(groups4(spark, sf_dir), SP).withColumn("mean", F.round("mean", 6))
 
 
 def fusion_null(spark, sf_dir):
@@ -182,7 +197,7 @@ def collapse_runs(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").select("doc_id", F.md5(Z.collapse_runs(F.col("text"))).alias("collapsed"))
 
 
-_NAMES = "group_by_scaffolds attach_alpha name_groups unwrap_groups colors_long merge_rbh fdr_table group_size_fdr combo_fdr shuffle_column mixing_ranges mixing_value mixing_value_compressed mixing_null fusion_groups fusion_candidates resolve_outgroup_dups fusion_tables fusion_stats derived_fissions polytomies annotate_support fusion_summary fusion_null empirical_p trial_histograms colors assign_color collapse_runs"
+_NAMES = "group_by_scaffolds attach_alpha name_groups unwrap_groups colors_long merge_rbh fdr_table group_size_fdr combo_fdr combo_significance ranked_group_sizes shuffle_column mixing_ranges mixing_value gene_strings mixing_value_compressed mixing_null fusion_groups fusion_candidates resolve_outgroup_dups fusion_tables fusion_stats derived_fissions polytomies annotate_support fusion_summary fusion_null empirical_p trial_histograms colors assign_color collapse_runs"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _FDR = 'fdr AS (SELECT i AS "size", CASE WHEN i % 3 = 0 OR i > 400 THEN 0 ELSE 1.0 / i END::DOUBLE AS alpha FROM range(1, 5000) t(i))'
@@ -209,6 +224,17 @@ def _mv(string: str) -> str:
 cn AS (SELECT *, length(replace(genestring, 'B', '')) n_a, length(replace(genestring, 'A', '')) n_b, (SELECT count(*) FROM range(2, length(genestring) + 1) t(i) WHERE genestring[i] <> genestring[i - 1]) changes FROM cl)"""
 
 
+def _ranked(species: list[str]) -> str:
+    """CTEs up to perm(trial, rbh, scaffolds): columns but the first dealt by hash ranks."""
+    first = f"SELECT t.i trial, rbh, {species[0]}_scaf FROM orth, range({RANKED_TRIALS}) t(i)"
+    parts = [
+        f"q{s} AS (SELECT m.trial, m.rbh, p.{s}_scaf FROM (SELECT t.i trial, rbh, row_number() OVER (PARTITION BY t.i ORDER BY md5(t.i || ':{s}:' || rbh), rbh) k FROM orth, range({RANKED_TRIALS}) t(i)) m JOIN (SELECT {s}_scaf, row_number() OVER (ORDER BY rbh) k FROM orth) p USING (k))"
+        for s in species[1:]
+    ]
+    joins = " ".join(f"JOIN q{s} USING (trial, rbh)" for s in species[1:])
+    return ", ".join([f"qf AS ({first})", *parts, f"perm AS (SELECT * FROM qf {joins})"])
+
+
 _COLLAPSE = "list_reduce(list_transform(range(1, length(g) + 1), lambda i: g[i]), lambda a, b: CASE WHEN right(a, 1) = b THEN a ELSE a || b END)"
 _G4 = "g4 AS (SELECT " + SCAFS + ", count(*) \"count\", " + ", ".join(f"min({s}_pos) {s}_lo, max({s}_pos) {s}_hi" for s in SP) + " FROM orth GROUP BY ALL HAVING count(*) >= {least})"
 
@@ -230,7 +256,6 @@ def _hyp(a: str, b: str, c: str, n: str) -> str:
 
 _HYPS = [("B", "C", "D"), ("C", "B", "D"), ("D", "B", "C")]
 _ALL_HYPS = ",\n".join(_hyp(*h, f"h{h[0]}") for h in _HYPS)
-_BIG = _G4.format(least=60)
 _SMALL = _G4.format(least=5)
 _FLAGS = [(f"EXISTS (SELECT 1 FROM h{a} h WHERE h.mixed = {m} AND " + " AND ".join(f"h.{s}_scaf = g4.{s}_scaf" for s in SP) + ")", f"{a}_{x}") for x, m in (("sis", "true"), ("FU", "false")) for a, _, _ in _HYPS]
 _FLAGS += [(f"count(*) OVER (PARTITION BY {', '.join(f'{s}_scaf' for s in SP if s != a)}) > 1", f"{a}_DerFissOrOGfus") for a in "BCD"] + [("count(*) OVER (PARTITION BY B_scaf, C_scaf, D_scaf) > 1", "B_C_D_polytomy")]
@@ -255,9 +280,12 @@ c AS (SELECT * FROM b QUALIFY C_gene IS NULL OR row_number() OVER (PARTITION BY
 d AS (SELECT * FROM c QUALIFY D_gene IS NULL OR row_number() OVER (PARTITION BY D_gene ORDER BY nancount, A_gene, B_gene) = 1)
 SELECT *, 'mer_A_B_C_D_' || row_number() OVER (ORDER BY A_gene, B_gene) rbh FROM d"""),
     "shuffle_column": with_tables("orth", "WITH p AS (SELECT rbh, B_scaf, row_number() OVER (ORDER BY rbh) k FROM orth), m AS (SELECT CAST(t.i AS INTEGER) trial, rbh, row_number() OVER (PARTITION BY t.i ORDER BY md5(t.i || ':' || rbh), rbh) k FROM orth, range(2) t(i)) SELECT trial, m.rbh, p.B_scaf FROM m JOIN p USING (k)"),
+    "ranked_group_sizes": with_tables("orth", f"WITH {_ranked(SP)}, tc AS (SELECT trial, {SCAFS}, count(*) n FROM perm GROUP BY ALL) SELECT n AS \"size\", count(DISTINCT trial) n FROM tc GROUP BY 1"),
+    "combo_significance": with_tables("orth", f"WITH {_ranked(['A', 'B'])}, tc AS (SELECT trial, A_scaf, B_scaf, count(*) n FROM perm GROUP BY ALL), mx AS (SELECT trial, max(n) most FROM tc GROUP BY 1), g AS (SELECT A_scaf, B_scaf, count(*) \"count\" FROM orth GROUP BY ALL) SELECT A_scaf, B_scaf, \"count\", greatest((SELECT count(*) FROM tc WHERE tc.A_scaf = g.A_scaf AND tc.B_scaf = g.B_scaf AND n >= \"count\") / {RANKED_TRIALS}, 1 / {RANKED_TRIALS}) p, greatest((SELECT count(*) FROM mx WHERE most >= \"count\") / {RANKED_TRIALS}, 1 / {RANKED_TRIALS}) p_family FROM g"),
+    "gene_strings": with_tables("orth", f"WITH {_MV} SELECT species, scaf, gene_group_a, gene_group_b, k AS part, substr(g, CAST(k * 64 + 1 AS BIGINT), 64) genestring FROM (SELECT *, unnest(range(0, CAST(ceil(length(g) / 64) AS BIGINT))) k FROM st)"),
     "mixing_ranges": with_tables("orth", f"WITH {_MG} SELECT a.species, a.scaf, a.gene_group gene_group_a, a.n n_a, a.lo lo_a, a.hi hi_a, b.gene_group gene_group_b, b.n n_b, b.lo lo_b, b.hi hi_b, greatest(0, least(a.hi, b.hi) - greatest(a.lo, b.lo)) bases_covered, len, round(100 * greatest(0, least(a.hi, b.hi) - greatest(a.lo, b.lo)) / len, 6) AS percent FROM ends a JOIN ends b USING (species, scaf) JOIN (SELECT C_scaf scaf, max(C_pos) len FROM orth GROUP BY 1) s ON s.scaf = a.scaf WHERE a.gene_group < b.gene_group"),
-    "mixing_value": with_tables("orth", _mv("g") + " SELECT *, round((changes - 1) / nullif(2 * n_a * n_b / (n_a + n_b) - 1, 0), 6) m FROM cn"),
-    "mixing_value_compressed": with_tables("orth", _mv(_COLLAPSE) + " SELECT *, round((changes - 1) / nullif(2 * n_a * n_b / (n_a + n_b) - 1, 0), 6) m FROM cn"),
+    "mixing_value": with_tables("orth", _mv("g") + " SELECT * EXCLUDE (genestring), round((changes - 1) / nullif(2 * n_a * n_b / (n_a + n_b) - 1, 0), 6) m FROM cn"),
+    "mixing_value_compressed": with_tables("orth", _mv(_COLLAPSE) + " SELECT * EXCLUDE (genestring), round((changes - 1) / nullif(2 * n_a * n_b / (n_a + n_b) - 1, 0), 6) m FROM cn"),
     "mixing_null": with_tables("orth", _mv("g") + """, rn AS (SELECT *, unnest(range(2, changes + 2)) r FROM cn),
 ch AS (SELECT *, CAST(floor(r / 2) AS BIGINT) h FROM rn),
 pr2 AS (SELECT scaf, gene_group_a, gene_group_b, CASE WHEN r % 2 = 0 THEN CASE WHEN h <= n_a AND h <= n_b THEN exp(ln(2) + lgamma(n_a) - lgamma(h) - lgamma(n_a - h + 1) + lgamma(n_b) - lgamma(h) - lgamma(n_b - h + 1) - q) ELSE 0 END
@@ -266,13 +294,13 @@ pr2 AS (SELECT scaf, gene_group_a, gene_group_b, CASE WHEN r % 2 = 0 THEN CASE W
 SELECT scaf, gene_group_a, gene_group_b, round(least(1, sum(p)), 6) p_value_unmixed FROM pr2 GROUP BY ALL"""),
     "fusion_groups": with_tables("orth", f"WITH {_SMALL} SELECT * FROM g4"),
     "fusion_candidates": with_tables("orth", f'WITH {_SMALL} SELECT {SCAFS}, "count" FROM g4 QUALIFY count(*) OVER (PARTITION BY C_scaf, D_scaf) >= 2'),
-    "resolve_outgroup_dups": with_tables("orth", f'WITH {_BIG}, {_hyp("B", "C", "D", "h")} SELECT {SCAFS}, "count" FROM hr'),
-    "fusion_tables": with_tables("orth", f"WITH {_BIG}, {_hyp('B', 'C', 'D', 'h')} SELECT * FROM h"),
-    "fusion_stats": with_tables("orth", f"WITH {_BIG}, {_hyp('B', 'C', 'D', 'h')} SELECT C_scaf, D_scaf, mixed, string_agg(CAST(\"count\" AS VARCHAR), ',' ORDER BY \"count\") counts FROM h GROUP BY ALL"),
+    "resolve_outgroup_dups": with_tables("orth", f'WITH {_SMALL}, {_hyp("B", "C", "D", "h")} SELECT {SCAFS}, "count" FROM hr'),
+    "fusion_tables": with_tables("orth", f"WITH {_SMALL}, {_hyp('B', 'C', 'D', 'h')} SELECT * FROM h"),
+    "fusion_stats": with_tables("orth", f"WITH {_SMALL}, {_hyp('B', 'C', 'D', 'h')} SELECT C_scaf, D_scaf, mixed, string_agg(CAST(\"count\" AS VARCHAR), ',' ORDER BY \"count\") counts FROM h GROUP BY ALL"),
     "derived_fissions": with_tables("orth", f"WITH {_SMALL} " + " UNION ALL ".join(f"SELECT * FROM (SELECT {SCAFS}, \"count\", '{a}' fission_in FROM g4 QUALIFY count(*) OVER (PARTITION BY {', '.join(f'{s}_scaf' for s in SP if s != a)}) > 1)" for a in "BCD")),
     "polytomies": with_tables("orth", f'WITH {_SMALL} SELECT {SCAFS}, "count" FROM g4 QUALIFY count(*) OVER (PARTITION BY B_scaf, C_scaf, D_scaf) > 1'),
-    "annotate_support": with_tables("orth", f'WITH {_BIG}, {_ALL_HYPS}, lb AS (SELECT {SCAFS}, "count", concat_ws(\'_\', ' + ", ".join(f"CASE WHEN {f} THEN '{n}' END" for f, n in _FLAGS) + ") t FROM g4) SELECT * EXCLUDE (t), CASE WHEN t = '' THEN 'singleton' ELSE t END data_support FROM lb"),
-    "fusion_summary": with_tables("orth", f"WITH {_BIG}, {_ALL_HYPS}, s AS (" + " UNION ALL ".join(f"SELECT '{a}' hyp, {b}_scaf x, {c}_scaf y, max(\"count\") ms, sum(\"count\") su, count(*) n FROM h{a} WHERE mixed GROUP BY ALL" for a, b, c in _HYPS) + ") SELECT hyp, max(ms) max_single, CAST(max(su) AS BIGINT) max_grouping, CAST(sum(su) AS BIGINT) total, count(*) n_groupings, round(sum(su) / sum(n), 6) mean FROM s GROUP BY 1"),
+    "annotate_support": with_tables("orth", f'WITH {_SMALL}, {_ALL_HYPS}, lb AS (SELECT {SCAFS}, "count", concat_ws(\'_\', ' + ", ".join(f"CASE WHEN {f} THEN '{n}' END" for f, n in _FLAGS) + ") t FROM g4) SELECT * EXCLUDE (t), CASE WHEN t = '' THEN 'singleton' ELSE t END data_support FROM lb"),
+    "fusion_summary": with_tables("orth", f"WITH {_SMALL}, {_ALL_HYPS}, s AS (" + " UNION ALL ".join(f"SELECT '{a}' hyp, {b}_scaf x, {c}_scaf y, max(\"count\") ms, sum(\"count\") su, count(*) n FROM h{a} WHERE mixed GROUP BY ALL" for a, b, c in _HYPS) + ") SELECT hyp, max(ms) max_single, CAST(max(su) AS BIGINT) max_grouping, CAST(sum(su) AS BIGINT) total, count(*) n_groupings, round(sum(su) / sum(n), 6) mean FROM s GROUP BY 1"),
     "colors": f"WITH c AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN '#12x456' ELSE '#' || substr(md5(p_name), 1, 6) END color FROM part), k AS (SELECT *, regexp_matches(color, '^.[0-9A-Fa-f]{{6}}$') ok FROM c), v AS (SELECT p_partkey, ok, CASE WHEN ok THEN color ELSE '#000000' END c FROM k) SELECT p_partkey, ok, CASE WHEN ok THEN round({_BRIGHT.format(c='c')} / 1000, 6) END brightness, CASE WHEN ok THEN round({_SAT.format(c='c')}, 6) END saturation, CASE WHEN ok THEN CASE WHEN {_BRIGHT.format(c='c')} / 1000 > 186 OR c = '#000000' THEN '#000000' ELSE '#FFFFFF' END END \"text\" FROM v",
     "collapse_runs": "WITH c AS (SELECT doc_id, unnest(string_split(text, '')) c, generate_subscripts(string_split(text, ''), 1) i FROM documents), k AS (SELECT *, lag(c) OVER (PARTITION BY doc_id ORDER BY i) p FROM c) SELECT doc_id, md5(string_agg(c, '' ORDER BY i) FILTER (WHERE p IS DISTINCT FROM c)) collapsed FROM k GROUP BY 1",
     "assign_color": f"SELECT p_partkey, {_assigned('p_name')} color FROM part",

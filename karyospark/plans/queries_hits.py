@@ -38,7 +38,7 @@ def nway_edges(spark, sf_dir):
 
 
 def shared_gene_ids(spark, sf_dir):
-    genes = X.chrom(spark, sf_dir).select("species", F.substring("protein", 2, 99).alias("gene"))
+    genes = X.chrom(spark, sf_dir).select("species", F.expr("substring(protein, 2)").alias("gene"))
     return H.shared_gene_ids(genes)
 
 

@@ -114,25 +114,77 @@ def test_merge_keeps_the_fullest_row_of_a_gene(spark):
     assert got == [("a", "b", "c", "mer_A_B_C_1")]
 
 
-def test_size_observations_agree_with_hashed_permutations(spark):
+def test_drawn_counts_agree_with_ranked_permutations(spark):
     rng = random.Random(1)
-    rows = [(f"r{i:03}", f"a{rng.randrange(3)}", f"b{rng.randrange(3)}") for i in range(30)]
-    df = spark.createDataFrame(rows, "rbh string, A_scaf string, B_scaf string")
-    n = 200
-    ours = {r["size"]: r["n"] / n for r in groups.group_size_observations(df, ["A", "B"], n, batch=30).groupBy("size").agg(F.sum("n").alias("n")).collect()}
-    moved = groups.shuffle_column(df, "B_scaf", "rbh", n).join(df.select("rbh", "A_scaf"), "rbh")
-    sizes = moved.groupBy("trial", "A_scaf", "B_scaf").count().select("trial", "count").distinct().groupBy("count").agg((F.count("*") / n).alias("p"))
-    theirs = {r["count"]: r.p for r in sizes.collect()}
+    rows = [(f"r{i:03}", f"a{rng.randrange(3)}", f"b{rng.randrange(3)}", None if i == 7 else f"c{rng.randrange(2)}") for i in range(31)]
+    df = spark.createDataFrame(rows, "rbh string, A_scaf string, B_scaf string, C_scaf string")
+    n, species = 300, ["A", "B", "C"]
+    drawn = groups.permuted_counts(df, species, n).cache()
+    ranked = groups.permuted_counts(df, species, n, drawn_tuples=0).cache()
+    for counts in (drawn, ranked):
+        assert {r[0] for r in counts.groupBy("trial").agg(F.sum("count")).select("sum(count)").collect()} == {30}
+        for key in ("A_scaf", "B_scaf", "C_scaf"):  # every permutation keeps the scaffolds' own counts
+            own = {r[0]: r[1] for r in df.dropna().groupBy(key).count().collect()}
+            assert {(r[key], r.n) for r in counts.groupBy("trial", key).agg(F.sum("count").alias("n")).collect()} == set(own.items())
+    share = lambda c: {r["size"]: r.alpha for r in groups.fdr_table(groups.group_size_observations(c), n).collect()}
+    ours, theirs = share(drawn), share(ranked)
     assert all(abs(ours.get(k, 0) - theirs.get(k, 0)) < 0.15 for k in {*ours, *theirs})
-    again = {r["size"]: r["n"] / n for r in groups.group_size_observations(df, ["A", "B"], n, batch=30).repartition(3).groupBy("size").agg(F.sum("n").alias("n")).collect()}
-    assert ours == again
-
-
-def test_mixing_of_known_strings(spark):
-    rows = [(s, "c", f"{s}{i}", i, g) for s, text in (("apart", "AAABBB"), ("mixed", "ABABAB")) for i, g in enumerate(text)]
+    again = groups.permuted_counts(df.repartition(3), species, n)
+    assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, again.collect()))
+    sizes = spark.createDataFrame([("a0", "b0", "c0", 1), ("a0", "b0", "x", 2), ("a1", "b1", "c1", 30)], "A_scaf string, B_scaf string, C_scaf string, count bigint")
+    p = {r["count"]: (r.p, r.p_family) for r in groups.combo_significance(sizes, drawn, species, n).collect()}
+    own = sum(1 for r in drawn.collect() if (r.A_scaf, r.B_scaf, r.C_scaf) == ("a0", "b0", "c0"))
+    assert p[1] == (own / n, 1.0) and p[2] == (1 / n, 1.0) and p[30] == (1 / n, 1 / n)
+    assert groups.permuted_counts(df.limit(0), species, 2).count() == 0
+
+
+@pytest.mark.parametrize("part", [1, 2, 100])
+def test_mixing_of_known_strings(spark, part):
+    texts = {"apart": "AAABBB", "mixed": "ABABAB", "long": "BBAABABBBA"}
+    rows = [(s, "c", f"{s}{i}", i, g) for s, text in texts.items() for i, g in enumerate(text)]
     df = spark.createDataFrame(rows, "species string, scaf string, gene string, pos bigint, gene_group string")
-    got = {r.species: (r.genestring, r.m) for r in mixing.mixing_value(df).collect()}
-    assert got == {"apart": ("AAABBB", 0.0), "mixed": ("ABABAB", 2.0)}
+    got = {r.species: (r.n_a, r.n_b, r.changes, r.m) for r in mixing.mixing_value(df, part=part).collect()}
+    assert got == {"apart": (3, 3, 1, 0.0), "mixed": (3, 3, 5, 2.0), "long": (4, 6, 5, pytest.approx(4 / 3.8))}
+    tight = {r.species: (r.n_a, r.n_b, r.changes) for r in mixing.mixing_value(df, compress=True, part=part).collect()}
+    assert tight == {"apart": (1, 1, 1), "mixed": (3, 3, 5), "long": (3, 3, 5)}
+    strings = {}
+    for r in sorted(mixing.gene_strings(df, part=part).collect(), key=lambda r: (r.species, r.part)):
+        strings[r.species] = strings.get(r.species, "") + r.genestring
+    assert strings == texts
+
+
+def test_suppression_of_clusters_is_that_of_the_whole():
+    def plain(ix, d, window):
+        stays = np.ones(len(ix), bool)
+        while True:
+            near = (np.abs(ix[:, None] - ix[None, :]) < window) & stays[None, :]
+            full = int(np.argmax(near.sum(1)))
+            members = np.flatnonzero(near[full])
+            if len(members) < 2:
+                return stays
+            best = members[np.lexsort((ix[members], -d[members]))[0]]
+            stays[members] = False
+            stays[best] = True
+
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        ix = np.sort(rng.choice(200, 40, replace=False))
+        d = rng.integers(0, 9, 40).astype(float)
+        assert (peaks.suppressed(ix, d, 7) == plain(ix, d, 7)).all()
+        cuts = np.flatnonzero(np.diff(ix) >= 7) + 1
+        parts = [peaks.suppressed(a, b, 7) for a, b in zip(np.split(ix, cuts), np.split(d, cuts), strict=True)]
+        assert (np.concatenate(parts) == plain(ix, d, 7)).all()
+
+
+def test_a_falling_chain_of_hits_is_taken_to_its_end(spark):
+    chain = [(f"q{i // 2}", f"s{(i + 1) // 2}", float(i), 1.0) for i in range(24)]
+    df = spark.createDataFrame([(q, s, e * 1e-9, b) for q, s, e, b in chain], "qseqid string, sseqid string, evalue double, bitscore double")
+    used, want = set(), []
+    for q, s, _, _ in chain:
+        if q not in used and s not in used:
+            want.append((q, s))
+            used |= {q, s}
+    assert sorted((r.qseqid, r.sseqid) for r in hits.greedy_one_to_one(df).collect()) == sorted(want)
 
 
 @pytest.mark.parametrize(("a", "b"), [(3, 3), (1, 4), (2, 5)])
