@@ -21,6 +21,10 @@ def get_bits(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)
 
 
+def _mix_two(keys: np.ndarray, seed: int) -> np.ndarray:
+    return mix(keys[:, 0] ^ mix(keys[:, 1], 1), seed) ^ mix(keys[:, 1], seed + 2)
+
+
 class MinimalPerfectHash:
     """Levels of bit arrays: a key sits at the first level where no other remaining key shares its bit.
 
@@ -81,7 +85,7 @@ class MinimalPerfectHash:
 
 
 class BloomBits:
-    """A Bloom filter over 64-bit keys; positions depend on the seed."""
+    """A Bloom filter over 128-bit keys (rows of two numbers); positions depend on the seed."""
 
     def __init__(self, bits: np.ndarray, m: int, k: int, seed: int):
         self.bits, self.m, self.k, self.seed = bits, m, k, seed
@@ -93,13 +97,13 @@ class BloomBits:
         k = max(1, round(-np.log2(rate)))
         flags = np.zeros(m, bool)
         for i in range(k):
-            flags[(mix(keys, seed * 64 + i) % np.uint64(m)).astype(np.int64)] = True
+            flags[(_mix_two(keys, seed * 64 + i) % np.uint64(m)).astype(np.int64)] = True
         return cls(np.packbits(flags, bitorder="little"), m, k, seed)
 
     def test(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)
         for i in range(self.k):
-            out &= get_bits(self.bits, mix(keys, self.seed * 64 + i) % np.uint64(self.m)).astype(bool)
+            out &= get_bits(self.bits, _mix_two(keys, self.seed * 64 + i) % np.uint64(self.m)).astype(bool)
         return out
 
     def to_bytes(self) -> bytes:

@@ -38,45 +38,49 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def candidate_keys(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
-    """All keys a URL can match: host suffixes of the given label counts with path starts of the given lengths."""
+    """All keys ``struct(host, path)`` a URL can match: host suffixes of the given label counts with path starts of the given lengths."""
     parts = F.split(host, r"\.", -1)
     suffixes = F.filter(
         F.array(*[F.when(F.size(parts) >= n, F.array_join(F.slice(parts, F.size(parts) - n + 1, n), ".")) for n in labels]), lambda s: s.isNotNull()
     )
     starts = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda s: s.isNotNull())
-    return F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.concat(s, F.lit("\n"), p))))
+    return F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.struct(s.alias("host"), p.alias("path")))))
 
 
 def _hash(key: Column) -> Column:
-    return F.xxhash64(F.lit("url"), key)
+    """``struct(h, g)``: 128 bits of a key of any type."""
+    return F.struct(F.xxhash64(F.lit("url"), key).alias("h"), F.xxhash64(F.lit("second"), key).alias("g"))
+
+
+def _pairs(pdf: pd.DataFrame) -> np.ndarray:
+    return pdf[["h", "g"]].to_numpy(np.int64).view(np.uint64)
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame) -> DataFrame:
-    """``(shard, n_shards, levels array<binary>)`` for the distinct string keys of ``listed.key`` over ``universe.key``.
+    """``(shard, n_shards, levels array<binary>)`` for the distinct keys of ``listed.key`` over ``universe.key``.
 
     Listed keys outside the universe are encoded as well.  Null keys add
     nothing; an empty list gives no rows, and then nothing is listed.
     """
-    hashes = cut(listed.where("key IS NOT NULL").select(_hash(F.col("key")).alias("h")).distinct())
+    hashes = cut(listed.where("key IS NOT NULL").select(_hash(F.col("key")).alias("k")).select("k.*").distinct())
     n_listed = hashes.count()
     n_shards = max(1, -(-n_listed // KEYS_A_SHARD))
-    known = cut(universe.where("key IS NOT NULL").select(_hash(F.col("key")).alias("h")).distinct())
+    known = cut(universe.where("key IS NOT NULL").select(_hash(F.col("key")).alias("k")).select("k.*").distinct())
     rate = min(0.5, 0.7 * max(n_listed, 1) / max(known.count(), 1))
     at = lambda df: df.withColumn("shard", F.pmod("h", F.lit(n_shards)).cast("int"))
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        level = BloomBits.build(pdf.h.to_numpy().view(np.uint64), rate, 0)
+        level = BloomBits.build(_pairs(pdf), rate, 0)
         return pd.DataFrame({"shard": pdf.shard.iloc[:1], "n_shards": n_shards, "levels": [[level.to_bytes()]]})
 
     level0 = cut(at(hashes).groupBy("shard").applyInPandas(first, "shard int, n_shards int, levels array<binary>"))
-    passed = known.withColumn("hit", F.lit(False))
-    passed = mark_members(passed.select("h", F.array("h").alias("hs")), [("hit", level0)]).where(F.element_at("hit", 1)).select("h")
-    wrong = passed.join(hashes, "h", "left_anti")
+    passed = mark_members(known.select("h", "g", F.array(F.struct("h", "g")).alias("hs")), [("hit", level0)]).where(F.element_at("hit", 1)).select("h", "g")
+    wrong = passed.join(hashes, ["h", "g"], "left_anti")
 
     def rest(mine: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         if not len(mine):
             return pd.DataFrame({"shard": [], "n_shards": [], "levels": []})
-        inside, outside = mine.h.to_numpy().view(np.uint64), other.h.to_numpy().view(np.uint64)
+        inside, outside = _pairs(mine), _pairs(other)
         levels = [BloomBits.build(inside, rate, 0)]
         encoded, against = outside, inside
         while len(encoded):
@@ -100,7 +104,7 @@ def in_cascade(levels: list[BloomBits], keys: np.ndarray) -> np.ndarray:
 
 
 def mark_members(df: DataFrame, cascades: list[tuple[str, DataFrame]], column: str = "hs") -> DataFrame:
-    """``df`` with one ``array<boolean>`` per cascade: which hashes of ``column`` are listed.
+    """``df`` with one ``array<boolean>`` per cascade: which hashes (h, g) of ``column`` are listed.
 
     Shards are broadcast in groups of at most ``BROADCAST_BYTES``; each group
     settles the keys of its own shards in one pass without a shuffle.
@@ -114,25 +118,25 @@ def mark_members(df: DataFrame, cascades: list[tuple[str, DataFrame]], column: s
         for g in range(groups):
             part = cascade.where(F.pmod("shard", F.lit(groups)) == g).collect()  # at most about BROADCAST_BYTES
             sent = df.sparkSession.sparkContext.broadcast({r.shard: [bytes(x) for x in r.levels] for r in part})
-            df = _mark(df, column, name, sent, n_shards)
+            df = _mark(df, F.flatten(F.transform(column, lambda x: F.array(x["h"], x["g"]))), name, sent, n_shards)
     return df
 
 
-def _mark(df: DataFrame, column: str, name: str, sent, n_shards: int) -> DataFrame:
+def _mark(df: DataFrame, halves: Column, name: str, sent, n_shards: int) -> DataFrame:
     @F.pandas_udf("array<boolean>")
     def probe(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         shards = {k: [BloomBits.from_bytes(x) for x in v] for k, v in sent.value.items()}
         for hashes, flags in batches:
-            lengths = np.array([len(x) for x in hashes], np.int64)
-            flat = np.concatenate([np.asarray(x, np.int64) for x in hashes]) if lengths.sum() else np.zeros(0, np.int64)
+            lengths = np.array([len(x) for x in flags], np.int64)
+            keys = np.concatenate([np.asarray(x, np.int64) for x in hashes] if lengths.sum() else [np.zeros(0, np.int64)]).reshape(-1, 2)
             out = np.concatenate([np.asarray(x, bool) for x in flags]) if lengths.sum() else np.zeros(0, bool)
-            of = flat % n_shards
+            of = keys[:, 0] % n_shards
             for shard, levels in shards.items():
                 at = np.flatnonzero(of == shard)
-                out[at] = in_cascade(levels, flat[at].view(np.uint64))
+                out[at] = in_cascade(levels, keys[at].view(np.uint64))
             yield pd.Series(np.split(out, np.cumsum(lengths)[:-1]) if len(lengths) else [], index=hashes.index)
 
-    return df.withColumn(name, probe(column, name))
+    return df.withColumn(name, probe(halves, name))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
@@ -157,14 +161,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         return parts.select("row.*", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     keyed = parts.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), list(shape[0]), list(shape[1])))
     universe = keyed.select(F.explode("keys").alias("key"))
-    key = F.concat("host", F.lit("\n"), "path")
+    key = F.struct("host", "path")
     cascades = [(v, cut(build_cascade(listed.where(F.col("verdict") == v).select(key.alias("key")), universe))) for v in ("allow", "block")]
     marked = mark_members(keyed.withColumn("hs", F.transform("keys", _hash)), cascades)
     hits = F.filter(
         F.zip_with(
             F.col("keys"), F.arrays_zip("allow", "block"),
             lambda k, f: F.struct(
-                F.length(k).alias("n"), (F.instr(k, "\n") - 1).alias("m"), f["block"].alias("block"), (f["allow"] | f["block"]).alias("listed"), F.translate(k, "\n", "").alias("rule")
+                (F.length(k["host"]) + F.length(k["path"])).alias("n"), F.length(k["host"]).alias("m"), f["block"].alias("block"), (f["allow"] | f["block"]).alias("listed"), F.concat(k["host"], k["path"]).alias("rule")
             ),
         ),
         lambda s: s["listed"],

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 
 from karyospark.llm import line_dedup as L
@@ -55,3 +56,21 @@ def test_query_digest(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     want = [(a, b, c, hashlib.sha256(t.encode()).hexdigest()) for a, b, c, t in plain(rows)]
     assert sorted((tuple(r) for r in L.op2_mph_line_dedup(spark, d).collect()), key=str) == sorted(want, key=str)
+
+
+def test_hashes_that_share_their_first_half(spark):
+    rows = [(d, 7, g) for d in range(1, 7) for g in (1, 2)] + [(d, 7, 3) for d in (1, 2)] + [(d, 9, 1) for d in range(3, 9)] + [(None, 7, 1)]
+    probes = spark.createDataFrame(rows, "doc_id bigint, h1 bigint, h2 bigint").cache()
+    index = L.build_line_index(probes, 1).cache()
+    assert index.count() == 1 and len(index.first().spare) == 2 * 32
+    got = sorted(map(tuple, L.probe_line_index(probes, index, 5, 1).collect()))
+    assert got == sorted([(d, 7, g) for d in range(1, 6) for g in (1, 2)] + [(d, 9, 1) for d in range(3, 8)])
+
+
+def test_a_line_goes_by_both_halves_of_its_hash():
+    line, other = "x" * 50, "y" * 50
+    halves = lambda t: [L._signed(t.encode(), s) for s in (42, L.SECOND_SEED)]
+    text = f"{line}\n{other}"
+    assert L._cut_one(text, np.array(halves(line)), 40) == (other, 2, 1)
+    assert L._cut_one(text, np.array([halves(line)[0], 5]), 40) == (text, 2, 0)
+    assert L._cut_one(text, np.array([*halves(line), halves(line)[0], 5, *halves(other)]), 40) == ("", 2, 2)

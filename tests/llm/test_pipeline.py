@@ -108,3 +108,38 @@ def test_encoding(steps, library):  # noqa: F811
 def test_run_is_the_stages_in_order(spark, steps):
     key = lambda df: sorted((r.doc_id, r.n_tokens) for r in df.select("doc_id", "n_tokens").collect())
     assert key(P.run(spark, D)) == key(steps[5])
+
+
+PROSE = "The river was wide and the boats were slow, but nobody on the shore had ever seen it from the other side of the hills. "
+CLASH = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, kept string, posterior string, rate string, copy string, n_lines string, original_text string, row string, mix_key string, token_ids string"
+
+
+def odd_documents(spark):
+    texts = [None, "", " \n\t ", PROSE, PROSE, PROSE * 3000, "x", "漢字 ☃ 🙂", PROSE + "\n" + "=" * 60 + "\nEnd of it."]
+    rows = [(None if k == 4 else k // 2, t, "en", None if k % 3 else "web", len(t or ""), *(f"own {n}" for n in range(10))) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows + rows[3:4], CLASH)
+
+
+@pytest.mark.parametrize("n", range(5))
+def test_odd_rows_and_clashing_names(spark, n):
+    docs = odd_documents(spark)
+    out = P.STAGES[n][1](spark, docs, D)
+    got = out.collect()
+    own = {tuple(r) for r in docs.collect()}
+    if n < 4:
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        assert {tuple(r) for r in got} <= own  # no line is common enough to go
+    if n == 0:
+        assert all(r.text and r.text.strip() for r in got)
+    if n == 1:
+        assert len(got) == docs.count()
+    if n == 2:
+        assert sorted(-1 if r.doc_id is None else r.doc_id for r in got) == [-1, 0, 0, 1, 1, 1, 3, 3]  # 2 repeats the prose of 1, 4 goes on after it
+    if n == 4:
+        assert len(got) == docs.count() and all(r.n_tokens == len(r.token_ids) for r in got)
+    nothing = P.STAGES[n][1](spark, docs.limit(0), D)
+    assert nothing.count() == 0
+
+
+def test_the_session_keeps_its_setting(spark, steps):
+    assert spark.conf.get(P.BATCH_SETTING) == "10000"

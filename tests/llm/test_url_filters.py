@@ -66,3 +66,18 @@ def test_minimal_perfect_hash(n):
         assert sum(map(len, mph.levels)) * 8 < 4.5 * n + 400
         with pytest.raises(ValueError, match="distinct"):
             MinimalPerfectHash.build(np.concatenate([keys, keys]))
+
+
+def test_filters_tell_keys_with_one_equal_half_apart():
+    keys = np.stack([np.full(2000, 5, np.uint64), np.arange(2000, dtype=np.uint64)], 1)
+    level = BloomBits.build(keys[:1000], 0.01, 0)
+    assert level.test(keys[:1000]).all() and level.test(keys[1000:]).mean() < 0.05
+    again = BloomBits.from_bytes(level.to_bytes())
+    assert (again.test(keys) == level.test(keys)).all()
+
+
+def test_line_ends_in_hosts_and_paths(spark):
+    rules = spark.createDataFrame([("a\nb.org", "/x\ny", "block"), ("c.org", "/", "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://w.a\nb.org/x\nyz"), (2, "http://a\nb.org/x"), (3, "http://c.org/\n"), (4, "http://c.org\n/")], "page_id int, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in U.judge_urls(pages, rules).collect()}
+    assert got == {1: ("a\nb.org/x\ny", "block"), 2: (None, "allow"), 3: ("c.org/", "block"), 4: (None, "allow")}
