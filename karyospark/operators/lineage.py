@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where the setting is absent (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where the setting is absent and all runs on one machine.
+
+    Raises on a cluster without the setting: its machines share no temporary folder.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named is None:
         current = sc._jsc.sc().getCheckpointDir()
+        if current.isEmpty() and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named)
