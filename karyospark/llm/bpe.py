@@ -22,18 +22,21 @@ from itertools import chain, islice, pairwise
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .bits import MinimalPerfectHash
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens that a generation of the memo holds, and bounds of what is looked up together.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 150_000
 PIECES_AT_ONCE = 1 << 18
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
+ROWS_AT_ONCE = 500
 
 
 class Memo:
@@ -117,6 +120,10 @@ class Codec:
         whole = self.ids
         return tuple([whole[i] for i in ids if i >= 0])
 
+    def forget(self) -> None:
+        """Leaves the vocabulary only."""
+        self.memo = Memo()
+
     def learn(self, pieces: set[str]) -> None:
         """Remembers the ids of these pre-tokens."""
         new = self.memo.missing(pieces)
@@ -215,27 +222,38 @@ def round_trip(text: Column, path: str | None = None) -> Column:
     return udf(text)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """All columns of ``docs`` and ``token_ids array<int>``, ``n_tokens`` and ``decoded_sha256``, of the bytes that the ids give back.
+def encode_documents(docs: DataFrame, path: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` (by default all) of ``docs`` and ``token_ids array<int>``, ``n_tokens`` and ``decoded_sha256``, of the bytes that the ids give back.
 
     The whole text is cut by the public pattern and encoded without special
     tokens; very long texts go through in parts of bounded size, with the ids
     of the whole.  Null and empty texts have no ids, repeated rows come back as
     often, an empty table gives no rows, and input columns of the three new
-    names are replaced.
+    names are replaced.  ``ROWS_AT_ONCE`` rows are worked on at a time, however
+    large the batches that Spark sends.
     """
     path = path or public_tokenizers.path(VOCABULARY)
-    new = ("token_ids", "n_tokens", "decoded_sha256")
+    new = "token_ids array<int>, n_tokens bigint, decoded_sha256 string"
+    names = [c for c in keep or docs.columns if c not in ("token_ids", "n_tokens", "decoded_sha256")]
+    sent = docs.select(F.col("text").cast("string").alias("_encoded"), *names)
 
-    @F.pandas_udf("token_ids array<int>, n_tokens bigint, decoded_sha256 string")
-    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for texts in batches:
-            rows = [(np.array(ids, np.int32), len(ids), hashlib.sha256(own.decode(ids)).hexdigest()) for ids in own.encode_all(texts)]
-            yield pd.DataFrame(rows, columns=list(new), index=texts.index)
-
-    rows = docs.select(F.struct(*[c for c in docs.columns if c not in new]).alias("row"), udf("text").alias("ids"))
-    return rows.select("row.*", "ids.*")
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(lo, ROWS_AT_ONCE)
+                ids, digests = [], []
+                for found in own.encode_all(part.column(0).to_pylist()):
+                    ids.append(np.array(found, np.int32))
+                    digests.append(hashlib.sha256(own.decode(found)).hexdigest())
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+                columns = [*part.columns[1:], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array(sizes), pa.array(digests)]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "token_ids", "n_tokens", "decoded_sha256"])
+        own.forget()  # the next stage's work needs the room
+
+    fields = [*sent.schema.fields[1:], *StructType.fromDDL(new).fields]
+    return sent.mapInArrow(run, StructType(fields))
 
 
 def op6_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
