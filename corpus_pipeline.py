@@ -77,7 +77,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts have no ids; every copy is a row; an empty table gives
     none.  Only the id, language and source of a document go with its ids.
     """
-    return bpe.encode_documents(docs.select("doc_id", "lang", "source", "text")).drop("text")
+    return bpe.encode_documents(docs, keep=["doc_id", "lang", "source"])
 
 
 STAGES = [
