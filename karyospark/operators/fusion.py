@@ -85,6 +85,15 @@ def fusion_stats(tables: DataFrame, b: str, c: str) -> DataFrame:
     return tables.groupBy(f"{b}_scaf", f"{c}_scaf", "mixed").agg(F.sort_array(F.collect_list("count")).alias("counts"))
 
 
+def fusion_members(tables: DataFrame, rbh: DataFrame, species: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per ortholog that a row of ``fusion_tables`` rests on: the table's columns and ``rbh``.
+
+    Names stay rows, as a scaffold tuple may hold any share of the orthologs.
+    """
+    keys = [*by, *[f"{s}_scaf" for s in species]]
+    return tables.join(rbh.select(*keys, "rbh"), keys)
+
+
 def derived_fissions(groups: DataFrame, species: list[str]) -> DataFrame:
     """Rows that share all scaffolds but that of one ingroup species, once for each such species."""
     parts = []

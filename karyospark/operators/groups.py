@@ -56,6 +56,20 @@ def name_groups(groups: DataFrame, species: list[str], cutoff: float = 0.05) ->
     return ranked.withColumn("color", F.when(F.col("alpha") <= cutoff, assign_color(F.col("gene_group"))).otherwise("#000000"))
 
 
+def order_group_columns(groups: DataFrame, species: list[str]) -> DataFrame:
+    """The order of a group table: what describes the group, the species' columns sorted, the rest sorted."""
+    first = [c for c in ("rbh", "gene_group", "color", "count", "alpha", "alpha_type") if c in groups.columns]
+    of_species = sorted(c for c in groups.columns if c.split("_")[0] in species and c not in first)
+    return groups.select(*first, *of_species, *sorted(set(groups.columns) - {*first, *of_species}))
+
+
+def order_profile_columns(rbh: DataFrame, original: list[str], added: list[str]) -> DataFrame:
+    """The order of an ortholog table with species added by profile: ``rbh``, annotations, the old species, the new ones."""
+    of = lambda names: sorted(c for c in rbh.columns if c != "rbh" and c.split("_")[0] in names)
+    old, new = of(original), of(added)
+    return rbh.select("rbh", *sorted(set(rbh.columns) - {"rbh", *old, *new}), *old, *new)
+
+
 def unwrap_groups(groups: DataFrame) -> DataFrame:
     """One row per ortholog again: arrays side by side, other columns repeated, without ``count``."""
     arrays = [c for c, t in groups.dtypes if t.startswith("array")]

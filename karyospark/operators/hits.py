@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .components import connected_components
+from .coords import assign_breakchrom, gene_index
 from .lineage import cut
 
 PAIR = ["query_species", "target_species"]
@@ -84,22 +86,41 @@ def shared_gene_ids(genes: DataFrame) -> DataFrame:
     return genes.groupBy("gene").agg(F.count_distinct("species").alias("n_species")).where("n_species > 1")
 
 
-def nway_rbh(edges: DataFrame, species: list[str]) -> DataFrame:
+def nway_rbh(edges: DataFrame, species: list[str], mode: str = "strict") -> DataFrame:
     """Orthologs of all ``species``: one row per complete graph, ``rbh`` and ``{sp}_gene``.
 
     ``edges`` are pairwise RBHs with the first species by name as the query; a
-    path or any other graph short of complete is no ortholog.
+    path or any other graph short of complete is no ortholog.  With ``degree``
+    it is enough that genes with a partner in every other species form a
+    component of one gene a species; partners that were dropped still count.
     """
     species, edges = sorted(species), cut(edges)
+    genes = [f"{s}_gene" for s in species]
+    name = f"rbh{len(species)}way_{'_'.join(species)}_"
+    out = (_by_degree if mode == "degree" else _complete)(edges, species)
+    return number_rows(out.select(*genes).distinct(), genes).select(F.concat(F.lit(name), "number").alias("rbh"), *genes)
+
+
+def _complete(edges: DataFrame, species: list[str]) -> DataFrame:
     between = lambda a, b: edges.where((F.col("query_species") == a) & (F.col("target_species") == b)).select(F.col("qseqid").alias(f"{a}_gene"), F.col("sseqid").alias(f"{b}_gene"))
     out = between(species[0], species[1])
     for k, new in enumerate(species[2:], 2):
         out = out.join(between(species[0], new), f"{species[0]}_gene")
         for old in species[1:k]:
             out = out.join(between(old, new), [f"{old}_gene", f"{new}_gene"], "left_semi")
-    genes = [f"{s}_gene" for s in species]
-    name = f"rbh{len(species)}way_{'_'.join(species)}_"
-    return number_rows(out.select(*genes).distinct(), genes).select(F.concat(F.lit(name), "number").alias("rbh"), *genes)
+    return out
+
+
+def _by_degree(edges: DataFrame, species: list[str]) -> DataFrame:
+    node = lambda s, g: F.concat_ws("\t", s, g)
+    inside = edges.where(F.col("query_species").isin(species) & F.col("target_species").isin(species))
+    links = cut(inside.select(node("query_species", "qseqid").alias("a"), node("target_species", "sseqid").alias("b")).distinct())
+    whole = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(species) - 1)
+    whole = cut(whole.select("node"))
+    kept = links.join(whole, links.a == whole.node, "left_semi").join(whole, links.b == whole.node, "left_semi")
+    member = connected_components(kept).select("root", F.substring_index("node", "\t", 1).alias("sp"), F.substring_index("node", "\t", -1).alias("gene"))
+    found = member.groupBy("root").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.when(F.col("sp") == s, F.col("gene"))).alias(f"{s}_gene") for s in species])
+    return found.where(F.col("n") == len(species)).dropna(subset=[f"{s}_gene" for s in species])
 
 
 def number_rows(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
@@ -125,17 +146,27 @@ def top_hits(hits: DataFrame, n: int = 5, order: list[Column] | None = None) ->
     return hits.withColumn("place", F.row_number().over(W.partitionBy("qseqid").orderBy(*order))).where(F.col("place") <= n)
 
 
+def top_hits_by_run(hits: DataFrame, line: str, n: int = 5) -> DataFrame:
+    """The first ``n`` rows of every run of lines with one query, in the order of ``line``; a query that comes back starts again."""
+    of_all = number_rows(hits, [line], "_line")
+    of_query = F.row_number().over(W.partitionBy("qseqid").orderBy("_line"))
+    runs = of_all.withColumn("_run", F.col("_line") - of_query)  # grows only where other queries stand between
+    place = F.row_number().over(W.partitionBy("qseqid", "_run").orderBy("_line"))
+    return runs.withColumn("place", place).where(F.col("place") <= n).drop("_line", "_run")
+
+
 def best_then_best(hits: DataFrame, order: list[Column]) -> DataFrame:
     """The best row of each target, and of those the best of each query."""
     by_target = top_hit(hits, ["sseqid"], [*order, F.col("qseqid")])
     return top_hit(by_target, ["qseqid"], [*order, F.col("sseqid")])
 
 
-def hmm_hits_to_rbh(hits: DataFrame, lg: DataFrame, chrom: DataFrame, lg_name: str, sample: str) -> DataFrame:
+def hmm_hits_to_rbh(hits: DataFrame, lg: DataFrame, chrom: DataFrame, lg_name: str, sample: str, breaks: DataFrame | None = None) -> DataFrame:
     """Profile hits as a pairwise ortholog table in which the linkage groups are a genome.
 
     A group's scaffold is its ``gene_group``, a family's position its rank by
-    id among the matched families of the group.
+    id among the matched families of the group.  The sample's genes have pieces
+    by ``breaks`` and indices among the matched genes, null without coordinates.
     """
     best = best_then_best(hits, [F.col("evalue"), -F.col("bitscore")]).select(F.col("qseqid").alias(f"{lg_name}_gene"), F.col("sseqid").alias(f"{sample}_gene"))
     named = best.join(lg.select("rbh", "gene_group", "color"), best[f"{lg_name}_gene"] == lg.rbh, "left")
@@ -143,6 +174,10 @@ def hmm_hits_to_rbh(hits: DataFrame, lg: DataFrame, chrom: DataFrame, lg_name: s
     named = named.withColumn(f"{lg_name}_scaf", F.col("gene_group")).withColumn(f"{lg_name}_pos", place)
     genes = chrom.select(F.col("protein").alias(f"{sample}_gene"), F.col("scaf").alias(f"{sample}_scaf"), F.col("start").alias(f"{sample}_pos"))
     out = named.join(genes, f"{sample}_gene", "left")
+    breaks = hits.sparkSession.createDataFrame([], "species string, scaf string, break_pos bigint") if breaks is None else breaks
+    out = gene_index(assign_breakchrom(out, breaks, sample), sample)
+    for c in (f"{sample}_ix", f"{sample}_break_ix"):
+        out = out.withColumn(c, F.when(F.col(f"{sample}_scaf").isNotNull(), F.col(c)))
     return (
         out.withColumn(f"{lg_name}_breakchrom", F.concat("gene_group", F.lit(":0-end")))
         .withColumn(f"{lg_name}_ix", F.col(f"{lg_name}_pos") - 1)

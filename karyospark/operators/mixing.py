@@ -92,11 +92,27 @@ def _runs_ln(n_a: int, n_b: int, table: np.ndarray) -> np.ndarray:
     return np.where(r % 2 == 0, even, odd) - (table[n_a + n_b] - table[n_a] - table[n_b])
 
 
-def mixing_null(mixed: DataFrame) -> DataFrame:
+def _compressed_null(runs: int, ln: np.ndarray) -> tuple[float | None, float | None]:
+    """``(mode, P(m_random <= m))`` where the shuffled string is compressed before it is measured.
+
+    An even number of runs from 4 on gives m = 2 exactly, an odd one r gives
+    2 r (r - 2) / (r r - 2 r - 1), which falls towards 2; two runs give no value.
+    """
+    p, r = np.exp(ln), np.arange(2, len(ln) + 2)
+    even, odd = p[(r % 2 == 0) & (r > 2)].sum(), np.where(r % 2 == 1, p, 0.0)
+    most = int(r[np.argmax(np.round(odd, 12))])
+    if not even and not odd.any():
+        return None, None
+    mode = 2.0 if even >= odd.max() else 2 * most * (most - 2) / (most * most - 2 * most - 1)
+    return mode, None if runs <= 2 else min(1.0, float(even + (odd[r >= runs].sum() if runs % 2 else 0.0)))
+
+
+def mixing_null(mixed: DataFrame, compress: bool = False) -> DataFrame:
     """Exact null of ``m`` for the rows of ``mixing_value``: ``mode``, ``p_value_unmixed`` and percent of the way to the mode.
 
     ``changes`` is the number of runs less one, whose distribution is known, so
-    nothing is simulated.
+    nothing is simulated.  With ``compress``, for compressed rows, random strings
+    are compressed as well.
     """
 
     @F.pandas_udf("mode double, p_value_unmixed double")
@@ -108,6 +124,9 @@ def mixing_null(mixed: DataFrame) -> DataFrame:
             with np.errstate(invalid="ignore", divide="ignore"):
                 for n_a, n_b, t in zip(a, b, changes, strict=True):
                     ln = _runs_ln(int(n_a), int(n_b), table)
+                    if compress:
+                        rows.append(_compressed_null(int(t) + 1, ln))
+                        continue
                     expected = 2 * n_a * n_b / (n_a + n_b) - 1
                     top = int(np.argmax(np.round(ln, 9)))
                     rows.append((top / expected if expected else None, min(1.0, float(np.exp(ln[: int(t)]).sum()))))

@@ -103,6 +103,12 @@ def match_species_to_lg(genes: DataFrame, lg: DataFrame, species: list[str]) ->
     return None
 
 
+def color_by_ids_or_hits(long: DataFrame, by_id: DataFrame, by_hit: DataFrame, species: list[str]) -> DataFrame:
+    """``color_by_lg`` from the ids of linkage-group members if any gene is one, else from profile hits."""
+    known = not long.join(by_id, "gene", "left_semi").isEmpty()
+    return color_by_lg(long, by_id if known else by_hit, species)
+
+
 def color_by_lg(long: DataFrame, names: DataFrame, species: list[str]) -> DataFrame:
     """``gene_group`` and ``color`` per ortholog: of the last species whose gene has a group or a color, else ``None`` and black.
 

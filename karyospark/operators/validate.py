@@ -42,6 +42,28 @@ def validate_chrom(lines: DataFrame) -> DataFrame:
     return _violations(lines, rules, "protein")
 
 
+def refuse(violations: DataFrame, shown: str, what: str) -> None:
+    """Raises with the first few values of ``shown`` where there are violations."""
+    found = [str(r[0]) for r in violations.select(shown).distinct().orderBy(shown).limit(EXAMPLES).collect()]
+    if found:
+        raise ValueError(f"{what}, such as {', '.join(found)}")
+
+
+def require_columns(table: DataFrame, columns: list[str]) -> None:
+    """Raises where a column is missing."""
+    if missing := [c for c in columns if c not in table.columns]:
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
+
+
+def check_proteins(records: DataFrame, duplicates: str = "fail") -> None:
+    """Raises where an id comes twice, and where two ids have one sequence unless ``duplicates`` is ``pass``."""
+    if duplicates not in ("fail", "pass"):
+        raise ValueError(f"duplicate proteins may fail or pass, not {duplicates}")
+    refuse(duplicate_ids(records), "id", "protein ids come more than once")
+    if duplicates == "fail":
+        refuse(duplicate_sequences(records), "id", "proteins have an earlier one's sequence")
+
+
 def duplicate_ids(records: DataFrame) -> DataFrame:
     """Header ids that come more than once."""
     return records.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -68,7 +90,8 @@ def filter_proteins_to_chrom(records: DataFrame, chrom: DataFrame, order: str =
 
 
 def validate_lg_db(rbh: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Names on one side only: ``(name, missing_in)``."""
+    """Names on one side only: ``(name, missing_in)``.  Raises where ``rbh`` has no names, groups or colors."""
+    require_columns(rbh, ["rbh", "gene_group", "color"])
     a, b = rbh.select(F.col("rbh").alias("name")), profiles.select("name")
     return a.join(b, "name", "left_anti").withColumn("missing_in", F.lit("profiles")).unionByName(b.join(a, "name", "left_anti").withColumn("missing_in", F.lit("rbh"))).distinct()
 

@@ -239,9 +239,9 @@ _COLLAPSE = "list_reduce(list_transform(range(1, length(g) + 1), lambda i: g[i])
 _G4 = "g4 AS (SELECT " + SCAFS + ", count(*) \"count\", " + ", ".join(f"min({s}_pos) {s}_lo, max({s}_pos) {s}_hi" for s in SP) + " FROM orth GROUP BY ALL HAVING count(*) >= {least})"
 
 
-def _hyp(a: str, b: str, c: str, n: str) -> str:
-    """CTEs up to {n}: the fusion table with a as sister, from g4."""
-    p = f"{b}_scaf, {c}_scaf"
+def _hyp(a: str, b: str, c: str, n: str, by: str = "") -> str:
+    """CTEs up to {n}: the fusion table with a as sister, from g4, within each value of ``by``."""
+    p = f"{by}{b}_scaf, {c}_scaf"
     return f"""{n}1 AS (SELECT * FROM g4 QUALIFY count(*) OVER (PARTITION BY {p}) >= 2),
 {n}2 AS (SELECT *, count(*) OVER (PARTITION BY {p}, A_scaf) > 1 dup FROM {n}1),
 {n}3 AS (SELECT *, count(*) FILTER (WHERE dup) OVER w dups, count(*) FILTER (WHERE NOT dup) OVER w singles, max(CASE WHEN NOT dup THEN {a}_scaf END) OVER w sa FROM {n}2 WINDOW w AS (PARTITION BY {p})),

@@ -51,7 +51,7 @@ def rank_hits(spark, sf_dir):
 
 
 def hmm_hits_to_rbh(spark, sf_dir):
-    return H.hmm_hits_to_rbh(X.profile_hits(spark, sf_dir), X.lg_db(spark), X.chrom(spark, sf_dir).where("species = 'C'"), "LG", "C")
+    return H.hmm_hits_to_rbh(X.profile_hits(spark, sf_dir), X.lg_db(spark), X.chrom(spark, sf_dir).where("species = 'C'"), "LG", "C", X.breaks(spark))
 
 
 def hmm_best_per_gene(spark, sf_dir):
@@ -113,9 +113,13 @@ ORACLES = {
     "shared_gene_ids": with_tables("chrom", "SELECT substr(protein, 2) gene, count(DISTINCT species) n_species FROM chrom GROUP BY 1 HAVING count(DISTINCT species) > 1"),
     "top_hits": with_tables("profile_hits", "SELECT *, CAST(row_number() OVER (PARTITION BY qseqid ORDER BY evalue, bitscore DESC, sseqid) AS INTEGER) place FROM profile_hits QUALIFY place <= 5"),
     "rank_hits": with_tables("profile_hits", "SELECT * FROM profile_hits QUALIFY row_number() OVER (PARTITION BY qseqid ORDER BY bitscore DESC, evalue, sseqid) = 1"),
-    "hmm_hits_to_rbh": with_tables("profile_hits lg_db chrom", "WITH " + _BEST.format(o="evalue, bitscore DESC") + """,
-n AS (SELECT best.qseqid LG_gene, best.sseqid C_gene, rbh, gene_group, color, gene_group LG_scaf, row_number() OVER (PARTITION BY gene_group ORDER BY rbh, best.sseqid) LG_pos FROM best LEFT JOIN lg_db ON rbh = best.qseqid)
-SELECT n.*, scaf C_scaf, "start" C_pos, gene_group || ':0-end' LG_breakchrom, LG_pos - 1 LG_ix, LG_pos - 1 LG_break_ix FROM n LEFT JOIN chrom ON chrom.species = 'C' AND protein = C_gene"""),
+    "hmm_hits_to_rbh": with_tables("profile_hits lg_db chrom breaks", "WITH " + _BEST.format(o="evalue, bitscore DESC") + """,
+bk AS (SELECT scaf, break_pos lo FROM breaks WHERE species = 'C' UNION SELECT scaf, 0 FROM breaks WHERE species = 'C'),
+pc AS (SELECT scaf, lo, coalesce(lead(lo) OVER (PARTITION BY scaf ORDER BY lo), 9999999999) hi FROM bk),
+n AS (SELECT best.qseqid LG_gene, best.sseqid C_gene, rbh, gene_group, color, gene_group LG_scaf, row_number() OVER (PARTITION BY gene_group ORDER BY rbh, best.sseqid) LG_pos FROM best LEFT JOIN lg_db ON rbh = best.qseqid),
+j AS (SELECT n.*, chrom.scaf C_scaf, "start" C_pos, gene_group || ':0-end' LG_breakchrom, LG_pos - 1 LG_ix, LG_pos - 1 LG_break_ix, coalesce(pc.scaf || ':' || lo || '-' || CASE WHEN hi = 9999999999 THEN 'end' ELSE CAST(hi AS VARCHAR) END, chrom.scaf || ':0-end') C_breakchrom
+  FROM n LEFT JOIN chrom ON chrom.species = 'C' AND protein = C_gene LEFT JOIN pc ON pc.scaf = chrom.scaf AND lo <= "start" AND "start" < hi)
+SELECT *, CASE WHEN C_scaf IS NOT NULL THEN row_number() OVER (PARTITION BY C_scaf ORDER BY C_pos, C_gene) - 1 END C_ix, CASE WHEN C_scaf IS NOT NULL THEN row_number() OVER (PARTITION BY C_breakchrom ORDER BY C_pos, C_gene) - 1 END C_break_ix FROM j"""),
     "hmm_best_per_gene": with_tables("profile_hits", "WITH " + _BEST.format(o="bitscore DESC") + " SELECT * FROM best"),
     "add_species_columns": with_tables("profile_hits lg_db chrom", "WITH " + _BEST.format(o="bitscore DESC") + """ SELECT lg_db.*, best.sseqid C_gene, scaf C_scaf, "start" C_pos FROM lg_db LEFT JOIN best ON best.qseqid = rbh LEFT JOIN chrom ON species = 'C' AND protein = best.sseqid"""),
     "pseudo_hits": with_tables("orth", "SELECT rbh qseqid, rbh || '_A' sseqid, 0.0::DOUBLE evalue, 9999.0::DOUBLE bitscore FROM orth UNION SELECT rbh, B_gene, 0.0, 9999.0 FROM orth"),

@@ -40,13 +40,21 @@ def parse_hmm_tblout(lines: DataFrame) -> DataFrame:
 
 
 def read_chrom(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return chrom_with_middle(spark.read.csv(path, sep="\t", header=False, schema=CHROM_SCHEMA))
+    """Gene coordinates with ``middle``; of lines that share a protein the last one stays."""
+    return chrom_with_middle(with_line(spark.read.csv(path, sep="\t", header=False, schema=CHROM_SCHEMA)), "line")
 
 
-def chrom_with_middle(chrom: DataFrame) -> DataFrame:
-    """Gene coordinates with ``middle``; of rows that share a protein the last by position stays."""
-    rest = [c for c in chrom.columns if c != "protein"]
-    last = chrom.groupBy("protein").agg(F.max(F.struct("scaf", "start", "stop", *[c for c in rest if c not in ("scaf", "start", "stop")])).alias("r"))
+def with_line(rows: DataFrame) -> DataFrame:
+    """Rows just read from text files with ``line``, which grows along each file, files by name."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return rows.select("*", place.alias("line"))
+
+
+def chrom_with_middle(chrom: DataFrame, line: str | None = None) -> DataFrame:
+    """Gene coordinates with ``middle``; of rows that share a protein the last by ``line``, or by position, stays."""
+    rest = [c for c in chrom.columns if c not in ("protein", line)]
+    order = [F.col(line)] if line else []
+    last = chrom.groupBy("protein").agg(F.max(F.struct(*order, "scaf", "start", "stop", *[c for c in rest if c not in ("scaf", "start", "stop")])).alias("r"))
     return last.select("protein", *[F.col(f"r.{c}").alias(c) for c in rest]).withColumn("middle", F.floor(F.col("start") + (F.col("stop") - F.col("start")) / 2))
 
 

@@ -256,3 +256,69 @@ def test_break_peaks(spark):
     assert peaks.auto_breaks(rows.limit(0), "A").count() == 0
     stays = peaks.suppressed(np.array([1, 3, 10, 12, 40]), np.array([1.0, 2.0, 3.0, 3.0, 0.1]), 20)
     assert stays.tolist() == [False, False, True, False, True]
+
+
+def test_degree_orthologs_count_dropped_partners(spark):
+    rows = [("A", "B", "a1", "b1"), ("A", "C", "a1", "c1"), ("B", "C", "b1", "c1")]  # complete
+    rows += [("A", "B", "a2", "b2"), ("A", "C", "a2", "c9"), ("B", "C", "b2", "c2"), ("A", "C", "a3", "c2")]  # a2-b2-c2, whose ends have their other partners elsewhere
+    rows += [("A", "B", "a4", "b4"), ("B", "C", "b4", "c4")]  # ends without another partner
+    edges = spark.createDataFrame(rows, "query_species string, target_species string, qseqid string, sseqid string")
+    genes = lambda mode: {(r.A_gene, r.B_gene, r.C_gene) for r in hits.nway_rbh(edges, list("ABC"), mode).collect()}
+    assert genes("strict") == {("a1", "b1", "c1")}
+    assert genes("degree") == {("a1", "b1", "c1"), ("a2", "b2", "c2")}
+
+
+def test_runs_of_a_query_start_again(spark):
+    queries = "aaabbbaaac"
+    rows = spark.createDataFrame(list(enumerate(queries)), "line int, qseqid string")
+    got = sorted((r.line, r.place) for r in hits.top_hits_by_run(rows, "line", 2).collect())
+    assert got == [(0, 1), (1, 2), (3, 1), (4, 2), (6, 1), (7, 2), (9, 1)]
+    assert hits.top_hits_by_run(rows.where("line < 0"), "line").count() == 0
+
+
+def test_column_orders(spark):
+    columns = ["z", "B_scaf", "A_pos", "alpha_type", "count", "rbh", "A_gene", "gene_group", "alpha", "y_A"]
+    table = spark.createDataFrame([tuple("x" * len(columns))], columns)
+    assert groups.order_group_columns(table, ["A", "B"]).columns == ["rbh", "gene_group", "count", "alpha", "alpha_type", "A_gene", "A_pos", "B_scaf", "y_A", "z"]
+    assert groups.order_profile_columns(table, ["B"], ["A"]).columns == ["rbh", "alpha", "alpha_type", "count", "gene_group", "y_A", "z", "B_scaf", "A_gene", "A_pos"]
+
+
+def test_protein_checks_name_three_examples(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "id string, seq string")
+    twice = frame([(f"p{k % 4}", f"S{k}") for k in range(8)])
+    with pytest.raises(ValueError, match="more than once, such as p0, p1, p2$"):
+        validate.check_proteins(twice)
+    same = frame([("a", "S"), ("b", "S"), ("c", "T")])
+    with pytest.raises(ValueError, match="such as b$"):
+        validate.check_proteins(same)
+    validate.check_proteins(same, "pass")
+    with pytest.raises(ValueError, match="not keep"):
+        validate.check_proteins(same, "keep")
+    with pytest.raises(ValueError, match="gene_group"):
+        validate.require_columns(same, ["id", "gene_group"])
+
+
+def test_compressed_null_against_all_strings(spark):
+    def value(letters):
+        runs = 1 + sum(a != b for a, b in zip(letters, letters[1:], strict=False))
+        a, b = (runs + 1) // 2, runs // 2
+        return None if runs == 2 else (runs - 2) / (2 * a * b / runs - 1)
+
+    for n_a, n_b in ((1, 2), (3, 3), (4, 3)):
+        values = [value("".join("A" if k in at else "B" for k in range(n_a + n_b))) for at in map(set, itertools.combinations(range(n_a + n_b), n_a))]
+        runs = n_a + n_b
+        own = value(("AB" * runs)[:runs])
+        row = mixing.mixing_null(spark.createDataFrame([(n_a, n_b, runs - 1, own)], "n_a long, n_b long, changes long, m double"), compress=True).first()
+        counted = {round(v, 9): sum(u is not None and abs(u - v) < 1e-9 for u in values) for v in values if v is not None}
+        assert counted[round(row["mode"], 9)] == max(counted.values())
+        assert row.p_value_unmixed == pytest.approx(sum(v is not None and v <= own + 1e-9 for v in values) / len(values))
+    empty = mixing.mixing_null(spark.createDataFrame([(1, 1, 1, None)], "n_a long, n_b long, changes long, m double"), compress=True).first()
+    assert empty["mode"] is None and empty.p_value_unmixed is None
+
+
+def test_hits_color_where_no_id_is_known(spark):
+    long = spark.createDataFrame([("r1", "A", "g1"), ("r2", "A", "g2")], "rbh string, species string, gene string")
+    names = lambda gene, group: spark.createDataFrame([(gene, group, "#00FF00")], "gene string, gene_group string, color string")
+    found = lambda ids: {r.rbh: r.gene_group for r in order.color_by_ids_or_hits(long, ids, names("g2", "hit"), ["A"]).collect()}
+    assert found(names("g1", "id")) == {"r1": "id", "r2": "None"}
+    assert found(names("g7", "id")) == {"r1": "None", "r2": "hit"}

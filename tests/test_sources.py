@@ -64,3 +64,17 @@ def test_group_lists_from_text(spark):
 def test_coordinates_last_row_of_a_protein_and_middle(spark):
     df = spark.createDataFrame([("p", "s1", "+", 10, 21), ("p", "s2", "-", 100, 200)], T.CHROM_SCHEMA)
     assert [tuple(r) for r in T.chrom_with_middle(df).collect()] == [("p", "s2", "-", 100, 200, 150)]
+
+
+def test_last_line_of_a_protein_stays(spark, tmp_path):
+    lines = [("p1", "s9", "+", 90, 95), ("p2", "s1", "-", 5, 8)] + [(f"q{k}", "s", "+", k, k + 1) for k in range(2000)] + [("p1", "s1", "-", 10, 15)]
+    path = tmp_path / "genes.chrom"
+    path.write_text("".join("\t".join(map(str, r)) + "\n" for r in lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        got = T.read_chrom(spark, str(path))
+        assert got.count() == 2002 and got.columns == ["protein", "scaf", "strand", "start", "stop", "middle"]
+        assert tuple(got.where("protein = 'p1'").first()) == ("p1", "s1", "-", 10, 15, 12)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
