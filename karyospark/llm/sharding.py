@@ -6,8 +6,9 @@ clockwise that is not full.  Rows of one slot share one clockwise order of
 shards, so which rows overflow follows from the row count of each slot alone:
 the counts (at most ``ring_slots`` of them, a parameter) are turned into ranges
 of ranks per slot, and each row looks up the range that its rank falls in.
-Ranks come from counts of small cells plus a window inside a cell; no window
-spans a shard or a slot.
+Ranks come from counts of small cells plus a window inside a cell.  A cell is
+a slot and some bits of the hash of the whole row, so rows that share an id, or
+have none, are ranked in many windows; no window spans a shard or a slot.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CELL_BITS = 8
+#: Most equal rows that one array numbers.
+RUN = 65_536
 
 
 def ring_preferences(n_shards: int, vnodes: int, ring_slots: int) -> list[list[int]]:
@@ -73,14 +76,15 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, vnodes: int = 64, ring_slo
     With ``slack=0`` the bound is tight and shard counts differ by at most one;
     with slack fewer rows move when a shard is added.  ``size`` is the text's
     UTF-8 bytes plus 1; a null text counts as empty (size 1, checksum 0).
-    Null ids share one place on the ring and repeated rows are counted once
-    before the shuffle, then laid out side by side.  Columns other than
-    ``doc_id`` and ``text`` are ignored.  An empty table gives no rows.
+    A row without id stands on the ring by its text; repeated rows are counted
+    once before the shuffle, then laid out side by side in runs of RUN.  Texts of
+    any length count by size and checksum alone.  Columns other than ``doc_id``
+    and ``text`` are ignored.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
-    ring = F.xxhash64(F.col("doc_id"))
+    ring = F.when(F.col("doc_id").isNull(), F.xxhash64("text_crc32", "size")).otherwise(F.xxhash64("doc_id"))
     slot_bits = ring_slots.bit_length() - 1
     assert ring_slots == 1 << slot_bits, "ring_slots is a power of two"
     copies = (
@@ -88,7 +92,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, vnodes: int = 64, ring_slo
         .agg(F.count(F.lit(1)).alias("copies"))
         .withColumn("ring", ring)
         .withColumn("ring_slot", F.shiftrightunsigned("ring", 64 - slot_bits).cast("int"))
-        .withColumn("cell", F.shiftrightunsigned("ring", 64 - slot_bits - CELL_BITS).cast("int"))
+        .withColumn("cell", F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", "size"), 64 - CELL_BITS).cast("int"))
     )
     cells = copies.groupBy("ring_slot", "cell").agg(F.sum("copies").alias("n"))
     before = W.partitionBy("ring_slot").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
@@ -97,10 +101,12 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, vnodes: int = 64, ring_slo
     ranges = bounded_ranges(counts, ring_preferences(n_shards, vnodes, ring_slots), shard_capacities(sum(counts.values()), n_shards, slack))
     inside = W.partitionBy("ring_slot", "cell").orderBy("ring", F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
     first = F.sum("copies").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("copies")
+    end = F.col("first") + F.col("copies") - 1
     ranked = (
         copies.join(starts, ["ring_slot", "cell"])
         .withColumn("first", F.col("start") + first)
-        .select("doc_id", "size", "text_crc32", "ring_slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)).alias("rank"))
+        .withColumn("run", F.explode(F.sequence("first", end, F.lit(RUN))))
+        .select("doc_id", "size", "text_crc32", "ring_slot", F.explode(F.sequence("run", F.least(end, F.col("run") + RUN - 1))).alias("rank"))
     )
     table = _range_table(spark, ranges)
     fits = (ranked.ring_slot == table.at_slot) & (ranked["rank"] >= table.lo) & (ranked["rank"] < table.hi)

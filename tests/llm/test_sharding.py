@@ -15,7 +15,7 @@ def serial(rows, n_shards, vnodes, slots, slack):
     left, shard_of, used = {}, {}, [0] * n_shards
     for n, (h, *rest) in enumerate(rows):
         left.setdefault((h & (1 << 64) - 1) >> (64 - bits), []).append((h, *rest, n))
-    left = {s: sorted(v, key=lambda r: ((r[0] & (1 << 64) - 1) >> (64 - bits - S.CELL_BITS), r[0], *map(str, r[1:]))) for s, v in left.items()}
+    left = {s: sorted(v, key=lambda r: ((r[2] & (1 << 64) - 1) >> (64 - S.CELL_BITS), r[0], *map(str, r[1:]))) for s, v in left.items()}
     for k in range(n_shards):
         for slot in sorted(left):
             s = orders[slot][k]
@@ -30,9 +30,10 @@ def serial(rows, n_shards, vnodes, slots, slack):
 @pytest.mark.parametrize(("slack", "slots", "vnodes"), [(0.0, 64, 4), (0.1, 64, 4), (0.0, 8, 1), (0.0, 4096, 64)])
 def test_against_a_serial_ring(spark, slack, slots, vnodes):
     docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 7).alias("text"), F.lit(1).alias("shard"))
-    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    whole = F.xxhash64("doc_id", F.crc32("text"), (F.octet_length("text") + 1).cast("bigint"))
+    hashes = [(r.h, r.doc_id, r.whole) for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h"), whole.alias("whole")).collect()]
     got = S.assign_shards(docs, 5, vnodes, slots, slack).collect()
-    assert Counter((r.doc_id, r.shard) for r in got) == serial([(h, d) for d, h in hashes.items()], 5, vnodes, slots, slack)
+    assert Counter((r.doc_id, r.shard) for r in got) == serial(hashes, 5, vnodes, slots, slack)
     for s in range(5):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
 
@@ -58,3 +59,15 @@ def test_odd_rows(spark):
     assert Counter((r.doc_id, r["size"]) for r in got) == Counter({(None, 1): 2, (1, 200_001): 1, (2, 2): 41})
     assert Counter(r.shard for r in got) == dict.fromkeys(range(4), 11)
     assert S.assign_shards(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_rows_of_one_id_or_none_are_ranked_in_many_windows(spark, monkeypatch):
+    monkeypatch.setattr(S, "RUN", 16)
+    texts = spark.range(3000).select(F.when(F.col("id") % 2 == 0, 7).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    copies = spark.range(100).select(F.lit(None).cast("int").alias("doc_id"), F.lit("same").alias("text"))
+    docs = texts.unionByName(copies)
+    got = S.assign_shards(docs, 8).collect()
+    assert Counter(r.doc_id for r in got) == {7: 1500, None: 1600}
+    for s in range(8):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots))) and len(slots) in (387, 388)
