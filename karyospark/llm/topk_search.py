@@ -77,7 +77,7 @@ class _Gathered(_Search):
 
 def sufficient(parts: list[np.ndarray], cutoff: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Which parts reach the uniform threshold, their sums, and for which vectors these leave the cutoff in reach."""
-    least = -(-cutoff // len(parts))
+    least = cutoff // len(parts) + (cutoff % len(parts) > 0)
     seen = [p >= least for p in parts]
     known = sum(np.where(s, p, 0) for s, p in zip(seen, parts, strict=True))
     missing = len(parts) - np.sum(seen, axis=0)

@@ -116,6 +116,8 @@ def test_odd_rows(spark):
     empty = df.limit(0)
     assert K.top_k(empty, tens).count() == 0 and H.hard_negatives(empty, tens).count() == 0
     assert K.top_k(df, F.lit(None).cast("boolean")).count() == 0 and H.hard_negatives(df, F.lit(False)).count() == 0
+    some = [r for r in rows if not r[2] or max(x or 0 for x in r[2]) < 1e9][:14]  # fewer answers than k, and no sum too long
+    assert sorted(map(tuple, K.top_k(spark.createDataFrame(some, SCHEMA), tens, k=9, scale=16.0).collect())) == plain_top(some, 9, 16.0, 10) != []
     few = spark.createDataFrame(rows[:1], SCHEMA)
     assert K.top_k(few, tens).count() == 0 and H.hard_negatives(few, tens).count() == 0
 
