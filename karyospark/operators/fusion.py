@@ -166,13 +166,14 @@ def fusion_null(rbh: DataFrame, species: list[str], permuted: str, trials: int)
     return fill_summary(found, every, species, ("trial",))
 
 
-def empirical_p(trials: DataFrame, observed: DataFrame) -> DataFrame:
-    """By hypothesis and metric: the share of trials that reach the observed value and are not 0 (null: too low to measure), and of two metrics at once."""
+def empirical_p(trials: DataFrame, observed: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """By hypothesis (and ``by``) and metric: the share of trials that reach the observed value and are not 0 (null: too low to measure), and of two metrics at once."""
+    keys = [*(by or []), "hyp"]
     both = trials.join(F.broadcast(observed.select("hyp", *[F.col(m).alias(f"_{m}") for m in METRICS])), "hyp")  # three rows
     hit = lambda m: (F.col(m) >= F.col(f"_{m}")) & (F.col(m) != 0)
     named = [(m, hit(m)) for m in METRICS] + [(f"{a}+{b}", hit(a) & hit(b)) for a, b in combinations(METRICS, 2)]
-    shares = both.groupBy("hyp").agg(F.count(F.lit(1)).alias("n_trials"), *[F.count_if(h).alias(m) for m, h in named])
-    long = shares.select("hyp", "n_trials", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"`{m}`").alias("hits")) for m, _ in named])))
+    shares = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_trials"), *[F.count_if(h).alias(m) for m, h in named])
+    long = shares.select(*keys, "n_trials", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"`{m}`").alias("hits")) for m, _ in named])))
     return long.withColumn("p", F.when(F.col("hits") > 0, F.col("hits") / F.col("n_trials")))
 
 

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +12,7 @@ from karyospark.functions.color import assign_color
 
 from .hits import number_rows
 from .lineage import cut
+from .scans import at_or_below
 
 
 def group_by_scaffolds(rbh: DataFrame, species: list[str]) -> DataFrame:
@@ -35,16 +32,15 @@ def group_sizes(rbh: DataFrame, species: list[str]) -> DataFrame:
 
 
 def attach_alpha(groups: DataFrame, fdr: DataFrame) -> DataFrame:
-    """``alpha`` of the group's size from ``fdr(size, alpha)``; where it is 0, that of the next smaller size with one, as ``less_than``.
+    """``alpha`` of the group's size from ``fdr(size, alpha)``; where it is 0 or missing, that of the next smaller size with one, as ``less_than``.
 
-    Sizes beyond the table count as its last; null where no smaller size has a rate.
+    Null where no smaller size has a rate.  The table need only hold sizes with
+    a rate: groups' sizes are looked up among its steps, whatever lies between.
     """
-    last = F.last(F.when(F.col("alpha") > 0, F.col("alpha")), ignorenulls=True).over(W.orderBy("size"))
-    steps = cut(fdr.select("size", "alpha", last.alias("_known")))  # a row a size
-    top = steps.agg(F.max("size")).first()[0] or 0
-    joined = groups.withColumn("size", F.least("count", F.lit(top))).join(F.broadcast(steps), "size", "left")
-    kind = F.when((F.col("alpha") > 0) & (F.col("size") == F.col("count")), "equal_to").otherwise("less_than")
-    return joined.withColumn("alpha_type", kind).withColumn("alpha", F.col("_known")).drop("_known", "size")
+    steps = fdr.where("alpha > 0").select("size", F.col("alpha").alias("value"))
+    known = at_or_below(groups.select(F.col("count").alias("size")), steps).select(F.col("size").alias("count"), "at", F.col("value").alias("alpha"))
+    kind = F.when(F.col("at") == F.col("count"), "equal_to").otherwise("less_than")
+    return groups.join(known, "count", "left").withColumn("alpha_type", kind).drop("at").select(*groups.columns, "alpha", "alpha_type")
 
 
 def name_groups(groups: DataFrame, species: list[str], cutoff: float = 0.05) -> DataFrame:
@@ -109,123 +105,32 @@ def merge_rbh(tables: list[DataFrame], anchors: list[str]) -> DataFrame:
 
 
 def fdr_table(observations: DataFrame, permutations: int, most: int | None = None) -> DataFrame:
-    """Sizes 1 to ``most`` (by default the greatest observed) with how many permutations showed the size, and their share."""
-    seen = observations.groupBy("size").agg(F.sum("n").alias("_n"))
-    most = most or seen.agg(F.max("size")).first()[0] or 0
-    sizes = observations.sparkSession.range(1, most + 1).withColumnRenamed("id", "size")
-    total = F.coalesce("_n", F.lit(0))
-    return sizes.join(seen, "size", "left").select("size", total.alias("n"), (total / F.lit(permutations)).alias("alpha"))
+    """``(size, n, alpha)``: how many permutations showed a size, and their share; observed sizes, or all from 1 to ``most``."""
+    seen = observations.groupBy("size").agg(F.sum("n").alias("n"))
+    if most is not None:
+        sizes = observations.sparkSession.range(1, most + 1).withColumnRenamed("id", "size")
+        seen = sizes.join(seen, "size", "left").na.fill(0, ["n"])
+    return seen.withColumn("alpha", F.col("n") / F.lit(permutations))
 
 
-#: Most scaffold tuples for which counts are drawn, and most orthologs that numpy draws among.
-DRAWN_TUPLES = 10_000_000
-DRAWN_ROWS = 1_000_000_000
-
-
-def draw_counts(rng: np.random.Generator, margins: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """``(codes by species, counts)`` of the tuples of one random pairing of columns with these scaffold counts.
-
-    Shuffling a column among the orthologs deals its scaffolds' counts over the
-    tuples so far without replacement; so the counts are drawn, tuple by tuple,
-    and no ortholog is moved.
-    """
-    codes, counts = [np.flatnonzero(margins[0])], margins[0][margins[0] > 0]
-    for margin in margins[1:]:
-        left, rows, cols, sizes = margin.copy(), [], [], []
-        for k, n in enumerate(counts.tolist()):
-            draw = rng.multivariate_hypergeometric(left, n, method="marginals")
-            left -= draw
-            at = np.flatnonzero(draw)
-            rows.append(np.full(len(at), k))
-            cols.append(at)
-            sizes.append(draw[at])
-        if not rows:
-            return [*codes, np.zeros(0, np.int64)], counts
-        row = np.concatenate(rows)
-        codes, counts = [*(c[row] for c in codes), np.concatenate(cols)], np.concatenate(sizes)
-    return codes, counts
-
-
-def permuted_counts(rbh: DataFrame, species: list[str], permutations: int, seed: int = 0, row_id: str = "rbh", drawn_tuples: int = DRAWN_TUPLES) -> DataFrame:
-    """``(trial, {sp}_scaf..., count)``: sizes of the scaffold tuples with every species' column shuffled on its own.
-
-    Only the counts of single scaffolds leave the table: every trial draws the
-    counts of its tuples from them, under its own seed.  Where the species'
-    scaffolds could make more than ``drawn_tuples`` tuples, columns are shuffled
-    by ranks of hashes instead, on all executors.  Rows with a null scaffold go.
-    """
-    spark, keys = rbh.sparkSession, [f"{s}_scaf" for s in species]
-    whole = rbh.dropna(subset=keys)
-    margins = [cut(whole.groupBy(k).agg(F.count(F.lit(1)).alias("n"))) for k in keys]
-    kinds = [m.count() for m in margins]
-    total = margins[0].agg(F.sum("n")).first()[0] or 0
-    if math.prod(kinds) > drawn_tuples or total > DRAWN_ROWS:
-        return permuted_by_rank(whole, species, permutations, row_id)
-    names = [sorted(map(tuple, m.collect())) for m in margins]  # at most drawn_tuples rows each
-    sent = spark.sparkContext.broadcast([np.array([n for _, n in rows], np.int64) for rows in names])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for trial in pdf.id.tolist():
-                codes, counts = draw_counts(np.random.default_rng([seed, trial]), sent.value)
-                yield pd.DataFrame({"trial": np.full(len(counts), trial), **dict(zip(keys, codes, strict=True)), "count": counts})
-
-    schema = ", ".join(["trial bigint", *(f"{k} bigint" for k in keys), "count bigint"])
-    out = spark.range(permutations).repartition(min(permutations, 4 * spark.sparkContext.defaultParallelism)).mapInPandas(run, schema)
-    for key, rows in zip(keys, names, strict=True):
-        named = spark.createDataFrame([(i, name) for i, (name, _) in enumerate(rows)], f"{key} bigint, _name {rbh.schema[key].dataType.simpleString()}")
-        out = out.join(F.broadcast(named), key).drop(key).withColumnRenamed("_name", key)  # a row a scaffold
-    return out.select("trial", *keys, "count")
-
-
-def permuted_by_rank(rbh: DataFrame, species: list[str], permutations: int, row_id: str = "rbh") -> DataFrame:
-    """``permuted_counts`` by sorting: each column but the first is dealt by ``shuffle_column``, with the species in the hash."""
+def permuted_by_rank(rbh: DataFrame, species: list[str], permutations: int, row_id: str = "rbh", first: int = 0) -> DataFrame:
+    """``(trial, {sp}_scaf..., count)``: tuple sizes with each column but the first dealt by ``shuffle_column``, with the species in the hash."""
     keys = [f"{s}_scaf" for s in species]
     rbh = cut(rbh.select(row_id, *keys))
-    out = rbh.select(row_id, keys[0]).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    out = rbh.select(row_id, keys[0]).withColumn("trial", F.explode(F.sequence(F.lit(first), F.lit(first + permutations - 1))))
     for s, key in zip(species[1:], keys[1:], strict=True):
-        out = out.join(shuffle_column(rbh, key, row_id, permutations, salt=s), ["trial", row_id])
+        out = out.join(shuffle_column(rbh, key, row_id, permutations, salt=s, first=first), ["trial", row_id])
     return out.groupBy(F.col("trial").cast("bigint").alias("trial"), *keys).agg(F.count(F.lit(1)).alias("count"))
 
 
-def group_size_observations(counts: DataFrame) -> DataFrame:
-    """``(size, n)`` of ``permuted_counts``: permutations in which some group has exactly this size."""
-    return counts.select("trial", F.col("count").alias("size")).distinct().groupBy("size").agg(F.count(F.lit(1)).alias("n"))
-
-
-def combo_observations(counts: DataFrame, species: list[str], permutations: int) -> DataFrame:
-    """``({sp}_scaf..., size, n)``: how often each tuple that ever occurs reached exactly this size over all permutations, 0 included."""
-    keys = [f"{s}_scaf" for s in species]
-    seen = counts.groupBy(*keys, F.col("count").alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    zero = seen.groupBy(*keys).agg((F.lit(permutations) - F.sum("n")).cast("bigint").alias("n")).select(*keys, F.lit(0).cast("bigint").alias("size"), "n")
-    return seen.unionByName(zero.where("n > 0"))
-
-
 def tail_probabilities(observations: DataFrame, keys: list[str], permutations: int) -> DataFrame:
     """``p``: the share of permutations in which a combination has this size or more, never below 1 / permutations."""
     w = W.partitionBy(*keys).orderBy(F.col("size").desc())
     return observations.withColumn("p", F.greatest(F.sum("n").over(w) / F.lit(permutations), F.lit(1 / permutations)))
 
 
-def combo_significance(groups: DataFrame, counts: DataFrame, species: list[str], permutations: int) -> DataFrame:
-    """``groups`` with ``p``, that their own scaffolds share as many genes by chance, and ``p_family``, that any scaffolds do.
-
-    Both come from ``permuted_counts``; what no permutation shows has 1 / permutations.
-    """
-    keys = [f"{s}_scaf" for s in species]
-    least = F.lit(1 / permutations)
-    hits = groups.select(*keys, F.col("count").alias("_own")).join(counts.select(*keys, F.col("count").alias("_drawn")), keys).where("_drawn >= _own")
-    own = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("_hits"))
-    most = counts.groupBy("trial").agg(F.max("count").alias("most")).groupBy("most").agg(F.count(F.lit(1)).alias("n"))
-    sizes = groups.select("count").distinct()
-    above = sizes.join(most, F.col("most") >= F.col("count")).groupBy("count").agg(F.sum("n").alias("_above"))  # sizes by maxima, both few
-    out = groups.join(own, keys, "left").join(above, "count", "left")
-    share = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)) / F.lit(permutations), least)
-    return out.withColumn("p", share("_hits")).withColumn("p_family", share("_above")).drop("_hits", "_above")
-
-
-def shuffle_column(df: DataFrame, column: str, row_id: str, trials: int, salt: str | None = None) -> DataFrame:
-    """``(trial, row_id, column)``: ``trials`` permutations of ``column``, the same in every engine.
+def shuffle_column(df: DataFrame, column: str, row_id: str, trials: int, salt: str | None = None, first: int = 0) -> DataFrame:
+    """``(trial, row_id, column)``: ``trials`` permutations of ``column`` from ``first`` on, the same in every engine.
 
     In each trial the k-th row by a hash of trial (and ``salt``) and id gets the
     value of the k-th row by id.  All trials are ranked by one sort over range
@@ -233,8 +138,8 @@ def shuffle_column(df: DataFrame, column: str, row_id: str, trials: int, salt: s
     """
     by_id = cut(number_rows(df.select(row_id, column), [row_id], "_place"))
     n = by_id.count()
-    both = by_id.select(row_id).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    both = by_id.select(row_id).withColumn("trial", F.explode(F.sequence(F.lit(first), F.lit(first + trials - 1))))
     name = F.concat_ws(":", F.col("trial").cast("string"), *([F.lit(salt)] if salt else []), F.col(row_id).cast("string"))
     ranked = number_rows(both.withColumn("_key", F.md5(name)), ["trial", "_key", row_id], "_rank")
-    moved = ranked.select("trial", row_id, (F.col("_rank") - F.col("trial").cast("bigint") * n).alias("_place"))
+    moved = ranked.select("trial", row_id, (F.col("_rank") - (F.col("trial").cast("bigint") - first) * n).alias("_place"))
     return moved.join(by_id.select("_place", column), "_place").select("trial", row_id, column)

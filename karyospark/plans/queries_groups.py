@@ -8,8 +8,10 @@ from karyospark.functions import color as K
 from karyospark.functions import scalars as Z
 from karyospark.operators import coords as C
 from karyospark.operators import fusion as U
+from karyospark.operators import fusion_trials as T
 from karyospark.operators import groups as G
 from karyospark.operators import mixing as M
+from karyospark.operators import permute as P
 
 from . import fixtures as X
 from .fixtures import with_tables
@@ -17,8 +19,10 @@ from .fixtures import with_tables
 SP = list("ABCD")
 SCAFS = "A_scaf, B_scaf, C_scaf, D_scaf"
 FDR_SIZES = 4999
-PERMUTATIONS = 1000
+PERMUTATIONS = 10_000
 RANKED_TRIALS = 3
+#: For each permuted species.
+FUSION_TRIALS = 1000
 
 
 def number_of_rbh():
@@ -82,22 +86,37 @@ def fdr_table(spark, sf_dir):
 
 
 def group_size_fdr(spark, sf_dir):
-    counts = G.permuted_counts(X.orth(spark, sf_dir), SP, PERMUTATIONS)
-    return G.fdr_table(G.group_size_observations(counts), PERMUTATIONS)
+    state = P.drawn_state(X.orth(spark, sf_dir), SP, PERMUTATIONS, tuples=False)
+    return G.fdr_table(P.size_observations(state), PERMUTATIONS)
+
+
+def combo_fdr_drawn(spark, sf_dir):
+    state = G.cut(P.drawn_state(X.orth(spark, sf_dir), ["A", "B"], PERMUTATIONS))
+    return G.tail_probabilities(P.combo_observations(state, ["A", "B"]), ["A_scaf", "B_scaf"], PERMUTATIONS)
+
+
+def ranked_state(spark, sf_dir, species):
+    """Trials of two runs, put together."""
+    orth, first = X.orth(spark, sf_dir), RANKED_TRIALS // 2
+    runs = [P.state_of(G.cut(G.permuted_by_rank(orth, species, n, first=k)), species, n) for k, n in ((0, first), (first, RANKED_TRIALS - first))]
+    return G.cut(P.merge_states(*runs))
 
 
 def combo_fdr(spark, sf_dir):
-    counts = G.permuted_counts(X.orth(spark, sf_dir), ["A", "B"], PERMUTATIONS)
-    return G.tail_probabilities(G.combo_observations(counts, ["A", "B"], PERMUTATIONS), ["A_scaf", "B_scaf"], PERMUTATIONS)
+    state = ranked_state(spark, sf_dir, ["A", "B"])
+    return G.tail_probabilities(P.combo_observations(state, ["A", "B"]), ["A_scaf", "B_scaf"], RANKED_TRIALS)
 
 
 def combo_significance(spark, sf_dir):
-    counts = G.permuted_by_rank(X.orth(spark, sf_dir), ["A", "B"], RANKED_TRIALS)
-    return G.combo_significance(G.group_sizes(X.orth(spark, sf_dir), ["A", "B"]), G.cut(counts), ["A", "B"], RANKED_TRIALS)
+    return P.combo_significance(G.group_sizes(X.orth(spark, sf_dir), ["A", "B"]), ranked_state(spark, sf_dir, ["A", "B"]), ["A", "B"])
 
 
 def ranked_group_sizes(spark, sf_dir):
-    return G.group_size_observations(G.permuted_by_rank(X.orth(spark, sf_dir), SP, RANKED_TRIALS))
+    return P.size_observations(P.state_of(G.permuted_by_rank(X.orth(spark, sf_dir), SP, RANKED_TRIALS), SP, RANKED_TRIALS))
+
+
+def ranked_group_size_fdr(spark, sf_dir):
+    return G.fdr_table(P.size_observations(ranked_state(spark, sf_dir, SP)), RANKED_TRIALS)
 
 
 def shuffle_column(spark, sf_dir):
@@ -175,6 +194,19 @@ def fusion_null(spark, sf_dir):
     return U.fusion_null(X.orth(spark, sf_dir), SP, "B", 4)
 
 
+def fusion_null_batches(spark, sf_dir):
+    """Trials by hash ranks for each species in turn."""
+    return T.fusion_null_batches(X.orth(spark, sf_dir), SP, SP[1:], RANKED_TRIALS, ranked=True)
+
+
+def fusion_null_drawn(spark, sf_dir):
+    return T.fusion_null_batches(X.orth(spark, sf_dir), SP, SP[1:], FUSION_TRIALS)
+
+
+def fusion_p_drawn(spark, sf_dir):
+    return U.empirical_p(fusion_null_drawn(spark, sf_dir), U.fusion_summary(groups4(spark, sf_dir), SP), ["permuted"])
+
+
 def empirical_p(spark, sf_dir):
     return U.empirical_p(fusion_null(spark, sf_dir), U.fusion_summary(groups4(spark, sf_dir), SP))
 
@@ -197,7 +229,7 @@ def collapse_runs(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").select("doc_id", F.md5(Z.collapse_runs(F.col("text"))).alias("collapsed"))
 
 
-_NAMES = "group_by_scaffolds attach_alpha name_groups unwrap_groups colors_long merge_rbh fdr_table group_size_fdr combo_fdr combo_significance ranked_group_sizes shuffle_column mixing_ranges mixing_value gene_strings mixing_value_compressed mixing_null fusion_groups fusion_candidates resolve_outgroup_dups fusion_tables fusion_stats derived_fissions polytomies annotate_support fusion_summary fusion_null empirical_p trial_histograms colors assign_color collapse_runs"
+_NAMES = "group_by_scaffolds attach_alpha name_groups unwrap_groups colors_long merge_rbh fdr_table group_size_fdr combo_fdr combo_fdr_drawn combo_significance ranked_group_sizes ranked_group_size_fdr shuffle_column mixing_ranges mixing_value gene_strings mixing_value_compressed mixing_null fusion_groups fusion_candidates resolve_outgroup_dups fusion_tables fusion_stats derived_fissions polytomies annotate_support fusion_summary fusion_null fusion_null_batches fusion_null_drawn fusion_p_drawn empirical_p trial_histograms colors assign_color collapse_runs"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _FDR = 'fdr AS (SELECT i AS "size", CASE WHEN i % 3 = 0 OR i > 400 THEN 0 ELSE 1.0 / i END::DOUBLE AS alpha FROM range(1, 5000) t(i))'
@@ -281,6 +313,8 @@ d AS (SELECT * FROM c QUALIFY D_gene IS NULL OR row_number() OVER (PARTITION BY
 SELECT *, 'mer_A_B_C_D_' || row_number() OVER (ORDER BY A_gene, B_gene) rbh FROM d"""),
     "shuffle_column": with_tables("orth", "WITH p AS (SELECT rbh, B_scaf, row_number() OVER (ORDER BY rbh) k FROM orth), m AS (SELECT CAST(t.i AS INTEGER) trial, rbh, row_number() OVER (PARTITION BY t.i ORDER BY md5(t.i || ':' || rbh), rbh) k FROM orth, range(2) t(i)) SELECT trial, m.rbh, p.B_scaf FROM m JOIN p USING (k)"),
     "ranked_group_sizes": with_tables("orth", f"WITH {_ranked(SP)}, tc AS (SELECT trial, {SCAFS}, count(*) n FROM perm GROUP BY ALL) SELECT n AS \"size\", count(DISTINCT trial) n FROM tc GROUP BY 1"),
+    "ranked_group_size_fdr": with_tables("orth", f"WITH {_ranked(SP)}, tc AS (SELECT trial, {SCAFS}, count(*) n FROM perm GROUP BY ALL) SELECT n AS \"size\", count(DISTINCT trial) n, count(DISTINCT trial) / {RANKED_TRIALS} alpha FROM tc GROUP BY 1"),
+    "combo_fdr": with_tables("orth", f"WITH {_ranked(['A', 'B'])}, tc AS (SELECT trial, A_scaf, B_scaf, count(*) n FROM perm GROUP BY ALL), ob AS (SELECT A_scaf, B_scaf, n AS \"size\", count(*) n FROM tc GROUP BY 1, 2, 3), al AS (FROM ob UNION ALL SELECT A_scaf, B_scaf, 0, {RANKED_TRIALS} - sum(n) FROM ob GROUP BY 1, 2 HAVING sum(n) < {RANKED_TRIALS}) SELECT A_scaf, B_scaf, \"size\", CAST(n AS BIGINT) n, greatest(sum(n) OVER (PARTITION BY A_scaf, B_scaf ORDER BY \"size\" DESC) / {RANKED_TRIALS}, 1 / {RANKED_TRIALS}) p FROM al"),
     "combo_significance": with_tables("orth", f"WITH {_ranked(['A', 'B'])}, tc AS (SELECT trial, A_scaf, B_scaf, count(*) n FROM perm GROUP BY ALL), mx AS (SELECT trial, max(n) most FROM tc GROUP BY 1), g AS (SELECT A_scaf, B_scaf, count(*) \"count\" FROM orth GROUP BY ALL) SELECT A_scaf, B_scaf, \"count\", greatest((SELECT count(*) FROM tc WHERE tc.A_scaf = g.A_scaf AND tc.B_scaf = g.B_scaf AND n >= \"count\") / {RANKED_TRIALS}, 1 / {RANKED_TRIALS}) p, greatest((SELECT count(*) FROM mx WHERE most >= \"count\") / {RANKED_TRIALS}, 1 / {RANKED_TRIALS}) p_family FROM g"),
     "gene_strings": with_tables("orth", f"WITH {_MV} SELECT species, scaf, gene_group_a, gene_group_b, k AS part, substr(g, CAST(k * 64 + 1 AS BIGINT), 64) genestring FROM (SELECT *, unnest(range(0, CAST(ceil(length(g) / 64) AS BIGINT))) k FROM st)"),
     "mixing_ranges": with_tables("orth", f"WITH {_MG} SELECT a.species, a.scaf, a.gene_group gene_group_a, a.n n_a, a.lo lo_a, a.hi hi_a, b.gene_group gene_group_b, b.n n_b, b.lo lo_b, b.hi hi_b, greatest(0, least(a.hi, b.hi) - greatest(a.lo, b.lo)) bases_covered, len, round(100 * greatest(0, least(a.hi, b.hi) - greatest(a.lo, b.lo)) / len, 6) AS percent FROM ends a JOIN ends b USING (species, scaf) JOIN (SELECT C_scaf scaf, max(C_pos) len FROM orth GROUP BY 1) s ON s.scaf = a.scaf WHERE a.gene_group < b.gene_group"),

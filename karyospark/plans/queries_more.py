@@ -20,7 +20,7 @@ from karyospark.sources import formats as T
 
 from . import fixtures as X
 from .fixtures import with_tables
-from .queries_groups import _COLLAPSE, _HYPS, _SIZED, _hyp, _mv, groups4, mixing_genes, number_of_rbh, sized
+from .queries_groups import _COLLAPSE, _HYPS, _SIZED, RANKED_TRIALS, _hyp, _mv, groups4, mixing_genes, number_of_rbh, sized
 from .queries_hits import CPS, STRICT
 from .queries_rest import _folder
 
@@ -178,16 +178,22 @@ ps AS (SELECT *, CASE WHEN r % 2 = 0 THEN CASE WHEN h <= n_a AND h <= n_b THEN e
 _PK = "scaf, gene_group_a, gene_group_b"
 _M = "(changes - 1) / nullif(2 * n_a * n_b / (n_a + n_b) - 1, 0)"
 
-#: Trials with B's scaffolds dealt by hash ranks, up to the fusion summary of each.
-_TRIALS = f"""bp AS (SELECT B_scaf, row_number() OVER (ORDER BY rbh) k FROM orth),
-br AS (SELECT CAST(t.i AS INTEGER) trial, rbh, row_number() OVER (PARTITION BY t.i ORDER BY md5(t.i || ':' || rbh), rbh) k FROM orth, range({NULL_TRIALS}) t(i)),
-pm AS (SELECT br.trial, orth.* EXCLUDE (B_scaf), bp.B_scaf FROM br JOIN bp USING (k) JOIN orth ON orth.rbh = br.rbh),
-g4 AS (SELECT trial, {SCAFS}, count(*) "count", """ + ", ".join(f"min({s}_pos) {s}_lo, max({s}_pos) {s}_hi" for s in SP) + f""" FROM pm GROUP BY ALL HAVING count(*) >= {U.LEAST_COUNT}),
+
+def _trials(s: str, trials: int) -> str:
+    """CTEs up to tr: trials with the species' scaffolds dealt by hash ranks, and the fusion summary of each."""
+    return f"""bp AS (SELECT {s}_scaf, row_number() OVER (ORDER BY rbh) k FROM orth),
+br AS (SELECT CAST(t.i AS INTEGER) trial, rbh, row_number() OVER (PARTITION BY t.i ORDER BY md5(t.i || ':' || rbh), rbh) k FROM orth, range({trials}) t(i)),
+pm AS (SELECT br.trial, orth.* EXCLUDE ({s}_scaf), bp.{s}_scaf FROM br JOIN bp USING (k) JOIN orth ON orth.rbh = br.rbh),
+g4 AS (SELECT trial, {SCAFS}, count(*) "count", """ + ", ".join(f"min({x}_pos) {x}_lo, max({x}_pos) {x}_hi" for x in SP) + f""" FROM pm GROUP BY ALL HAVING count(*) >= {U.LEAST_COUNT}),
 """ + ",\n".join(_hyp(*h, f"t{h[0]}", "trial, ") for h in _HYPS) + """,
 ts AS (""" + " UNION ALL ".join(f"SELECT trial, '{a}' hyp, {b}_scaf x, {c}_scaf y, max(\"count\") ms, sum(\"count\") su, count(*) n FROM t{a} WHERE mixed GROUP BY ALL" for a, b, c in _HYPS) + f"""),
 tm AS (SELECT trial, hyp, max(ms) max_single, CAST(max(su) AS BIGINT) max_grouping, CAST(sum(su) AS BIGINT) total, count(*) n_groupings, CAST(sum(su) / sum(n) AS DOUBLE) mean FROM ts GROUP BY 1, 2),
 tr AS (SELECT CAST(t.i AS INTEGER) trial, h.hyp, coalesce(max_single, 0) max_single, coalesce(max_grouping, 0) max_grouping, coalesce(total, 0) total, coalesce(n_groupings, 0) n_groupings, coalesce(mean, 0) mean
-  FROM range({NULL_TRIALS}) t(i) JOIN (VALUES ('B'), ('C'), ('D')) h(hyp) ON true LEFT JOIN tm ON tm.trial = t.i AND tm.hyp = h.hyp)"""
+  FROM range({trials}) t(i) JOIN (VALUES ('B'), ('C'), ('D')) h(hyp) ON true LEFT JOIN tm ON tm.trial = t.i AND tm.hyp = h.hyp)"""
+
+
+#: B permuted.
+_TRIALS = _trials("B", NULL_TRIALS)
 _OBSERVED = f"""o4 AS (SELECT {SCAFS}, count(*) "count", """ + ", ".join(f"min({s}_pos) {s}_lo, max({s}_pos) {s}_hi" for s in SP) + f""" FROM orth GROUP BY ALL HAVING count(*) >= {U.LEAST_COUNT}),
 """ + ",\n".join(_hyp(*h, f"o{h[0]}").replace("FROM g4", "FROM o4") for h in _HYPS) + """,
 os AS (""" + " UNION ALL ".join(f"SELECT '{a}' hyp, {b}_scaf x, {c}_scaf y, max(\"count\") ms, sum(\"count\") su, count(*) n FROM o{a} WHERE mixed GROUP BY ALL" for a, b, c in _HYPS) + """),
@@ -218,6 +224,7 @@ tp AS (SELECT {_PK}, n_a, n_b, changes, coalesce(sum(p) FILTER (WHERE r % 2 = 0
 md AS (SELECT *, {_M} m, CASE WHEN even >= odd THEN 2 ELSE 2 * r * (r - 2) / (r * r - 2 * r - 1) END::DOUBLE md, CASE WHEN changes > 1 THEN least(1, even + CASE WHEN changes % 2 = 0 THEN above ELSE 0 END) END p FROM tp)
 SELECT {_PK}, round(md, 6) AS \"mode\", round(p, 6) p_value_unmixed, round(least(1.0, m / nullif(md, 0)) * 100, 4) AS percent FROM md"""),
     "fusion_null": with_tables("orth", f"WITH {_TRIALS} SELECT * FROM tr"),
+    "fusion_null_batches": " UNION ALL ".join(f"SELECT '{s}' permuted, CAST(trial AS BIGINT) trial, * EXCLUDE (trial) FROM (" + with_tables("orth", f"WITH {_trials(s, RANKED_TRIALS)} SELECT * FROM tr") + ")" for s in SP[1:]),
     "empirical_p": with_tables("orth", f"WITH {_TRIALS}, {_OBSERVED}, ep AS (" + " UNION ALL ".join(f"SELECT obs.hyp, count(*) n_trials, '{m}' metric, count(*) FILTER (WHERE {h}) hits FROM tr JOIN obs ON obs.hyp = tr.hyp GROUP BY 1" for m, h in _HITS.items()) + ") SELECT *, CASE WHEN hits > 0 THEN hits / n_trials END p FROM ep"),
     "trial_histograms": with_tables("orth", f"WITH {_TRIALS} SELECT hyp, metric, \"value\", count(*) n FROM (" + " UNION ALL ".join(f"SELECT hyp, '{m}' metric, CAST({m} AS DOUBLE) AS \"value\" FROM tr" for m in U.METRICS) + ") GROUP BY 1, 2, 3"),
 }

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from karyospark.operators import components, coords, fusion, groups, hits, mixing, order, peaks, stats, validate
+from karyospark.operators import components, coords, fusion, fusion_trials, groups, hits, mixing, order, peaks, permute, scans, stats, validate
 
 PAIR = "query_species string, target_species string, qseqid string, sseqid string, pident double, evalue double, bitscore double"
 
@@ -104,6 +104,11 @@ def test_alpha_walks_down_to_the_last_rate(spark):
     sizes = spark.createDataFrame([("a", 3), ("b", 7), ("c", 4)], "A_scaf string, count bigint")
     got = {r.A_scaf: (r.alpha, r.alpha_type) for r in groups.attach_alpha(sizes, fdr).collect()}
     assert got == {"a": (0.1, "equal_to"), "b": (0.1, "less_than"), "c": (0.1, "less_than")}
+    wide = spark.createDataFrame([("a", 10**8), ("b", 10**8 + 5), ("c", 2), ("d", 3)], "A_scaf string, count bigint")
+    steps = spark.createDataFrame([(3, 0.5), (10**8, 0.01), (5 * 10**8, 0.001)], "size bigint, alpha double")
+    got = {r.A_scaf: (r.alpha, r.alpha_type) for r in groups.attach_alpha(wide, steps).collect()}
+    assert got == {"a": (0.01, "equal_to"), "b": (0.01, "less_than"), "c": (None, "less_than"), "d": (0.5, "equal_to")}
+    assert groups.attach_alpha(wide, steps.limit(0)).where("alpha IS NULL").count() == 4
 
 
 def test_merge_keeps_the_fullest_row_of_a_gene(spark):
@@ -114,28 +119,56 @@ def test_merge_keeps_the_fullest_row_of_a_gene(spark):
     assert got == [("a", "b", "c", "mer_A_B_C_1")]
 
 
-def test_drawn_counts_agree_with_ranked_permutations(spark):
+def test_drawn_states_agree_with_ranked_permutations(spark):
     rng = random.Random(1)
     rows = [(f"r{i:03}", f"a{rng.randrange(3)}", f"b{rng.randrange(3)}", None if i == 7 else f"c{rng.randrange(2)}") for i in range(31)]
     df = spark.createDataFrame(rows, "rbh string, A_scaf string, B_scaf string, C_scaf string")
     n, species = 300, ["A", "B", "C"]
-    drawn = groups.permuted_counts(df, species, n).cache()
-    ranked = groups.permuted_counts(df, species, n, drawn_tuples=0).cache()
-    for counts in (drawn, ranked):
-        assert {r[0] for r in counts.groupBy("trial").agg(F.sum("count")).select("sum(count)").collect()} == {30}
+    drawn = permute.drawn_state(df, species, n).cache()
+    ranked = permute.drawn_state(df, species, n, drawn_tuples=0).cache()
+    for state in (drawn, ranked):
+        assert permute.trials_of(state) == n
         for key in ("A_scaf", "B_scaf", "C_scaf"):  # every permutation keeps the scaffolds' own counts
-            own = {r[0]: r[1] for r in df.dropna().groupBy(key).count().collect()}
-            assert {(r[key], r.n) for r in counts.groupBy("trial", key).agg(F.sum("count").alias("n")).collect()} == set(own.items())
-    share = lambda c: {r["size"]: r.alpha for r in groups.fdr_table(groups.group_size_observations(c), n).collect()}
+            own = {r[0]: r[1] * n for r in df.dropna().groupBy(key).count().collect()}
+            assert {r[key]: r.n for r in state.where("kind = 'tuple'").groupBy(key).agg(F.sum(F.col("size") * F.col("n")).alias("n")).collect()} == own
+    share = lambda s: {r["size"]: r.alpha for r in groups.fdr_table(permute.size_observations(s), n).collect()}
     ours, theirs = share(drawn), share(ranked)
     assert all(abs(ours.get(k, 0) - theirs.get(k, 0)) < 0.15 for k in {*ours, *theirs})
-    again = groups.permuted_counts(df.repartition(3), species, n)
-    assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, again.collect()))
+    kept = lambda s: sorted(map(str, s.collect()))
+    assert kept(drawn) == kept(permute.drawn_state(df.repartition(3), species, n))
+    parts = [permute.drawn_state(df, species, k, first=f) for f, k in ((0, 120), (120, 180))]
+    assert kept(permute.merge_states(*parts)) == kept(drawn)
+    assert kept(permute.merge_states(*[permute.drawn_state(df, species, 2, first=f, drawn_tuples=0) for f in (0, 2)])) == kept(permute.drawn_state(df, species, 4, drawn_tuples=0))
+    assert kept(permute.drawn_state(df, species, n, tuples=False)) == kept(drawn.where("kind <> 'tuple'"))
     sizes = spark.createDataFrame([("a0", "b0", "c0", 1), ("a0", "b0", "x", 2), ("a1", "b1", "c1", 30)], "A_scaf string, B_scaf string, C_scaf string, count bigint")
-    p = {r["count"]: (r.p, r.p_family) for r in groups.combo_significance(sizes, drawn, species, n).collect()}
-    own = sum(1 for r in drawn.collect() if (r.A_scaf, r.B_scaf, r.C_scaf) == ("a0", "b0", "c0"))
+    p = {r["count"]: (r.p, r.p_family) for r in permute.combo_significance(sizes, drawn, species).collect()}
+    own = drawn.where("kind = 'tuple' AND A_scaf = 'a0' AND B_scaf = 'b0' AND C_scaf = 'c0'").agg(F.sum("n")).first()[0]
     assert p[1] == (own / n, 1.0) and p[2] == (1 / n, 1.0) and p[30] == (1 / n, 1 / n)
-    assert groups.permuted_counts(df.limit(0), species, 2).count() == 0
+    none = permute.drawn_state(df.limit(0), species, 2)
+    assert permute.size_observations(none).count() == 0 and permute.trials_of(none) == 2
+
+
+def test_drawn_tables_are_uniform_permutations():
+    """Two species with two scaffolds each: the count of one cell is hypergeometric."""
+    counts = np.zeros(6, int)
+    for t in range(4000):
+        codes, sizes = permute.draw_counts(np.random.default_rng(t), [np.array([5, 7]), np.array([4, 8])])
+        cell = sizes[(codes[0] == 0) & (codes[1] == 0)]
+        counts[cell[0] if len(cell) else 0] += 1
+    want = [math.comb(5, k) * math.comb(7, 4 - k) / math.comb(12, 4) for k in range(5)] + [0]
+    assert np.abs(counts / 4000 - want).max() < 0.03
+
+
+def test_tally_adds_up(monkeypatch):
+    monkeypatch.setattr(permute, "HELD", 50)
+    rng, tally, want = np.random.default_rng(0), permute.Tally(), {}
+    for _ in range(200):
+        keys = rng.integers(0, 300, rng.integers(0, 9))
+        tally.add(keys)
+        for k in keys.tolist():
+            want[k] = want.get(k, 0) + 1
+    keys, times = tally.sums()
+    assert dict(zip(keys.tolist(), times.tolist(), strict=True)) == want
 
 
 @pytest.mark.parametrize("part", [1, 2, 100])
@@ -322,3 +355,55 @@ def test_hits_color_where_no_id_is_known(spark):
     found = lambda ids: {r.rbh: r.gene_group for r in order.color_by_ids_or_hits(long, ids, names("g2", "hit"), ["A"]).collect()}
     assert found(names("g1", "id")) == {"r1": "id", "r2": "None"}
     assert found(names("g7", "id")) == {"r1": "None", "r2": "hit"}
+
+
+def planted_orthologs(n, seed, scaffolds=4):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        u = rng.randrange(scaffolds)
+        row = [f"r{i:04}"]
+        for s in "ABCD":
+            scaf = u // (2 if s in "CD" else 1) if rng.random() < 0.7 else rng.randrange(scaffolds)
+            row += [f"{s}{scaf}", rng.randrange(60)]
+        rows.append(tuple(row))
+    return rows
+
+
+ORTHOLOGS = "rbh string, " + ", ".join(f"{s}_scaf string, {s}_pos bigint" for s in "ABCD")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fusion_batches_equal_the_joins(spark, monkeypatch, seed):
+    df = spark.createDataFrame(planted_orthologs(400, seed), ORTHOLOGS).repartition(3).cache()
+    columns = ["trial", "hyp", *fusion.METRICS]
+    rows = lambda d: sorted(map(tuple, d.select(*columns).collect()))
+    for s in "BD":
+        want = rows(fusion.fusion_null(df, list("ABCD"), s, 4))
+        assert rows(fusion_trials.fusion_null_batches(df, list("ABCD"), [s], 4, ranked=True)) == want
+        assert any(r[4] for r in want)
+    monkeypatch.setattr(fusion_trials, "BATCH_ROWS", 10)
+    assert rows(fusion_trials.fusion_null_batches(df, list("ABCD"), ["D"], 2, first=2)) == [r for r in want if r[0] >= 2]
+
+
+def test_fusion_batches_continue(spark):
+    df = spark.createDataFrame([*planted_orthologs(300, 7), ("x", None, 1, "B1", 1, "C1", 1, "D1", 1)], ORTHOLOGS)
+    run = lambda n, first=0: sorted(map(tuple, fusion_trials.fusion_null_batches(df.repartition(2 + n), list("ABCD"), ["B", "C"], n, first).collect()))
+    whole = run(5)
+    assert len(whole) == 5 * 2 * 3 and sorted(run(2) + run(3, 2)) == whole
+    assert fusion_trials.fusion_null_batches(df.limit(0), list("ABCD"), ["B"], 2).count() == 0
+
+
+def test_fusion_kernel_with_many_tuples(monkeypatch):
+    """Sorting codes instead of counting in an array changes nothing."""
+    rng = np.random.default_rng(3)
+    codes, pos = rng.integers(0, 5, (4, 900)), rng.integers(0, 100, (4, 900))
+    dense = fusion_trials.Trials(codes, pos, 2)
+    sparse = fusion_trials.Trials(codes, pos, 2)
+    monkeypatch.setattr(fusion_trials, "DENSE", 0)
+    monkeypatch.setattr(fusion_trials, "DENSE_SHARE", 0)
+    got = [sparse.groups(c, codes[c]) for c in (1, 2, 3)]
+    monkeypatch.undo()
+    for c, (names, count, spans) in zip((1, 2, 3), got, strict=True):
+        other = dense.groups(c, codes[c])
+        assert (names == other[0]).all() and (count == other[1]).all() and all((a == b).all() for x, y in zip(spans, other[2], strict=True) for a, b in zip(x, y, strict=True))
