@@ -23,6 +23,8 @@ from karyospark.operators.lineage import cut
 
 #: Queries that one task holds; rows of queries and of vectors in one tile.
 QUERY_ROWS, TILE_QUERIES, TILE_ROWS = 32_768, 1024, 2048
+#: Vectors of a chunk at least, on average: fewer leave more heaps than they save time.
+CHUNK_ROWS = 512
 #: Strassen's recursion ends where a side is at most this long.
 LEAF = 32
 LOWEST, HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
@@ -167,7 +169,7 @@ def against_all(queries: DataFrame, rows: DataFrame, make: Callable[[pa.RecordBa
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = (queries.agg(F.max("block")).first()[0] or 0) + 1
-    chunks = max(1, -(-2 * parts // blocks))
+    chunks = max(1, min(-(-2 * parts // blocks), rows.count() // CHUNK_ROWS))
     key = lambda block, chunk: (block.cast("bigint") * chunks + chunk).alias("key")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     ask = queries.withColumn("_chunk", every(chunks)).select(key(F.col("block"), F.col("_chunk")), F.lit(0).alias("side"), *[c for c in queries.columns if c != "block"])

@@ -93,6 +93,7 @@ def test_brute_force(spark, monkeypatch, dims, block, tile):
     monkeypatch.setattr(T, "QUERY_ROWS", block)
     monkeypatch.setattr(T, "TILE_QUERIES", max(2, block // 2))
     monkeypatch.setattr(T, "TILE_ROWS", tile)
+    monkeypatch.setattr(T, "CHUNK_ROWS", 40)
     rows = clouds(400, dims, dims)
     df = spark.createDataFrame(rows, SCHEMA)
     assert sorted(map(tuple, K.top_k(df, F.col("vec_id") % 20 == 0, k=4, scale=16.0).collect())) == plain_top(rows, 4, 16.0, 20)
