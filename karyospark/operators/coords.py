@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scans import PART, ranked, sorted_parts
+
 #: Fixed value: the end of an open last interval.
 LAST = 9_999_999_999
 
@@ -65,10 +67,15 @@ def assign_breakchrom(rbh: DataFrame, breaks: DataFrame, species: str) -> DataFr
 
 
 def gene_index(rbh: DataFrame, species: str) -> DataFrame:
-    """``{sp}_ix`` and ``{sp}_break_ix``: 0-based ranks in the scaffold and in its piece, by position, then gene."""
+    """``{sp}_ix`` and ``{sp}_break_ix``: 0-based ranks in the scaffold and in its piece, by position, then gene.
+
+    One sort over range partitions gives both, as a piece lies in one scaffold.
+    """
     s = species
-    rank = lambda key: (F.row_number().over(W.partitionBy(f"{s}_{key}").orderBy(f"{s}_pos", f"{s}_gene")) - 1).cast("bigint")
-    return rbh.withColumn(f"{s}_ix", rank("scaf")).withColumn(f"{s}_break_ix", rank("breakchrom"))
+    order = [f"{s}_pos", f"{s}_gene"]
+    placed = sorted_parts(rbh, [f"{s}_scaf", *order])
+    rows = ranked(placed, [f"{s}_scaf"], order, f"{s}_ix")
+    return ranked(placed, [f"{s}_breakchrom"], order, f"{s}_break_ix", rows).drop(PART)
 
 
 def scaffold_offsets(sizes: DataFrame) -> DataFrame:
@@ -88,15 +95,16 @@ def chrom_order_by_size(rbh: DataFrame, species: str) -> DataFrame:
 def plot_coordinates(rbh: DataFrame, species: str, order: DataFrame, sizes: DataFrame) -> DataFrame:
     """``{sp}_plotindex`` (0-based over scaffolds in order) and ``{sp}_plotpos`` (scaffold offset plus position).
 
-    The global index is the rank in the scaffold plus the genes of the scaffolds
-    before it, so no window spans all genes.
+    The global index is the rank in the scaffold, from sorted parts, plus the
+    genes of the scaffolds before it.
     """
     s = species
     w = W.orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
     placed = order.join(sizes.where(F.col("species") == s).select("scaf", "len"), "scaf")
     starts = placed.select(F.col("scaf").alias(f"{s}_scaf"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_genes"), F.coalesce(F.sum("len").over(w), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(W.partitionBy(f"{s}_scaf").orderBy(f"{s}_pos", f"{s}_gene")) - 1
-    out = rbh.withColumn("_inside", inside).join(starts, f"{s}_scaf")
+    order = [f"{s}_pos", f"{s}_gene"]
+    inside = ranked(sorted_parts(rbh, [f"{s}_scaf", *order]), [f"{s}_scaf"], order, "_inside").drop(PART)
+    out = inside.join(starts, f"{s}_scaf")
     return out.withColumn(f"{s}_plotindex", F.col("_genes") + F.col("_inside")).withColumn(f"{s}_plotpos", F.col("_offset") + F.col(f"{s}_pos")).drop("_genes", "_offset", "_inside")
 
 

@@ -34,13 +34,13 @@ def join_nullsafe(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def running(placed: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
+def running(placed: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, rows: DataFrame | None = None) -> DataFrame:
     """``placed`` (of ``sorted_parts``) with running values of each segment of ``keys`` up to and with each row.
 
-    ``sums`` add up; ``lasts`` keep the last value that is not null.  A segment
-    may come back later in the order; its state is carried all the same.
+    ``sums`` add up; ``lasts`` keep the last value that is not null.
+    A segment may come back later in the order; its state is carried all the same.
     """
-    sums, lasts = sums or {}, lasts or {}
+    sums, lasts, rows = sums or {}, lasts or {}, placed if rows is None else rows
     along = W.partitionBy(PART, *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     at = F.struct(*order)
     totals = [F.sum(c).alias(f"_own_{n}") for n, c in sums.items()] + [F.max_by(c, F.when(c.isNotNull(), at)).alias(f"_own_{n}") for n, c in lasts.items()]
@@ -48,15 +48,15 @@ def running(placed: DataFrame, keys: list[str], order: list[str], sums: dict[str
     before = W.partitionBy(*keys).orderBy(PART).rowsBetween(W.unboundedPreceding, -1)  # a row a partition
     carried = [F.sum(f"_own_{n}").over(before).alias(f"_before_{n}") for n in sums] + [F.last(f"_own_{n}", ignorenulls=True).over(before).alias(f"_before_{n}") for n in lasts]
     states = states.select(PART, *keys, *carried)
-    here = placed.withColumns({n: F.sum(c).over(along) for n, c in sums.items()} | {n: F.last(c, ignorenulls=True).over(along) for n, c in lasts.items()})
+    here = rows.withColumns({n: F.sum(c).over(along) for n, c in sums.items()} | {n: F.last(c, ignorenulls=True).over(along) for n, c in lasts.items()})
     joined = join_nullsafe(here, states, [PART, *keys])
     out = joined.withColumns({n: F.col(n) + F.coalesce(F.col(f"_before_{n}"), F.lit(0)) for n in sums} | {n: F.coalesce(F.col(n), F.col(f"_before_{n}")) for n in lasts})
     return out.drop(*[f"_before_{n}" for n in [*sums, *lasts]])
 
 
-def ranked(placed: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """``placed`` with the 0-based rank in each segment."""
-    return running(placed, keys, order, sums={name: F.lit(1).cast("bigint")}).withColumn(name, F.col(name) - 1)
+def ranked(placed: DataFrame, keys: list[str], order: list[str], name: str, rows: DataFrame | None = None) -> DataFrame:
+    """``placed`` (or its ``rows``) with the 0-based rank in each segment."""
+    return running(placed, keys, order, sums={name: F.lit(1).cast("bigint")}, rows=rows).withColumn(name, F.col(name) - 1)
 
 
 def blocks(df: DataFrame, rank: str, halo: int, ranks: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .lineage import cut
+from .scans import BLOCK, PART, at_or_below, blocks, join_nullsafe, own, ranked, sorted_parts
 
+HALF_LN_TAU = 0.5 * math.log(2 * math.pi)
 #: Fixed value: genes on either side of a possible break.
 SIDE = 20
 
@@ -24,20 +27,76 @@ def scaffold_pair_counts(rbh: DataFrame, key_a: str, key_b: str) -> DataFrame:
     return sets.agg(F.count(F.lit(1)).alias("n"), level.alias("level"))
 
 
+def _stirling_rest(n: np.ndarray) -> np.ndarray:
+    """ln n! less Stirling's formula."""
+    few = np.array([0.0, *(math.lgamma(k + 1) - (k + 0.5) * math.log(k) + k - HALF_LN_TAU for k in range(1, 16))])
+    m = np.maximum(n, 16).astype(np.float64)
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * m * m)) / (m * m)) / (m * m)) / m
+    return np.where(n < 16, few[np.clip(n, 0, 15)], series)
+
+
+def _deviance(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """x ln(x / mean) + mean - x, without loss where both are near."""
+    near = (x - mean) / (x + mean)
+    square = near * near
+    odd = sum(square**k / (2 * k + 1) for k in range(1, 12))
+    close = (x - mean) * near + 2 * x * near * odd
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = np.where(x > 0, x * np.log(x / mean), 0.0) + mean - x
+    return np.where(np.abs(x - mean) < 0.1 * (x + mean), close, far)
+
+
+def _ln_binomial(x: np.ndarray, n: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """ln of the binomial probability by saddle-point expansion (Loader 2000), exact to rounding for any n."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        inner = _stirling_rest(n) - _stirling_rest(x) - _stirling_rest(n - x) - _deviance(x, n * p) - _deviance(n - x, n * q)
+        inner = inner - HALF_LN_TAU - 0.5 * (np.log(x) + np.log1p(-x / n))
+        out = np.where(x == 0, n * np.log1p(-p), np.where(x == n, n * np.log(p), inner))
+    return np.where(n == 0, 0.0, out)
+
+
+def ln_hypergeometric(x: np.ndarray, r: np.ndarray, c: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """ln P(X = x) for a draw of ``c`` from ``n`` with ``r`` marked."""
+    p, q = c / np.maximum(n, 1), (n - c) / np.maximum(n, 1)
+    return np.where(c == n, 0.0, _ln_binomial(x, r, p, q) + _ln_binomial(c - x, n - r, p, q) - _ln_binomial(c, n, p, q))
+
+
+def _ln_sum(x: np.ndarray, r: np.ndarray, c: np.ndarray, n: np.ndarray, step: int) -> np.ndarray:
+    """ln of the sum of probabilities from x on (``step`` 1) or back (-1), by the ratio of neighbouring terms."""
+    total, term, t = np.ones(len(x)), np.ones(len(x)), x.astype(np.float64)
+    left = np.arange(len(x))
+    r, c, n = (v.astype(np.float64) for v in (r, c, n))
+    while len(left):
+        k, u = left, t[left]
+        up = (r[k] - u) * (c[k] - u)
+        ratio = up / ((u + 1) * (n[k] - r[k] - c[k] + u + 1)) if step > 0 else u * (n[k] - r[k] - c[k] + u) / ((r[k] - u + 1) * (c[k] - u + 1))
+        term[k] *= ratio
+        total[k] += term[k]
+        t[k] += step
+        left = k[(term[k] > total[k] * 1e-17)]
+    return ln_hypergeometric(x, *(v.astype(np.int64) for v in (r, c, n))) + np.log(total)
+
+
+def ln_tail(x: np.ndarray, r: np.ndarray, c: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """ln P(X >= x): terms are summed away from the mean, so that they fall; nothing is as long as the gene count."""
+    out = np.zeros(len(x))
+    low = np.maximum(0, r + c - n)
+    upper = (x > low) & (x * n.astype(np.float64) >= r.astype(np.float64) * c)
+    lower = (x > low) & ~upper
+    if upper.any():
+        out[upper] = _ln_sum(x[upper], r[upper], c[upper], n[upper], 1)
+    if lower.any():
+        below = _ln_sum(x[lower] - 1, r[lower], c[lower], n[lower], -1)
+        out[lower] = np.log1p(-np.exp(np.minimum(below, 0.0)))
+    return np.minimum(out, 0.0)
+
+
 @F.pandas_udf(DoubleType())
 def hypergeometric_tail(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """ln P(X >= x) for a draw of ``c`` from ``n`` with ``r`` marked, summed largest term first."""
-    table = np.zeros(1)
-    for x, r, c, n in batches:
-        if len(n) and n.max() + 1 > len(table):
-            table = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, int(n.max()) + 1)))])
-        out = np.empty(len(x))
-        for k, (xi, ri, ci, ni) in enumerate(zip(*(v.to_numpy(np.int64) for v in (x, r, c, n)), strict=True)):
-            t = np.arange(max(xi, ri + ci - ni), min(ri, ci) + 1)
-            ln = table[ri] - table[t] - table[ri - t] + table[ni - ri] - table[ci - t] - table[ni - ri - ci + t] - table[ni] + table[ci] + table[ni - ci]
-            top = ln.max()
-            out[k] = top + np.log(np.sort(np.exp(ln - top)).sum())
-        yield pd.Series(np.minimum(out, 0.0), index=x.index)
+    """ln P(X >= x) for a draw of ``c`` from ``n`` with ``r`` marked; equal cases are computed once."""
+    for batch in batches:
+        cases, at = np.unique(np.stack([v.to_numpy(np.int64) for v in batch]), axis=1, return_inverse=True)
+        yield pd.Series(ln_tail(*cases)[at.ravel()], index=batch[0].index)
 
 
 def fisher_pairs(rbh: DataFrame, key_a: str, key_b: str) -> DataFrame:
@@ -59,7 +118,6 @@ def fisher_pairs(rbh: DataFrame, key_a: str, key_b: str) -> DataFrame:
 
 def fisher_exact(rbh: DataFrame, key_a: str, key_b: str, name: str) -> DataFrame:
     """``rbh`` with the pair's p on every row, under ``name``."""
-    rbh = cut(rbh)
     return rbh.join(fisher_pairs(rbh, key_a, key_b).select(key_a, key_b, F.col("p").alias(name)), [key_a, key_b], "left")
 
 
@@ -73,25 +131,35 @@ def break_statistic(rbh: DataFrame, species: str, other: str) -> DataFrame:
     """``{species}_D`` along each piece: the distance between the shares of partner pieces in the 20 genes up to here and the 20 after.
 
     A side that is not whole counts as zeros; the last row of a piece is 0.
+    Pieces are worked on in blocks of indices that overlap by 20 genes.
     """
     key, opp, ix = f"{species}_breakchrom", f"{other}_breakchrom", f"{species}_break_ix"
-    w = W.partitionBy(key).orderBy(ix)
-    left = F.collect_list(opp).over(w.rowsBetween(-(SIDE - 1), 0))
-    right = F.collect_list(opp).over(w.rowsBetween(1, SIDE))
+    counts = rbh.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    rows = blocks(join_nullsafe(rbh, counts, [key]), ix, SIDE)
+    w = W.partitionBy(key, BLOCK).orderBy(ix)
     empty = F.array().cast("array<string>")
-    rows = rbh.withColumn("_l", left).withColumn("_r", right).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(key)))
-    rows = rows.withColumn("_l", F.when(F.col(ix) >= SIDE - 1, F.col("_l")).otherwise(empty)).withColumn("_r", F.when(F.col(ix) + SIDE <= F.col("_n") - 1, F.col("_r")).otherwise(empty))
+    left = F.when(F.col(ix) >= SIDE - 1, F.collect_list(opp).over(w.rowsBetween(-(SIDE - 1), 0))).otherwise(empty)
+    right = F.when(F.col(ix) + SIDE <= F.col("_n") - 1, F.collect_list(opp).over(w.rowsBetween(1, SIDE))).otherwise(empty)
+    rows = own(rows.withColumn("_l", left).withColumn("_r", right))
     gap = lambda c: F.size(F.filter("_r", lambda x: x == c)) - F.size(F.filter("_l", lambda x: x == c))
     squares = F.aggregate(F.array_distinct(F.concat("_l", "_r")), F.lit(0).cast("bigint"), lambda s, c: s + gap(c).cast("bigint") * gap(c))
     d = F.when(F.col(ix) == F.col("_n") - 1, 0.0).otherwise(F.sqrt(squares / float(SIDE * SIDE)))
     return rows.withColumn(f"{species}_D", d).drop("_l", "_r", "_n")
 
 
+def _neighbours(rows: DataFrame, keys: list[str], order: list[str], before: dict[str, str], after: dict[str, str]) -> DataFrame:
+    """``rows`` with columns of the row before and after in each segment, null at its ends; ``before`` and ``after`` name new columns by old ones."""
+    placed = ranked(sorted_parts(rows, [*keys, *order]), keys, order, "_place").drop(PART)
+    w = W.partitionBy(*keys, BLOCK).orderBy("_place")
+    near = blocks(placed, "_place", 1).withColumns({n: F.lag(c).over(w) for n, c in before.items()} | {n: F.lead(c).over(w) for n, c in after.items()})
+    return own(near).drop("_place")
+
+
 def d_widths(plotted: DataFrame, species: str) -> DataFrame:
     """``{species}_Dwidths``: the distance to the previous plot position on the scaffold, 0 for the first."""
-    pos = F.col(f"{species}_plotpos")
-    w = W.partitionBy(f"{species}_scaf").orderBy(f"{species}_plotindex")
-    return plotted.withColumn(f"{species}_Dwidths", F.coalesce(pos - F.lag(pos).over(w), F.lit(0)))
+    pos = f"{species}_plotpos"
+    rows = _neighbours(plotted, [f"{species}_scaf"], [f"{species}_plotindex"], {"_before": pos}, {})
+    return rows.withColumn(f"{species}_Dwidths", F.coalesce(F.col(pos) - F.col("_before"), F.lit(0))).drop("_before")
 
 
 def d_bars(genes: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -100,22 +168,35 @@ def d_bars(genes: DataFrame, sizes: DataFrame) -> DataFrame:
     ``sizes(scaf, len, offset)``; genes lie at offset plus position.  The only
     gene of a scaffold has edges -1, middle -1 and width 1.
     """
-    w = W.partitionBy("scaf").orderBy("start", "stop", "gene")
     rows = genes.join(sizes, "scaf").withColumn("start", F.col("start") + F.col("offset")).withColumn("stop", F.col("stop") + F.col("offset"))
-    before, after, n = F.lag("stop").over(w), F.lead("start").over(w), F.count(F.lit(1)).over(W.partitionBy("scaf"))
-    rows = rows.withColumn("_n", n).withColumn("left", F.coalesce((before + F.col("start")) / 2, F.col("offset").cast("double"))).withColumn("right", F.coalesce((F.col("stop") + after) / 2, (F.col("offset") + F.col("len")).cast("double")))
-    alone = F.col("_n") == 1
+    rows = _neighbours(rows, ["scaf"], ["start", "stop", "gene"], {"_before": "stop"}, {"_after": "start"})
+    left = F.coalesce((F.col("_before") + F.col("start")) / 2, F.col("offset").cast("double"))
+    right = F.coalesce((F.col("stop") + F.col("_after")) / 2, (F.col("offset") + F.col("len")).cast("double"))
+    alone = F.col("_before").isNull() & F.col("_after").isNull()
     return rows.select(
         "scaf", "gene",
-        F.when(alone, -1.0).otherwise(F.col("left")).alias("left"), F.when(alone, -1.0).otherwise(F.col("right")).alias("right"),
-        F.when(alone, -1.0).otherwise((F.col("left") + F.col("right")) / 2).alias("middle"), F.when(alone, 1.0).otherwise(F.col("right") - F.col("left") + 1).alias("width"),
+        F.when(alone, -1.0).otherwise(left).alias("left"), F.when(alone, -1.0).otherwise(right).alias("right"),
+        F.when(alone, -1.0).otherwise((left + right) / 2).alias("middle"), F.when(alone, 1.0).otherwise(right - left + 1).alias("width"),
     )
 
 
-def manual_break_rows(breaks: DataFrame, genes: DataFrame, sizes: DataFrame) -> DataFrame:
-    """For each ``breaks(scaf, break_pos)`` the last gene that ends at or before it."""
-    hit = breaks.join(genes, "scaf").where(F.col("stop") <= F.col("break_pos"))
-    return hit.groupBy("scaf", "break_pos").agg(F.max_by("gene", F.struct("stop", "gene")).alias("gene"), F.max("stop").alias("stop"))
+def manual_break_rows(breaks: DataFrame, genes: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """For each ``breaks(scaf, break_pos)`` the last gene of ``genes(scaf, gene, stop)`` that ends at or before it.
+
+    With ``sizes(scaf, offset)`` breaks and genes lie on one axis, each at its
+    scaffold's offset; a break before all genes of its scaffold then falls to
+    the last gene of those before (``gene_scaf``, and ``stop`` on the axis).
+    Breaks that nothing ends before are left out, as are unknown scaffolds.
+    """
+    if sizes is None:
+        hit = breaks.join(genes, "scaf").where(F.col("stop") <= F.col("break_pos"))
+        return hit.groupBy("scaf", "break_pos").agg(F.max_by("gene", F.struct("stop", "gene")).alias("gene"), F.max("stop").alias("stop"))
+    offsets = sizes.select("scaf", "offset")
+    ends = genes.join(offsets, "scaf").select((F.col("stop") + F.col("offset")).alias("size"), F.struct("scaf", "gene").alias("value"))
+    ends = ends.groupBy("size").agg(F.max(F.struct("value.gene", "value.scaf")).alias("value"))
+    placed = breaks.join(offsets, "scaf").withColumn("size", F.col("break_pos") + F.col("offset"))
+    found = at_or_below(placed.select("size"), ends)
+    return placed.join(found, "size").where("at IS NOT NULL").select("scaf", "break_pos", F.col("value.scaf").alias("gene_scaf"), F.col("value.gene").alias("gene"), F.col("at").alias("stop"))
 
 
 def filtered_pair_groups(rbh: DataFrame, a: str, b: str, color: Column, cutoff: float = 0.05) -> DataFrame:

@@ -88,6 +88,15 @@ def auto_breaks(spark, sf_dir):
     return P.auto_breaks(S.break_statistic(annotated(spark, sf_dir), "A", "B"), "A")
 
 
+def auto_breaks_with_manual(spark, sf_dir):
+    """Found breaks and those set by hand, at the last gene that ends before each."""
+    rows = S.cut(S.break_statistic(annotated(spark, sf_dir), "A", "B"))
+    genes = rows.select(F.col("A_scaf").alias("scaf"), F.col("A_gene").alias("gene"), F.col("A_pos").alias("stop"))
+    by_hand = S.manual_break_rows(orth_breaks(spark).where("species = 'A'").select("scaf", "break_pos"), genes)
+    at = rows.select(F.col("A_gene").alias("gene"), F.col("A_ix").alias("ix"), F.col("A_D").alias("d"))
+    return P.auto_breaks(rows, "A", by_hand.join(at, "gene").select("scaf", "ix", "d"))
+
+
 def filtered_pair_groups(spark, sf_dir):
     return S.filtered_pair_groups(tested(spark, sf_dir), "A", "B", F.lit("#123456")).select("rbh", "gene_group", "color")
 
@@ -166,6 +175,13 @@ def manual_break_rows(spark, sf_dir):
     return S.manual_break_rows(X.breaks(spark).where("species = 'C'").select("scaf", "break_pos"), genes, None)
 
 
+def manual_breaks_on_axis(spark, sf_dir):
+    genes = X.chrom(spark, sf_dir).where("species = 'C'").select("scaf", F.col("protein").alias("gene"), "stop")
+    early = spark.createDataFrame([("CN5", 0), ("CN0", -1)], "scaf string, break_pos bigint")
+    breaks = X.breaks(spark).where("species = 'C'").select("scaf", "break_pos").unionByName(early)
+    return S.manual_break_rows(breaks, genes, C.scaffold_offsets(_sizes(spark, sf_dir)).where("species = 'C'"))
+
+
 def filter_scaffolds(spark, sf_dir):
     sizes = X.chromsize(spark, sf_dir).where("scaf <> 'CN3' AND scaf <> 'Brand#2'")
     return C.filter_scaffolds(annotate_coords(spark, sf_dir), sizes, ["C", "P"])
@@ -194,7 +210,7 @@ def to_wide(spark, sf_dir):
     return C.to_wide(C.to_long(X.orth(spark, sf_dir), list("ABCD")), list("ABCD"))
 
 
-_NAMES = "annotate_coords synteny_pairs gene_index assign_breakchrom break_intervals scaffold_pair_counts fisher_whole fisher_break filter_significant break_statistic auto_breaks filtered_pair_groups summary_pieces summary_whole summary_groups modal_color alg_decay alg_decay_detail chrom_order_by_size plot_coordinates axis_annotations break_lines d_widths scaffold_offsets d_bars manual_break_rows filter_scaffolds filter_min_scaf_size pseudo_chromsizes annotate_gene_group to_long to_wide"
+_NAMES = "annotate_coords synteny_pairs gene_index assign_breakchrom break_intervals scaffold_pair_counts fisher_whole fisher_break filter_significant break_statistic auto_breaks auto_breaks_with_manual filtered_pair_groups summary_pieces summary_whole summary_groups modal_color alg_decay alg_decay_detail chrom_order_by_size plot_coordinates axis_annotations break_lines d_widths scaffold_offsets d_bars manual_break_rows manual_breaks_on_axis filter_scaffolds filter_min_scaf_size pseudo_chromsizes annotate_gene_group to_long to_wide"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 def _fet(source: str, a: str, b: str, name: str) -> str:
@@ -280,6 +296,9 @@ ORACLES = {
 x AS (SELECT *, count(*) OVER (PARTITION BY scaf) n, coalesce((lag(e) OVER w + s) / 2.0, o) l, coalesce((e + lead(s) OVER w) / 2.0, o + len) r FROM g WINDOW w AS (PARTITION BY scaf ORDER BY s, e, gene))
 SELECT scaf, gene, CASE WHEN n = 1 THEN -1 ELSE l END::DOUBLE AS "left", CASE WHEN n = 1 THEN -1 ELSE r END::DOUBLE AS "right", CASE WHEN n = 1 THEN -1 ELSE (l + r) / 2 END::DOUBLE AS middle, CASE WHEN n = 1 THEN 1 ELSE r - l + 1 END::DOUBLE AS width FROM x"""),
     "manual_break_rows": with_tables("chrom breaks", "SELECT b.scaf, CAST(b.break_pos AS BIGINT) AS break_pos, max_by(protein, (stop, protein)) gene, max(stop) stop FROM breaks b JOIN chrom c ON c.species = 'C' AND b.species = 'C' AND c.scaf = b.scaf AND stop <= b.break_pos GROUP BY 1, 2"),
+    "manual_breaks_on_axis": with_tables("chromsize breaks", f"""WITH {_SIZES}, g AS (SELECT c.scaf, protein, stop + "offset" e FROM chrom c JOIN so ON so.species = 'C' AND c.species = 'C' AND so.scaf = c.scaf),
+mb AS (SELECT b.scaf, break_pos, break_pos + "offset" e FROM (SELECT scaf, CAST(break_pos AS BIGINT) AS break_pos FROM breaks WHERE species = 'C' UNION ALL VALUES ('CN5', 0), ('CN0', -1)) b JOIN so ON so.species = 'C' AND so.scaf = b.scaf)
+SELECT mb.scaf, break_pos, max_by(g.scaf, (g.e, protein, g.scaf)) gene_scaf, max_by(protein, (g.e, protein, g.scaf)) gene, max(g.e) stop FROM mb JOIN g ON g.e <= mb.e GROUP BY 1, 2"""),
     "filter_scaffolds": with_tables("hits chrom", f"WITH {_RBH} SELECT * FROM coords WHERE C_scaf <> 'CN3' AND P_scaf <> 'Brand#2'"),
     "filter_min_scaf_size": with_tables("orth", "SELECT 'B' species, B_scaf scaf, max(B_pos) len FROM orth GROUP BY 2 HAVING max(B_pos) >= 999900"),
     "pseudo_chromsizes": with_tables("orth", "SELECT 'A' species, A_scaf scaf, max(A_pos) len FROM orth GROUP BY 2"),

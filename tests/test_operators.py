@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from karyospark.operators import components, coords, fusion, fusion_trials, groups, hits, mixing, order, peaks, permute, scans, stats, validate
@@ -203,10 +204,140 @@ def test_suppression_of_clusters_is_that_of_the_whole():
     for _ in range(200):
         ix = np.sort(rng.choice(200, 40, replace=False))
         d = rng.integers(0, 9, 40).astype(float)
-        assert (peaks.suppressed(ix, d, 7) == plain(ix, d, 7)).all()
-        cuts = np.flatnonzero(np.diff(ix) >= 7) + 1
-        parts = [peaks.suppressed(a, b, 7) for a, b in zip(np.split(ix, cuts), np.split(d, cuts), strict=True)]
-        assert (np.concatenate(parts) == plain(ix, d, 7)).all()
+        stays, done = peaks.settled(ix, d, np.ones(40, bool), 7, -np.inf, np.inf)
+        assert done and (stays == plain(ix, d, 7)).all()
+        # stretches settle what they can, in turns half a stretch apart
+        stays, shift, rounds, all_done = np.ones(40, bool), 0, 0, False
+        while not all_done:
+            all_done = True
+            for block in np.unique((ix + shift) // 100):
+                part = (ix + shift) // 100 == block
+                low = block * 100 - shift
+                low, high = (low if ix[0] < low else -np.inf), (low + 100 if ix[-1] >= low + 100 else np.inf)
+                stays[part], done = peaks.settled(ix[part], d[part], stays[part], 7, low, high)
+                all_done &= done
+            shift, rounds = 50 - shift, rounds + 1
+            assert rounds < 12
+        assert (stays == plain(ix, d, 7)).all()
+
+
+def test_one_scaffold_over_many_stretches(spark):
+    """Evenly spaced peaks are settled from the left, however many tasks hold them."""
+    rng = np.random.default_rng(2)
+    ix = np.concatenate([np.arange(0, 3000, 10), np.sort(rng.choice(np.arange(3100, 9000), 900, replace=False))])
+    d = rng.integers(0, 50, len(ix)).astype(float)
+    df = spark.createDataFrame([("s", int(i), float(x)) for i, x in zip(ix, d, strict=True)], "scaf string, ix bigint, d double")
+    stays, _ = peaks.settled(ix, d, np.ones(len(ix), bool), 20, -np.inf, np.inf)
+    got = sorted(r.ix for r in peaks.suppress(df, ["scaf"], 20, span=1500).collect())
+    assert got == ix[stays].tolist()
+    assert sorted(r.ix for r in peaks.suppress(df, ["scaf"], 20).collect()) == got
+
+
+def one_scaffold(spark, n, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(f"r{i:04}", f"g{i:04}", "s" if i % 9 else None, None if not i % 9 else "s:0-300" if i % 3 else "s:300-end", int(p), f"x{int(o)}") for i, (p, o) in enumerate(zip(rng.integers(0, 400, n), rng.integers(0, 4, n), strict=True))]
+    rows = [(r, g, sc, None if sc is None else ("s:0-200" if p < 200 else "s:200-end"), p, o) for r, g, sc, _, p, o in rows]
+    return spark.createDataFrame(rows, "rbh string, A_gene string, A_scaf string, A_breakchrom string, A_pos bigint, B_breakchrom string")
+
+
+def test_one_scaffold_over_many_parts(spark, monkeypatch):
+    """Ranks, sliding counts and steps are those of whole windows where a scaffold is cut into parts and blocks."""
+    monkeypatch.setattr(scans, "BLOCK_RANKS", 25)
+    df = one_scaffold(spark, 700, 4)
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert scans.sorted_parts(df, ["A_scaf", "A_pos", "A_gene"]).select("_part").distinct().count() > 5
+        rows = coords.gene_index(df, "A").cache()
+        over = lambda *keys: W.partitionBy(*keys).orderBy("A_pos", "A_gene")
+        whole = df.withColumn("A_ix", F.row_number().over(over("A_scaf")) - 1).withColumn("A_break_ix", F.row_number().over(over("A_breakchrom")) - 1)
+        assert sorted(map(str, rows.collect())) == sorted(map(str, whole.select(rows.columns).collect()))
+        got = {r.rbh: r.A_D for r in stats.break_statistic(rows, "A", "B").collect()}
+        assert len(got) == 700
+        pieces = {}
+        for r in sorted(rows.collect(), key=lambda r: r.A_break_ix):
+            pieces.setdefault(r.A_breakchrom, []).append(r)
+        for piece in pieces.values():
+            for i, r in enumerate(piece):
+                left = [x.B_breakchrom for x in piece[i - 19 : i + 1]] if i >= 19 else []
+                right = [x.B_breakchrom for x in piece[i + 1 : i + 21]] if i + 20 <= len(piece) - 1 else []
+                want = 0.0 if i == len(piece) - 1 else math.sqrt(sum(((left.count(c) - right.count(c)) / 20) ** 2 for c in {*left, *right}))
+                assert got[r.rbh] == pytest.approx(want)
+        genes = df.where("A_scaf IS NOT NULL").select(F.col("A_scaf").alias("scaf"), F.col("A_gene").alias("gene"), F.col("A_pos").alias("start"), (F.col("A_pos") + 3).alias("stop"))
+        bars = {r.gene: r for r in stats.d_bars(genes, spark.createDataFrame([("s", 500, 10)], "scaf string, len bigint, offset bigint")).collect()}
+        along = sorted(genes.collect(), key=lambda r: (r.start, r.stop, r.gene))
+        for i, r in enumerate(along):
+            left = (along[i - 1].stop + r.start) / 2 + 10 if i else 10
+            right = (r.stop + along[i + 1].start) / 2 + 10 if i + 1 < len(along) else 510
+            assert (bars[r.gene].left, bars[r.gene].right) == (left, right)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
+def test_auto_breaks_against_plain_python(spark, monkeypatch):
+    """The whole of it, signals to suppression, on one scaffold in blocks and on a second one."""
+    monkeypatch.setattr(scans, "BLOCK_RANKS", 30)
+    monkeypatch.setattr(peaks, "SPAN", 200)
+    rng = np.random.default_rng(8)
+    values = {s: np.round(np.abs(np.sin(np.arange(n) / 7)) + rng.uniform(0, 0.6, n), 3) for s, n in (("s", 900), ("t", 40))}
+    hand = [("s", 450, 9.0), ("s", 452, 0.1), ("t", 39, 0.2)]
+
+    def rule(found, window):
+        found = centres = sorted(set(found))
+        while True:
+            held = [sum(abs(a[0] - b[0]) < window for b in found) for a in centres]
+            if not found or max(held) < 2:
+                return found
+            at = centres[held.index(max(held))]
+            members = [b for b in found if abs(at[0] - b[0]) < window]
+            best = min(members, key=lambda b: (-b[1], b[0]))
+            found = [b for b in found if b not in members or b == best]
+
+    want = set()
+    for scaf, d in values.items():
+        above = lambda v, by: np.where(~(by < np.nanmedian(by)), v, np.nan)
+        raw = above(d, d)
+        mean = np.full(len(d), np.nan)
+        mean[1:-1] = (raw[:-2] + raw[1:-1] + raw[2:]) / 3
+        steps = {n: above(np.diff(v, prepend=np.nan), v) for n, v in (("mean_step", mean), ("raw_step", raw))}
+        found = []
+        for v in (mean, raw, *steps.values()):
+            at = np.flatnonzero(~np.isnan(v))
+            runs = [r for r in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(r) > 1]
+            found += rule([(int(max(r, key=lambda i: (d[i], -i))), float(max(d[r]))) for r in runs], 20)
+        found += [(i, x) for s, i, x in hand if s == scaf]
+        want |= {(scaf, *p) for p in rule(found, 5)}
+    rows = spark.createDataFrame([(s, i, float(x)) for s, v in values.items() for i, x in enumerate(v)], "A_scaf string, A_ix bigint, A_D double")
+    manual = spark.createDataFrame(hand, "scaf string, ix bigint, d double")
+    got = {(r.scaf, r.ix, r.d) for r in peaks.auto_breaks(rows, "A", manual).collect()}
+    assert got == want and ("s", 450, 9.0) in got
+
+
+def test_fisher_tails():
+    for n, r, c in ((12, 5, 7), (30, 11, 4), (40, 40, 6), (25, 20, 22), (9, 0, 3), (60, 30, 30)):
+        ways = [math.comb(r, t) * math.comb(n - r, c - t) for t in range(max(0, r + c - n), min(r, c) + 1)]
+        low = max(0, r + c - n)
+        xs = np.arange(low, min(r, c) + 1)
+        got = stats.ln_tail(xs, *(np.full(len(xs), v) for v in (r, c, n)))
+        want = [math.log(sum(ways[k:]) / math.comb(n, c)) for k in range(len(ways))]
+        assert np.allclose(got, want, rtol=1e-11, atol=1e-13)
+
+
+def test_fisher_tails_at_a_thousand_million_genes():
+    """Nearly a Poisson draw with mean 1, and a far tail against exact logarithms of whole numbers."""
+    n, r = 10**9, 31_623
+    xs = np.arange(1, 12)
+    got = stats.ln_tail(xs, np.full(11, r), np.full(11, r), np.full(11, n))
+    mean = r * r / n
+    want = [math.log(1 - sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(x))) for x in xs[:6]]
+    assert np.allclose(got[:6], want, rtol=2e-3) and (np.diff(got) < 0).all()
+    big, half = np.array([10**9]), np.array([5 * 10**8])
+    near = stats.ln_tail(half // 2, half, half, big)[0]
+    assert near == pytest.approx(math.log(0.5), abs=1e-4)
+    sd = math.sqrt(10**9 / 16)
+    assert stats.ln_tail(half // 2 + int(6 * sd), half, half, big)[0] == pytest.approx(math.log(math.erfc(6 / math.sqrt(2)) / 2), rel=1e-3)
 
 
 def test_a_falling_chain_of_hits_is_taken_to_its_end(spark):
@@ -287,7 +418,7 @@ def test_break_peaks(spark):
     got = {r.ix for r in peaks.auto_breaks(rows, "A").collect()}
     assert {62, 127} <= got
     assert peaks.auto_breaks(rows.limit(0), "A").count() == 0
-    stays = peaks.suppressed(np.array([1, 3, 10, 12, 40]), np.array([1.0, 2.0, 3.0, 3.0, 0.1]), 20)
+    stays, _ = peaks.settled(np.array([1, 3, 10, 12, 40]), np.array([1.0, 2.0, 3.0, 3.0, 0.1]), np.ones(5, bool), 20, -np.inf, np.inf)
     assert stays.tolist() == [False, False, True, False, True]
 
 
