@@ -57,6 +57,29 @@ def test_components_of_paths_and_stars(spark, n):
     assert got == {**dict.fromkeys(range(n + 1), 0), **dict.fromkeys([100 + n, *range(200, 200 + n)], min(100 + n, 200))}
 
 
+def test_components_of_a_long_path(spark):
+    """Stretches of the path are contracted where they lie; what is left settles in few rounds."""
+    path = spark.range(300_000).selectExpr("id AS a", "id + 1 AS b")
+    labels, rounds = components.settled_components(path)
+    assert labels.count() == 300_001 and labels.where("root <> 0").isEmpty() and rounds < 8
+    names = path.selectExpr("concat('n', a) AS a", "concat('n', b) AS b").where("a < 'n2'")
+    assert components.connected_components(names).select("root").distinct().count() == names.selectExpr("a AS x").union(names.selectExpr("b AS x")).distinct().count() - names.count()
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_least_labels(seed):
+    rng = np.random.default_rng(seed)
+    n = 400
+    i, j = rng.integers(0, n, (2, 50 * (seed + 1)))
+    label = components.least_labels(n, i, j)
+    want = np.arange(n)
+    for _ in range(n):
+        low = np.minimum(want[i], want[j])
+        np.minimum.at(want, i, low)
+        np.minimum.at(want, j, low)
+    assert (label == want).all()
+
+
 def test_components_of_nothing(spark):
     assert components.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
