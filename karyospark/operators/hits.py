@@ -218,16 +218,40 @@ def pseudo_hits_if_subset(proteins: DataFrame, rbh: DataFrame, species: list[str
 def greedy_one_to_one(hits: DataFrame, cutoff: float = 1e-5) -> DataFrame:
     """What repeatedly taking the best remaining row, and all rows that share its ids away, would take.
 
-    By e-value, then score, then ids.  A row that is first for both its ids is
-    taken in any order of taking, so each round takes all of those at once; the
-    first row of all is always among them, so every round takes some.
+    By e-value, then score, then ids; of rows with both ids alike the best counts.
     """
-    left = cut(hits.where(F.col("evalue") <= cutoff).distinct())
-    order = [F.col("evalue"), F.col("bitscore").desc(), F.col("qseqid"), F.col("sseqid")]
-    taken = None
+    return greedy_rounds(hits, cutoff)[0]
+
+
+def greedy_rounds(hits: DataFrame, cutoff: float = 1e-5) -> tuple[DataFrame, int]:
+    """``greedy_one_to_one``, and the number of joins one after the other that it took.
+
+    A row is taken if no better row with one of its ids is.  A row without
+    better ones is taken, and the state of a row with just one is the opposite
+    of that one's: such rows form chains, whose states are found by doubling
+    pointers.  What is taken takes its ids away, and the rest goes on.
+    """
+    order = [F.col("evalue"), -F.col("bitscore"), F.col("qseqid"), F.col("sseqid")]
+    best = top_hit(hits.where(F.col("evalue") <= cutoff).distinct(), ["qseqid", "sseqid"], order[:2])
+    left, taken, joins = cut(best).withColumn("_id", F.monotonically_increasing_id()), None, 0  # stable: the rows are written
     while not left.isEmpty():
-        both = left.withColumn("_q", F.row_number().over(W.partitionBy("qseqid").orderBy(*order))).withColumn("_s", F.row_number().over(W.partitionBy("sseqid").orderBy(*order)))
-        new = cut(both.where("_q = 1 AND _s = 1").drop("_q", "_s"))
+        firsts = []
+        for key, name in (("qseqid", "_q"), ("sseqid", "_s")):
+            w = W.partitionBy(key).orderBy(*order)
+            up = F.first("_id").over(w.rowsBetween(W.unboundedPreceding, 0)).alias(f"{name}_up")
+            firsts.append(left.select("_id", F.row_number().over(w).alias(name), up).where(F.col(name) <= 2))
+        few = firsts[0].join(firsts[1], "_id").where("_q + _s <= 3")
+        chain = cut(few.select("_id", F.when(F.col("_q") == 2, F.col("_q_up")).otherwise(F.col("_s_up")).alias("up"), (F.col("_q") + F.col("_s") == 3).alias("odd")))
+        joins += 1
+        while True:
+            above = chain.select(F.col("_id").alias("up"), F.col("up").alias("_up"), F.col("odd").alias("_odd"))
+            further = chain.join(above, "up", "left").select("_id", F.coalesce("_up", "up").alias("up"), F.when(F.col("_odd"), ~F.col("odd")).otherwise(F.col("odd")).alias("odd"), (F.col("_up") != F.col("up")).alias("_moved"))
+            further, joins = cut(further), joins + 1
+            chain = further.drop("_moved")
+            if further.where("_moved").isEmpty():
+                break
+        roots = few.where("_q + _s = 2").select(F.col("_id").alias("up"))
+        new = cut(left.join(chain.where("NOT odd").join(roots, "up", "left_semi"), "_id", "left_semi"))
         taken = new if taken is None else taken.unionByName(new)
         left = cut(left.join(new, "qseqid", "left_anti").join(new, "sseqid", "left_anti"))
-    return taken if taken is not None else left
+    return (left if taken is None else taken).select(hits.columns), joins

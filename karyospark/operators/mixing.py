@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .hits import number_rows
 from .lineage import cut
+from .scans import ranked, sorted_parts
 
 LEAST_GENES = 3
 #: Genes that are counted in one piece.
@@ -33,17 +34,26 @@ def mixing_ranges(genes: DataFrame, sizes: DataFrame, least: int = LEAST_GENES)
 PAIR_KEYS = ["species", "scaf", "gene_group_a", "gene_group_b"]
 
 
+def _pairs(genes: DataFrame, least: int) -> DataFrame:
+    """Pairs of groups with enough genes on a scaffold, and how many they have."""
+    counts = genes.groupBy("species", "scaf", "gene_group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    side = lambda k: counts.select("species", "scaf", F.col("gene_group").alias(f"gene_group_{k}"), F.col("n").alias(f"n_{k}"))
+    return cut(side("a").join(side("b"), ["species", "scaf"]).where("gene_group_a < gene_group_b"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """A row for either group of a pair, with its letter."""
+    ends = [pairs.select(*PAIR_KEYS, F.col(f"gene_group_{k}").alias("gene_group"), F.lit(letter).alias("letter")) for k, letter in (("a", "A"), ("b", "B"))]
+    return ends[0].unionByName(ends[1])
+
+
 def pair_letters(genes: DataFrame, least: int = LEAST_GENES, part: int = PART_GENES) -> DataFrame:
     """``(PAIR_KEYS, part, place, letter)``: for each pair of groups its genes along the scaffold, A or B, in parts of ``part`` genes.
 
     Places (from 0) come from one sort over range partitions, so a scaffold's
     genes need not meet in one task.
     """
-    counts = genes.groupBy("species", "scaf", "gene_group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    side = lambda k: counts.select("species", "scaf", F.col("gene_group").alias(f"gene_group_{k}"), F.col("n").alias(f"n_{k}"))
-    pairs = cut(side("a").join(side("b"), ["species", "scaf"]).where("gene_group_a < gene_group_b"))
-    ends = [pairs.select(*PAIR_KEYS, F.col(f"gene_group_{k}").alias("gene_group"), F.lit(letter).alias("letter")) for k, letter in (("a", "A"), ("b", "B"))]
-    rows = genes.select("species", "scaf", "gene", "pos", "gene_group").join(ends[0].unionByName(ends[1]), ["species", "scaf", "gene_group"])
+    rows = genes.select("species", "scaf", "gene", "pos", "gene_group").join(_ends(_pairs(genes, least)), ["species", "scaf", "gene_group"])
     ranked = cut(number_rows(rows.select(*PAIR_KEYS, "pos", "gene", "letter"), [*PAIR_KEYS, "pos", "gene", "letter"], "_rank"))
     first = ranked.groupBy(*PAIR_KEYS).agg(F.min("_rank").alias("_first"))
     placed = ranked.join(first, PAIR_KEYS).withColumn("place", F.col("_rank") - F.col("_first"))
@@ -57,29 +67,73 @@ def gene_strings(genes: DataFrame, least: int = LEAST_GENES, part: int = PART_GE
     return parts.select(*PAIR_KEYS, "part", F.array_join(F.transform("_l", lambda x: x["letter"]), "").alias("genestring"))
 
 
+def pair_runs(codes: np.ndarray, groups: int) -> np.ndarray:
+    """``runs[a, b]``: runs of group b along ``codes`` where only genes of a stand between (0 for absent groups; the diagonal means nothing).
+
+    Two genes of b that follow each other are in different runs if the count of
+    a's genes before them differs, which one look at b's genes tells.
+    """
+    runs = np.zeros((groups, groups), np.int64)
+    order = np.argsort(codes, kind="stable")
+    ours = codes[order]
+    first = np.diff(ours, prepend=-1) != 0
+    for a in np.unique(codes).tolist():
+        before = np.cumsum(codes == a)[order]
+        runs[a] = np.bincount(ours[first | (np.diff(before, prepend=0) != 0)], minlength=groups)
+    return runs
+
+
+STATE = "species string, scaf string, part bigint, gene_group_a string, gene_group_b string, first bigint, last bigint, inside bigint"
+
+
+def _part_state(pdf: pd.DataFrame) -> pd.DataFrame:
+    """First and last place of each group of a part, and the changes within it of each pair that meets there."""
+    pdf = pdf.sort_values("_place")
+    names, codes = np.unique(pdf.gene_group.to_numpy(str), return_inverse=True)
+    place, n = pdf._place.to_numpy(np.int64), len(names)
+    first, last = np.zeros((2, n), np.int64)
+    last[codes] = place  # the last of equal places stays
+    first[codes[::-1]] = place[::-1]
+    runs = pair_runs(codes, n)
+    a, b = np.triu_indices(n, 1)
+    groups = pd.DataFrame({"gene_group_a": names, "gene_group_b": None, "first": first, "last": last, "inside": 0})
+    pairs = pd.DataFrame({"gene_group_a": names[a], "gene_group_b": names[b], "first": 0, "last": 0, "inside": runs[a, b] + runs[b, a] - 1})
+    out = pd.concat([groups, pairs]) if n > 1 else groups
+    for k, c in enumerate(("species", "scaf", "part")):
+        out.insert(k, c, pdf[c].iloc[0])
+    return out
+
+
 def mixing_value(genes: DataFrame, least: int = LEAST_GENES, compress: bool = False, part: int = PART_GENES) -> DataFrame:
     """``(PAIR_KEYS, n_a, n_b, changes, m)``: changes between the two groups along the scaffold, against their expected number.
 
     1 is as mixed as by chance, 0 is apart; null where nothing is expected.
-    With ``compress`` a run of one group counts as one gene.  Changes are counted
-    in parts of ``part`` genes and where parts meet.
+    With ``compress`` a run of one group counts as one gene.  Genes are ranked
+    once and cut into parts of ``part``.  A part yields where each group stands
+    first and last, and each pair's changes; parts of a pair merge in order by
+    the group that is last in one and first in the next.
     """
-    letters = pair_letters(genes, least, part)
-    before = F.lag("letter").over(W.partitionBy(*PAIR_KEYS, "part").orderBy("place"))
-    parts = letters.withColumn("_new", (F.col("letter") != before).cast("bigint")).groupBy(*PAIR_KEYS, "part").agg(
-        F.count_if(F.col("letter") == "A").alias("n_a"), F.count_if(F.col("letter") == "B").alias("n_b"), F.coalesce(F.sum("_new"), F.lit(0)).alias("inside"),
-        F.min_by("letter", "place").alias("head"), F.max_by("letter", "place").alias("tail"),
-    )
+    place = ["species", "scaf"]
+    pairs = _pairs(genes, least)
+    ends = _ends(pairs)
+    kept = genes.select(*place, "pos", "gene", "gene_group").join(ends.select(*place, "gene_group").distinct(), [*place, "gene_group"], "left_semi")
+    order = ["pos", "gene", "gene_group"]
+    placed = ranked(sorted_parts(kept, [*place, *order]), place, order, "_place").withColumn("part", F.floor(F.col("_place") / part))
+    states = cut(placed.select(*place, "part", "_place", "gene_group").groupBy(*place, "part").applyInPandas(_part_state, STATE))
+    alone = states.where("gene_group_b IS NULL").select(*place, "part", F.col("gene_group_a").alias("gene_group"), "first", "last")
+    sides = alone.join(ends, [*place, "gene_group"]).groupBy(*PAIR_KEYS, "part").agg(F.min_by("letter", "first").alias("head"), F.max_by("letter", "last").alias("tail"))
+    inside = states.where("gene_group_b IS NOT NULL").select(*PAIR_KEYS, "part", "inside")
     meets = (F.col("head") != F.lag("tail").over(W.partitionBy(*PAIR_KEYS).orderBy("part"))).cast("bigint")
-    out = parts.withColumn("_meets", F.coalesce(meets, F.lit(0))).groupBy(*PAIR_KEYS).agg(
-        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), (F.sum("inside") + F.sum("_meets")).alias("changes"), F.min_by("head", "part").alias("_head")
+    merged = sides.join(inside, [*PAIR_KEYS, "part"], "left").withColumn("_meets", F.coalesce(meets, F.lit(0))).groupBy(*PAIR_KEYS).agg(
+        F.sum(F.coalesce("inside", F.lit(0)) + F.col("_meets")).alias("changes"), F.min_by("head", "part").alias("_head")
     )
+    out = pairs.join(merged, PAIR_KEYS)
     if compress:
         runs = F.col("changes") + 1
         more, fewer = F.floor((runs + 1) / 2), F.floor(runs / 2)
         out = out.withColumn("n_a", F.when(F.col("_head") == "A", more).otherwise(fewer)).withColumn("n_b", runs - F.col("n_a"))
     expected = 2 * F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")) - 1
-    return out.drop("_head").withColumn("m", (F.col("changes") - 1) / F.nullif(expected, F.lit(0.0)))
+    return out.select(*PAIR_KEYS, "n_a", "n_b", "changes").withColumn("m", (F.col("changes") - 1) / F.nullif(expected, F.lit(0.0)))
 
 
 def _runs_ln(n_a: int, n_b: int, table: np.ndarray) -> np.ndarray:

@@ -106,7 +106,14 @@ nway AS (SELECT 'rbh3way_C_P_S_' || row_number() OVER (ORDER BY cp.qseqid) rbh,
 _BEST = """t AS (SELECT * FROM profile_hits QUALIFY row_number() OVER (PARTITION BY sseqid ORDER BY {o}, qseqid) = 1),
 best AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY qseqid ORDER BY {o}, sseqid) = 1)"""
 
+#: One row taken after the other; the smallest table has 200 groups, and so at most as many steps.
+_GREEDY = """WITH h AS (SELECT qseqid, sseqid, evalue, bitscore FROM profile_hits WHERE evalue <= 60),
+g(taken, uq, us) AS (SELECT NULL::STRUCT(e DOUBLE, b DOUBLE, q VARCHAR, s VARCHAR), []::VARCHAR[], []::VARCHAR[]
+  UNION ALL SELECT m, list_append(uq, m.q), list_append(us, m.s) FROM (SELECT uq, us, min({'e': evalue, 'b': -bitscore, 'q': qseqid, 's': sseqid}) m FROM g JOIN h ON NOT list_contains(uq, qseqid) AND NOT list_contains(us, sseqid) GROUP BY uq, us))
+SELECT taken.q qseqid, taken.s sseqid, taken.e evalue, -taken.b bitscore FROM g WHERE taken IS NOT NULL"""
+
 ORACLES = {
+    "greedy_one_to_one": "WITH RECURSIVE " + with_tables("profile_hits", _GREEDY)[5:],
     "rbh_permissive": with_tables("hits", f"WITH {_DIRECTIONS},\nfe AS (SELECT * FROM f QUALIFY evalue = min(evalue) OVER (PARTITION BY {_K}, qseqid)), re AS (SELECT * FROM r QUALIFY evalue = min(evalue) OVER (PARTITION BY {_K}, sseqid))\nSELECT {_IDS} FROM fe f JOIN re {_ON}"),
     "rbh_strict": with_tables("hits", f"WITH {STRICT} SELECT {_IDS} FROM strict f"),
     "rbh_single_pass": with_tables("hits", f"WITH {_DIRECTIONS}, b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY {_K}, qseqid ORDER BY bitscore DESC, evalue, sseqid) = 1), k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY {_K}, sseqid ORDER BY bitscore DESC, evalue, qseqid) = 1) SELECT {_IDS} FROM b f JOIN k {_ON}"),

@@ -172,6 +172,22 @@ def test_drawn_states_agree_with_ranked_permutations(spark):
     assert permute.size_observations(none).count() == 0 and permute.trials_of(none) == 2
 
 
+@pytest.mark.parametrize("part", [1, 7, 1000])
+def test_mixing_of_many_groups(spark, part):
+    rng = random.Random(part)
+    rows = [(s, f"g{i:03}", rng.randrange(150), f"L{rng.randrange(9)}" if i % 5 else None) for s in ("x", "y") for i in range(120)]
+    df = spark.createDataFrame(rows, "scaf string, gene string, pos bigint, gene_group string").withColumn("species", F.lit("A"))
+    got = {(r.scaf, r.gene_group_a, r.gene_group_b): (r.n_a, r.n_b, r.changes) for r in mixing.mixing_value(df, part=part).collect()}
+    want = {}
+    for s in ("x", "y"):
+        along = [g for _, _, _, g in sorted((r for r in rows if r[0] == s and r[3]), key=lambda r: (r[2], r[1]))]
+        for a, b in itertools.combinations(sorted(set(along)), 2):
+            letters = [g for g in along if g in (a, b)]
+            if min(letters.count(a), letters.count(b)) >= 3:
+                want[s, a, b] = (letters.count(a), letters.count(b), sum(x != y for x, y in itertools.pairwise(letters)))
+    assert got == want and len(want) > 40
+
+
 def test_drawn_tables_are_uniform_permutations():
     """Two species with two scaffolds each: the count of one cell is hypergeometric."""
     counts = np.zeros(6, int)
@@ -374,6 +390,26 @@ def test_a_falling_chain_of_hits_is_taken_to_its_end(spark):
     assert sorted((r.qseqid, r.sseqid) for r in hits.greedy_one_to_one(df).collect()) == sorted(want)
 
 
+def test_a_long_chain_takes_few_joins(spark):
+    n = 10_000
+    chain = spark.range(n).selectExpr("concat('q', id div 2) AS qseqid", "concat('s', (id + 1) div 2) AS sseqid", "id * 1e-12D AS evalue", "1.0D AS bitscore")
+    taken, joins = hits.greedy_rounds(chain)
+    assert {r.qseqid for r in taken.collect()} == {f"q{i}" for i in range(n // 2)} and joins < 30
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_greedy_is_that_of_one_row_after_the_other(spark, seed):
+    rng = random.Random(seed)
+    rows = {(f"q{rng.randrange(9)}", f"s{rng.randrange(12)}", rng.randrange(5) * 1e-9, float(rng.randrange(3))) for _ in range(70)}
+    used, want = set(), []
+    for q, s, e, b in sorted(rows, key=lambda r: (r[2], -r[3], r[0], r[1])):
+        if not {q, s} & used:
+            want.append((q, s, e, b))
+            used |= {q, s}
+    df = spark.createDataFrame(sorted(rows), "qseqid string, sseqid string, evalue double, bitscore double")
+    assert sorted(map(tuple, hits.greedy_one_to_one(df).collect())) == sorted(want)
+
+
 @pytest.mark.parametrize(("a", "b"), [(3, 3), (1, 4), (2, 5)])
 def test_runs_distribution_is_exact(a, b):
     table = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 30)))])
