@@ -12,16 +12,26 @@ from karyospark.functions.color import assign_color
 
 from .hits import number_rows
 from .lineage import cut
-from .scans import at_or_below
+from .scans import at_or_below, ranked, sorted_parts
 
 
-def group_by_scaffolds(rbh: DataFrame, species: list[str]) -> DataFrame:
-    """One row per scaffold tuple, the other columns as arrays in order of ``rbh``, and ``count``; single orthologs stay."""
+#: Orthologs whose values one row of a group table holds.
+LIST_ROWS = 10_000
+
+
+def group_by_scaffolds(rbh: DataFrame, species: list[str], rows: int | None = None) -> DataFrame:
+    """Scaffold tuples with their ``count``, and the other columns as arrays in order of ``rbh``; single orthologs stay.
+
+    A group's arrays come in parts of ``rows`` orthologs, numbered from 0 by
+    ``part``: a tuple may hold any share of all orthologs, a row may not.
+    """
     keys = [f"{s}_scaf" for s in species]
     rest = ["rbh", *[c for c in rbh.columns if c not in keys and c != "rbh"]]
-    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    groups = rbh.where(whole).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("_rows"), F.count(F.lit(1)).alias("count"))
-    return groups.select(*keys, "count", *[F.col(f"_rows.{c}").alias(c) for c in rest])
+    placed = sorted_parts(rbh.dropna(subset=keys), [*keys, "rbh"])
+    part = F.floor(F.col("_place") / (rows or LIST_ROWS)).alias("part")
+    parts = ranked(placed, keys, ["rbh"], "_place").groupBy(*keys, part).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("_rows"))
+    counts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
+    return parts.join(counts, keys).select(*keys, "count", "part", *[F.col(f"_rows.{c}").alias(c) for c in rest])
 
 
 def group_sizes(rbh: DataFrame, species: list[str]) -> DataFrame:
@@ -67,9 +77,9 @@ def order_profile_columns(rbh: DataFrame, original: list[str], added: list[str])
 
 
 def unwrap_groups(groups: DataFrame) -> DataFrame:
-    """One row per ortholog again: arrays side by side, other columns repeated, without ``count``."""
+    """One row per ortholog again: arrays side by side, other columns repeated, without ``count`` and ``part``."""
     arrays = [c for c, t in groups.dtypes if t.startswith("array")]
-    rest = [c for c in groups.columns if c not in arrays and c != "count"]
+    rest = [c for c in groups.columns if c not in arrays and c not in ("count", "part")]
     return groups.select(*rest, F.inline(F.arrays_zip(*arrays)))
 
 

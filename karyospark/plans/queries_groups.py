@@ -33,6 +33,12 @@ def grouped(spark, sf_dir):
     return G.group_by_scaffolds(X.orth(spark, sf_dir).drop("gene_group", "color"), SP)
 
 
+def list_parts_sql(rows: int, columns: list[str]) -> str:
+    """Groups with their lists in parts of so many orthologs."""
+    lists = ", ".join(f"string_agg(CAST({c} AS VARCHAR), ',' ORDER BY rbh) {c}" for c in columns)
+    return with_tables("orth", f"WITH pl AS (SELECT *, count(*) OVER (PARTITION BY {SCAFS}) \"count\", CAST(floor((row_number() OVER (PARTITION BY {SCAFS} ORDER BY rbh) - 1) / {rows}) AS BIGINT) AS part FROM orth) SELECT {SCAFS}, \"count\", part, {lists} FROM pl GROUP BY {SCAFS}, \"count\", part")
+
+
 def joined_lists(df):
     """Array columns as text, so that engines compare alike."""
     return df.select(*[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes])
@@ -42,6 +48,10 @@ def group_by_scaffolds(spark, sf_dir):
     return joined_lists(grouped(spark, sf_dir))
 
 
+def group_by_scaffolds_in_parts(spark, sf_dir):
+    return joined_lists(G.group_by_scaffolds(X.orth(spark, sf_dir).select("rbh", *[f"{s}_scaf" for s in SP], "A_gene", "A_pos"), SP, rows=64))
+
+
 def fdr(spark):
     s = F.col("id")
     return spark.range(1, FDR_SIZES + 1).select(s.alias("size"), F.when((s % 3 == 0) | (s > 400), 0.0).otherwise(1 / s).alias("alpha"))
@@ -229,7 +239,7 @@ def collapse_runs(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").select("doc_id", F.md5(Z.collapse_runs(F.col("text"))).alias("collapsed"))
 
 
-_NAMES = "group_by_scaffolds attach_alpha name_groups unwrap_groups colors_long merge_rbh fdr_table group_size_fdr combo_fdr combo_fdr_drawn combo_significance ranked_group_sizes ranked_group_size_fdr shuffle_column mixing_ranges mixing_value gene_strings mixing_value_compressed mixing_null fusion_groups fusion_candidates resolve_outgroup_dups fusion_tables fusion_stats derived_fissions polytomies annotate_support fusion_summary fusion_null fusion_null_batches fusion_null_drawn fusion_p_drawn empirical_p trial_histograms colors assign_color collapse_runs"
+_NAMES = "group_by_scaffolds group_by_scaffolds_in_parts attach_alpha name_groups unwrap_groups colors_long merge_rbh fdr_table group_size_fdr combo_fdr combo_fdr_drawn combo_significance ranked_group_sizes ranked_group_size_fdr shuffle_column mixing_ranges mixing_value gene_strings mixing_value_compressed mixing_null fusion_groups fusion_candidates resolve_outgroup_dups fusion_tables fusion_stats derived_fissions polytomies annotate_support fusion_summary fusion_null fusion_null_batches fusion_null_drawn fusion_p_drawn empirical_p trial_histograms colors assign_color collapse_runs"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _FDR = 'fdr AS (SELECT i AS "size", CASE WHEN i % 3 = 0 OR i > 400 THEN 0 ELSE 1.0 / i END::DOUBLE AS alpha FROM range(1, 5000) t(i))'
@@ -293,7 +303,8 @@ _FLAGS = [(f"EXISTS (SELECT 1 FROM h{a} h WHERE h.mixed = {m} AND " + " AND ".jo
 _FLAGS += [(f"count(*) OVER (PARTITION BY {', '.join(f'{s}_scaf' for s in SP if s != a)}) > 1", f"{a}_DerFissOrOGfus") for a in "BCD"] + [("count(*) OVER (PARTITION BY B_scaf, C_scaf, D_scaf) > 1", "B_C_D_polytomy")]
 
 ORACLES = {
-    "group_by_scaffolds": with_tables("orth", f"SELECT {SCAFS}, count(*) \"count\", string_agg(rbh, ',' ORDER BY rbh) rbh, " + ", ".join(f"string_agg(CAST({s}_{c} AS VARCHAR), ',' ORDER BY rbh) {s}_{c}" for s in SP for c in ("gene", "pos")) + " FROM orth GROUP BY ALL"),
+    "group_by_scaffolds": list_parts_sql(G.LIST_ROWS, ["rbh", *[f"{s}_{c}" for s in SP for c in ("gene", "pos")]]),
+    "group_by_scaffolds_in_parts": list_parts_sql(64, ["rbh", "A_gene", "A_pos"]),
     "attach_alpha": with_tables("orth", f"WITH {_SIZED} SELECT * REPLACE (round(alpha, 9) AS alpha) FROM sized"),
     "name_groups": with_tables("orth", f"WITH {_SIZED}, nm AS (SELECT * EXCLUDE (alpha, alpha_type), alpha, 'A_B_C_D_' || row_number() OVER (ORDER BY \"count\" DESC, {SCAFS}) gene_group FROM sized) SELECT * EXCLUDE (alpha), CASE WHEN alpha <= 0.05 THEN {_assigned('gene_group')} ELSE '#000000' END color FROM nm"),
     "unwrap_groups": with_tables("orth", "SELECT * EXCLUDE (gene_group, color) FROM orth"),

@@ -466,8 +466,14 @@ def test_validation_shows_three_examples(spark):
 def test_unwrap_undoes_grouping(spark):
     rows = [(f"r{i}", f"a{i}", f"s{i % 3}", i) for i in range(20)]
     df = spark.createDataFrame(rows, "rbh string, A_gene string, A_scaf string, A_pos bigint")
-    back = groups.unwrap_groups(groups.group_by_scaffolds(df, ["A"])).select(df.columns)
-    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    for size in (None, 3):
+        grouped = groups.group_by_scaffolds(df, ["A"], size).cache()
+        back = groups.unwrap_groups(grouped).select(df.columns)
+        assert sorted(map(tuple, back.collect())) == sorted(rows)
+        for r in grouped.collect():
+            mine = sorted(x for x in rows if x[2] == r.A_scaf)
+            at = slice(3 * r.part, 3 * r.part + 3) if size else slice(None)
+            assert r["count"] == len(mine) and r.rbh == [x[0] for x in mine[at]] and r.A_pos == [x[3] for x in mine[at]]
 
 
 def test_break_peaks(spark):
