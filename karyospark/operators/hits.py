@@ -25,11 +25,6 @@ def flip_hits(hits: DataFrame) -> DataFrame:
     return hits.select(*[F.col(swap.get(c, c)).alias(c) for c in hits.columns])
 
 
-def split_directions(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Forward rows (first species by name as the query), and the reverse rows turned round."""
-    return hits.where("query_species < target_species"), flip_hits(hits.where("query_species > target_species"))
-
-
 def top_hit(hits: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key by ``order``."""
     rest = [c for c in hits.columns if c not in keys]
@@ -37,17 +32,32 @@ def top_hit(hits: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return hits.groupBy(*keys).agg(best).select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in hits.columns])
 
 
-def least_evalue(hits: DataFrame, key: str) -> DataFrame:
-    """All rows at the least e-value of their query."""
-    w = W.partitionBy(*PAIR, key)
-    return hits.withColumn("_least", F.min("evalue").over(w)).where("evalue = _least").drop("_least")
+def per_query(hits: DataFrame, order: list[Column]) -> DataFrame:
+    """``(PAIR, qseqid, _best, _least)`` of either direction: a query's first row by ``order`` and its least e-value, in one aggregation."""
+    rest = [c for c in hits.columns if c not in (*PAIR, "qseqid")]
+    return hits.groupBy(*PAIR, "qseqid").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_best"), F.min("evalue").alias("_least"))
+
+
+def at_least_evalue(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """All rows at the least e-value of their query, for ``queries(PAIR, qseqid, _least)``."""
+    return hits.join(queries.select(*PAIR, "qseqid", "_least"), [*PAIR, "qseqid"]).where(F.col("evalue") == F.col("_least")).select(hits.columns)
+
+
+def _turned(rows: DataFrame) -> DataFrame:
+    """Keys of the reverse rows as those of forward rows."""
+    reverse = rows.where("query_species > target_species")
+    return reverse.select(F.col("target_species").alias("query_species"), F.col("query_species").alias("target_species"), F.col("sseqid").alias("qseqid"), F.col("qseqid").alias("sseqid"))
+
+
+def _mutual(rows: DataFrame) -> DataFrame:
+    """Forward rows whose pair comes in reverse as well."""
+    return rows.where("query_species < target_species").join(_turned(rows), [*PAIR, "qseqid", "sseqid"])
 
 
 def rbh_permissive(hits: DataFrame) -> DataFrame:
     """Forward rows at the least e-value whose pair is at the least e-value in reverse as well."""
-    forward, reverse = split_directions(cut(hits))
-    back = least_evalue(reverse, "sseqid").select(*PAIR, "qseqid", "sseqid")
-    return least_evalue(forward, "qseqid").join(back, [*PAIR, "qseqid", "sseqid"])
+    least = hits.groupBy(*PAIR, "qseqid").agg(F.min("evalue").alias("_least"))
+    return _mutual(cut(at_least_evalue(hits, least)))
 
 
 def _by_score(other: str) -> list[Column]:
@@ -62,23 +72,22 @@ def _one_to_one(rows: DataFrame) -> DataFrame:
 def rbh_strict(hits: DataFrame) -> DataFrame:
     """Mutual best hits by score, then mutual least-e-value ties among genes that the first pass left.
 
-    Ties end at the partner's id.  Both ids of the result are unique per pair.
+    Ties end at the partner's id, so both ids of the result are unique per
+    pair.  What one aggregation keeps of each query decides the first pass; only
+    for queries that it leaves the hits are looked at again.
     """
-    forward, reverse = split_directions(cut(hits))
-    best = top_hit(forward, [*PAIR, "qseqid"], _by_score("sseqid"))
-    back = top_hit(reverse, [*PAIR, "sseqid"], _by_score("qseqid")).select(*PAIR, "qseqid", "sseqid")
-    first = cut(_one_to_one(best.join(back, [*PAIR, "qseqid", "sseqid"])))
-    used = lambda rows: rows.join(first, [*PAIR, "qseqid"], "left_anti").join(first, [*PAIR, "sseqid"], "left_anti")
-    ties = used(least_evalue(forward, "qseqid")).join(used(least_evalue(reverse, "sseqid")).select(*PAIR, "qseqid", "sseqid"), [*PAIR, "qseqid", "sseqid"])
-    return first.unionByName(_one_to_one(ties).select(*first.columns))
+    queries = cut(per_query(hits, _by_score("sseqid")))
+    first = cut(_mutual(queries.select(*PAIR, "qseqid", "_best.*")).select(hits.columns))
+    ends = first.select(*PAIR, "qseqid").unionByName(first.select(F.col("target_species").alias("query_species"), F.col("query_species").alias("target_species"), F.col("sseqid").alias("qseqid")))
+    free = queries.select(*PAIR, "qseqid", "_least").join(ends, [*PAIR, "qseqid"], "left_anti")
+    ties = cut(at_least_evalue(hits, free))
+    return first.unionByName(_one_to_one(_mutual(ties).select(hits.columns)).select(*first.columns))
 
 
 def rbh_single_pass(hits: DataFrame) -> DataFrame:
     """Mutual best hits by score, then e-value."""
-    forward, reverse = split_directions(hits)
-    order = lambda other: [-F.col("bitscore"), F.col("evalue"), F.col(other)]
-    back = top_hit(reverse, [*PAIR, "sseqid"], order("qseqid")).select(*PAIR, "qseqid", "sseqid")
-    return top_hit(forward, [*PAIR, "qseqid"], order("sseqid")).join(back, [*PAIR, "qseqid", "sseqid"])
+    queries = per_query(hits, [-F.col("bitscore"), F.col("evalue"), F.col("sseqid")])
+    return _mutual(cut(queries.select(*PAIR, "qseqid", "_best.*")))
 
 
 def shared_gene_ids(genes: DataFrame) -> DataFrame:

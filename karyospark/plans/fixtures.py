@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HIT_COLUMNS = ["qseqid", "sseqid", "pident", "length", "mismatch", "gapopen", "qstart", "qend", "sstart", "send", "evalue", "bitscore"]
 BREAKS = [("C", "CN3", 500000), ("C", "CN7", 250000), ("C", "CN7", 750000), ("P", "Brand#2", 400000)]
 SCAF_LEN = 1_100_000
 

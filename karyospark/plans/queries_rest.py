@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from karyospark.operators import coords as C
+from karyospark.operators import hits as H
 from karyospark.operators import order as O
 from karyospark.operators import ribbon as R
 from karyospark.operators import sampling as D
@@ -33,7 +34,7 @@ def fasta_round_trip(spark, sf_dir):
 
 def blast6_round_trip(spark, sf_dir):
     path = _folder(spark, "hits")
-    X.hits(spark, sf_dir, [("C", "S")]).select(*X.HIT_COLUMNS).write.csv(path, sep="\t")
+    X.hits(spark, sf_dir, [("C", "S")]).select(*H.HIT_COLUMNS).write.csv(path, sep="\t")
     return T.read_blast6(spark, path)
 
 
@@ -269,7 +270,7 @@ UNION ALL SELECT 'header', protein FROM k WHERE k = 33 UNION ALL SELECT 'stop is
     "validate_lg_db": with_tables("profile_hits lg_db", "WITH n AS (SELECT DISTINCT qseqid AS name FROM profile_hits WHERE qseqid NOT LIKE '%3' UNION SELECT 'Q' || i FROM range(3) t(i)) SELECT rbh AS \"name\", 'profiles' missing_in FROM lg_db WHERE rbh NOT IN (SELECT name FROM n) UNION SELECT name, 'rbh' FROM n WHERE name NOT IN (SELECT rbh FROM lg_db)"),
     "validate_rbh_annotations": with_tables("orth", f"WITH k AS (SELECT rbh shown, {_K} k FROM orth), v AS (SELECT 'no gene_group' rule, shown FROM k WHERE k % 40 = 0 UNION ALL SELECT 'invalid color', shown FROM k WHERE k % 30 = 0 UNION ALL SELECT 'sequences', shown FROM k WHERE k % 100 = 0)" + _VIOL),
     "drop_duplicate_species_columns": with_tables("orth", "SELECT * FROM orth"),
-    "analysis_pairs": "SELECT * FROM (VALUES ('C', 'P'), ('C', 'S')) p(a, b)",
+    "analysis_pairs": with_tables("chrom", "WITH sp AS (SELECT DISTINCT species FROM chrom) SELECT x.species a, y.species b FROM sp x JOIN sp y ON x.species < y.species WHERE 'C' IN (x.species, y.species)"),
     "union_tables": with_tables("orth", "SELECT rbh, A_gene, B_gene, NULL C_gene FROM orth UNION ALL SELECT rbh, A_gene, NULL, C_gene FROM orth"),
     "chrom_order_optimized": with_tables("orth", f"WITH {ANN}, {WHOLE}, xs AS (SELECT A_scaf scaf, row_number() OVER (ORDER BY count(*) DESC, A_scaf) - 1 rk FROM orth GROUP BY 1), q AS (SELECT ka, kb, -n0 p FROM (SELECT ka, kb, {LP.replace('neg_log10_p', 'n0')} FROM w)), b AS (SELECT kb scaf, min((p, rk)) z FROM q JOIN xs ON xs.scaf = ka GROUP BY 1) SELECT scaf, row_number() OVER (ORDER BY z[2], z[1], scaf) - 1 AS \"rank\" FROM b"),
     "y_order_by_x": with_tables("orth", "WITH xs AS (SELECT A_scaf, row_number() OVER (ORDER BY count(*) DESC, A_scaf) - 1 rk FROM orth GROUP BY 1), c AS (SELECT B_scaf, A_scaf, count(*) n, min_by(A_pos, (B_pos, B_gene)) f FROM orth GROUP BY 1, 2), m AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY B_scaf ORDER BY n DESC, A_scaf) = 1) SELECT B_scaf scaf, row_number() OVER (ORDER BY rk, f, B_scaf) - 1 AS \"rank\" FROM m JOIN xs USING (A_scaf)"),

@@ -68,7 +68,7 @@ def parse_fasta(records: DataFrame) -> DataFrame:
     value = F.regexp_replace("value", r"\A>", "")
     head = F.regexp_extract(value, r"\A([^\n]*)", 1)
     seq = F.regexp_replace(F.regexp_replace(value, r"\A[^\n]*", ""), r"\s", "")
-    out = records.select(F.regexp_extract(head, r"\A(\S*)", 1).alias("id"), F.trim(F.regexp_replace(head, r"\A\S*", "")).alias("desc"), seq.alias("seq"))
+    out = records.select(F.regexp_extract(head, r"\A(\S*)", 1).alias("id"), F.btrim(F.regexp_replace(head, r"\A\S*", ""), F.lit(" \t\r")).alias("desc"), seq.alias("seq"))
     return out.where((F.col("seq") != "") & (F.col("id") != ""))
 
 

@@ -26,6 +26,11 @@ def test_profile_hits(spark):
         T.parse_hmm_tblout(lines(spark, ["a b c"])).collect()
 
 
+def test_fasta_with_carriage_returns(spark, tmp_path):
+    (tmp_path / "a.fa").write_bytes(b">id1\r\nAC\r\nGT\r\n>id2 some\ttext\t \r\nAA\r\n")
+    assert sorted((r.id, r.desc, r.seq) for r in T.read_fasta(spark, str(tmp_path / "a.fa")).collect()) == [("id1", "", "ACGT"), ("id2", "some\ttext", "AA")]
+
+
 def test_fasta_files(spark, tmp_path):
     path = tmp_path / "a.fa.gz"
     with gzip.open(path, "wt") as f:
