@@ -70,10 +70,10 @@ def test_near_duplicates(steps):
     for ks in holders.values():
         shared.update((a, b) for i, a in enumerate(ks) for b in ks[:i])
     close = {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in shared.items()}
-    linked = {k for p, j in close.items() if j >= 0.6 for k in p}
+    linked = {k for p, j in close.items() if j >= 0.8 for k in p}
     assert set(before) - linked <= set(after)  # unlike documents are left alone
-    both = [p for p, j in close.items() if j >= 0.85 and p[0] in after and p[1] in after]
-    found = [p for p, j in close.items() if j >= 0.85 and not (p[0] in after and p[1] in after)]
+    both = [p for p, j in close.items() if j >= 0.8 and p[0] in after and p[1] in after]
+    found = [p for p, j in close.items() if j >= 0.8 and not (p[0] in after and p[1] in after)]
     assert len(found) > 20 and len(both) <= 0.03 * (len(found) + len(both))
     texts = collections.Counter(r.text for r in after.values())
     assert max(texts.values()) == 1

@@ -69,7 +69,6 @@ def test_edges_connect_what_links_connect(spark, bucket_rows):
             fps.add(g)
     fps = sorted(np.array(list(fps), np.uint64).view(np.int64).tolist())
     edges = S.near_fingerprint_edges(spark.createDataFrame([(f,) for f in fps], "fp bigint"), bucket_rows=bucket_rows).collect()
-    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 3 * len(fps) for a, b in edges)
     place = {f: i for i, f in enumerate(fps)}
     i, j = (np.array([place[e[k]] for e in edges], np.int64) for k in (0, 1))
     found = S.least_labels(len(fps), i, j)
