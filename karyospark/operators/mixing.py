@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from .hits import number_rows
 from .lineage import cut
 from .scans import ranked, sorted_parts
+from .stats import ln_factorial
 
 LEAST_GENES = 3
 #: Genes that are counted in one piece.
@@ -136,23 +138,34 @@ def mixing_value(genes: DataFrame, least: int = LEAST_GENES, compress: bool = Fa
     return out.select(*PAIR_KEYS, "n_a", "n_b", "changes").withColumn("m", (F.col("changes") - 1) / F.nullif(expected, F.lit(0.0)))
 
 
-def _runs_ln(n_a: int, n_b: int, table: np.ndarray) -> np.ndarray:
-    """ln P of 2, 3, ... runs when n_a and n_b letters stand in random order."""
-    ln_choose = lambda n, k: np.where((k >= 0) & (k <= n), table[max(n, 0)] - table[np.clip(k, 0, max(n, 0))] - table[np.clip(n - k, 0, max(n, 0))], -np.inf)
-    r = np.arange(2, n_a + n_b + 1)
+def _runs(n_a: int, n_b: int) -> np.ndarray:
+    """Numbers of runs from 2 on, as far from the expected one as their chance can be told from 0 (the spread is below sqrt(n) / 2)."""
+    n = n_a + n_b
+    mean, far = 2 * n_a * n_b / n + 1, 40 * math.sqrt(n) + 100
+    return np.arange(max(2, math.floor(mean - far)), min(n, math.ceil(mean + far)) + 1)
+
+
+def _runs_ln(n_a: int, n_b: int, r: np.ndarray) -> np.ndarray:
+    """ln P of r runs when n_a and n_b letters stand in random order."""
+
+    def ln_choose(n: int, k: np.ndarray) -> np.ndarray:
+        within = np.clip(k, 0, max(n, 0))
+        ways = ln_factorial(np.array(max(n, 0))) - ln_factorial(within) - ln_factorial(max(n, 0) - within)
+        return np.where((k >= 0) & (k <= n), ways, -np.inf)
+
     half = r // 2
     even = np.log(2) + ln_choose(n_a - 1, half - 1) + ln_choose(n_b - 1, half - 1)
     odd = np.logaddexp(ln_choose(n_a - 1, half) + ln_choose(n_b - 1, half - 1), ln_choose(n_a - 1, half - 1) + ln_choose(n_b - 1, half))
-    return np.where(r % 2 == 0, even, odd) - (table[n_a + n_b] - table[n_a] - table[n_b])
+    return np.where(r % 2 == 0, even, odd) - ln_choose(n_a + n_b, np.array(n_a))
 
 
-def _compressed_null(runs: int, ln: np.ndarray) -> tuple[float | None, float | None]:
+def _compressed_null(runs: int, r: np.ndarray, ln: np.ndarray) -> tuple[float | None, float | None]:
     """``(mode, P(m_random <= m))`` where the shuffled string is compressed before it is measured.
 
     An even number of runs from 4 on gives m = 2 exactly, an odd one r gives
     2 r (r - 2) / (r r - 2 r - 1), which falls towards 2; two runs give no value.
     """
-    p, r = np.exp(ln), np.arange(2, len(ln) + 2)
+    p = np.exp(ln)
     even, odd = p[(r % 2 == 0) & (r > 2)].sum(), np.where(r % 2 == 1, p, 0.0)
     most = int(r[np.argmax(np.round(odd, 12))])
     if not even and not odd.any():
@@ -165,25 +178,24 @@ def mixing_null(mixed: DataFrame, compress: bool = False) -> DataFrame:
     """Exact null of ``m`` for the rows of ``mixing_value``: ``mode``, ``p_value_unmixed`` and percent of the way to the mode.
 
     ``changes`` is the number of runs less one, whose distribution is known, so
-    nothing is simulated.  With ``compress``, for compressed rows, random strings
+    nothing is simulated; of n genes some sqrt(n) numbers of runs are looked at.  With ``compress``, for compressed rows, random strings
     are compressed as well.
     """
 
     @F.pandas_udf("mode double, p_value_unmixed double")
     def null(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for a, b, changes in batches:
-            most = int((a + b).max()) if len(a) else 0
-            table = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, most + 1)))])
             rows = []
             with np.errstate(invalid="ignore", divide="ignore"):
-                for n_a, n_b, t in zip(a, b, changes, strict=True):
-                    ln = _runs_ln(int(n_a), int(n_b), table)
+                for n_a, n_b, t in zip(a.astype(int), b.astype(int), changes.astype(int), strict=True):
+                    r = _runs(n_a, n_b)
+                    ln = _runs_ln(n_a, n_b, r)
                     if compress:
-                        rows.append(_compressed_null(int(t) + 1, ln))
+                        rows.append(_compressed_null(t + 1, r, ln))
                         continue
                     expected = 2 * n_a * n_b / (n_a + n_b) - 1
-                    top = int(np.argmax(np.round(ln, 9)))
-                    rows.append((top / expected if expected else None, min(1.0, float(np.exp(ln[: int(t)]).sum()))))
+                    top = int(r[np.argmax(np.round(ln, 9))]) - 2
+                    rows.append((top / expected if expected else None, min(1.0, float(np.exp(ln[r <= t + 1]).sum()))))
             yield pd.DataFrame(rows, columns=["mode", "p_value_unmixed"], index=a.index)
 
     out = mixed.withColumn("_null", null("n_a", "n_b", "changes"))

@@ -35,6 +35,12 @@ def _stirling_rest(n: np.ndarray) -> np.ndarray:
     return np.where(n < 16, few[np.clip(n, 0, 15)], series)
 
 
+def ln_factorial(n: np.ndarray) -> np.ndarray:
+    """ln n! of whole numbers."""
+    m = np.maximum(n, 1).astype(np.float64)
+    return np.where(n > 0, (m + 0.5) * np.log(m) - m + HALF_LN_TAU + _stirling_rest(n), 0.0)
+
+
 def _deviance(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
     """x ln(x / mean) + mean - x, without loss where both are near."""
     near = (x - mean) / (x + mean)

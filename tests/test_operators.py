@@ -172,6 +172,13 @@ def test_drawn_states_agree_with_ranked_permutations(spark):
     assert permute.size_observations(none).count() == 0 and permute.trials_of(none) == 2
 
 
+def test_runs_of_many_genes_take_little_room():
+    r = mixing._runs(6 * 10**8, 4 * 10**8)
+    assert len(r) < 3 * 10**6
+    p = np.exp(mixing._runs_ln(6 * 10**8, 4 * 10**8, r))
+    assert p.sum() == pytest.approx(1, abs=1e-4) and (p * r).sum() / p.sum() == pytest.approx(2 * 0.24 * 10**9 + 1, rel=1e-9)
+
+
 @pytest.mark.parametrize("part", [1, 7, 1000])
 def test_mixing_of_many_groups(spark, part):
     rng = random.Random(part)
@@ -412,9 +419,10 @@ def test_greedy_is_that_of_one_row_after_the_other(spark, seed):
 
 @pytest.mark.parametrize(("a", "b"), [(3, 3), (1, 4), (2, 5)])
 def test_runs_distribution_is_exact(a, b):
-    table = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 30)))])
+    r = mixing._runs(a, b)
+    assert r.tolist() == list(range(2, a + b + 1))
     with np.errstate(all="ignore"):
-        p = np.exp(mixing._runs_ln(a, b, table))
+        p = np.exp(mixing._runs_ln(a, b, r))
     strings = set(itertools.permutations("A" * a + "B" * b))
     runs = [1 + sum(x != y for x, y in itertools.pairwise(s)) for s in strings]
     assert p == pytest.approx([runs.count(k) / len(strings) for k in range(2, a + b + 1)])
