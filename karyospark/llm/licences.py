@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,6 +90,16 @@ SLOTS = [
     ("^this software is provided by .{1,300}? as is and any express(ed)? or implied warranties.*$", normalised(BSD_DISCLAIMER)),
     (" see (the )?(accompanying )?(licen[sc]e|copying)( [a-z0-9 ]{0,80})?$", ""),
 ]
+# Words of each pattern.
+SLOT_WORDS = [
+    " is free software you can redistribute it",
+    " as published by the free software foundation inc ",
+    " is distributed in the hope",
+    " be used to endorse or promote products",
+    "all advertising materials mentioning",
+    "this software is provided by ",
+    " see ",
+]
 SPDX = "spdx license identifier "
 # Words of a condition; in a text with a BSD list, a sentence with one of them and of no known wording is a clause of its own.
 CLAUSE = "(endorse|promote|advertising|acknowledg|redistribut|commercial|patent|military|must|shall|may not)"
@@ -202,16 +213,29 @@ def _marked(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(low, SENTENCE_ENDS, "\u0001\n"), "[^\\p{L}\\p{N}\\x01\\x0A]+", " ")
 
 
-def _spread(part: Column) -> Column:
-    """A sentence with its slots filled, as an array; an SPDX expression as one sentence for each of its licences."""
+def _filled(part: Column) -> Column:
+    """A sentence with its slots filled; patterns run only where their words stand."""
     s = F.trim(part)
-    for pattern, filled in SLOTS:
-        s = F.regexp_replace(s, pattern, filled)
+    for (pattern, filled), words in zip(SLOTS, SLOT_WORDS, strict=True):
+        s = F.when(s.contains(words), F.regexp_replace(s, pattern, filled)).otherwise(s)
+    return s
+
+
+def _licences_of(s: Column) -> Column:
+    """An SPDX expression as one sentence for each of its licences; any other sentence alone."""
     whole = F.replace(s, F.lit(" or later"), F.lit(" orlater"))
     single = F.split(F.regexp_replace(whole, " (or|and|with) ", "\u0001" + SPDX), "\u0001")
     return F.when(s.startswith(SPDX), F.transform(single, lambda x: F.replace(x, F.lit(" orlater"), F.lit(" or later")))).otherwise(F.array(s))
 
 
+def _spread(parts: Column, marked: Column) -> Column:
+    """The sentences as they are looked up.  Texts without any word of a slot, nearly all, are only trimmed."""
+    has = lambda *words: reduce(lambda a, b: a & b, [marked.contains(w) for w in words])
+    slotted = has("redistribute") | has("endorse") | has("hope", "distributed") | has("advertising", "acknowledg") | has("implied", "express") | (has("see") & (has("license") | has("licence") | has("copying")))
+    plain = F.when(slotted, F.transform(parts, _filled)).otherwise(F.transform(parts, lambda s: F.trim(s)))
+    return F.when(has("spdx"), F.flatten(F.transform(plain, _licences_of))).otherwise(plain)
+
+
 def _identifiers(parts: Column, sentences: dict[str, int], listed: Column) -> Column:
     """Identifiers of the known ones among these sentences, in order; buckets are chosen by the sentence's hash.
 
@@ -230,7 +254,7 @@ def _identifiers(parts: Column, sentences: dict[str, int], listed: Column) -> Co
         place = F.array_position(F.get(texts, bucket), s).cast("int")
         return F.coalesce(F.get(F.get(ids, bucket), place - 1), F.when(listed & s.rlike(CLAUSE), UNKNOWN), F.lit(0))
 
-    return F.filter(F.transform(F.flatten(F.transform(parts, _spread)), find), lambda i: i != 0)
+    return F.filter(F.transform(parts, find), lambda i: i != 0)
 
 
 def recognise_licences(docs: DataFrame, sentences: dict[str, int] = SENTENCES, rules: list[tuple] = RULES) -> DataFrame:
@@ -249,7 +273,8 @@ def recognise_licences(docs: DataFrame, sentences: dict[str, int] = SENTENCES, r
     lines = F.split(F.translate("marked", "\n", "\u0001"), "\u0001")
     wrapped = F.split(F.regexp_replace(F.regexp_replace("marked", "\\x0A(?: ?\\x0A)+", "\u0001"), "[ \\x0A]+", " "), "\u0001")
     listed = F.col("marked").contains(LISTED)
-    found = marked.select("row", _identifiers(lines, sentences, listed).alias("lines"), _identifiers(wrapped, sentences, listed).alias("wrapped"))
+    looked_up = lambda parts: _identifiers(_spread(parts, F.col("marked")), sentences, listed)
+    found = marked.select("row", looked_up(lines).alias("lines"), looked_up(wrapped).alias("wrapped"))
     written = lambda ids: F.concat(F.lit(","), F.array_join(F.transform(ids, lambda i: i.cast("string")), ","), F.lit(","))
     found = found.withColumn("both", F.concat(written(F.col("lines")), F.lit("|"), written(F.col("wrapped"))))
     hits = []
