@@ -90,16 +90,6 @@ SLOTS = [
     ("^this software is provided by .{1,300}? as is and any express(ed)? or implied warranties.*$", normalised(BSD_DISCLAIMER)),
     (" see (the )?(accompanying )?(licen[sc]e|copying)( [a-z0-9 ]{0,80})?$", ""),
 ]
-# Words of each pattern.
-SLOT_WORDS = [
-    " is free software you can redistribute it",
-    " as published by the free software foundation inc ",
-    " is distributed in the hope",
-    " be used to endorse or promote products",
-    "all advertising materials mentioning",
-    "this software is provided by ",
-    " see ",
-]
 SPDX = "spdx license identifier "
 # Words of a condition; in a text with a BSD list, a sentence with one of them and of no known wording is a clause of its own.
 CLAUSE = "(endorse|promote|advertising|acknowledg|redistribut|commercial|patent|military|must|shall|may not)"
@@ -214,10 +204,10 @@ def _marked(text: Column) -> Column:
 
 
 def _filled(part: Column) -> Column:
-    """A sentence with its slots filled; patterns run only where their words stand."""
+    """A sentence with its slots filled."""
     s = F.trim(part)
-    for (pattern, filled), words in zip(SLOTS, SLOT_WORDS, strict=True):
-        s = F.when(s.contains(words), F.regexp_replace(s, pattern, filled)).otherwise(s)
+    for pattern, filled in SLOTS:
+        s = F.regexp_replace(s, pattern, filled)
     return s
 
 
@@ -228,12 +218,17 @@ def _licences_of(s: Column) -> Column:
     return F.when(s.startswith(SPDX), F.transform(single, lambda x: F.replace(x, F.lit(" orlater"), F.lit(" or later")))).otherwise(F.array(s))
 
 
-def _spread(parts: Column, marked: Column) -> Column:
-    """The sentences as they are looked up.  Texts without any word of a slot, nearly all, are only trimmed."""
+def _traits(marked: Column) -> list[Column]:
+    """What is asked once a text: whether it has a BSD list, words of a slot, SPDX expressions."""
     has = lambda *words: reduce(lambda a, b: a & b, [marked.contains(w) for w in words])
     slotted = has("redistribute") | has("endorse") | has("hope", "distributed") | has("advertising", "acknowledg") | has("implied", "express") | (has("see") & (has("license") | has("licence") | has("copying")))
-    plain = F.when(slotted, F.transform(parts, _filled)).otherwise(F.transform(parts, lambda s: F.trim(s)))
-    return F.when(has("spdx"), F.flatten(F.transform(plain, _licences_of))).otherwise(plain)
+    return [has(LISTED).alias("listed"), slotted.alias("slotted"), has("spdx").alias("spdx")]
+
+
+def _spread(parts: Column) -> Column:
+    """The sentences as they are looked up.  Texts without any word of a slot, nearly all, are only trimmed."""
+    plain = F.when(F.col("slotted"), F.transform(parts, _filled)).otherwise(F.transform(parts, lambda s: F.trim(s)))
+    return F.when(F.col("spdx"), F.flatten(F.transform(plain, _licences_of))).otherwise(plain)
 
 
 def _identifiers(parts: Column, sentences: dict[str, int], listed: Column) -> Column:
@@ -272,8 +267,8 @@ def recognise_licences(docs: DataFrame, sentences: dict[str, int] = SENTENCES, r
     marked = docs.select(F.struct(*[c for c in docs.columns if c not in new]).alias("row"), _marked(F.coalesce("text", F.lit(""))).alias("marked"))
     lines = F.split(F.translate("marked", "\n", "\u0001"), "\u0001")
     wrapped = F.split(F.regexp_replace(F.regexp_replace("marked", "\\x0A(?: ?\\x0A)+", "\u0001"), "[ \\x0A]+", " "), "\u0001")
-    listed = F.col("marked").contains(LISTED)
-    looked_up = lambda parts: _identifiers(_spread(parts, F.col("marked")), sentences, listed)
+    marked = marked.select("row", "marked", *_traits(F.col("marked")))
+    looked_up = lambda parts: _identifiers(_spread(parts), sentences, F.col("listed"))
     found = marked.select("row", looked_up(lines).alias("lines"), looked_up(wrapped).alias("wrapped"))
     written = lambda ids: F.concat(F.lit(","), F.array_join(F.transform(ids, lambda i: i.cast("string")), ","), F.lit(","))
     found = found.withColumn("both", F.concat(written(F.col("lines")), F.lit("|"), written(F.col("wrapped"))))
