@@ -12,13 +12,13 @@ from karyospark.operators import stats as S
 
 from . import fixtures as X
 from .fixtures import with_tables
-from .queries_hits import RANKED, STRICT
+from .queries_hits import STRICT
 
 CP = [("C", "P"), ("P", "C")]
 
 
 def rbh_genes(spark, sf_dir):
-    return H.rbh_strict(X.hits(spark, sf_dir, CP).select(*RANKED)).select(F.concat(F.lit("rbh_"), "qseqid").alias("rbh"), F.col("qseqid").alias("C_gene"), F.col("sseqid").alias("P_gene"))
+    return H.strict_links(X.links(spark, sf_dir, CP)).select(F.concat(F.lit("rbh_"), "qseqid").alias("rbh"), F.col("qseqid").alias("C_gene"), F.col("sseqid").alias("P_gene"))
 
 
 def annotate_coords(spark, sf_dir):

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from karyospark.operators import components, coords, fusion, fusion_trials, groups, hits, mixing, order, peaks, permute, scans, stats, validate
+from karyospark.plans import fixtures
 
 PAIR = "query_species string, target_species string, qseqid string, sseqid string, pident double, evalue double, bitscore double"
 
@@ -31,6 +32,29 @@ def test_strict_hits_are_one_to_one_and_within_permissive_or_best(spark, seed):
     assert len({r.qseqid for r in rows}) == len({r.sseqid for r in rows}) == len(rows)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_links_give_what_hits_of_both_directions_give(spark, seed):
+    rng = random.Random(seed)
+    pairs = sorted({(f"A{rng.randrange(12)}", f"B{rng.randrange(12)}") for _ in range(70)})
+    links = [("A", "B", a, b, *(float(rng.randrange(n)) for n in (3, 3, 4, 3, 3, 4))) for a, b in pairs]
+    df = spark.createDataFrame(links, PAIR + ", back_pident double, back_evalue double, back_bitscore double")
+    rows = spark.createDataFrame([(*r[:4], *r[4:7]) for r in links] + [(r[1], r[0], r[3], r[2], *r[7:]) for r in links], PAIR)
+    for by_links, by_hits in ((hits.permissive_links, hits.rbh_permissive), (hits.single_pass_links, hits.rbh_single_pass), (hits.strict_links, hits.rbh_strict)):
+        want = sorted(map(tuple, by_hits(rows).select(*hits.LINK).collect()))
+        assert want and sorted(map(tuple, by_links(df).collect())) == want
+
+
+def test_links_are_moved_once_for_each_direction(spark, tmp_path):
+    spark.createDataFrame([(1, 7), (2, 8)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 3, 5, 9.0, 0.5, 2.0), (1, 3, 5, 8.0, 0.0, 4.0), (2, 3, 6, 7.0, 0.0, 1.0)], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_extendedprice double, l_discount double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    pairs = [("C", "P"), ("P", "S"), ("S", "C"), ("C", "S")]
+    links = fixtures.links(spark, str(tmp_path), pairs)
+    plan = links._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Scan parquet") == 2 and plan.count("Exchange") == 1  # one more for the join where no table is small
+    got = {(r.qseqid, r.sseqid): (r.bitscore, r.back_bitscore, r.pident) for r in links.collect()}
+    assert got == {("C7", "P3"): (9.0, 8.0, 4.0), ("C7", "S5"): (9.0, 8.0, 4.0), ("P3", "S5"): (9.0, 8.0, 4.0), ("C8", "P3"): (7.0, 7.0, 1.0), ("C8", "S6"): (7.0, 7.0, 1.0), ("P3", "S6"): (7.0, 7.0, 1.0)}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_greedy_as_taking_one_row_at_a_time(spark, seed):
     rng = random.Random(seed)
