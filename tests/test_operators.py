@@ -622,6 +622,41 @@ def test_fusion_batches_continue(spark):
     assert fusion_trials.fusion_null_batches(df.limit(0), list("ABCD"), ["B"], 2).count() == 0
 
 
+def test_chunks_deal_every_code_and_its_ends():
+    """Ends from border orthologs alone, or from all, follow the same law as plain permutations."""
+    pos, counts = np.array([[5, 1, 4, 2, 3, 0, 9, 6, 7, 8], range(10)]), np.array([4, 2, 0, 4])
+    law = {}
+    for name, reach in (("plain", 10), ("border", 1)):
+        chunk, rng = fusion_trials.Chunk(pos, reach), np.random.default_rng(5)
+        assert bool(len(chunk.rest)) == (name == "border")
+        seen = law[name] = {}
+        for _ in range(20000):
+            spans = tuple(chunk.spans(rng, counts)[:, [0, 1, 3]].ravel().tolist())
+            assert all(spans[k] <= spans[k + 3] for k in (0, 1, 2, 6, 7, 8))
+            seen[spans[:6]] = seen.get(spans[:6], 0) + 1
+    for s in {**law["plain"], **law["border"]}:
+        a, b = (x.get(s, 0) for x in law.values())
+        assert abs(a - b) < 5 * math.sqrt(a + b + 1)
+
+
+def test_fusion_trials_by_chunk(spark, monkeypatch):
+    df = spark.createDataFrame(planted_orthologs(600, 5), ORTHOLOGS)
+    monkeypatch.setattr(fusion_trials, "BATCH_ROWS", 10)
+    monkeypatch.setattr(fusion_trials, "CHUNKED_ROWS", 10)
+    monkeypatch.setattr(fusion_trials, "CHUNK", 20)
+    joins = []
+    monkeypatch.setattr(fusion_trials, "fusion_null", lambda *a: joins.append(a))
+    run = lambda n, first=0: sorted(map(tuple, fusion_trials.fusion_null_batches(df.repartition(2 + n), list("ABCD"), ["B", "D"], n, first).collect()))
+    whole = run(40)
+    assert len(whole) == 40 * 2 * 3 and not joins and sorted(run(1) + run(39, 1)) == whole
+    monkeypatch.undo()
+    batches = fusion_trials.fusion_null_batches(df, list("ABCD"), ["B", "D"], 40).collect()
+    for s in "BD":
+        for m in (3, 4, 5, 6):  # largest tuple, largest grouping, all, groupings
+            values = [np.array([r[m] for r in rows if r[0] == s], float) for rows in (whole, batches)]
+            assert abs(values[0].mean() - values[1].mean()) < 5 * np.hypot(*(v.std() for v in values)) / np.sqrt(40) + 1e-9
+
+
 def test_fusion_kernel_with_many_tuples(monkeypatch):
     """Sorting codes instead of counting in an array changes nothing."""
     rng = np.random.default_rng(3)
