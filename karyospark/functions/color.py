@@ -35,11 +35,20 @@ def text_color(color: Column) -> Column:
     return F.when(light | (F.lower(color) == "#000000"), "#000000").otherwise("#FFFFFF")
 
 
+#: Hashes of a key that are looked at together: most keys have a color among the first two.
+STEPS = (0, 2, 6, 14, 30)
+
+
 def assign_color(key: Column, tries: int = 64) -> Column:
-    """The first acceptable color among the hashes of a key: neither dark nor pale nor grey."""
-    colors = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda i: F.concat(F.lit("#"), F.substring(F.md5(F.concat_ws(":", key, i.cast("string"))), 1, 6)))
+    """The first acceptable color among the hashes of a key: neither dark nor pale nor grey.
+
+    Hashes are made in steps, further ones only where those before have none.
+    """
+    color = lambda i: F.concat(F.lit("#"), F.substring(F.md5(F.concat_ws(":", key, i.cast("string"))), 1, 6))
+    colors = lambda low, high: F.transform(F.sequence(F.lit(low), F.lit(high - 1)), color)
     fits = lambda c: (brightness(c) > 127) & (brightness(c) < 300) & (saturation(c) > 0.3) & (saturation(c) < 0.8)
-    return F.coalesce(F.try_element_at(F.filter(colors, fits), F.lit(1)), F.element_at(colors, 1))
+    edges = [*(s for s in STEPS if s < tries), tries]
+    return F.coalesce(*[F.try_element_at(F.filter(colors(a, b), fits), F.lit(1)) for a, b in zip(edges, edges[1:], strict=False)], color(F.lit(0)))
 
 
 def dot_alpha(significant: Column, color: Column) -> Column:

@@ -1,5 +1,6 @@
 """Gene-order operators: literal cases, brute force and invariants."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from karyospark.functions import color
 from karyospark.operators import components, coords, fusion, fusion_trials, groups, hits, mixing, order, peaks, permute, scans, stats, validate
 from karyospark.plans import fixtures
 
@@ -537,6 +539,24 @@ def test_runs_of_a_query_start_again(spark):
     assert hits.top_hits_by_run(rows.where("line < 0"), "line").count() == 0
 
 
+def test_colors_are_those_of_all_hashes_made_in_steps(spark):
+    def want(key, tries):
+        found = [f"#{hashlib.md5(f'{key}:{i}'.encode()).hexdigest()[:6]}" for i in range(tries)]
+        for c in found:
+            r, g, b = (int(c[k : k + 2], 16) for k in (1, 3, 5))
+            bright, grey = (299 * r + 587 * g + 114 * b) / 1000, (max(r, g, b) - min(r, g, b)) / max(r, g, b, 1)
+            if 127 < bright < 300 and 0.3 < grey < 0.8:
+                return c
+        return found[0]
+
+    keys = spark.range(300).selectExpr("concat('k', id) key")
+    for tries in (1, 3, 64):
+        shown = keys.select("key", color.assign_color(F.col("key"), tries).alias("c"))
+        assert all(r.c == want(r.key, tries) for r in shown.collect())
+    plan = shown._jdf.queryExecution().optimizedPlan().toString()
+    assert "coalesce" in plan and plan.count("lambdafunction") > 4  # steps, not one list of 64
+
+
 def test_column_orders(spark):
     columns = ["z", "B_scaf", "A_pos", "alpha_type", "count", "rbh", "A_gene", "gene_group", "alpha", "y_A"]
     table = spark.createDataFrame([tuple("x" * len(columns))], columns)
