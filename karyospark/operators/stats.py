@@ -7,13 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .lineage import cut
-from .scans import BLOCK, PART, at_or_below, blocks, join_nullsafe, own, ranked, sorted_parts
+from .scans import BLOCK, OWN, PART, at_or_below, blocks, join_nullsafe, own, ranked, sorted_parts
 
 HALF_LN_TAU = 0.5 * math.log(2 * math.pi)
 #: Fixed value: genes on either side of a possible break.
@@ -142,15 +144,41 @@ def break_statistic(rbh: DataFrame, species: str, other: str) -> DataFrame:
     key, opp, ix = f"{species}_breakchrom", f"{other}_breakchrom", f"{species}_break_ix"
     counts = rbh.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     rows = blocks(join_nullsafe(rbh, counts, [key]), ix, SIDE)
-    w = W.partitionBy(key, BLOCK).orderBy(ix)
-    empty = F.array().cast("array<string>")
-    left = F.when(F.col(ix) >= SIDE - 1, F.collect_list(opp).over(w.rowsBetween(-(SIDE - 1), 0))).otherwise(empty)
-    right = F.when(F.col(ix) + SIDE <= F.col("_n") - 1, F.collect_list(opp).over(w.rowsBetween(1, SIDE))).otherwise(empty)
-    rows = own(rows.withColumn("_l", left).withColumn("_r", right))
-    gap = lambda c: F.size(F.filter("_r", lambda x: x == c)) - F.size(F.filter("_l", lambda x: x == c))
-    squares = F.aggregate(F.array_distinct(F.concat("_l", "_r")), F.lit(0).cast("bigint"), lambda s, c: s + gap(c).cast("bigint") * gap(c))
-    d = F.when(F.col(ix) == F.col("_n") - 1, 0.0).otherwise(F.sqrt(squares / float(SIDE * SIDE)))
-    return rows.withColumn(f"{species}_D", d).drop("_l", "_r", "_n")
+    kept = [c for c in rbh.columns if c != f"{species}_D"]
+    schema = StructType([*(rbh.schema[c] for c in kept), StructField(f"{species}_D", DoubleType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(ix)
+        column = table.column(opp).combine_chunks().dictionary_encode()
+        codes = pc.fill_null(column.indices, -1).to_numpy(zero_copy_only=False)
+        squares = side_squares(codes, table.column(ix).to_numpy(), int(table.column("_n")[0].as_py()))
+        d = pa.array(np.sqrt(squares / float(SIDE * SIDE)))
+        return table.select(kept).append_column(f"{species}_D", d).filter(table.column(OWN))
+
+    return rows.groupBy(key, BLOCK).applyInArrow(run, schema)
+
+
+def side_squares(codes: np.ndarray, ix: np.ndarray, n: int) -> np.ndarray:
+    """For neighbouring rows ``ix`` of a piece of ``n``: the squared distance between the counts of ``codes`` (-1: none) in the ``SIDE`` rows up to each and the ``SIDE`` after.
+
+    Equal codes are counted by how far apart they stand, from running sums.
+    A side that is not whole counts as empty, and the last row of the piece is 0.
+    """
+    at, size = np.arange(len(codes)), len(codes)
+    left, right = ix >= SIDE - 1, ix + SIDE <= n - 1
+    ll, rr, lr = np.zeros((3, size), np.int64)
+    for apart in range(2 * SIDE):
+        equal = (codes[: size - apart] == codes[apart:]) & (codes[: size - apart] >= 0) if apart < size else np.zeros(0, bool)
+        sums = np.concatenate([[0], np.cumsum(equal)])
+        # pairs whose first row lies from low to high
+        pairs = lambda low, high: sums[np.clip(high + 1, 0, len(equal))] - sums[np.clip(low, 0, len(equal))]  # noqa: E731, B023
+        if apart < SIDE:
+            times = 2 if apart else 1
+            ll += times * pairs(at - SIDE + 1, at - apart)
+            rr += times * pairs(at + 1, at + SIDE - apart)
+        if apart:
+            lr += pairs(at + np.maximum(1 - SIDE, 1 - apart), at + np.minimum(0, SIDE - apart))
+    return np.where(ix == n - 1, 0, ll * left + rr * right - 2 * lr * (left & right))
 
 
 def _neighbours(rows: DataFrame, keys: list[str], order: list[str], before: dict[str, str], after: dict[str, str]) -> DataFrame:

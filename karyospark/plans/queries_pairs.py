@@ -79,18 +79,22 @@ def filter_significant(spark, sf_dir):
 
 
 def break_statistic(spark, sf_dir):
-    rows = annotated(spark, sf_dir)
-    out = S.break_statistic(S.break_statistic(rows, "A", "B"), "B", "A")
+    rows = annotated(spark, sf_dir).select("rbh", *[f"{s}_{c}" for s in "AB" for c in ("breakchrom", "break_ix")])
+    out = S.break_statistic(S.cut(S.break_statistic(rows, "A", "B")), "B", "A")
     return out.select("rbh", F.round("A_D", 6).alias("A_D"), F.round("B_D", 6).alias("B_D"))
 
 
+#: What breaks of A are found by; rows go whole through the statistic.
+FOR_BREAKS = ["A_scaf", "A_ix", "A_breakchrom", "A_break_ix", "B_breakchrom"]
+
+
 def auto_breaks(spark, sf_dir):
-    return P.auto_breaks(S.break_statistic(annotated(spark, sf_dir), "A", "B"), "A")
+    return P.auto_breaks(S.break_statistic(annotated(spark, sf_dir).select(*FOR_BREAKS), "A", "B"), "A")
 
 
 def auto_breaks_with_manual(spark, sf_dir):
     """Found breaks and those set by hand, at the last gene that ends before each."""
-    rows = S.cut(S.break_statistic(annotated(spark, sf_dir), "A", "B"))
+    rows = S.cut(S.break_statistic(annotated(spark, sf_dir).select(*FOR_BREAKS, "A_gene", "A_pos"), "A", "B"))
     genes = rows.select(F.col("A_scaf").alias("scaf"), F.col("A_gene").alias("gene"), F.col("A_pos").alias("stop"))
     by_hand = S.manual_break_rows(orth_breaks(spark).where("species = 'A'").select("scaf", "break_pos"), genes)
     at = rows.select(F.col("A_gene").alias("gene"), F.col("A_ix").alias("ix"), F.col("A_D").alias("d"))

@@ -142,6 +142,25 @@ def test_break_statistic_at_a_planted_break(spark):
     assert stats.break_statistic(alone, "A", "B").first().A_D == 0
 
 
+@pytest.mark.parametrize("n", [1, 19, 20, 40, 41, 300])
+def test_sides_of_a_break_against_counting(n):
+    rng = random.Random(n)
+    codes = [rng.randrange(-1, 6) for _ in range(n)]
+    want = []
+    for k in range(n):
+        left = codes[k - 19 : k + 1] if k >= 19 else []
+        right = codes[k + 1 : k + 21] if k + 20 <= n - 1 else []
+        want.append(0 if k == n - 1 else sum((left.count(c) - right.count(c)) ** 2 for c in range(6)))
+    assert stats.side_squares(np.array(codes), np.arange(n), n).tolist() == want
+    assert stats.side_squares(np.array(codes)[5:], np.arange(5, n), n)[20:].tolist() == want[25:]  # a block with its halo
+
+
+def test_break_statistic_makes_no_lists(spark):
+    df = spark.createDataFrame([("r", "a", 0, "b", 0)], "rbh string, A_breakchrom string, A_break_ix long, B_breakchrom string, B_break_ix long")
+    plan = stats.break_statistic(df, "A", "B")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "lambdafunction(size" not in plan
+
+
 def test_breaks_are_half_open(spark):
     breaks = spark.createDataFrame([("A", "s", 10)], "species string, scaf string, break_pos bigint")
     rbh = spark.createDataFrame([("1", "s", 9), ("2", "s", 10), ("3", "t", 5)], "rbh string, A_scaf string, A_pos bigint")
