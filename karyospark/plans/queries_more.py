@@ -91,7 +91,7 @@ def profile_columns(spark, sf_dir):
 
 
 def nway_rbh_degree(spark, sf_dir):
-    return H.nway_rbh(H.strict_links(X.links(spark, sf_dir, CPS)), ["C", "P", "S"], mode="degree")
+    return H.nway_rbh(H.strict_links(X.top_links(spark, sf_dir, CPS, pident=True)), ["C", "P", "S"], mode="degree")
 
 
 def top_hits_by_run(spark, sf_dir):

@@ -18,7 +18,7 @@ CP = [("C", "P"), ("P", "C")]
 
 
 def rbh_genes(spark, sf_dir):
-    return H.strict_links(X.links(spark, sf_dir, CP)).select(F.concat(F.lit("rbh_"), "qseqid").alias("rbh"), F.col("qseqid").alias("C_gene"), F.col("sseqid").alias("P_gene"))
+    return H.strict_links(X.top_links(spark, sf_dir, CP, pident=True)).select(F.concat(F.lit("rbh_"), "qseqid").alias("rbh"), F.col("qseqid").alias("C_gene"), F.col("sseqid").alias("P_gene"))
 
 
 def annotate_coords(spark, sf_dir):

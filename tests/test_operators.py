@@ -57,6 +57,33 @@ def test_links_are_moved_once_for_each_direction(spark, tmp_path):
     assert got == {("C7", "P3"): (9.0, 8.0, 4.0), ("C7", "S5"): (9.0, 8.0, 4.0), ("P3", "S5"): (9.0, 8.0, 4.0), ("C8", "P3"): (7.0, 7.0, 1.0), ("C8", "S6"): (7.0, 7.0, 1.0), ("P3", "S6"): (7.0, 7.0, 1.0)}
 
 
+LINES = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_extendedprice double, l_discount double, l_quantity double"
+
+
+def odd_lines(spark, path, seed, prices):
+    """Order lines with ties, nulls, lines without order and orders without customer or lines."""
+    rng = random.Random(seed)
+    some = lambda *xs: rng.choice(xs)
+    orders = [(k, rng.randrange(9) if rng.random() < 0.95 else None) for k in range(60)] + [(3, 4)]
+    lines = [(rng.randrange(66) if rng.random() < 0.97 else None, rng.randrange(12), rng.randrange(5) if rng.random() < 0.97 else None, float(rng.randrange(prices)) * 700 if rng.random() < 0.95 else None, some(0.0, 0.1, 0.2, 0.2, None), float(rng.randrange(50))) for _ in range(400)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint").repartition(3).write.parquet(f"{path}/orders.parquet")
+    spark.createDataFrame(lines, LINES).repartition(3).write.parquet(f"{path}/lineitem.parquet")
+
+
+@pytest.mark.parametrize(("few", "prices"), [(0, 6), (100_000, 5000)])
+def test_top_links_give_what_all_links_give(spark, tmp_path, monkeypatch, few, prices):
+    odd_lines(spark, tmp_path, prices, prices)
+    monkeypatch.setattr(fixtures, "FEW_ROWS", few)
+    pairs = [(q, t) for q in "CPS" for t in "CPS" if q != t]
+    links = fixtures.links(spark, str(tmp_path), pairs).cache()
+    tops = {pident: fixtures.top_links(spark, str(tmp_path), pairs, pident).cache() for pident in (False, True)}
+    if prices > 6:
+        assert 0 < tops[False].count() < links.count() / 2
+    for of, pident in ((hits.permissive_links, False), (hits.single_pass_links, False), (hits.strict_links, True)):
+        want = sorted(map(tuple, of(links).select(*hits.LINK).collect()), key=str)
+        assert want and sorted(map(tuple, of(tops[pident]).select(*hits.LINK).collect()), key=str) == want
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_greedy_as_taking_one_row_at_a_time(spark, seed):
     rng = random.Random(seed)
