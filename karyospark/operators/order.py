@@ -103,6 +103,10 @@ def match_species_to_lg(genes: DataFrame, lg: DataFrame, species: list[str]) ->
     return None
 
 
+#: Rows of the two tables that a task of ``color_by_lg`` gets, whatever the tables' size.
+TASK_ROWS = 1 << 19
+
+
 def color_by_ids_or_hits(long: DataFrame, by_id: DataFrame, by_hit: DataFrame, species: list[str]) -> DataFrame:
     """``color_by_lg`` from the ids of linkage-group members if any gene is one, else from profile hits."""
     known = not long.join(by_id, "gene", "left_semi").isEmpty()
@@ -113,9 +117,12 @@ def color_by_lg(long: DataFrame, names: DataFrame, species: list[str]) -> DataFr
     """``gene_group`` and ``color`` per ortholog: of the last species whose gene has a group or a color, else ``None`` and black.
 
     ``long(rbh, species, gene)``; ``names(gene, gene_group, color)`` from ids or from hits.
+    Rows are dealt to counted parts, so that a task sorts no more of a larger table.
     """
+    parts = 1 + max(long.count(), names.count()) // TASK_ROWS
     at = F.element_at(F.create_map(*[x for k, s in enumerate(species) for x in (F.lit(s), F.lit(k))]), F.col("species"))
-    rows = long.join(names, "gene", "left")
+    found = long.select("rbh", "species", "gene").repartition(parts, "gene").join(names.select("gene", "gene_group", "color").repartition(parts, "gene"), "gene", "left")
+    rows = found.drop("gene").repartition(parts, "rbh")
     group = F.max_by("gene_group", F.when(F.col("gene_group").isNotNull() & (F.col("gene_group") != "None"), at))
     color = F.max_by("color", F.when(F.col("color").isNotNull() & (F.lower("color") != "#000000"), at))
     return rows.groupBy("rbh").agg(F.coalesce(group, F.lit("None")).alias("gene_group"), F.coalesce(color, F.lit("#000000")).alias("color"))

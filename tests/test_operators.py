@@ -736,3 +736,13 @@ def test_fusion_kernel_with_many_tuples(monkeypatch):
     for c, (names, count, spans) in zip((1, 2, 3), got, strict=True):
         other = dense.groups(c, codes[c])
         assert (names == other[0]).all() and (count == other[1]).all() and all((a == b).all() for x, y in zip(spans, other[2], strict=True) for a, b in zip(x, y, strict=True))
+
+
+def test_coloring_deals_counted_parts(spark, monkeypatch):
+    long = spark.createDataFrame([(f"r{k}", s, f"{s}g{k}") for k in range(40) for s in "AB"], "rbh string, species string, gene string")
+    names = spark.createDataFrame([(f"{s}g{k}", f"L{s}{k % 3}", "#00000" + str(k % 2)) for k in range(30) for s in "AB" if (k + ord(s)) % 2], "gene string, gene_group string, color string")
+    run = lambda: order.color_by_lg(long, names, ["A", "B"])
+    whole = sorted(map(tuple, run().collect()))
+    monkeypatch.setattr(order, "TASK_ROWS", 10)
+    assert run().rdd.getNumPartitions() == 9
+    assert sorted(map(tuple, run().collect())) == whole and ("r35", "None", "#000000") in whole
