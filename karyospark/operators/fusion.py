@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from karyospark.functions.scalars import ranges_overlap
 
-from .groups import shuffle_column
+from .groups import dealt_places
+from .hits import number_rows
 from .lineage import cut
 
 LEAST_COUNT = 5
@@ -157,12 +158,22 @@ def fill_summary(summary: DataFrame, keys: DataFrame, species: list[str], by: tu
 
 def fusion_null(rbh: DataFrame, species: list[str], permuted: str, trials: int) -> DataFrame:
     """``fusion_summary`` by trial with one species' scaffolds shuffled among its genes (positions stay)."""
+    return placed_null(placed(rbh, species), species, permuted, trials)
+
+
+def placed(rbh: DataFrame, species: list[str]) -> DataFrame:
+    """What the null needs of each ortholog, with its rank by id as ``_place``; one table for all permuted species."""
+    return number_rows(rbh.select("rbh", *[f"{s}_{c}" for s in species for c in ("scaf", "pos")]), ["rbh"], "_place")
+
+
+def placed_null(by_id: DataFrame, species: list[str], permuted: str, trials: int) -> DataFrame:
+    """``fusion_null`` of a ``placed`` table: rows meet by their ranks."""
     column = f"{permuted}_scaf"
-    moved = shuffle_column(rbh, column, "rbh", trials)
-    rows = rbh.drop(column).join(moved, "rbh")
+    moved = dealt_places(by_id, "rbh", trials).join(by_id.select("_place", column), "_place").select(F.col("trial").cast("int").alias("trial"), F.col("_row").alias("_place"), column)
+    rows = by_id.where("rbh IS NOT NULL").drop(column, "rbh").join(moved, "_place")
     groups = cut(fusion_groups(rows, species, ("trial",)))
     found = fusion_summary(groups, species, ("trial",)).where("trial IS NOT NULL")
-    every = rbh.sparkSession.range(trials).select(F.col("id").cast("int").alias("trial"))
+    every = by_id.sparkSession.range(trials).select(F.col("id").cast("int").alias("trial"))
     return fill_summary(found, every, species, ("trial",))
 
 

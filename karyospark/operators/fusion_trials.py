@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fusion import LEAST_COUNT, METRICS, fusion_null
+from .fusion import LEAST_COUNT, METRICS, placed, placed_null
 from .hits import number_rows
 from .lineage import cut
 from .permute import DRAWN_ROWS, DRAWN_TUPLES, draw_counts
@@ -359,7 +359,8 @@ def fusion_null_batches(rbh: DataFrame, species: list[str], permuted: list[str],
     if not ranked and CHUNKED_ROWS <= n < DRAWN_ROWS and (drawn := _drawn(rbh, species, permuted, trials, first, seed, least)) is not None:
         return drawn
     if n > BATCH_ROWS:
-        nulls = [fusion_null(rbh, species, s, first + trials).where(F.col("trial") >= first).withColumn("permuted", F.lit(s)) for s in permuted]
+        by_id = placed(rbh, species)
+        nulls = [placed_null(by_id, species, s, first + trials).where(F.col("trial") >= first).withColumn("permuted", F.lit(s)) for s in permuted]
         columns = ["permuted", F.col("trial").cast("bigint").alias("trial"), "hyp", *METRICS]
         return reduce(DataFrame.unionByName, [n.select(*columns) for n in nulls])
     jobs = max(1, min(trials * len(permuted), 3 * spark.sparkContext.defaultParallelism))

@@ -746,3 +746,10 @@ def test_coloring_deals_counted_parts(spark, monkeypatch):
     monkeypatch.setattr(order, "TASK_ROWS", 10)
     assert run().rdd.getNumPartitions() == 9
     assert sorted(map(tuple, run().collect())) == whole and ("r35", "None", "#000000") in whole
+
+
+def test_numbered_rows_are_not_moved_again(spark):
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("k"), F.col("id").alias("v")).repartition(3)
+    out = hits.number_rows(df, ["k"], keep=["v"])
+    assert out.columns == ["v", "number"] and "row_number" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert all(r.number == r.v * 7 % 500 + 1 for r in out.collect())
