@@ -84,6 +84,44 @@ def test_top_links_give_what_all_links_give(spark, tmp_path, monkeypatch, few, p
         assert want and sorted(map(tuple, of(tops[pident]).select(*hits.LINK).collect()), key=str) == want
 
 
+def rows_shuffled(spark):
+    store, double = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.jvm.double
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(double, 0), None)
+    return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+@pytest.mark.parametrize("pident", [False, True])
+def test_lines_behind_their_genes_best_are_not_moved(spark, tmp_path, monkeypatch, pident):
+    """Many lines a gene: fewer rows are shuffled than there are lines, where lines went to P, to S and to their order."""
+    rng = random.Random(7)
+    n = 20_000
+    spark.createDataFrame([(k, k % 40) for k in range(400)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(rng.randrange(400), rng.randrange(50), rng.randrange(20), rng.random() * 90_000, rng.randrange(10) / 100, 1.0) for _ in range(n)], LINES).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(fixtures, "FEW_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = rows_shuffled(spark)
+        links = fixtures.top_links(spark, str(tmp_path), [(q, t) for q in "CPS" for t in "CPS" if q != t], pident).count()
+        moved = sum(r for k, r in rows_shuffled(spark).items() if k not in before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert links and moved < n
+
+
+def test_classes_of_keys_keep_every_line_at_a_top(spark, monkeypatch):
+    """Few classes, so that keys share them; a gene with null scores alone lets them all through."""
+    rng = random.Random(11)
+    lines = [(rng.randrange(30), float(rng.randrange(90)) * 1000 if rng.random() < 0.9 else None) for _ in range(600)] + [(99, None), (99, None), (None, 5000.0)]
+    want = [(k, p) for k, p in lines if k is not None and p == max((x for j, x in lines if j == k and x is not None), default=None)]
+    rows = spark.createDataFrame(lines, "k bigint, price double")
+    tops = rows.where("k IS NOT NULL").groupBy("k").agg(F.min(fixtures._behind(F.col("price"))).alias("_fore"))
+    monkeypatch.setattr(fixtures, "CLASSES", 5)
+    for few in (0, 1000):
+        monkeypatch.setattr(fixtures, "FEW_ROWS", few)
+        got = fixtures._at_top(rows, "k", tops, {"fore": F.col("price")}).select("k", "price").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_greedy_as_taking_one_row_at_a_time(spark, seed):
     rng = random.Random(seed)
