@@ -5,11 +5,13 @@ import itertools
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from karyospark import catalog
 from karyospark.functions import color
 from karyospark.operators import components, coords, fusion, fusion_trials, groups, hits, mixing, order, peaks, permute, scans, stats, validate
 from karyospark.plans import fixtures
@@ -108,6 +110,34 @@ def test_lines_behind_their_genes_best_are_not_moved(spark, tmp_path, monkeypatc
     assert links and moved < n
 
 
+@pytest.mark.parametrize("query", ["annotate_coords"])
+def test_pairwise_tables_move_fewer_rows_than_lines(spark, tmp_path, monkeypatch, query):
+    """Many lines a gene, some without order: the result of the SQL, and fewer rows shuffled than lines."""
+    rng = random.Random(13)
+    n, path = 20_000, str(tmp_path)
+    spark.createDataFrame([(k, k % 40) for k in range(398)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{path}/orders.parquet")
+    spark.createDataFrame([(rng.randrange(400), rng.randrange(50), rng.randrange(20), float(rng.randrange(90_000)), rng.randrange(4) / 4, float(rng.randrange(50))) for _ in range(n)], LINES).coalesce(1).write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(k, k % 5) for k in range(40)], "c_custkey bigint, c_nationkey int").write.parquet(f"{path}/customer.parquet")
+    spark.createDataFrame([(k, k % 5) for k in range(20)], "s_suppkey bigint, s_nationkey int").write.parquet(f"{path}/supplier.parquet")
+    spark.createDataFrame([(k, f"Brand#{k % 4}") for k in range(50)], "p_partkey bigint, p_brand string").write.parquet(f"{path}/part.parquet")
+    monkeypatch.setattr(fixtures, "FEW_ROWS", 10)  # fewer than genes, more than lines' orders that are missing
+    monkeypatch.setattr(fixtures, "CLASSES", 64)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = rows_shuffled(spark)
+        df = catalog.QUERIES[query](spark, path)
+        got = sorted(map(tuple, df.collect()), key=str)
+        moved = sum(r for k, r in rows_shuffled(spark).items() if k not in before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    con = duckdb.connect()
+    for t in ("orders", "lineitem", "customer", "supplier", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLES[query]})").fetchall()
+    assert want and got == sorted(want, key=str)
+    assert moved < n
+
+
 def test_classes_of_keys_keep_every_line_at_a_top(spark, monkeypatch):
     """Few classes, so that keys share them; a gene with null scores alone lets them all through."""
     rng = random.Random(11)
