@@ -110,7 +110,7 @@ def test_lines_behind_their_genes_best_are_not_moved(spark, tmp_path, monkeypatc
     assert links and moved < n
 
 
-@pytest.mark.parametrize("query", ["annotate_coords", "assign_breakchrom"])
+@pytest.mark.parametrize("query", ["annotate_coords", "assign_breakchrom", "filter_scaffolds"])
 def test_pairwise_tables_move_fewer_rows_than_lines(spark, tmp_path, monkeypatch, query):
     """Many lines a gene, some without order: the result of the SQL, and fewer rows shuffled than lines."""
     rng = random.Random(13)
