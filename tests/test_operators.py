@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from karyospark import catalog
 from karyospark.functions import color
-from karyospark.operators import components, coords, fusion, fusion_trials, groups, hits, mixing, order, peaks, permute, scans, stats, validate
+from karyospark.operators import components, coords, fusion, fusion_trials, groups, hits, lineage, mixing, order, peaks, permute, scans, stats, validate
 from karyospark.plans import fixtures
 
 PAIR = "query_species string, target_species string, qseqid string, sseqid string, pident double, evalue double, bitscore double"
@@ -138,6 +138,44 @@ def test_pairwise_tables_move_fewer_rows_than_lines(spark, tmp_path, monkeypatch
     assert moved < n
 
 
+@pytest.mark.parametrize("query", ["annotate_coords"])
+def test_pairwise_tables_move_orders_once(spark, tmp_path, monkeypatch, query):
+    """Many orders, few of them with lines: the result of the SQL, and orders shuffled once, where lines of P took their customers in a second pass."""
+    rng = random.Random(17)
+    n, path = 10_000, str(tmp_path)
+    spark.createDataFrame([(k, k % 40) for k in range(n)], "o_orderkey bigint, o_custkey bigint").coalesce(1).write.parquet(f"{path}/orders.parquet")
+    spark.createDataFrame([(rng.randrange(300), rng.randrange(50), rng.randrange(20), float(rng.randrange(90_000)), rng.randrange(4) / 4, float(rng.randrange(50))) for _ in range(3000)], LINES).coalesce(1).write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(k, k % 5) for k in range(40)], "c_custkey bigint, c_nationkey int").write.parquet(f"{path}/customer.parquet")
+    spark.createDataFrame([(k, k % 5) for k in range(20)], "s_suppkey bigint, s_nationkey int").write.parquet(f"{path}/supplier.parquet")
+    spark.createDataFrame([(k, f"Brand#{k % 4}") for k in range(50)], "p_partkey bigint, p_brand string").write.parquet(f"{path}/part.parquet")
+    monkeypatch.setattr(fixtures, "FEW_ROWS", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = rows_shuffled(spark)
+        df = catalog.QUERIES[query](spark, path)
+        got = sorted(map(tuple, df.collect()), key=str)
+        moved = sum(r for k, r in rows_shuffled(spark).items() if k not in before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    con = duckdb.connect()
+    for t in ("orders", "lineitem", "customer", "supplier", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLES[query]})").fetchall()
+    assert want and got == sorted(want, key=str)
+    assert n < moved < 1.5 * n
+
+
+def test_links_are_moved_once_to_their_target(spark):
+    """Links that lie by query: a row each is shuffled for the marks of the target."""
+    n = 3000
+    rows = [("A", "B", f"A{k % 900}", f"B{k % 700}", float(k % 7), float(k % 5), 1.0, float(k % 6), float(k % 4), 1.0) for k in range(n)]
+    links = lineage.cut(spark.createDataFrame(rows, PAIR + ", back_pident double, back_evalue double, back_bitscore double"))
+    before = rows_shuffled(spark)
+    marked = hits.mutual_marks(links, ["-bitscore", "evalue"])
+    moved = sum(r for k, r in rows_shuffled(spark).items() if k not in before)
+    assert marked.count() and moved <= 2 * n
+
+
 def test_classes_of_keys_keep_every_line_at_a_top(spark, monkeypatch):
     """Few classes, so that keys share them; a gene with null scores alone lets them all through."""
     rng = random.Random(11)
